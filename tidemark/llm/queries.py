@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, simhash, tokens
+from tidemark.llm import decontamination, mixing, simhash, suffixes, tokens, toxicity
 from tidemark.llm.common import read
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(read(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
@@ -26,9 +30,53 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffixes": op2_suffixes,
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op6_tokens": op6_tokens,
+    "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
+}
+
+ORACLES: dict[str, str] = {
+    "op3_mixing": """
+WITH RECURSIVE m AS (SELECT source, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS mass FROM documents GROUP BY source),
+w AS (SELECT source, mass, pow(CAST(mass AS DOUBLE), 0.5) AS weight FROM m WHERE mass > 0),
+t AS (SELECT CAST(sum(mass) AS DOUBLE) AS total, sum(weight) AS weights FROM w),
+r AS (SELECT source, weight / weights * total * 1.0 / CAST(mass AS DOUBLE) AS rate FROM w, t),
+p AS (SELECT source, greatest(1, CAST(ceil(rate / 50.0) AS INTEGER)) AS parts, rate FROM r),
+q AS (SELECT source, parts, rate / parts AS mean FROM p),
+cdf(source, mean, n, pr, c) AS (
+  SELECT source, mean, 0, exp(-mean), exp(-mean) FROM q
+  UNION ALL
+  SELECT source, mean, n + 1, pr * mean / CAST(n + 1 AS DOUBLE), c + pr * mean / CAST(n + 1 AS DOUBLE)
+  FROM cdf WHERE n < CAST(ceil(mean + 12.0 * sqrt(mean) + 20.0) AS INTEGER)),
+d AS (SELECT doc_id, source, unnest(range(1, parts + 1)) AS j FROM documents JOIN q USING (source)),
+u AS (SELECT doc_id, source, CAST('0x' || substr(md5('mix:' || doc_id || ':' || j), 1, 13) AS BIGINT) / 4503599627370496.0 AS x FROM d),
+k AS (SELECT doc_id, count(*) AS n FROM u JOIN cdf ON u.source = cdf.source AND cdf.c <= u.x GROUP BY doc_id),
+e AS (SELECT doc_id, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy FROM k)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, e.copy,
+  CAST('0x' || substr(md5('mix/order:' || e.doc_id || ':' || e.copy), 1, 13) AS BIGINT) AS shuffle_key
+FROM documents d JOIN e ON d.doc_id = e.doc_id
+""",
+    "op9_decontamination": r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+bs AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM b)),
+n AS (SELECT item_id, CAST(count(*) AS INTEGER) AS n_shingles FROM bs GROUP BY item_id),
+m AS (SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_shingles, CAST(n_shared AS DOUBLE) / n_shingles AS containment
+FROM m JOIN n USING (item_id) WHERE n_shared >= n_shingles * 0.8 - 1e-9
+""",
 }
-ORACLES: dict[str, str] = {}
