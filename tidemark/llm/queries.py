@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, mixing, simhash, suffixes, tokens, toxicity
+from tidemark.llm import decontamination, embeddings, language, mixing, quality, simhash, suffixes, tokens, toxicity, warc
 from tidemark.llm.common import read
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(read(spark, sf_dir, "documents"))
 
@@ -24,12 +29,25 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokens.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(read(spark, sf_dir, "pages")))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -40,15 +58,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_suffixes": op2_suffixes,
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
+    "op5_embeddings": op5_embeddings,
     "op6_tokens": op6_tokens,
+    "op7_warc": op7_warc,
+    "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_embeddings": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(v, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.v, p.b FROM reach JOIN p ON reach.r = p.a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN (SELECT v AS vec_id, min(r) AS component_id FROM reach GROUP BY v) USING (vec_id)
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a) USING (vec_id)
+""",
     "op3_mixing": """
 WITH RECURSIVE m AS (SELECT source, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS mass FROM documents GROUP BY source),
 w AS (SELECT source, mass, pow(CAST(mass AS DOUBLE), 0.5) AS weight FROM m WHERE mass > 0),
