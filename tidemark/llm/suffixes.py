@@ -89,35 +89,58 @@ def run_hashes(words: np.ndarray, size: int, powers: Powers) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * down[: len(words) - size + 1])
 
 
-def minimisers(words: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, keys) of the retained suffixes."""
+def minimisers(words: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, keys) of the retained suffixes, and the (start, end) of runs that repeat themselves.
+
+    Where a text goes in circles its minimisers have one key at a constant gap.
+    All that stands a gap and more after the first of them repeats what stands
+    a gap before; so of such a streak only the first two suffixes and those
+    whose key could reach beyond its end are retained.
+    """
     if len(words) < MIN_WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
     keys = run_hashes(words, KEY_WORDS, powers)
     least = np.lib.stride_tricks.sliding_window_view(keys, WINDOW).argmin(axis=1)
     at = np.unique(least + np.arange(len(least)))
-    return at, keys[at]
+    keys = keys[at]
+    gap = np.diff(at)
+    linked = (keys[1:] == keys[:-1]) & (gap <= KEY_WORDS)
+    if not linked.any():
+        return at, keys, np.zeros((0, 2), np.int64)
+    turn = np.r_[False, linked[1:] & linked[:-1] & (gap[1:] != gap[:-1])]
+    starts = np.nonzero(np.r_[True, ~linked | turn])[0]
+    sizes = np.diff(np.r_[starts, len(at)])
+    first, last = np.repeat(starts, sizes), np.repeat(at[starts + sizes - 1], sizes)
+    kept = (np.arange(len(at)) - first < 2) | (at > last - KEY_WORDS)
+    circles = starts[sizes > 1]
+    spans = np.stack([at[circles + 1], at[circles + sizes[sizes > 1] - 1] + KEY_WORDS], 1)
+    return at[kept], keys[kept], spans[spans[:, 1] - spans[:, 0] >= MIN_WORDS]
 
 
 def retained(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, pos, key)`` of all retained suffixes."""
+    """``(id, pos, key, end)``: all retained suffixes (end null), and runs pos..end - 1 that repeat
+    what stands right before them (key null)."""
 
     def work():
         known, powers = WordHashes(), Powers()
 
         def step(batch):
-            ids, found = batch.column(0), [minimisers(known.of(t or ""), powers) for t in batch.column(1).to_pylist()]
-            sizes = np.array([len(at) for at, _ in found])
+            found = [minimisers(known.of(t or ""), powers) for t in batch.column(1).to_pylist()]
+            rows = np.repeat(np.arange(len(found)), [len(at) for at, _, _ in found])
+            runs = np.repeat(np.arange(len(found)), [len(x) for _, _, x in found])
+            spans = np.concatenate([x for _, _, x in found]).astype(np.int32)
+            none = [None] * len(runs)
             return {
-                id_col: ids.take(pa.array(np.repeat(np.arange(len(sizes)), sizes))),
-                "pos": np.concatenate([at for at, _ in found]).astype(np.int32),
-                "key": np.concatenate([k for _, k in found]).view(np.int64),
+                id_col: batch.column(0).take(pa.array(np.concatenate([rows, runs]))),
+                "pos": np.concatenate([*(at for at, _, _ in found), spans[:, 0]]).astype(np.int32),
+                "key": pa.array([*np.concatenate([k for _, k, _ in found]).view(np.int64).tolist(), *none], pa.int64()),
+                "end": pa.array([None] * len(rows) + spans[:, 1].tolist(), pa.int32()),
             }
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs, [id_col, text_col], work, f"`{id_col}` {kind}, pos int, key long")
+    return map_batches(docs, [id_col, text_col], work, f"`{id_col}` {kind}, pos int, key long, end int")
 
 
 def contexts(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -244,8 +267,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Overlapping and touching spans of a text are one; ids are longs."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).where(F.col(id_col).isNotNull())
-    suffixes = materialize(retained(docs, id_col, text_col))
-    twice = suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    both_kinds = materialize(retained(docs, id_col, text_col))
+    suffixes = both_kinds.where("end is null").drop("end")
+    circles = both_kinds.where("end is not null").select(F.col(id_col).alias("doc"), F.col("pos").alias("start"), "end", F.col(id_col).alias("other"))
+    # written first, so that the joins have plain shuffles on both sides, which can be split
+    twice = materialize(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     shared = suffixes.join(twice, "key")
     around = contexts(docs, shared, id_col, text_col).withColumnRenamed(id_col, "doc")
     around = materialize(around.withColumn("context", F.xxhash64("key", "after", "before")))
@@ -267,12 +293,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     between = compare_neighbours(ends.repartition(1).sortWithinPartitions("part", "edge"))
     neighbours = compared.unionByName(between).where("edge = 0").select("doc", "start", "end", "other")
 
-    many = reps.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key")
+    many = materialize(reps.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key"))
     runs = materialize(runs_around(reps.join(many, "key")))
-    earliest = runs.groupBy("run").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    seen = runs.groupBy("run").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n"))
+    earliest = materialize(seen.where("n > 1").drop("n"))
     later = runs.join(earliest, "run").where(F.col("first") < F.struct("doc", "start"))
     looked_up = later.select("doc", "start", (F.col("start") + MIN_WORDS).alias("end"), F.col("first.doc").alias("other"))
-    return merged(copies.union(neighbours).union(looked_up)).withColumnRenamed("doc", id_col)
+    return merged(copies.union(neighbours).union(looked_up).union(circles)).withColumnRenamed("doc", id_col)
 
 
 def merged(spans: DataFrame) -> DataFrame:
