@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from tidemark.plans import accounts, books, series
+
+ORACLES: dict[str, str] = {**series.ORACLES, **books.ORACLES, **accounts.ORACLES}

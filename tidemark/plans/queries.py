@@ -6,4 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tidemark.plans import accounts, books, series
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**series.QUERIES, **books.QUERIES, **accounts.QUERIES}
