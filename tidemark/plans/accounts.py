@@ -1,4 +1,319 @@
 """Queries on instruments, accounts and reports."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import bars, fx, portfolio, report
+from tidemark.plans import views
+from tidemark.plans.register import registry
+from tidemark.plans.series import BARS, BY, TICKS, hourly
+
+QUERIES, ORACLES, query = registry()
+
+FILLS = """fills AS (
+  SELECT o_custkey AS account, l_suppkey AS market, l_orderkey AS order_id, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side,
+    l_quantity AS size, l_extendedprice / l_quantity AS price, l_tax AS fee, l_shipdate AS ts,
+    (l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS fill_key
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+LEGS = (
+    FILLS
+    + """, legs AS (
+  SELECT account, market, ts, fill_key, 'base' AS asset, CASE side WHEN 'buy' THEN size ELSE -size END AS delta FROM fills
+  UNION ALL
+  SELECT account, market, ts, fill_key, 'quote', CASE side WHEN 'buy' THEN -size * price / (1 - fee) ELSE size * price * (1 - fee) END FROM fills)"""
+)
+MARKETS = """markets AS (
+  SELECT lower(r_name) AS exchange, lower(n_name) AS base, lower(r_name) AS quote, (n_nationkey + 2) / CAST(4 AS DOUBLE) AS price FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL
+  SELECT 'hub', lower(a.r_name), lower(b.r_name), (a.r_regionkey + 3) / CAST(2 AS DOUBLE) FROM region a JOIN region b ON a.r_regionkey + 1 = b.r_regionkey)"""
+RATES = (
+    MARKETS
+    + """, steps AS (SELECT base AS src, quote AS dst, price AS rate FROM markets UNION ALL SELECT quote, base, 1 / price FROM markets),
+walks(asset, rate, n_hops, path, seen) AS (
+  SELECT 'asia', CAST(1 AS DOUBLE), 0, 'asia', ['asia']
+  UNION ALL
+  SELECT src, steps.rate * walks.rate, n_hops + 1, src || '>' || path, list_append(seen, src) FROM walks JOIN steps ON dst = asset WHERE NOT list_contains(seen, src) AND n_hops < 4),
+rates AS (SELECT asset, arg_min(rate, (n_hops, path)) AS rate, min(n_hops) AS n_hops, arg_min(path, (n_hops, path)) AS path FROM walks GROUP BY asset)"""
+)
+
+def leg_assets():
+    return F.lit("base"), F.lit("quote")
+
+
+
+def rates(spark, sf_dir):
+    return fx.rates_to(views.instruments(spark, sf_dir), "asia")
+
+
+@query(f"WITH {LEGS} SELECT account, asset, round(sum(delta), 4) AS delta FROM legs GROUP BY account, asset")
+def fills_settled(spark, sf_dir):
+    """Change of balances by fills."""
+    out = portfolio.settle(views.fills(spark, sf_dir), ["account"], *leg_assets())
+    return out.withColumn("delta", F.round("delta", 4))
+
+
+@query(
+    f"""WITH {LEGS} SELECT account, asset, CAST(fill_key[1] AS BIGINT) AS order_id, ts, round(sum(delta) OVER (PARTITION BY account, asset ORDER BY ts, fill_key
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 3) AS balance FROM legs"""
+)
+def balances_over_time(spark, sf_dir):
+    """Balances after every fill."""
+    out = portfolio.running_balance(views.fills(spark, sf_dir), ["account"], *leg_assets(), ["ts", "fill_key"])
+    return out.select("account", "asset", "order_id", "ts", F.round("balance", 3).alias("balance"))
+
+
+@query(
+    f"""WITH RECURSIVE {FILLS}, n AS (SELECT *, row_number() OVER (PARTITION BY account, market ORDER BY ts, fill_key) AS i,
+      CASE side WHEN 'buy' THEN size ELSE -size END AS d FROM fills),
+    s(account, market, i, order_id, pos, entry, realized) AS (
+      SELECT account, market, i, order_id, d, CASE WHEN d <> 0 THEN price END, CAST(0 AS DOUBLE) FROM n WHERE i = 1
+      UNION ALL
+      SELECT n.account, n.market, n.i, n.order_id, pos + d,
+        CASE WHEN pos + d = 0 THEN NULL WHEN pos = 0 OR sign(pos + d) <> sign(pos) THEN price
+          WHEN abs(pos + d) > abs(pos) THEN (entry * abs(pos) + price * abs(d)) / abs(pos + d) ELSE entry END,
+        CASE WHEN pos = 0 OR sign(d) = sign(pos) THEN 0 ELSE sign(pos) * least(abs(d), abs(pos)) * (price - entry) END
+      FROM s JOIN n ON s.account = n.account AND s.market = n.market AND n.i = s.i + 1)
+    SELECT account, market, order_id, pos AS position, round(entry, 4) AS entry, round(realized, 3) AS realized FROM s"""
+)
+def positions_over_time(spark, sf_dir):
+    """Positions, average entry and realized profit after every fill."""
+    out = portfolio.position_series(views.fills(spark, sf_dir), ["account", "market"], ["ts", "fill_key"])
+    return out.select("account", "market", "order_id", "position", F.round("entry", 4).alias("entry"), F.round("realized", 3).alias("realized"))
+
+
+@query(
+    """WITH p AS (SELECT CAST(s_nationkey AS BIGINT) AS nation, s_suppkey % 7 - 3 AS size, s_acctbal AS entry, s_suppkey FROM supplier)
+    SELECT r_name AS exchange, n_name AS asset, round(sum(size * (100.0 + n_nationkey - entry)), 3) AS delta
+    FROM p JOIN nation ON nation = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL"""
+)
+def positions_closed(spark, sf_dir):
+    """Profit of closing every position, credited to its settlement asset."""
+    s, n, r = (views.table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    places = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    positions = s.join(places, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("r_name").alias("exchange"), F.col("n_name").alias("symbol"), (F.col("s_suppkey") % 7 - 3).alias("size"),
+        F.col("s_acctbal").alias("entry_price"), F.col("n_name").alias("settled_in"),
+    )
+    prices = places.select(F.col("r_name").alias("exchange"), F.col("n_name").alias("symbol"), (100.0 + F.col("n_nationkey")).alias("price"))
+    return portfolio.close_positions(positions, prices).withColumn("delta", F.round("delta", 3))
+
+
+@query(f"WITH RECURSIVE {RATES} SELECT asset, round(rate, 6) AS rate, n_hops, path FROM rates")
+def conversion_rates(spark, sf_dir):
+    """The cheapest chain of markets from every asset."""
+    return rates(spark, sf_dir).withColumn("rate", F.round("rate", 6))
+
+
+@query(
+    f"""WITH RECURSIVE {RATES} SELECT c_mktsegment AS account, round(sum(c_acctbal * rate), 2) AS equity
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN rates ON asset = lower(n_name) GROUP BY c_mktsegment"""
+)
+def equity_by_segment(spark, sf_dir):
+    """Balances of all customers in one currency."""
+    c, n = views.table(spark, sf_dir, "customer"), views.table(spark, sf_dir, "nation")
+    held = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    balances = held.select(F.col("c_mktsegment").alias("account"), F.lower("n_name").alias("asset"), F.col("c_acctbal").alias("qty"))
+    return portfolio.equity(balances, rates(spark, sf_dir), ["account"]).withColumn("equity", F.round("equity", 2))
+
+
+@query(f"WITH {MARKETS} SELECT DISTINCT exchange, base AS asset FROM markets UNION SELECT DISTINCT exchange, quote FROM markets")
+def accounts_of_exchanges(spark, sf_dir):
+    """All assets of each exchange."""
+    m = views.instruments(spark, sf_dir).select("exchange", F.col("base").alias("security"), F.col("quote").alias("settled_in"))
+    return fx.all_accounts(m)
+
+
+@query(
+    f"""WITH {MARKETS} SELECT lower(n_name) AS base, lower(r_name) AS quote, lower(r_name) AS exchange, m.base || '_' || m.quote AS symbol
+    FROM nation CROSS JOIN region LEFT JOIN markets m ON m.exchange = lower(r_name) AND m.base = lower(n_name) AND m.quote = lower(r_name)"""
+)
+def markets_found(spark, sf_dir):
+    """The market of a pair on an exchange."""
+    n, r = views.table(spark, sf_dir, "nation"), views.table(spark, sf_dir, "region")
+    m = views.instruments(spark, sf_dir)
+    listed = m.select("exchange", F.col("base").alias("security"), F.col("quote").alias("settled_in"), F.concat_ws("_", "base", "quote").alias("symbol"))
+    name = F.lower("r_name")
+    wanted = n.select(F.lower("n_name").alias("base")).join(F.broadcast(r.select(name.alias("exchange"), name.alias("quote"))))
+    return fx.find_market(wanted, listed)
+
+
+@query(
+    """SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE 'unit' END AS base, CASE WHEN n_nationkey % 2 = 0 THEN 'unit' ELSE lower(n_name) END AS quote,
+    1 AS rate FROM nation WHERE false UNION ALL
+    SELECT n_nationkey, lower(n_name), 'eur', (n_nationkey + 1) * CASE WHEN n_nationkey % 2 = 0 THEN 0.5 ELSE 1 / CAST(4 AS DOUBLE) END FROM nation"""
+)
+def rates_composed(spark, sf_dir):
+    """Two rates joined, the second turned over where needed; usd and usdt are pegged."""
+    n = views.table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    p = n.select(k.alias("id"), F.lower("n_name").alias("base"), F.lit("usd").alias("quote"), (k + 1).cast("double").alias("rate"))
+    even = k % 2 == 0
+    q = n.select(k.alias("id"), F.when(even, "usdt").otherwise("eur").alias("base"), F.when(even, "eur").otherwise("usdt").alias("quote"), F.when(even, 0.5).otherwise(4.0).alias("rate"))
+    return fx.compose(p, q)
+
+
+BALANCES = """a AS (SELECT c_nationkey AS exchange, c_mktsegment AS security, sum(c_acctbal) AS qty FROM customer WHERE c_custkey % 3 <> 0 GROUP BY ALL),
+b AS (SELECT c_nationkey AS exchange, c_mktsegment AS security, sum(c_acctbal) AS qty FROM customer WHERE c_custkey % 3 <> 1 AND c_nationkey % 2 = 0 GROUP BY ALL)"""
+
+
+def two_portfolios(spark, sf_dir):
+    c = views.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("exchange"), F.col("c_mktsegment").alias("security"), "c_acctbal", "c_custkey")
+    qty = F.sum("c_acctbal").alias("qty")
+    a = c.where("c_custkey % 3 <> 0").groupBy("exchange", "security").agg(qty)
+    return a, c.where("c_custkey % 3 <> 1 and exchange % 2 = 0").groupBy("exchange", "security").agg(qty)
+
+
+@query(f"WITH {BALANCES} SELECT exchange, security, round(coalesce(b.qty, a.qty), 3) AS qty FROM a FULL JOIN b USING (exchange, security)")
+def portfolios_merged(spark, sf_dir):
+    """The second portfolio over the first."""
+    merged = portfolio.merge(*two_portfolios(spark, sf_dir), ["exchange", "security"], "qty")
+    return merged.withColumn("qty", F.round("qty", 3))
+
+
+@query(
+    f"""WITH {BALANCES} SELECT exchange, security, round(a.qty, 3) AS qty FROM a LEFT JOIN b USING (exchange, security)
+    WHERE b.qty IS NULL OR round(a.qty, 3) <> round(b.qty, 3)"""
+)
+def portfolios_compared(spark, sf_dir):
+    """What the first has and the second has not, or differently."""
+    a, b = (x.withColumn("qty", F.round("qty", 3)) for x in two_portfolios(spark, sf_dir))
+    return portfolio.difference(a, b, ["exchange", "security"], "qty")
+
+
+@query(f"WITH {BALANCES} SELECT exchange, security, round(qty, 3) AS qty FROM a WHERE exchange <> 3")
+def portfolio_without_exchange(spark, sf_dir):
+    """P5: one exchange left out."""
+    return portfolio.without_exchange(two_portfolios(spark, sf_dir)[0], 3).withColumn("qty", F.round("qty", 3))
+
+
+@query(
+    """WITH t AS (SELECT o_custkey AS target, o_orderdate AS ts, o_orderkey AS id, round(o_totalprice, -5) AS price, CAST(o_orderkey % 2 AS DOUBLE) AS size FROM orders)
+    SELECT target, id, CASE WHEN row_number() OVER w = 1 THEN 'post' WHEN price = lag(price) OVER w AND size = lag(size) OVER w THEN 'none' ELSE 'replace' END AS action
+    FROM t WINDOW w AS (PARTITION BY target ORDER BY ts, id)"""
+)
+def order_target_actions(spark, sf_dir):
+    """Whether a target changes the order that stands."""
+    o = views.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    t = o.select(F.col("o_custkey").alias("target"), F.col("o_orderdate").alias("ts"), k.alias("id"), F.round("o_totalprice", -5).alias("price"), (k % 2).cast("double").alias("size"))
+    return portfolio.order_targets(t, ["target"], ["ts", "id"]).select("target", "id", "action")
+
+
+@query(
+    """WITH s AS (SELECT c_nationkey AS exchange, c_mktsegment AS security, c_custkey % 5 AS snapshot, sum(c_acctbal) AS qty FROM customer GROUP BY ALL)
+    SELECT exchange, security, snapshot, round(qty, 3) AS qty FROM s WHERE snapshot = (SELECT max(snapshot) FROM s x WHERE x.exchange = s.exchange) AND exchange % 6 <> 0"""
+)
+def accounts_synced(spark, sf_dir):
+    """The latest snapshot of every exchange that could be loaded."""
+    c = views.table(spark, sf_dir, "customer")
+    s = c.groupBy(F.col("c_nationkey").alias("exchange"), F.col("c_mktsegment").alias("security"), (F.col("c_custkey") % 5).alias("snapshot")).agg(F.sum("c_acctbal").alias("qty"))
+    failed = c.where("c_nationkey % 6 = 0").select(F.col("c_nationkey").alias("exchange"))
+    return portfolio.latest_accounts(s, failed).withColumn("qty", F.round("qty", 3))
+
+
+@query(
+    f"""WITH {LEGS}, g AS (SELECT unnest(generate_series(TIMESTAMP '1992-01-01', TIMESTAMP '1999-01-01', INTERVAL '365 days')) AS ts),
+    h AS (SELECT account, asset, ts, sum(delta) OVER (PARTITION BY account, asset ORDER BY ts, fill_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS qty, fill_key FROM legs WHERE account % 50 = 0),
+    l AS (SELECT account, asset, ts, arg_max(qty, fill_key) AS qty FROM h GROUP BY ALL),
+    p AS (SELECT account, asset, g.ts FROM (SELECT account, asset, min(ts) AS s FROM l GROUP BY ALL) JOIN g ON g.ts >= s)
+    SELECT p.account, p.asset, p.ts, round(qty, 2) AS qty FROM p ASOF LEFT JOIN l ON p.account = l.account AND p.asset = l.asset AND p.ts >= l.ts"""
+)
+def portfolio_by_year(spark, sf_dir):
+    """Balances at the start of every year."""
+    grid = spark.sql("SELECT explode(sequence(TIMESTAMP_NTZ '1992-01-01', TIMESTAMP_NTZ '1999-01-01', INTERVAL 365 DAY)) AS ts")
+    changes = portfolio.legs(views.fills(spark, sf_dir).where("account % 50 = 0"), *leg_assets())
+    out = portfolio.portfolio_history(changes, ["account"], grid, ["ts", "fill_key"])
+    return out.select("account", "asset", "ts", F.round("qty", 2).alias("qty"))
+
+
+@query(
+    """SELECT 'trade' AS kind, o_orderdate AS ts, o_orderkey AS id, o_totalprice AS amount FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate >= TIMESTAMP '1997-01-01'
+    UNION ALL SELECT CASE WHEN o_orderstatus = 'F' THEN 'withdraw' ELSE 'deposit' END, o_orderdate, o_orderkey, o_totalprice FROM orders
+    WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND o_orderdate >= TIMESTAMP '1997-01-01'"""
+)
+def transaction_history(spark, sf_dir):
+    """Trades, deposits and withdrawals since a date."""
+    o = views.table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"), "o_orderpriority", "o_orderstatus")
+    traded, gone = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.col("o_orderstatus") == "F"
+    parts = [o.where(c).select("ts", "id", "amount") for c in (traded, ~traded & ~gone, ~traded & gone)]
+    return portfolio.transactions(*parts, dt.datetime(1997, 1, 1))
+
+
+@query(
+    f"""WITH {TICKS} SELECT source || '/' || topic || '/' || datatype AS path, epoch_ms(ts) AS time, direction, id, price, seqid, size FROM ticks ORDER BY ts DESC, id DESC LIMIT 100"""
+)
+def panel_newest_trades(spark, sf_dir):
+    """R2: the trades panel."""
+    return report.panel_trades(views.ticks(spark, sf_dir), 100, ["ts", "id"])
+
+
+@query(f"WITH {BARS} SELECT topic, close, epoch_ms(ts) AS time FROM bars WHERE topic = 'click'")
+def panel_price_series(spark, sf_dir):
+    """The price panel of one series."""
+    return report.panel_prices(hourly(spark, sf_dir).where("topic = 'click'"), BY)
+
+
+#: Report events: events of 20 sessions put, update and remove values and append to lists.
+REPORT = """report AS (SELECT user_id % 20 AS session_id, event_id AS seq, ts, 'k' || (event_id % 7) AS key, CAST(value AS VARCHAR) AS payload,
+  CASE event_type WHEN 'signup' THEN 'put' WHEN 'click' THEN 'update' WHEN 'error' THEN 'remove' WHEN 'view' THEN 'collection' ELSE 'candle_add' END AS kind,
+  event_id // 500 AS bar FROM events)"""
+
+
+def report_events(spark, sf_dir):
+    e, kind = views.table(spark, sf_dir, "events"), F.col("event_type")
+    return e.select(
+        (F.col("user_id") % 20).alias("session_id"),
+        F.col("event_id").alias("seq"),
+        "ts",
+        F.concat(F.lit("k"), (F.col("event_id") % 7).cast("string")).alias("key"),
+        F.col("value").alias("payload"),
+        F.when(kind == "signup", "put").when(kind == "click", "update").when(kind == "error", "remove").when(kind == "view", "collection").otherwise("candle_add").alias("kind"),
+        F.expr("event_id div 500").alias("bar"),
+    )
+
+
+@query(
+    f"""WITH {REPORT} SELECT session_id, key, row_number() OVER (PARTITION BY session_id, key ORDER BY ts, seq) - 1 AS place, CAST(payload AS DOUBLE) AS payload
+    FROM report WHERE kind = 'collection'"""
+)
+def report_collections(spark, sf_dir):
+    """Lists of each session."""
+    return report.collections(report_events(spark, sf_dir))
+
+
+@query(
+    f"""WITH {REPORT} SELECT session_id, key, CAST(arg_max(payload, seq) AS DOUBLE) AS payload FROM report WHERE kind IN ('put', 'update', 'remove')
+    GROUP BY session_id, key HAVING arg_max(kind, seq) <> 'remove'"""
+)
+def report_last_values(spark, sf_dir):
+    """Values of each session, last write wins."""
+    return report.report_values(report_events(spark, sf_dir))
+
+
+@query(
+    f"""WITH {REPORT} SELECT session_id, key, bar, CAST(arg_max(payload, seq) AS DOUBLE) AS payload FROM report WHERE kind = 'candle_add' GROUP BY ALL"""
+)
+def report_last_bars(spark, sf_dir):
+    """Of additions and updates of a bar the last."""
+    return report.report_series(report_events(spark, sf_dir))
+
+
+@query("SELECT DISTINCT 'events/' || event_type || '/trades' AS target FROM events")
+def panel_targets(spark, sf_dir):
+    """What a panel can search."""
+    return views.trades(spark, sf_dir).select(F.concat_ws("/", "source", "topic", "datatype").alias("target")).distinct()
+
+
+@query(
+    """SELECT user_id AS bot, max(ts) AS last_ts, max(ts) + INTERVAL 1 DAY * (user_id % 3) < TIMESTAMP '2024-01-31' AND user_id % 3 > 0 AS expired FROM events GROUP BY user_id"""
+)
+def bots_expired(spark, sf_dir):
+    """Bots whose last heartbeat is older than their time to live; 0 is never."""
+    from tidemark.streaming.state import liveness
+
+    e = views.table(spark, sf_dir, "events")
+    beats = e.select(F.col("user_id").alias("bot"), "ts", ((F.col("user_id") % 3) * 86_400_000_000).alias("ttl_micros"))
+    return liveness(beats, dt.datetime(2024, 1, 31))

@@ -1,4 +1,249 @@
 """Queries on order books and depth ladders."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import book, ladder
+from tidemark.plans import views
+from tidemark.plans.register import registry
+
+QUERIES, ORACLES, query = registry()
+
+FEED = """feed AS (
+  SELECT CAST(user_id % 4 AS INTEGER) AS topic, user_id AS order_id, event_id AS seq, ts,
+    CASE WHEN event_type IN ('signup', 'view') THEN 'open' WHEN event_type = 'click' THEN 'change' WHEN event_type = 'purchase' THEN 'done' ELSE 'received' END AS kind,
+    CASE WHEN event_type IN ('signup', 'view') THEN round(value) END AS price,
+    CASE WHEN event_type IN ('signup', 'view', 'click') THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 END AS size,
+    CASE WHEN event_type IN ('signup', 'view') THEN CASE WHEN user_id // 4 % 2 = 0 THEN 'bid' ELSE 'ask' END END AS side
+  FROM events)"""
+
+#: The book by the last open of each order: done after it removes, changes after it resize.
+BOOK = (
+    FEED
+    + """, o AS (SELECT topic, order_id, max(seq) AS opened FROM feed WHERE kind = 'open' GROUP BY ALL),
+a AS (SELECT f.*, opened FROM feed f JOIN o USING (topic, order_id) WHERE f.seq >= opened AND kind <> 'received'),
+book AS (
+  SELECT topic, order_id, any_value(side) FILTER (kind = 'open') AS side, any_value(price) FILTER (kind = 'open') AS price,
+    arg_max(size, seq) FILTER (size IS NOT NULL) AS size, max(seq) FILTER (kind <> 'done') AS prio_seq
+  FROM a GROUP BY topic, order_id HAVING count(*) FILTER (kind = 'done') = 0)"""
+)
+
+LEVELS = (
+    BOOK
+    + """, levels AS (SELECT topic, side, price, sum(size) AS qty FROM book GROUP BY ALL)"""
+)
+
+#: Ladders of line items; the first 400 parts make one kind of walk, by size, limit or funds.
+LADDERS = """ladders AS (
+  SELECT l_partkey AS ladder, CASE WHEN l_linestatus = 'O' THEN 'ask' ELSE 'bid' END AS side, round(l_extendedprice, -2) AS price, sum(l_quantity) AS qty
+  FROM lineitem GROUP BY ALL)"""
+WALKERS = """walkers AS (
+  SELECT CAST(o_custkey % 2000 + 1 AS BIGINT) AS ladder, o_orderkey AS order_id, CASE WHEN o_orderkey % 3 = 0 THEN 'sell' ELSE 'buy' END AS side,
+    CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderkey % 90 + 1 AS DOUBLE) END AS size, CASE WHEN o_orderkey % 3 = 2 THEN o_totalprice END AS funds,
+    CASE WHEN o_orderkey % 3 < 2 AND o_orderkey % 4 = 0 THEN o_totalprice / 4 END AS "limit"
+  FROM orders)"""
+WALK = f"""{LADDERS}, {WALKERS}, cum AS (
+  SELECT *, coalesce(sum(qty) OVER w, 0) AS q0, coalesce(sum(price * qty) OVER w, 0) AS c0 FROM ladders
+  WINDOW w AS (PARTITION BY ladder, side ORDER BY CASE WHEN side = 'ask' THEN price ELSE -price END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+hits AS (
+  SELECT w.ladder, order_id, w.side, c.price, CASE WHEN size IS NOT NULL THEN least(qty, size - q0) ELSE least(qty, (funds - c0) / price) END AS fill
+  FROM walkers w JOIN cum c ON w.ladder = c.ladder AND c.side = CASE w.side WHEN 'buy' THEN 'ask' ELSE 'bid' END
+    AND ("limit" IS NULL OR CASE w.side WHEN 'buy' THEN price <= "limit" ELSE price >= "limit" END)),
+fills AS (SELECT * FROM hits WHERE fill > 0)"""
+
+
+def the_book(spark, sf_dir):
+    return book.book_at(views.order_feed(spark, sf_dir), ["topic"])
+
+
+def walkers(spark, sf_dir):
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    return views.table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 2000 + 1).alias("ladder"),
+        k.alias("order_id"),
+        F.when(k % 3 == 0, "sell").otherwise("buy").alias("side"),
+        F.when(k % 3 < 2, (k % 90 + 1).cast("double")).alias("size"),
+        F.when(k % 3 == 2, price).alias("funds"),
+        F.when((k % 3 < 2) & (k % 4 == 0), price / 4).alias("limit"),
+    )
+
+
+@query(f"WITH {FEED} SELECT kind, count(*) AS n FROM feed WHERE kind IN ('open', 'change', 'done') GROUP BY kind")
+def book_delta_kinds(spark, sf_dir):
+    """events that change a book."""
+    return book.book_deltas(views.order_feed(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {BOOK} SELECT topic, order_id, side, price, size, prio_seq FROM book")
+def book_of_live_orders(spark, sf_dir):
+    """B1: live orders, their size and queue priority."""
+    return the_book(spark, sf_dir)
+
+
+@query(
+    f"""WITH {FEED}, s AS (SELECT topic, order_id, side, price, size, seq FROM (SELECT *, max(seq) OVER (PARTITION BY topic) AS m FROM feed WHERE kind = 'open' AND seq < 2000)),
+    b AS (SELECT topic, max(seq) AS base FROM s GROUP BY topic),
+    e AS (SELECT topic, order_id, seq, 'open' AS kind, side, price, size FROM s UNION ALL
+      SELECT f.topic, order_id, seq, kind, side, price, size FROM feed f JOIN b ON f.topic = b.topic AND f.seq > base WHERE kind <> 'received'),
+    o AS (SELECT topic, order_id, max(seq) AS opened FROM e WHERE kind = 'open' GROUP BY ALL),
+    a AS (SELECT e.*, opened FROM e JOIN o USING (topic, order_id) WHERE e.seq >= opened)
+    SELECT topic, order_id, any_value(side) FILTER (kind = 'open') AS side, any_value(price) FILTER (kind = 'open') AS price,
+      arg_max(size, seq) FILTER (size IS NOT NULL) AS size, max(seq) FILTER (kind <> 'done') AS prio_seq
+    FROM a GROUP BY topic, order_id HAVING count(*) FILTER (kind = 'done') = 0"""
+)
+def book_from_snapshot(spark, sf_dir):
+    """B2: a snapshot and the events after it."""
+    feed = views.order_feed(spark, sf_dir).drop("ts")
+    snapshot = feed.where("kind = 'open' and seq < 2000").drop("kind")
+    return book.book_seed(snapshot, feed, ["topic"])
+
+
+@query(
+    f"""WITH {LEVELS} SELECT topic, side, price, qty, level FROM (SELECT *, CAST(row_number() OVER (PARTITION BY topic, side
+    ORDER BY CASE WHEN side = 'ask' THEN price ELSE -price END) - 1 AS INTEGER) AS level FROM levels) WHERE level < 10"""
+)
+def book_ladder(spark, sf_dir):
+    """The ten best levels of each side."""
+    return book.ladder(the_book(spark, sf_dir), ["topic"], 10)
+
+
+@query(
+    f"""WITH {LEVELS}, b AS (SELECT topic, max(price) FILTER (side = 'bid') AS bid, min(price) FILTER (side = 'ask') AS ask FROM levels GROUP BY topic)
+    SELECT topic, bid, ask, ask - bid AS spread, coalesce(bid >= ask, false) AS crossed FROM b"""
+)
+def best_bid_ask(spark, sf_dir):
+    """Best prices and spread."""
+    return book.best_prices(book.level_depth(the_book(spark, sf_dir), ["topic"]), ["topic"])
+
+
+@query(
+    f"""WITH {FEED}, t AS (SELECT topic, seq FROM feed WHERE seq % 250 = 0),
+    e AS (SELECT t.seq AS tick, f.* FROM t JOIN feed f ON f.topic = t.topic AND f.seq <= t.seq WHERE kind <> 'received'),
+    o AS (SELECT tick, topic, order_id, max(seq) AS opened FROM e WHERE kind = 'open' GROUP BY ALL),
+    a AS (SELECT e.*, opened FROM e JOIN o USING (tick, topic, order_id) WHERE e.seq >= opened),
+    b AS (SELECT tick AS seq, topic, order_id, any_value(side) FILTER (kind = 'open') AS side, any_value(price) FILTER (kind = 'open') AS price,
+      arg_max(size, a.seq) FILTER (size IS NOT NULL) AS size FROM a GROUP BY tick, topic, order_id HAVING count(*) FILTER (kind = 'done') = 0),
+    l AS (SELECT topic, seq, side, price, sum(size) AS qty FROM b GROUP BY ALL)
+    SELECT topic, seq, side, price, qty, level FROM (SELECT *, CAST(row_number() OVER (PARTITION BY topic, seq, side
+      ORDER BY CASE WHEN side = 'ask' THEN price ELSE -price END) - 1 AS INTEGER) AS level FROM l) WHERE level < 5"""
+)
+def ladders_over_time(spark, sf_dir):
+    """The ladder of the book after every 250th event."""
+    feed = views.order_feed(spark, sf_dir)
+    return book.ladder_at(feed, feed.where("seq % 250 = 0").select("topic", "seq"), ["topic"], 5, 256)
+
+
+@query(f"WITH {WALK} SELECT ladder, order_id, side, price, fill AS size FROM fills")
+def depth_walked(spark, sf_dir):
+    """Orders filled against ladders, by size, limit or funds."""
+    return ladder.walk_depth(walkers(spark, sf_dir), views.ladders(spark, sf_dir), ["ladder"])
+
+
+@query(
+    f"""WITH {WALK}, s AS (SELECT ladder, order_id, sum(fill) AS filled, sum(price * fill) AS cost FROM fills GROUP BY ALL)
+    SELECT w.ladder, w.order_id, round(coalesce(filled, 0), 4) AS filled, round(coalesce(cost, 0), 4) AS cost,
+      round(cost / CASE WHEN filled > 0 THEN filled END, 4) AS vwap, round(coalesce(cost, 0) * 0.003, 6) AS fee,
+      round(CASE WHEN size IS NOT NULL THEN size - coalesce(filled, 0) ELSE funds - coalesce(cost, 0) END, 4) AS unfilled
+    FROM walkers w LEFT JOIN s USING (ladder, order_id)"""
+)
+def fills_summed_up(spark, sf_dir):
+    """What each order got."""
+    orders = walkers(spark, sf_dir)
+    fills = ladder.walk_depth(orders, views.ladders(spark, sf_dir), ["ladder"])
+    sums = ladder.fill_summary(orders, fills, ["ladder"], F.lit(0.003))
+    return sums.withColumns({c: F.round(c, 4) for c in ("filled", "cost", "vwap", "unfilled")} | {"fee": F.round("fee", 6)})
+
+
+@query(
+    f"""WITH {BOOK}, i AS (SELECT CAST(o_orderkey % 4 AS INTEGER) AS topic, o_orderkey AS taker_id, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
+      CAST(o_orderkey % 40 + 1 AS DOUBLE) AS size, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey % 300 AS DOUBLE) END AS "limit" FROM orders WHERE o_orderkey % 97 = 0),
+    p AS (SELECT i.topic, taker_id, order_id, b.price, b.size AS avail, i.size AS want,
+      coalesce(sum(b.size) OVER (PARTITION BY i.topic, taker_id ORDER BY CASE WHEN i.side = 'buy' THEN b.price ELSE -b.price END, prio_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM i JOIN book b ON i.topic = b.topic AND b.side = CASE i.side WHEN 'buy' THEN 'ask' ELSE 'bid' END
+        AND ("limit" IS NULL OR CASE i.side WHEN 'buy' THEN b.price <= "limit" ELSE b.price >= "limit" END))
+    SELECT topic, taker_id, order_id, price, least(avail, want - before) AS size FROM p WHERE least(avail, want - before) > 0"""
+)
+def orders_matched(spark, sf_dir):
+    """Incoming orders matched with the book's queue."""
+    k = F.col("o_orderkey")
+    incoming = views.table(spark, sf_dir, "orders").where(k % 97 == 0).select(
+        (k % 4).cast("int").alias("topic"),
+        k.alias("taker_id"),
+        F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"),
+        (k % 40 + 1).cast("double").alias("size"),
+        F.when(k % 5 == 0, (k % 300).cast("double")).alias("limit"),
+    )
+    return book.match_orders(incoming, the_book(spark, sf_dir), ["topic"])
+
+
+def halves(spark, sf_dir):
+    """Ladders of the line items of even and of odd orders."""
+    li = views.table(spark, sf_dir, "lineitem")
+    side = F.when(F.col("l_linestatus") == "O", "ask").otherwise("bid")
+    levels = li.groupBy(
+        (F.col("l_partkey") % 200).alias("ladder"), side.alias("side"), F.round("l_extendedprice", -3).alias("price"), (F.col("l_orderkey") % 2).alias("half")
+    ).agg(F.sum("l_quantity").alias("qty"))
+    return levels.where("half = 0").drop("half"), levels.where("half = 1").drop("half")
+
+
+HALVES = """h AS (SELECT l_partkey % 200 AS ladder, CASE WHEN l_linestatus = 'O' THEN 'ask' ELSE 'bid' END AS side, round(l_extendedprice, -3) AS price,
+    l_orderkey % 2 AS half, sum(l_quantity) AS qty FROM lineitem GROUP BY ALL),
+a AS (SELECT ladder, side, price, qty FROM h WHERE half = 0), b AS (SELECT ladder, side, price, qty FROM h WHERE half = 1)"""
+
+
+@query(
+    f"""WITH {HALVES}, d AS (SELECT ladder, side, price, CASE WHEN price % 3000 = 0 THEN 0 ELSE qty END AS qty FROM b)
+    SELECT ladder, side, price, coalesce(d.qty, a.qty) AS qty FROM a FULL JOIN d USING (ladder, side, price) WHERE coalesce(d.qty, a.qty) <> 0"""
+)
+def levels_updated(spark, sf_dir):
+    """A ladder after deltas."""
+    a, b = halves(spark, sf_dir)
+    deltas = b.withColumn("qty", F.when(F.col("price") % 3000 == 0, 0.0).otherwise(F.col("qty"))).withColumn("seq", F.lit(1).cast("long"))
+    return ladder.update_levels(a, deltas, ["ladder"])
+
+
+@query(
+    f"""WITH {HALVES} SELECT ladder, side, price, coalesce(b.qty, 0) AS qty FROM a FULL JOIN b USING (ladder, side, price)
+    WHERE a.qty IS NULL OR b.qty IS NULL OR a.qty <> b.qty"""
+)
+def ladders_compared(spark, sf_dir):
+    """The deltas between two ladders."""
+    return ladder.ladder_diff(*halves(spark, sf_dir), ["ladder"])
+
+
+@query(f"WITH {HALVES} SELECT ladder, side, price * 2 AS price, sum(qty) AS qty FROM a GROUP BY ALL")
+def ladders_converted(spark, sf_dir):
+    """A ladder at other prices."""
+    return ladder.ladder_convert(halves(spark, sf_dir)[0], F.col("price") * 2)
+
+
+@query(
+    f"""WITH {HALVES}, ca AS (SELECT ladder, side, price, qty, coalesce(sum(qty) OVER (PARTITION BY ladder, side ORDER BY CASE WHEN side = 'ask' THEN price ELSE -price END
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM a),
+    cb AS (SELECT ladder, CASE WHEN side = 'ask' THEN 'bid' ELSE 'ask' END AS side, price, qty, coalesce(sum(qty) OVER (PARTITION BY ladder, side
+      ORDER BY CASE WHEN side = 'ask' THEN price ELSE -price END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM b)
+    SELECT ca.ladder, ca.side, ca.price - cb.price AS price, sum(least(ca.lo + ca.qty, cb.lo + cb.qty) - greatest(ca.lo, cb.lo)) AS qty
+    FROM ca JOIN cb ON ca.ladder = cb.ladder AND ca.side = cb.side AND ca.lo < cb.lo + cb.qty AND cb.lo < ca.lo + ca.qty GROUP BY 1, 2, 3"""
+)
+def ladder_spreads(spark, sf_dir):
+    """The spread of two ladders."""
+    return ladder.ladder_spread(*halves(spark, sf_dir), ["ladder"])
+
+
+@query(
+    f"""WITH {LADDERS}, w AS (SELECT DISTINCT l_partkey AS ladder, round(l_extendedprice, -2) AS price FROM lineitem WHERE l_orderkey % 10 = 0),
+    q AS (SELECT ladder, price, coalesce(max(qty) FILTER (side = 'ask'), max(qty) FILTER (side = 'bid')) AS qty FROM ladders GROUP BY ALL)
+    SELECT ladder, price, coalesce(qty, 0) AS qty FROM w LEFT JOIN q USING (ladder, price)"""
+)
+def quantities_at_prices(spark, sf_dir):
+    """What stands at a price."""
+    li = views.table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    wanted = li.select(F.col("l_partkey").alias("ladder"), F.round("l_extendedprice", -2).alias("price")).distinct()
+    return ladder.quantity_at(views.ladders(spark, sf_dir), wanted, ["ladder"])
+
+
+@query(f"WITH {LADDERS} SELECT ladder, side, price, qty FROM ladders")
+def ladders_packed_and_unpacked(spark, sf_dir):
+    """Packed ladders are the same in long form."""
+    return ladder.from_parts(ladder.as_parts(views.ladders(spark, sf_dir), ["ladder"]), ["ladder"])

@@ -53,7 +53,7 @@ def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("kind"),
         F.when(kind.isin("signup", "view"), F.round("value")).alias("price"),
         F.when(kind.isin("signup", "view", "click"), size).alias("size"),
-        F.when(kind.isin("signup", "view"), F.when(F.col("user_id") % 2 == 0, "bid").otherwise("ask")).alias("side"),
+        F.when(kind.isin("signup", "view"), F.when(F.floor(F.col("user_id") / 4) % 2 == 0, "bid").otherwise("ask")).alias("side"),
     )
 
 
