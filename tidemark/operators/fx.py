@@ -65,28 +65,29 @@ def rates_to(markets: DataFrame, target: str, hops: int = 4) -> DataFrame:
     settings; assets that can't be reached are left out.
     """
     spark = markets.sparkSession
-    pegs = peg_table(spark)
+    pegs = F.broadcast(peg_table(spark).groupBy("a").agg(F.collect_list("b").alias("equal")))
     w = Window.partitionBy("src", "dst").orderBy("exchange")
     pairs = edges(markets).withColumn("__rank", F.row_number().over(w)).where("__rank = 1")
-    steps = pairs.select("src", "dst", "rate")
+    steps = pairs.select("src", "dst", F.col("rate").alias("step"))
 
-    def with_pegs(reached: DataFrame) -> DataFrame:
-        same = reached.join(pegs, F.col("asset") == F.col("b")).select(F.col("a").alias("asset"), "rate", "n_hops", F.concat(F.col("a"), F.lit("="), F.col("path")).alias("path"))
-        return first(reached.unionByName(same))
+    def with_pegs(front: DataFrame) -> DataFrame:
+        same = F.explode(F.concat(F.array("asset"), F.coalesce("equal", F.array().cast("array<string>"))))
+        all_ = front.join(pegs, F.col("asset") == F.col("a"), "left").select(F.col("asset").alias("of"), same.alias("asset"), "rate", "n_hops", "path")
+        pegged = F.when(F.col("asset") == F.col("of"), F.col("path")).otherwise(F.concat("asset", F.lit("="), "path"))
+        return first(all_.withColumn("path", pegged).drop("of"))
 
     def first(found: DataFrame) -> DataFrame:
         best = Window.partitionBy("asset").orderBy("n_hops", "path")
         return found.withColumn("__rank", F.row_number().over(best)).where("__rank = 1").drop("__rank")
 
-    start = spark.createDataFrame([(target, 1.0, 0, target)], "asset string, rate double, n_hops int, path string")
-    reached = with_pegs(start)
+    front = with_pegs(spark.createDataFrame([(target, 1.0, 0, target)], "asset string, rate double, n_hops int, path string"))
+    reached = front
     for n in range(1, hops + 1):
-        front = reached.where(F.col("n_hops") == n - 1)
-        grown = steps.join(front, F.col("dst") == F.col("asset")).select(
-            F.col("src").alias("asset"), (steps["rate"] * front["rate"]).alias("rate"), F.lit(n).alias("n_hops"), F.concat(F.col("src"), F.lit(">"), F.col("path")).alias("path")
-        )
-        reached = with_pegs(first(reached.unionByName(grown)))
-    return reached
+        path = F.concat("src", F.lit(">"), "path").alias("path")
+        grown = steps.join(front, F.col("dst") == F.col("asset")).select(F.col("src").alias("asset"), (F.col("step") * F.col("rate")).alias("rate"), F.lit(n).alias("n_hops"), path)
+        front = with_pegs(grown)
+        reached = reached.unionByName(front)
+    return first(reached)
 
 
 def all_accounts(instruments: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bars, fx, portfolio, report
 from tidemark.plans import views
-from tidemark.plans.register import registry
+from tidemark.plans.register import OFF_TIES, registry
 from tidemark.plans.series import BARS, BY, TICKS, hourly
 
 QUERIES, ORACLES, query = registry()
@@ -56,13 +56,13 @@ def fills_settled(spark, sf_dir):
 
 
 @query(
-    f"""WITH {LEGS} SELECT account, asset, CAST(fill_key[1] AS BIGINT) AS order_id, ts, round(sum(delta) OVER (PARTITION BY account, asset ORDER BY ts, fill_key
+    f"""WITH {LEGS} SELECT account, asset, CAST(fill_key[1] AS BIGINT) AS order_id, ts, round({OFF_TIES:.10f} + sum(delta) OVER (PARTITION BY account, asset ORDER BY ts, fill_key
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 3) AS balance FROM legs"""
 )
 def balances_over_time(spark, sf_dir):
     """Balances after every fill."""
     out = portfolio.running_balance(views.fills(spark, sf_dir), ["account"], *leg_assets(), ["ts", "fill_key"])
-    return out.select("account", "asset", "order_id", "ts", F.round("balance", 3).alias("balance"))
+    return out.select("account", "asset", "order_id", "ts", F.round(F.col("balance") + OFF_TIES, 3).alias("balance"))
 
 
 @query(
@@ -76,12 +76,12 @@ def balances_over_time(spark, sf_dir):
           WHEN abs(pos + d) > abs(pos) THEN (entry * abs(pos) + price * abs(d)) / abs(pos + d) ELSE entry END,
         CASE WHEN pos = 0 OR sign(d) = sign(pos) THEN 0 ELSE sign(pos) * least(abs(d), abs(pos)) * (price - entry) END
       FROM s JOIN n ON s.account = n.account AND s.market = n.market AND n.i = s.i + 1)
-    SELECT account, market, order_id, pos AS position, round(entry, 4) AS entry, round(realized, 3) AS realized FROM s"""
+    SELECT account, market, order_id, pos AS position, round(entry + {OFF_TIES:.10f}, 4) AS entry, round(realized + {OFF_TIES:.10f}, 3) AS realized FROM s"""
 )
 def positions_over_time(spark, sf_dir):
     """Positions, average entry and realized profit after every fill."""
     out = portfolio.position_series(views.fills(spark, sf_dir), ["account", "market"], ["ts", "fill_key"])
-    return out.select("account", "market", "order_id", "position", F.round("entry", 4).alias("entry"), F.round("realized", 3).alias("realized"))
+    return out.select("account", "market", "order_id", "position", F.round(F.col("entry") + OFF_TIES, 4).alias("entry"), F.round(F.col("realized") + OFF_TIES, 3).alias("realized"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import book, ladder
 from tidemark.plans import views
-from tidemark.plans.register import registry
+from tidemark.plans.register import OFF_TIES, registry
 
 QUERIES, ORACLES, query = registry()
 
@@ -142,9 +142,9 @@ def depth_walked(spark, sf_dir):
 
 @query(
     f"""WITH {WALK}, s AS (SELECT ladder, order_id, sum(fill) AS filled, sum(price * fill) AS cost FROM fills GROUP BY ALL)
-    SELECT w.ladder, w.order_id, round(coalesce(filled, 0), 4) AS filled, round(coalesce(cost, 0), 4) AS cost,
-      round(cost / CASE WHEN filled > 0 THEN filled END, 4) AS vwap, round(coalesce(cost, 0) * 0.003, 6) AS fee,
-      round(CASE WHEN size IS NOT NULL THEN size - coalesce(filled, 0) ELSE funds - coalesce(cost, 0) END, 4) AS unfilled
+    SELECT w.ladder, w.order_id, round(coalesce(filled, 0) + {OFF_TIES:.10f}, 4) AS filled, round(coalesce(cost, 0) + {OFF_TIES:.10f}, 4) AS cost,
+      round(cost / CASE WHEN filled > 0 THEN filled END + {OFF_TIES:.10f}, 4) AS vwap, round(coalesce(cost, 0) * 0.003 + {OFF_TIES:.10f}, 4) AS fee,
+      round(CASE WHEN size IS NOT NULL THEN size - coalesce(filled, 0) ELSE funds - coalesce(cost, 0) END + {OFF_TIES:.10f}, 4) AS unfilled
     FROM walkers w LEFT JOIN s USING (ladder, order_id)"""
 )
 def fills_summed_up(spark, sf_dir):
@@ -152,7 +152,7 @@ def fills_summed_up(spark, sf_dir):
     orders = walkers(spark, sf_dir)
     fills = ladder.walk_depth(orders, views.ladders(spark, sf_dir), ["ladder"])
     sums = ladder.fill_summary(orders, fills, ["ladder"], F.lit(0.003))
-    return sums.withColumns({c: F.round(c, 4) for c in ("filled", "cost", "vwap", "unfilled")} | {"fee": F.round("fee", 6)})
+    return sums.withColumns({c: F.round(F.col(c) + OFF_TIES, 4) for c in ("filled", "cost", "vwap", "fee", "unfilled")})
 
 
 @query(

@@ -20,3 +20,7 @@ def registry() -> tuple[dict, dict, Callable]:
         return add
 
     return queries, oracles, query
+
+
+#: Added before rounding sums, so that decimals that end in 5 don't sit on a boundary.
+OFF_TIES = 0.0000012345
