@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidemark.plans import accounts, books, series
+from tidemark.plans import accounts, books, live, series
 
-ORACLES: dict[str, str] = {**series.ORACLES, **books.ORACLES, **accounts.ORACLES}
+ORACLES: dict[str, str] = {**series.ORACLES, **books.ORACLES, **accounts.ORACLES, **live.ORACLES}

@@ -6,6 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import accounts, books, series
+from tidemark.plans import accounts, books, live, series
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**series.QUERIES, **books.QUERIES, **accounts.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**series.QUERIES, **books.QUERIES, **accounts.QUERIES, **live.QUERIES}
