@@ -32,8 +32,8 @@ def settle(fills: DataFrame, by: list[str], base: Column, quote: Column) -> Data
 
 
 def running_balance(fills: DataFrame, by: list[str], base: Column, quote: Column, order: list[str]) -> DataFrame:
-    """Balance of each account and asset after every fill that touches it."""
-    return with_running(legs(fills, base, quote), [*by, "asset"], order, {"balance": ("sum", F.col("delta"))})
+    """Balance of each account and asset after every fill that touches it; long histories are cut by year."""
+    return with_running(legs(fills, base, quote), [*by, "asset"], order, {"balance": ("sum", F.col("delta"))}, F.year(order[0]))
 
 
 def pnl(size: Column, entry: Column, price: Column) -> Column:
@@ -50,10 +50,11 @@ def position_series(fills: DataFrame, by: list[str], order: list[str]) -> DataFr
     C = C' * r + a, solved in closed form by a running product and sum.
     """
     signed = F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size"))
-    p = with_running(fills.withColumn("__d", signed), by, order, {"position": ("sum", F.col("__d"))})
+    years = F.year(order[0])
+    p = with_running(fills.withColumn("__d", signed), by, order, {"position": ("sum", F.col("__d"))}, years)
     p = p.withColumn("position", F.round("position", 9)).withColumn("__was", F.round(F.col("position") - F.col("__d"), 9))
     crossed = (F.col("__was") == 0) | (F.signum("position") != F.signum("__was"))
-    p = with_running(p, by, order, {"__segment": ("sum", crossed.cast("long"))})
+    p = with_running(p, by, order, {"__segment": ("sum", crossed.cast("long"))}, years)
     # a fill through zero opens its segment with what is beyond zero
     grows = F.abs("position") > F.abs("__was")
     opens = crossed
@@ -100,22 +101,26 @@ def equity(balances: DataFrame, rates: DataFrame, by: list[str]) -> DataFrame:
 def equity_curve(changes: DataFrame, prices: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Equity of each account after every change (``asset, delta, ts``) of a balance.
 
-    Each asset is valued at its latest price (``asset, ts, price``; assets
-    without prices at 1). What is held of other assets gains between changes;
-    so every change of a price of an asset is an event too: equity is the
-    running sum of delta * price, and of holding * price change.
+    Each asset is valued at its latest price (``asset, ts, price``), at nothing
+    before its first; the currency of account needs a price of 1. A holding
+    gains whenever its asset's price moves, so equity is the running sum of
+    delta * price over changes and of holding * move over prices: one pass over
+    events instead of a valuation of all holdings at each.
     """
-    w = Window.partitionBy("asset").orderBy("ts")
-    moves = prices.withColumn("move", F.col("price") - F.coalesce(F.lag("price").over(w), F.lit(None)))
+    rest = [c for c in order if c != "ts"]
+    before = F.lag("price").over(Window.partitionBy("asset").orderBy("ts"))
+    moves = prices.withColumn("move", F.col("price") - F.coalesce(before, F.lit(0.0)))
     held = with_running(changes, [*by, "asset"], order, {"held": ("sum", F.col("delta"))})
     valued = asof_join(held, prices, ["asset"], "price")
-    bought = valued.select(*by, *order, F.lit(1).alias("__own"), (F.col("delta") * F.coalesce("price", F.lit(1.0))).alias("__gain"))
+    bought = valued.select(*by, *order, F.lit(1).alias("__own"), (F.col("delta") * F.coalesce("price", F.lit(0.0))).alias("__gain"))
     accounts = held.groupBy(*by, "asset").agg(F.min("ts").alias("__from"))
-    ticks = moves.where("move is not null").join(accounts, "asset").where(F.col("ts") > F.col("__from"))
-    ticks = asof_join(ticks.select(*by, "asset", "ts", "move"), held.select(*by, "asset", "ts", "held", *[c for c in order if c != "ts"]), [*by, "asset"], "held", right_order=[c for c in order if c != "ts"])
-    moved = ticks.select(*by, "ts", F.lit(0).alias("__own"), (F.col("held") * F.col("move")).alias("__gain"))
-    all_ = bought.unionByName(moved, allowMissingColumns=True)
-    summed = with_running(all_, by, ["ts", "__own", *[c for c in order if c != "ts"]], {"equity": ("sum", F.col("__gain"))})
+    # a move finds what was held before its instant
+    just = F.expr("INTERVAL '0.000001' SECOND")
+    ticks = moves.join(accounts, "asset").where(F.col("ts") > F.col("__from")).select(*by, "asset", (F.col("ts") - just).alias("ts"), "move")
+    ticks = asof_join(ticks, held.select(*by, "asset", *order, "held"), [*by, "asset"], "held", right_order=rest)
+    moved = ticks.select(*by, (F.col("ts") + just).alias("ts"), F.lit(0).alias("__own"), (F.col("held") * F.col("move")).alias("__gain"))
+    both = bought.unionByName(moved, allowMissingColumns=True)
+    summed = with_running(both, by, ["ts", "__own", *rest], {"equity": ("sum", F.col("__gain"))})
     return summed.where("__own = 1").select(*by, *order, "equity")
 
 
@@ -158,3 +163,24 @@ def order_links(received: DataFrame, opened: DataFrame, done: DataFrame) -> Data
     """Client id, exchange id and target of orders that are not done."""
     known = received.select("client_oid", "order_id", "target").join(opened.select("order_id").distinct(), "order_id", "left_semi")
     return known.join(done.select("order_id").distinct(), "order_id", "left_anti")
+
+
+def execution_cost(orders: DataFrame, ladders: DataFrame, prices: DataFrame, by: list[str], latency: str, taker: Column) -> DataFrame:
+    """What orders ``(by, order_id, ts, side, size or funds, limit)`` would have cost.
+
+    An order takes effect ``latency`` after its time: against the latest ladder
+    (``by, ts, side, price, qty``) there is by then, else at the last price.
+    Funds are reduced by the taker fee before they buy; what is filled pays it.
+    """
+    from tidemark.operators.ladder import fill_summary, walk_depth
+
+    due = orders.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {latency}")).withColumn("funds", F.col("funds") * (1 - taker))
+    stamps = ladders.select(*by, "ts").distinct().withColumn("ladder_ts", F.col("ts"))
+    placed = asof_join(asof_join(due, stamps, by, "ladder_ts"), prices, by, "price").drop("ladder_ts_ts", "price_ts")
+    key = [*by, "ladder_ts"]
+    walked = walk_depth(placed.where("ladder_ts is not null"), ladders.withColumnRenamed("ts", "ladder_ts"), key)
+    direct = placed.where("ladder_ts is null and price is not null").select(
+        *by, "ladder_ts", "order_id", "side", "price", F.coalesce("size", F.col("funds") / F.col("price")).alias("size")
+    )
+    fills = walked.unionByName(direct).drop("ladder_ts")
+    return fill_summary(placed, fills, by, taker)

@@ -317,3 +317,50 @@ def bots_expired(spark, sf_dir):
     e = views.table(spark, sf_dir, "events")
     beats = e.select(F.col("user_id").alias("bot"), "ts", ((F.col("user_id") % 3) * 86_400_000_000).alias("ttl_micros"))
     return liveness(beats, dt.datetime(2024, 1, 31))
+
+
+@query(
+    f"""WITH {TICKS}, c AS (SELECT CAST(user_id % 10 AS INTEGER) AS account, event_type AS asset, ts, event_id AS id, CAST(event_id % 5 - 2 AS DOUBLE) AS delta FROM events WHERE event_id % 7 = 0),
+    p AS (SELECT event_type AS asset, ts, arg_max(value, event_id) AS price FROM events WHERE event_id % 11 = 0 GROUP BY ALL),
+    e AS (SELECT a.account, a.ts, a.id, b.asset, sum(b.delta) AS held FROM c a JOIN c b ON a.account = b.account AND (b.ts, b.id) <= (a.ts, a.id) GROUP BY ALL),
+    v AS (SELECT e.*, p.price FROM e ASOF LEFT JOIN p ON e.asset = p.asset AND e.ts >= p.ts)
+    SELECT account, ts, id, round(sum(held * coalesce(price, 0)) + {OFF_TIES:.10f}, 3) AS equity FROM v GROUP BY ALL"""
+)
+def equity_after_changes(spark, sf_dir):
+    """Equity after every change of a balance."""
+    t = views.trades(spark, sf_dir)
+    e = views.table(spark, sf_dir, "events")
+    changes = e.where("event_id % 7 = 0").select(
+        (F.col("user_id") % 10).cast("int").alias("account"), F.col("event_type").alias("asset"), "ts", F.col("event_id").alias("id"), (F.col("event_id") % 5 - 2).cast("double").alias("delta")
+    )
+    prices = t.where("id % 11 = 0").groupBy(F.col("topic").alias("asset"), "ts").agg(F.max_by("price", "id").alias("price"))
+    out = portfolio.equity_curve(changes, prices, ["account"], ["ts", "id"])
+    return out.select("account", "ts", "id", F.round(F.col("equity") + OFF_TIES, 3).alias("equity"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS order_id, CAST(o_custkey % 200 + 1 AS BIGINT) AS ladder, o_orderdate + INTERVAL 1 DAY AS ts, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
+      CAST(o_orderkey % 60 + 1 AS DOUBLE) AS size FROM orders WHERE o_orderkey % 5 = 0),
+    l AS (SELECT l_partkey AS ladder, date_trunc('year', l_shipdate) AS ts, CASE WHEN l_linestatus = 'O' THEN 'ask' ELSE 'bid' END AS side, round(l_extendedprice, -2) AS price, sum(l_quantity) AS qty
+      FROM lineitem WHERE l_partkey <= 200 GROUP BY ALL),
+    s AS (SELECT DISTINCT ladder, ts FROM l),
+    j AS (SELECT o.*, s.ts AS lts FROM o ASOF LEFT JOIN s ON o.ladder = s.ladder AND o.ts >= s.ts),
+    c AS (SELECT *, coalesce(sum(qty) OVER (PARTITION BY ladder, ts, side ORDER BY CASE WHEN side = 'ask' THEN price ELSE -price END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS q0 FROM l),
+    f AS (SELECT j.ladder, order_id, sum(least(qty, size - q0)) AS filled, sum(price * least(qty, size - q0)) AS cost FROM j JOIN c ON j.ladder = c.ladder AND j.lts = c.ts
+      AND c.side = CASE j.side WHEN 'buy' THEN 'ask' ELSE 'bid' END AND size - q0 > 0 GROUP BY ALL)
+    SELECT j.ladder, j.order_id, coalesce(filled, 0) AS filled, coalesce(cost, 0) AS cost, size - coalesce(filled, 0) AS unfilled FROM j LEFT JOIN f USING (ladder, order_id)"""
+)
+def execution_costs(spark, sf_dir):
+    """What orders would have cost against the ladder of a day later."""
+    k = F.col("o_orderkey")
+    orders = views.table(spark, sf_dir, "orders").where(k % 5 == 0).select(
+        k.alias("order_id"), (F.col("o_custkey") % 200 + 1).alias("ladder"), F.col("o_orderdate").alias("ts"), F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"),
+        (k % 60 + 1).cast("double").alias("size"), F.lit(None).cast("double").alias("funds"), F.lit(None).cast("double").alias("limit"),
+    )
+    li = views.table(spark, sf_dir, "lineitem").where("l_partkey <= 200")
+    side = F.when(F.col("l_linestatus") == "O", "ask").otherwise("bid").alias("side")
+    year = F.date_trunc("year", "l_shipdate").cast("timestamp_ntz").alias("ts")
+    ladders = li.groupBy(F.col("l_partkey").alias("ladder"), year, side, F.round("l_extendedprice", -2).alias("price")).agg(F.sum("l_quantity").alias("qty"))
+    prices = orders.where("false").select("ladder", "ts", F.lit(0.0).alias("price"))
+    costs = portfolio.execution_cost(orders, ladders, prices, ["ladder"], "1 day", F.lit(0.003))
+    return costs.select("ladder", "order_id", "filled", "cost", "unfilled")
