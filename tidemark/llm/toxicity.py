@@ -36,8 +36,8 @@ WINDOW, STRIDE = 32, 24
 HIDDEN, INPUT = 8, 12
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 15
 NGRAMS = (3, 4, 5)
-#: Words whose inputs a task remembers, and windows that go through the network at once.
-REMEMBERED_WORDS, AT_ONCE = 200_000, 2048
+#: Words whose inputs a task remembers; windows, and words, that are worked on at once.
+REMEMBERED_WORDS, AT_ONCE, WORDS_AT_ONCE = 150_000, 2048, 8192
 
 find_words = re.compile(r"\w+").findall
 
@@ -105,7 +105,13 @@ class Network:
             self.w["c" + side] = np.repeat(np.float32([1, 0, 0]), h)  # update gates start rather closed
 
     def inputs(self, words: np.ndarray, chars: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return self.w["word"][words] + grouped_sums(self.w["char"][chars], counts) / counts[:, None].astype(np.float32)
+        out = self.w["word"][words]
+        ends = np.cumsum(counts)
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            own = counts[i : i + WORDS_AT_ONCE]
+            part = chars[ends[i] - counts[i] : ends[i] + own[1:].sum()]
+            out[i : i + WORDS_AT_ONCE] += grouped_sums(self.w["char"][part], own) / own[:, None].astype(np.float32)
+        return out
 
     def project(self, x: np.ndarray) -> dict[str, list[np.ndarray]]:
         """By side: what the inputs add to update gate, reset gate and candidate, each an array of its own."""
