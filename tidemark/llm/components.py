@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import discard, materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .agg(F.min("gf").alias("low"))
         )
         known = grand.join(near, "node", "left").withColumn("low", F.least("gf", "low"))
-        state = materialize(
+        old, state = state, materialize(
             known.select(F.explode(F.array(
                 F.struct(F.col("node"), F.col("low"), F.col("f").alias("old")),
                 F.struct(F.col("f").alias("node"), F.col("low"), F.lit(None).cast("long").alias("old")),
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .groupBy("node")
             .agg(F.min("low").alias("f"), F.max("old").alias("old"))
         )
+        discard(old, grand)
         if state.where("f < old").isEmpty():
+            discard(edges)
             return state.select("node", F.col("f").alias("component"))
-        state = state.select("node", "f")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

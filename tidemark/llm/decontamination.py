@@ -11,7 +11,7 @@ classes that it is large enough to contain. Candidates are verified by exact
 containment of the shingles' text.
 
 DataFrame functions throughout. Sketches are broadcast while they have at most
-``BROADCAST_ROWS`` rows, and are shuffled against the document hashes beyond.
+a million rows, and are shuffled against the document hashes beyond.
 
 Defined results: null, empty or shorter texts have no shingles and items
 without shingles are found nowhere; rows that repeat an id count as one
@@ -25,11 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
-
-#: 16 bytes each: 32 MB at most in every executor.
-BROADCAST_ROWS = 2_000_000
-
+from tidemark.llm.common import materialize, small
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
@@ -47,11 +43,6 @@ def shingle_hashes(ws: Column, width: int) -> Column:
     return F.transform(positions(F.size(ws), width), lambda i: F.xxhash64(*(F.get(ws, i + j) for j in range(width))))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` (materialized), broadcast if its counted rows are few enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def lacking(n: Column, threshold: float) -> Column:
     """Shingles that an item of n may lack."""
     return (n - F.ceil(n * F.lit(threshold) - F.lit(1e-9))).cast("int")
@@ -104,4 +95,4 @@ def contained_items(
 def without_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", **columns: str) -> DataFrame:
     """``docs`` without those that contain an item; rows without id stay."""
     found = contained_items(docs, items, width, threshold, id_col, **columns)
-    return docs.join(materialize(found.select(id_col).distinct()), id_col, "left_anti").select(*docs.columns)
+    return docs.join(small(materialize(found.select(id_col).distinct())), id_col, "left_anti").select(*docs.columns)

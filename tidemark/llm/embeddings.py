@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, map_batches, materialize
+from tidemark.llm.common import bounded_batches, discard, map_batches, materialize
 from tidemark.llm.components import connected_components
 from tidemark.llm.simhash import forest
 
@@ -208,6 +208,7 @@ def near_duplicates(
 
     target = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
     found = materialize(tasks.groupBy(*by, "i", "j").applyInArrow(task, "rep long, n long, root long"))
+    discard(dealt)
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")).where("src <> dst"))
     known = points.join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")

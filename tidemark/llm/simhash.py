@@ -31,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, map_batches, materialize
+from tidemark.llm.common import bounded_batches, discard, map_batches, materialize, small
 from tidemark.llm.components import connected_components
 
 #: Fingerprints at most that the tree boundaries are set by.
 SAMPLE = 65_536
 #: Points at home in a leaf that the tree depth aims at; home points and members of one task at most.
-LEAF, HOME_CHUNK, MEMBER_CHUNK = 256, 1024, 8192
+LEAF, HOME_CHUNK, MEMBER_CHUNK = 512, 1024, 8192
 #: Pairs that are compared outright within a task.
 OUTRIGHT = 1 << 16
 
@@ -229,7 +229,9 @@ def links(points: DataFrame, radius: int = 4, blocks: int = 3, leaf: int = LEAF)
         return link_task(masks[key[0].as_py()], reach, radius, table)
 
     tasks = as_home.unionByName(as_member)
-    return tasks.groupBy("block", "leaf", "i", "j").applyInArrow(compare, "src long, dst long")
+    found = materialize(tasks.groupBy("block", "leaf", "i", "j").applyInArrow(compare, "src long, dst long"))
+    discard(dealt)
+    return found
 
 
 def near_duplicates(
@@ -238,9 +240,11 @@ def near_duplicates(
     """``(id, fp, component_id)``: one row per row; component_id is the smallest id reachable by links."""
     marked = materialize(fingerprints(docs, width, id_col, text_col))
     points = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("rep")).where("rep is not null"))
-    parts = connected_components(links(points, radius))
+    found = links(points, radius)
+    parts = connected_components(found)
     classes = points.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     classes = materialize(classes.select("fp", F.coalesce("component", "rep").alias("component_id")))
+    discard(points, found)
     return marked.join(classes, "fp", "left").select(id_col, "fp", "component_id")
 
 
@@ -248,4 +252,4 @@ def first_of_each(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str
     """``docs`` without those that have a smaller id in their component; rows without id stay."""
     found = near_duplicates(docs, width, radius, id_col, text_col)
     later = materialize(found.where(f"component_id <> `{id_col}`").select(id_col).distinct())
-    return docs.join(later, id_col, "left_anti").select(*docs.columns)
+    return docs.join(small(later), id_col, "left_anti").select(*docs.columns)

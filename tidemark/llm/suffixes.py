@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, map_batches, materialize
+from tidemark.llm.common import bounded_batches, discard, map_batches, materialize, small
 
 MIN_WORDS, KEY_WORDS = 50, 25
 WINDOW = MIN_WORDS - KEY_WORDS + 1
@@ -275,6 +275,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shared = suffixes.join(twice, "key")
     around = contexts(docs, shared, id_col, text_col).withColumnRenamed(id_col, "doc")
     around = materialize(around.withColumn("context", F.xxhash64("key", "after", "before")))
+    circles = materialize(circles)
+    discard(both_kinds, twice)
 
     firsts = materialize(around.groupBy("context").agg(F.min(F.struct("doc", "pos")).alias("first")))
     both = around.join(firsts, "context")
@@ -283,7 +285,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     copies = both.where(~same).select(
         "doc", (F.col("pos") - words["before"]).alias("start"), (F.col("pos") + words["after"]).alias("end"), F.col("first.doc").alias("other")
     )
+    copies = materialize(copies)
     reps = materialize(both.where(same).select("doc", "pos", "key", "after", "before"))
+    discard(around, firsts)
 
     by = ["key", "after", "doc", "pos"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -295,11 +299,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     many = materialize(reps.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key"))
     runs = materialize(runs_around(reps.join(many, "key")))
+    discard(reps, many)
     seen = runs.groupBy("run").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n"))
     earliest = materialize(seen.where("n > 1").drop("n"))
     later = runs.join(earliest, "run").where(F.col("first") < F.struct("doc", "start"))
     looked_up = later.select("doc", "start", (F.col("start") + MIN_WORDS).alias("end"), F.col("first.doc").alias("other"))
-    return merged(copies.union(neighbours).union(looked_up).union(circles)).withColumnRenamed("doc", id_col)
+    found = materialize(merged(copies.union(neighbours).union(looked_up).union(circles)).withColumnRenamed("doc", id_col))
+    discard(circles, copies, compared, runs, earliest)
+    return found
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -337,7 +344,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``size_col``, if the table has it, gets the new text's length."""
     spans = repeats(docs, id_col, text_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
     spans = materialize(spans)
-    joined = docs.join(spans.withColumnRenamed(id_col, "__id"), docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")
+    joined = docs.join(small(spans.withColumnRenamed(id_col, "__id"), 200_000), docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")
 
     @F.pandas_udf("string")
     def shortened(texts, lists):
