@@ -11,7 +11,7 @@ from tidemark.functions import paths as P
 from tidemark.operators import asof, bars, book, fx, ladder, order, portfolio, replay
 from tidemark.sources import feeds
 from tidemark.sources import series as stored
-from tidemark.streaming import fuzzy, state, streams
+from tidemark.streaming import fuzzy, state, streams, values
 
 T0 = dt.datetime(2018, 11, 23, 23, 53)
 
@@ -319,3 +319,33 @@ def test_plans_have_no_cartesian_product(spark):
     t = ticks(spark, [(1, 1)])
     plan = asof.asof_join(t.select("topic", "ts", "seqid"), t, ["topic"], "price")._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_snapshots_reconcile():
+    b, s = fuzzy.Book(), 1_000_000
+    b.put(1, 100 * s, 10.0, 1.0, "bid")
+    b.put(2, 115 * s, 10.0, 1.0, "bid")
+    shot = {7: (9.0, 1.0, "ask"), 8: (9.0, 1.0, "ask")}
+    assert b.reconcile(120 * s, shot) == [(1, "lingering", "accepted")]  # 2 is too fresh, 7 and 8 only suspects
+    assert b.reconcile(120 * s, shot) == [] and b.reconcile(90 * s, shot) == []
+    assert b.reconcile(121 * s, {8: (9.0, 1.0, "ask"), 9: (1.0, 1.0, "ask")}) == [(8, "missed", "accepted")]
+    assert b.reconcile(122 * s, {7: (9.0, 1.0, "ask"), 8: (9.0, 1.0, "ask"), 2: (10.0, 1.0, "bid")}) == []
+    assert sorted(k for k, v in b.orders.items() if v[1]) == [2, 8]
+
+
+def test_snapshots_in_the_stream(spark, tmp_path):
+    at_s = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [(1, 5, 0, at_s(0), 1.0, 2.0, "bid", False), (1, 6, 1, at_s(30), 1.0, 2.0, "ask", True), (1, 6, 2, at_s(31), 1.0, 2.0, "ask", True)]
+    df = spark.createDataFrame(rows, "topic int, order_id long, seq long, ts timestamp, price double, size double, side string, snapshot boolean")
+    df.write.parquet(str(tmp_path / "in"))
+    out = streams.drained(fuzzy.fuzzy_book(streams.stream_series(spark, str(tmp_path / "in"), df.schema)))
+    got = sorted((r.order_id, r.event, r.outcome) for r in out.collect())
+    assert got == [(5, "create", "accepted"), (5, "lingering", "accepted"), (6, "missed", "accepted")]
+
+
+def test_named_values():
+    v = {}
+    assert values.apply(v, "update", "a", 1.0) is None
+    assert values.apply(v, "default", "a", 2.0) == 2.0 and values.apply(v, "default", "a", 3.0) == 2.0
+    assert values.apply(v, "update", "a", 4.0) == 4.0 and values.apply(v, "get", "a", None) == 4.0
+    assert values.apply(v, "delete", "a", None) is None and v == {}

@@ -123,3 +123,9 @@ def from_parts(packed: DataFrame, by: list[str]) -> DataFrame:
     """Packed ladders in long form again."""
     sides = [packed.select(*by, F.lit(s).alias("side"), F.inline(f"{s}s")) for s in ("ask", "bid")]
     return sides[0].unionByName(sides[1])
+
+
+def ladder_or_book(ladders: DataFrame, from_books: DataFrame, by: list[str]) -> DataFrame:
+    """Recorded ladders, and for series that have none those derived from their books."""
+    missing = from_books.join(ladders.select(*by).distinct(), by, "left_anti")
+    return ladders.unionByName(missing)

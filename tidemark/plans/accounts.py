@@ -364,3 +364,28 @@ def execution_costs(spark, sf_dir):
     prices = orders.where("false").select("ladder", "ts", F.lit(0.0).alias("price"))
     costs = portfolio.execution_cost(orders, ladders, prices, ["ladder"], "1 day", F.lit(0.003))
     return costs.select("ladder", "order_id", "filled", "cost", "unfilled")
+
+
+@query(
+    """SELECT 'c' || o_orderkey AS client_oid, o_orderkey AS order_id, o_custkey AS target FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '5-LOW'"""
+)
+def order_ids_linked(spark, sf_dir):
+    """Client and exchange ids of orders that are open and not done."""
+    o = views.table(spark, sf_dir, "orders")
+    received = o.select(F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("client_oid"), F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("target"))
+    opened = o.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("order_id"))
+    done = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("order_id"))
+    return portfolio.order_links(received, opened, done)
+
+
+@query(
+    f"""WITH {MARKETS} SELECT DISTINCT exchange, base || '_' || quote AS symbol FROM markets
+    WHERE base IN (SELECT lower(n_name) FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal > 9900)"""
+)
+def instruments_tradable(spark, sf_dir):
+    """listed instruments whose topic is in use."""
+    m = views.instruments(spark, sf_dir).select("exchange", F.concat_ws("_", "base", "quote").alias("symbol"), "base")
+    c, n = views.table(spark, sf_dir, "customer"), views.table(spark, sf_dir, "nation")
+    rich = c.where("c_acctbal > 9900").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.lower("n_name").alias("base")).distinct()
+    topics = m.join(rich, "base").select(F.col("symbol").alias("topic"))
+    return fx.tradable(m.where("exchange = 'hub'"), m, topics)

@@ -247,3 +247,14 @@ def quantities_at_prices(spark, sf_dir):
 def ladders_packed_and_unpacked(spark, sf_dir):
     """Packed ladders are the same in long form."""
     return ladder.from_parts(ladder.as_parts(views.ladders(spark, sf_dir), ["ladder"]), ["ladder"])
+
+
+@query(
+    f"""WITH {BOOK}, derived AS (SELECT topic, side, price, sum(size) AS qty FROM book GROUP BY ALL), recorded AS (SELECT topic, side, price, qty * 2 AS qty FROM derived WHERE topic < 2)
+    SELECT * FROM recorded UNION ALL SELECT * FROM derived WHERE topic NOT IN (SELECT topic FROM recorded)"""
+)
+def ladders_recorded_or_derived(spark, sf_dir):
+    """A ladder from the book where none is recorded."""
+    derived = book.level_depth(the_book(spark, sf_dir), ["topic"])
+    recorded = derived.where("topic < 2").withColumn("qty", F.col("qty") * 2)
+    return ladder.ladder_or_book(recorded, derived, ["topic"])

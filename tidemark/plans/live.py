@@ -9,7 +9,7 @@ from tidemark.plans.books import FEED
 from tidemark.plans.register import registry
 from tidemark.plans.series import TICKS
 from tidemark.sources import feeds
-from tidemark.streaming import fuzzy, streams
+from tidemark.streaming import fuzzy, streams, values
 
 QUERIES, ORACLES, query = registry()
 
@@ -153,3 +153,21 @@ def book_snapshot_parsed(spark, sf_dir):
     sides = [F.collect_list(F.when(F.col("side") == s, row)).alias(f"{s}s") for s in ("ask", "bid")]
     lines = f.groupBy("topic").agg(F.max("seq").alias("sequence"), *sides).select("topic", F.to_json(F.struct("sequence", "asks", "bids")).alias("value"))
     return feeds.parse_book_snapshot(lines, ["topic"])
+
+
+@query(
+    """WITH c AS (SELECT user_id AS session_id, event_id AS seq, 'v' || (event_id % 3) AS name, CASE event_type WHEN 'signup' THEN 'set' WHEN 'purchase' THEN 'set' WHEN 'error' THEN 'delete' ELSE 'get' END AS op, value FROM events),
+    w AS (SELECT *, max(CASE WHEN op <> 'get' THEN seq END) OVER (PARTITION BY session_id, name ORDER BY seq) AS last FROM c)
+    SELECT w.session_id, w.seq, w.name, CASE WHEN c.op = 'set' THEN c.value END AS value FROM w LEFT JOIN c ON c.session_id = w.session_id AND c.seq = w.last"""
+)
+def named_values_kept(spark, sf_dir):
+    """Named values of each session after every command."""
+    kind = F.col("event_type")
+    commands = event_stream(spark, sf_dir).select(
+        F.col("user_id").alias("session_id"),
+        F.col("event_id").alias("seq"),
+        F.when(kind.isin("signup", "purchase"), "set").when(kind == "error", "delete").otherwise("get").alias("op"),
+        F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string")).alias("name"),
+        "value",
+    )
+    return streams.drained(values.named_values(commands))

@@ -46,8 +46,9 @@ def event_of(price, size, side) -> str:
 class Book:
     """Orders of one topic: ``orders[id] = (time, alive, price, size, side)``, and the latest accepted time."""
 
-    def __init__(self, latest: int = 0, orders: dict | None = None):
+    def __init__(self, latest: int = 0, orders: dict | None = None, snapshot: int = 0, suspects: set | None = None):
         self.latest, self.orders, self.touched = latest, orders if orders is not None else {}, set()
+        self.snapshot, self.suspects = snapshot, suspects or set()
 
     def put(self, order_id: int, ts: int, price, size, side) -> tuple[str, str]:
         """(event, outcome) of one event."""
@@ -70,6 +71,22 @@ class Book:
             self.touched.add(order_id)
         return event, outcome
 
+    def reconcile(self, ts: int, found: dict[int, tuple]) -> list[tuple[int, str, str]]:
+        """(order, event, outcome) of what a snapshot ``id -> (price, size, side)`` changes.
+
+        A snapshot that is not newer than the last is ignored. An order that is
+        unknown in two snapshots in a row was missed and is added; one that the
+        snapshot lacks, and that no event has touched for ``LINGER``, is removed.
+        """
+        if ts <= self.snapshot:
+            return []
+        self.snapshot, self.latest = ts, max(self.latest, ts)
+        unknown = {k for k in found if k not in self.orders}
+        out = [(k, "missed", self.put(k, ts, *found[k])[1]) for k in sorted(unknown & self.suspects)]
+        self.suspects = unknown
+        gone = [k for k, v in self.orders.items() if v[1] and k not in found and v[0] <= ts - LINGER]
+        return out + [(k, "lingering", self.put(k, ts, None, None, None)[1]) for k in sorted(gone)]
+
     def forget(self) -> list[int]:
         """Ids of orders that are gone for long enough."""
         gone = [k for k, v in self.orders.items() if not v[1] and v[0] < self.latest - FORGET]
@@ -78,42 +95,54 @@ class Book:
         return gone
 
 
+def given(*values):
+    """Nulls as None."""
+    return tuple(None if x is None or x != x else x for x in values)
+
+
 class BookProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "micros long")
+        self.times = handle.getValueState("times", "latest long, snapshot long, suspects array<bigint>")
         self.orders = handle.getMapState("orders", "id long", "ts long, alive boolean, price double, size double, side string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         got = pd.concat(list(rows))
-        got = got.sort_values(["ts", "seq"], kind="stable")
-        found = self.latest.get() if self.latest.exists() else (0,)
-        wanted = {k[0]: tuple(v) for k, v in self.orders.iterator()} if self.latest.exists() else {}
-        book = Book(found[0], wanted)
-        micros = got["ts"].astype("datetime64[us]").astype("int64")
+        got["micros"] = got["ts"].astype("datetime64[us]").astype("int64")
+        if "snapshot" not in got:
+            got["snapshot"] = False
+        got = got.sort_values(["micros", "snapshot", "seq"], kind="stable")
+        known = self.times.exists()
+        latest, snapshot, suspects = self.times.get() if known else (0, 0, [])
+        stored = {k[0]: tuple(v) for k, v in self.orders.iterator()} if known else {}
+        book = Book(latest, dict(stored), snapshot, set(suspects))
         out = []
-        for i, t, p, s, side in zip(got["order_id"], micros, got["price"], got["size"], got["side"], strict=True):
-            out.append(book.put(int(i), int(t), *(None if x is None or x != x else x for x in (p, s, side))))
+        for (micros, shot), part in got.groupby(["micros", "snapshot"], sort=False):
+            ids, facts = part["order_id"].tolist(), [given(*x) for x in zip(part["price"], part["size"], part["side"], strict=True)]
+            if shot:
+                changes = book.reconcile(int(micros), dict(zip(ids, facts, strict=True)))
+            else:
+                changes = [(i, *book.put(int(i), int(micros), *x)) for i, x in zip(ids, facts, strict=True)]
+            out += [(key[0], i, part["ts"].iloc[0], event, outcome) for i, event, outcome in changes]
         for k in book.forget():
-            if k in wanted:
+            if k in stored:
                 self.orders.removeKey((k,))
             book.touched.discard(k)
         for k in book.touched:
             self.orders.updateValue((k,), book.orders[k])
-        self.latest.update((book.latest,))
-        yield pd.DataFrame({
-            "topic": [key[0]] * len(got),
-            "order_id": got["order_id"].to_numpy(),
-            "ts": got["ts"].to_numpy(),
-            "event": [e for e, _ in out],
-            "outcome": [o for _, o in out],
-        })
+        self.times.update((book.latest, book.snapshot, sorted(book.suspects)))
+        yield pd.DataFrame(out, columns=["topic", "order_id", "ts", "event", "outcome"])
 
     def close(self) -> None:
         pass
 
 
 def fuzzy_book(events: DataFrame) -> DataFrame:
-    """Outcome of every event of the stream ``(topic, order_id, seq, ts, price, size, side)``."""
+    """Outcome of every event of the stream ``(topic, order_id, seq, ts, price, size, side)``.
+
+    With a column ``snapshot``, rows of one instant for which it is true are a
+    snapshot of the topic's orders, and what it changes comes out as ``missed``
+    and ``lingering``.
+    """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return events.groupBy("topic").transformWithStateInPandas(BookProcessor(), OUTCOMES, "Append", "None")
