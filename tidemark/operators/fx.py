@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import round_half_down
+
 #: Currencies held equal.
 PEGS = [("usd", "usdt"), ("usd", "usdc"), ("usd", "dai"), ("usd", "tusd"), ("usd", "bitusd"), ("btc", "xbt")]
 
 
+#: Decimal digits of base and quote amounts by pair, first match; * is any.
+PRECISION = [("eur", "usd", 5, 5), ("xrp", "eur", 8, 5), ("xrp", "usd", 8, 5), ("*", "usd", 8, 2), ("*", "eur", 8, 2), ("*", "*", 8, 8)]
+
+
+def digits(base: Column, quote: Column, of_quote: bool) -> Column:
+    """Decimal digits that amounts of a pair's base, or quote, are kept to."""
+    out = F.lit(8)
+    for b, q, base_digits, quote_digits in reversed(PRECISION):
+        hit = (F.lit(b == "*") | (base == b)) & (F.lit(q == "*") | (quote == q))
+        out = F.when(hit, F.lit(quote_digits if of_quote else base_digits)).otherwise(out)
+    return out
+
+
+def rounded(amount: Column, base: Column, quote: Column, of_quote: bool) -> Column:
+    """An amount at its pair's precision, halves toward zero."""
+    return round_half_down(amount, digits(base, quote, of_quote))
+
+
+def reversed_quote(quotes: DataFrame) -> DataFrame:
+    """Best prices of a pair seen from the other side: bid and ask change places."""
+    swap = {"bid_price": "ask_price", "ask_price": "bid_price", "bid_qty": "ask_qty", "ask_qty": "bid_qty"}
+    return quotes.select(*[F.col(swap.get(c, c)).alias(c) for c in quotes.columns])
+
+
 def peg_table(spark: SparkSession) -> DataFrame:
     """``(a, b)`` both ways, all pegs of a currency."""
     return spark.createDataFrame(PEGS + [(b, a) for a, b in PEGS], "a string, b string")

@@ -389,3 +389,33 @@ def instruments_tradable(spark, sf_dir):
     rich = c.where("c_acctbal > 9900").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.lower("n_name").alias("base")).distinct()
     topics = m.join(rich, "base").select(F.col("symbol").alias("topic"))
     return fx.tradable(m.where("exchange = 'hub'"), m, topics)
+
+
+@query(
+    """WITH p AS (SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'eur' WHEN 1 THEN 'xrp' WHEN 2 THEN 'btc' ELSE 'eth' END AS base,
+      CASE WHEN event_id % 3 = 0 THEN 'usd' WHEN event_id % 3 = 1 THEN 'eur' ELSE 'btc' END AS quote, CAST(value AS DECIMAL(20, 6)) / 8 AS x FROM events),
+    d AS (SELECT *, CASE WHEN base = 'eur' AND quote = 'usd' THEN 5 WHEN base = 'xrp' AND quote IN ('usd', 'eur') THEN 5 WHEN quote IN ('usd', 'eur') THEN 2 ELSE 8 END AS n FROM p)
+    SELECT id, n AS digits, ceil(CAST(CAST(x AS DECIMAL(20, 9)) * CAST(pow(10, n) AS DECIMAL(12, 0)) AS DECIMAL(30, 9)) - 0.5) / pow(10, n) AS amount FROM d"""
+)
+def amounts_rounded(spark, sf_dir):
+    """Amounts at the precision of their pair."""
+    k = F.col("id")
+    t = views.trades(spark, sf_dir).select(
+        "id",
+        F.when(k % 4 == 0, "eur").when(k % 4 == 1, "xrp").when(k % 4 == 2, "btc").otherwise("eth").alias("base"),
+        F.when(k % 3 == 0, "usd").when(k % 3 == 1, "eur").otherwise("btc").alias("quote"),
+        (F.col("price") / 8).alias("x"),
+    )
+    base, quote = F.col("base"), F.col("quote")
+    return t.select("id", fx.digits(base, quote, True).alias("digits"), fx.rounded(F.col("x"), base, quote, True).alias("amount"))
+
+
+@query(
+    """SELECT event_type AS topic, ask AS bid_price, bid AS ask_price, aq AS bid_qty, bq AS ask_qty FROM
+    (SELECT event_type, min(value) AS bid, max(value) AS ask, count(*) AS bq, count(*) + 1 AS aq FROM events GROUP BY event_type)"""
+)
+def quotes_reversed(spark, sf_dir):
+    """quotes from the other side."""
+    t = views.trades(spark, sf_dir)
+    q = t.groupBy("topic").agg(F.min("price").alias("bid_price"), F.max("price").alias("ask_price"), F.count("*").alias("bid_qty"), (F.count("*") + 1).alias("ask_qty"))
+    return fx.reversed_quote(q)

@@ -44,7 +44,8 @@ STORED = (
 
 
 def hourly(spark, sf_dir):
-    return bars.ohlcv(views.ticks(spark, sf_dir), "1 hour", BY)
+    # ids rise with positions, so they order arrivals without numbering them first
+    return bars.ohlcv(views.trades(spark, sf_dir), "1 hour", BY, seq="id")
 
 
 def money(df, *names):
@@ -64,7 +65,7 @@ def ohlcv_hourly(spark, sf_dir):
 )
 def ohlc_quarter_hourly(spark, sf_dir):
     """A2: bars of prices without volume."""
-    return bars.ohlc(views.ticks(spark, sf_dir), "15 minutes", BY)
+    return bars.ohlc(views.trades(spark, sf_dir), "15 minutes", BY, seq="id")
 
 
 @query(
@@ -104,7 +105,7 @@ def bars_gaps_filled(spark, sf_dir):
 )
 def bars_anchored(spark, sf_dir):
     """A5: six-hour bars that start at their first tick."""
-    return bars.anchored_bars(views.ticks(spark, sf_dir), 21_600_000_000, BY)
+    return bars.anchored_bars(views.trades(spark, sf_dir), 21_600_000_000, BY, seq="id")
 
 
 @query(
@@ -460,3 +461,36 @@ def column_expressions(spark, sf_dir):
         C.duration_text(step).alias("step_text"),
         C.round_half_down("price", 1).alias("rounded"),
     )
+
+
+@query(
+    """SELECT event_id AS id, 'events' AS source, event_type AS topic, 'candles' AS kind, (event_id % 9 + 1) * 60000000 AS step_micros, lower(event_type) AS base, 'usd' AS quote FROM events"""
+)
+def texts_of_paths_parsed(spark, sf_dir):
+    """Paths, datatypes and pairs as text."""
+    t = views.trades(spark, sf_dir)
+    path = F.concat_ws("/", "source", "topic", F.concat(F.lit("candles_"), (F.col("id") % 9 + 1).cast("string"), F.lit("m")))
+    parts = t.select("id", *P.split_path(path), F.concat(F.upper("topic"), F.lit("-USD")).alias("pair"))
+    return parts.select("id", "source", "topic", *P.split_datatype("datatype")[:2], *P.split_pair("pair"))
+
+
+@query(
+    """WITH s AS (SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN -1 ELSE event_id % 3 END AS bundle, CASE WHEN event_id % 7 = 0 THEN -1 ELSE event_id % 2 END AS slice FROM events)
+    SELECT a.id FROM s a WHERE (a.bundle = 1 OR a.bundle = -1) AND (a.slice = 0 OR a.slice = -1)"""
+)
+def slices_matched(spark, sf_dir):
+    """slices that match (1, 0), -1 matching any."""
+    k = F.col("id")
+    s = views.trades(spark, sf_dir).select("id", F.when(k % 5 == 0, -1).otherwise(k % 3).alias("bundle"), F.when(k % 7 == 0, -1).otherwise(k % 2).alias("slice"))
+    wanted = spark.createDataFrame([(1, 0)], "bundle long, slice long")
+    return s.alias("a").join(F.broadcast(wanted).alias("b"), P.slice_matches("a", "b")).select("a.id")
+
+
+@query(
+    """SELECT event_id AS id, epoch_us(ts) AS micros, CAST(event_id AS VARCHAR) AS stripped FROM events"""
+)
+def iso_times_and_numbers(spark, sf_dir):
+    """ISO times with nine digits, numbers with zeroes behind the point."""
+    t = views.trades(spark, sf_dir)
+    iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("789Z"))
+    return t.select("id", C.iso_micros(iso).alias("micros"), C.strip_zeroes(F.concat(F.col("id").cast("string"), F.lit(".000"))).alias("stripped"))
