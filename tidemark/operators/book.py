@@ -120,15 +120,15 @@ def match_orders(incoming: DataFrame, orders: DataFrame, by: list[str]) -> DataF
     """Fills of incoming orders, each on its own, against the book's orders: best price, then queue order.
 
     ``incoming``: ``by, taker_id, side (buy, sell), size, limit (nullable)``.
+    What stands in front of an order in the book is summed once, and only
+    orders that an incoming one reaches are joined with it.
     """
+    near = F.when(F.col("side") == "ask", F.col("price")).otherwise(-F.col("price"))
+    w = Window.partitionBy(*by, "side").orderBy(near, "prio_seq").rowsBetween(Window.unboundedPreceding, -1)
+    queue = orders.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0.0)))
     side = F.when(F.col("i.side") == "buy", "ask").otherwise("bid")
-    meets = (F.col("o.side") == side) & (
-        F.col("i.limit").isNull() | F.when(F.col("i.side") == "buy", F.col("o.price") <= F.col("i.limit")).otherwise(F.col("o.price") >= F.col("i.limit"))
-    )
-    pairs = incoming.alias("i").join(orders.alias("o"), [F.col(f"i.{c}") == F.col(f"o.{c}") for c in by]).where(meets)
-    near = F.when(F.col("i.side") == "buy", F.col("o.price")).otherwise(-F.col("o.price"))
-    w = Window.partitionBy(*[F.col(f"i.{c}") for c in by], "taker_id").orderBy(near, "prio_seq").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("o.size").over(w), F.lit(0.0))
-    fill = F.least(F.col("o.size"), F.col("i.size") - before)
-    out = pairs.select(*[F.col(f"i.{c}") for c in by], "taker_id", "order_id", F.col("o.price").alias("price"), fill.alias("size"))
-    return out.where("size > 0")
+    within = F.col("i.limit").isNull() | F.when(F.col("i.side") == "buy", F.col("o.price") <= F.col("i.limit")).otherwise(F.col("o.price") >= F.col("i.limit"))
+    key = [F.col(f"i.{c}") == F.col(f"o.{c}") for c in by]
+    pairs = incoming.alias("i").join(queue.alias("o"), [*key, F.col("o.side") == side, F.col("o.before") < F.col("i.size"), within])
+    fill = F.least(F.col("o.size"), F.col("i.size") - F.col("o.before"))
+    return pairs.select(*[F.col(f"i.{c}") for c in by], "taker_id", "order_id", F.col("o.price").alias("price"), fill.alias("size"))

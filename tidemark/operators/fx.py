@@ -116,6 +116,12 @@ def rates_to(markets: DataFrame, target: str, hops: int = 4) -> DataFrame:
     return first(reached)
 
 
+def rates_near(markets: DataFrame, target: str, exchanges: list[str], hops: int = 4) -> DataFrame:
+    """As ``rates_to``, by chains on the named exchanges where there are any, else on all."""
+    near = rates_to(markets.where(F.col("exchange").isin(exchanges)), target, hops)
+    return near.unionByName(rates_to(markets, target, hops).join(near.select("asset"), "asset", "left_anti"))
+
+
 def all_accounts(instruments: DataFrame) -> DataFrame:
     """Every security and settlement currency of each exchange."""
     held = instruments.select("exchange", F.col("security").alias("asset"))

@@ -107,6 +107,20 @@ def conversion_rates(spark, sf_dir):
     return rates(spark, sf_dir).withColumn("rate", F.round("rate", 6))
 
 
+@query(
+    f"""WITH RECURSIVE {RATES}, near(asset, rate, n_hops, path, seen) AS (
+      SELECT 'asia', CAST(1 AS DOUBLE), 0, 'asia', ['asia'] UNION ALL
+      SELECT src, e.rate * near.rate, n_hops + 1, src || '>' || path, list_append(seen, src) FROM near
+      JOIN (SELECT base AS src, quote AS dst, price AS rate FROM markets WHERE exchange IN ('asia', 'europe') UNION ALL SELECT quote, base, 1 / price FROM markets WHERE exchange IN ('asia', 'europe')) e
+      ON dst = asset WHERE NOT list_contains(seen, src) AND n_hops < 4),
+    n AS (SELECT asset, arg_min(rate, (n_hops, path)) AS rate, min(n_hops) AS n_hops, arg_min(path, (n_hops, path)) AS path FROM near GROUP BY asset)
+    SELECT asset, round(rate, 6) AS rate, n_hops, path FROM n UNION ALL SELECT asset, round(rate, 6), n_hops, path FROM rates WHERE asset NOT IN (SELECT asset FROM n)"""
+)
+def conversion_rates_near(spark, sf_dir):
+    """Chains on two exchanges first, then on all."""
+    return fx.rates_near(views.instruments(spark, sf_dir), "asia", ["asia", "europe"]).withColumn("rate", F.round("rate", 6))
+
+
 @query(
     f"""WITH RECURSIVE {RATES} SELECT c_mktsegment AS account, round(sum(c_acctbal * rate), 2) AS equity
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN rates ON asset = lower(n_name) GROUP BY c_mktsegment"""
@@ -216,7 +230,7 @@ def accounts_synced(spark, sf_dir):
 
 @query(
     f"""WITH {LEGS}, g AS (SELECT unnest(generate_series(TIMESTAMP '1992-01-01', TIMESTAMP '1999-01-01', INTERVAL '365 days')) AS ts),
-    h AS (SELECT account, asset, ts, sum(delta) OVER (PARTITION BY account, asset ORDER BY ts, fill_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS qty, fill_key FROM legs WHERE account % 50 = 0),
+    h AS (SELECT account, asset, ts, sum(delta) OVER (PARTITION BY account, asset ORDER BY ts, fill_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS qty, fill_key FROM legs),
     l AS (SELECT account, asset, ts, arg_max(qty, fill_key) AS qty FROM h GROUP BY ALL),
     p AS (SELECT account, asset, g.ts FROM (SELECT account, asset, min(ts) AS s FROM l GROUP BY ALL) JOIN g ON g.ts >= s)
     SELECT p.account, p.asset, p.ts, round(qty, 2) AS qty FROM p ASOF LEFT JOIN l ON p.account = l.account AND p.asset = l.asset AND p.ts >= l.ts"""
@@ -224,7 +238,7 @@ def accounts_synced(spark, sf_dir):
 def portfolio_by_year(spark, sf_dir):
     """Balances at the start of every year."""
     grid = spark.sql("SELECT explode(sequence(TIMESTAMP_NTZ '1992-01-01', TIMESTAMP_NTZ '1999-01-01', INTERVAL 365 DAY)) AS ts")
-    changes = portfolio.legs(views.fills(spark, sf_dir).where("account % 50 = 0"), *leg_assets())
+    changes = portfolio.legs(views.fills(spark, sf_dir), *leg_assets())
     out = portfolio.portfolio_history(changes, ["account"], grid, ["ts", "fill_key"])
     return out.select("account", "asset", "ts", F.round("qty", 2).alias("qty"))
 
@@ -320,8 +334,8 @@ def bots_expired(spark, sf_dir):
 
 
 @query(
-    f"""WITH {TICKS}, c AS (SELECT CAST(user_id % 10 AS INTEGER) AS account, event_type AS asset, ts, event_id AS id, CAST(event_id % 5 - 2 AS DOUBLE) AS delta FROM events WHERE event_id % 7 = 0),
-    p AS (SELECT event_type AS asset, ts, arg_max(value, event_id) AS price FROM events WHERE event_id % 11 = 0 GROUP BY ALL),
+    f"""WITH {TICKS}, c AS (SELECT CAST(user_id % 10 AS INTEGER) AS account, event_type AS asset, ts, event_id AS id, CAST(event_id % 5 - 2 AS DOUBLE) AS delta FROM events WHERE event_id % 2 = 1),
+    p AS (SELECT event_type AS asset, ts, arg_max(value, event_id) AS price FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
     e AS (SELECT a.account, a.ts, a.id, b.asset, sum(b.delta) AS held FROM c a JOIN c b ON a.account = b.account AND (b.ts, b.id) <= (a.ts, a.id) GROUP BY ALL),
     v AS (SELECT e.*, p.price FROM e ASOF LEFT JOIN p ON e.asset = p.asset AND e.ts >= p.ts)
     SELECT account, ts, id, round(sum(held * coalesce(price, 0)) + {OFF_TIES:.10f}, 3) AS equity FROM v GROUP BY ALL"""
@@ -330,19 +344,19 @@ def equity_after_changes(spark, sf_dir):
     """Equity after every change of a balance."""
     t = views.trades(spark, sf_dir)
     e = views.table(spark, sf_dir, "events")
-    changes = e.where("event_id % 7 = 0").select(
+    changes = e.where("event_id % 2 = 1").select(
         (F.col("user_id") % 10).cast("int").alias("account"), F.col("event_type").alias("asset"), "ts", F.col("event_id").alias("id"), (F.col("event_id") % 5 - 2).cast("double").alias("delta")
     )
-    prices = t.where("id % 11 = 0").groupBy(F.col("topic").alias("asset"), "ts").agg(F.max_by("price", "id").alias("price"))
+    prices = t.where("id % 2 = 0").groupBy(F.col("topic").alias("asset"), "ts").agg(F.max_by("price", "id").alias("price"))
     out = portfolio.equity_curve(changes, prices, ["account"], ["ts", "id"])
     return out.select("account", "ts", "id", F.round(F.col("equity") + OFF_TIES, 3).alias("equity"))
 
 
 @query(
-    """WITH o AS (SELECT o_orderkey AS order_id, CAST(o_custkey % 200 + 1 AS BIGINT) AS ladder, o_orderdate + INTERVAL 1 DAY AS ts, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
-      CAST(o_orderkey % 60 + 1 AS DOUBLE) AS size FROM orders WHERE o_orderkey % 5 = 0),
+    """WITH o AS (SELECT o_orderkey AS order_id, CAST(o_custkey % 2000 + 1 AS BIGINT) AS ladder, o_orderdate + INTERVAL 1 DAY AS ts, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
+      CAST(o_orderkey % 60 + 1 AS DOUBLE) AS size FROM orders),
     l AS (SELECT l_partkey AS ladder, date_trunc('year', l_shipdate) AS ts, CASE WHEN l_linestatus = 'O' THEN 'ask' ELSE 'bid' END AS side, round(l_extendedprice, -2) AS price, sum(l_quantity) AS qty
-      FROM lineitem WHERE l_partkey <= 200 GROUP BY ALL),
+      FROM lineitem GROUP BY ALL),
     s AS (SELECT DISTINCT ladder, ts FROM l),
     j AS (SELECT o.*, s.ts AS lts FROM o ASOF LEFT JOIN s ON o.ladder = s.ladder AND o.ts >= s.ts),
     c AS (SELECT *, coalesce(sum(qty) OVER (PARTITION BY ladder, ts, side ORDER BY CASE WHEN side = 'ask' THEN price ELSE -price END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS q0 FROM l),
@@ -353,11 +367,11 @@ def equity_after_changes(spark, sf_dir):
 def execution_costs(spark, sf_dir):
     """What orders would have cost against the ladder of a day later."""
     k = F.col("o_orderkey")
-    orders = views.table(spark, sf_dir, "orders").where(k % 5 == 0).select(
-        k.alias("order_id"), (F.col("o_custkey") % 200 + 1).alias("ladder"), F.col("o_orderdate").alias("ts"), F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"),
+    orders = views.table(spark, sf_dir, "orders").select(
+        k.alias("order_id"), (F.col("o_custkey") % 2000 + 1).alias("ladder"), F.col("o_orderdate").alias("ts"), F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"),
         (k % 60 + 1).cast("double").alias("size"), F.lit(None).cast("double").alias("funds"), F.lit(None).cast("double").alias("limit"),
     )
-    li = views.table(spark, sf_dir, "lineitem").where("l_partkey <= 200")
+    li = views.table(spark, sf_dir, "lineitem")
     side = F.when(F.col("l_linestatus") == "O", "ask").otherwise("bid").alias("side")
     year = F.date_trunc("year", "l_shipdate").cast("timestamp_ntz").alias("ts")
     ladders = li.groupBy(F.col("l_partkey").alias("ladder"), year, side, F.round("l_extendedprice", -2).alias("price")).agg(F.sum("l_quantity").alias("qty"))
@@ -419,3 +433,17 @@ def quotes_reversed(spark, sf_dir):
     t = views.trades(spark, sf_dir)
     q = t.groupBy("topic").agg(F.min("price").alias("bid_price"), F.max("price").alias("ask_price"), F.count("*").alias("bid_qty"), (F.count("*") + 1).alias("ask_qty"))
     return fx.reversed_quote(q)
+
+
+@query(
+    """WITH l AS (SELECT user_id % 50 AS bot, event_id AS seq, event_type AS kind, value AS payload FROM events),
+    g AS (SELECT bot, max(seq) AS gone FROM l WHERE kind = 'error' GROUP BY bot)
+    SELECT l.bot, kind, arg_max(payload, seq) AS payload, max(seq) AS seq FROM l LEFT JOIN g ON l.bot = g.bot WHERE kind <> 'error' AND (gone IS NULL OR seq > gone) GROUP BY l.bot, kind"""
+)
+def bot_states(spark, sf_dir):
+    """The state of every bot since it last expired."""
+    from tidemark.streaming.state import latest_state
+
+    kind = F.when(F.col("event_type") == "error", "expired").otherwise(F.col("event_type")).alias("kind")
+    log = views.table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("bot"), F.col("event_id").alias("seq"), kind, F.col("value").alias("payload"))
+    return latest_state(log)

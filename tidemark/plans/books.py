@@ -157,7 +157,7 @@ def fills_summed_up(spark, sf_dir):
 
 @query(
     f"""WITH {BOOK}, i AS (SELECT CAST(o_orderkey % 4 AS INTEGER) AS topic, o_orderkey AS taker_id, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
-      CAST(o_orderkey % 40 + 1 AS DOUBLE) AS size, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey % 300 AS DOUBLE) END AS "limit" FROM orders WHERE o_orderkey % 97 = 0),
+      CAST(o_orderkey % 40 + 1 AS DOUBLE) AS size, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey % 300 AS DOUBLE) END AS "limit" FROM orders),
     p AS (SELECT i.topic, taker_id, order_id, b.price, b.size AS avail, i.size AS want,
       coalesce(sum(b.size) OVER (PARTITION BY i.topic, taker_id ORDER BY CASE WHEN i.side = 'buy' THEN b.price ELSE -b.price END, prio_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM i JOIN book b ON i.topic = b.topic AND b.side = CASE i.side WHEN 'buy' THEN 'ask' ELSE 'bid' END
@@ -167,7 +167,7 @@ def fills_summed_up(spark, sf_dir):
 def orders_matched(spark, sf_dir):
     """Incoming orders matched with the book's queue."""
     k = F.col("o_orderkey")
-    incoming = views.table(spark, sf_dir, "orders").where(k % 97 == 0).select(
+    incoming = views.table(spark, sf_dir, "orders").select(
         (k % 4).cast("int").alias("topic"),
         k.alias("taker_id"),
         F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"),
@@ -232,13 +232,13 @@ def ladder_spreads(spark, sf_dir):
 
 
 @query(
-    f"""WITH {LADDERS}, w AS (SELECT DISTINCT l_partkey AS ladder, round(l_extendedprice, -2) AS price FROM lineitem WHERE l_orderkey % 10 = 0),
+    f"""WITH {LADDERS}, w AS (SELECT DISTINCT l_partkey AS ladder, round(l_extendedprice, -2) AS price FROM lineitem),
     q AS (SELECT ladder, price, coalesce(max(qty) FILTER (side = 'ask'), max(qty) FILTER (side = 'bid')) AS qty FROM ladders GROUP BY ALL)
     SELECT ladder, price, coalesce(qty, 0) AS qty FROM w LEFT JOIN q USING (ladder, price)"""
 )
 def quantities_at_prices(spark, sf_dir):
     """What stands at a price."""
-    li = views.table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    li = views.table(spark, sf_dir, "lineitem")
     wanted = li.select(F.col("l_partkey").alias("ladder"), F.round("l_extendedprice", -2).alias("price")).distinct()
     return ladder.quantity_at(views.ladders(spark, sf_dir), wanted, ["ladder"])
 

@@ -9,6 +9,7 @@ from tidemark.plans.books import FEED
 from tidemark.plans.register import registry
 from tidemark.plans.series import TICKS
 from tidemark.sources import feeds
+from tidemark.sources.shared import shared_path
 from tidemark.streaming import fuzzy, streams, values
 
 QUERIES, ORACLES, query = registry()
@@ -171,3 +172,12 @@ def named_values_kept(spark, sf_dir):
         "value",
     )
     return streams.drained(values.named_values(commands))
+
+
+@query("SELECT event_id AS id, event_type AS topic, value AS price FROM events")
+def ingested_stream(spark, sf_dir):
+    """A stream appended to a table, batch by batch."""
+    folder = shared_path(spark, "ingested")
+    s = trade_stream(spark, sf_dir).select("id", "topic", "price")
+    streams.ingest(s, folder, shared_path(spark, "checkpoints"), every=None).awaitTermination()
+    return spark.read.parquet(folder).select("id", "topic", "price")

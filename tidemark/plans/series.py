@@ -248,7 +248,7 @@ def price_as_of(spark, sf_dir):
 
 @query(
     """WITH p AS (SELECT event_type AS topic, ts, value AS price, event_id AS id FROM events WHERE event_id % 50 = 0),
-    l AS (SELECT event_type AS topic, ts, event_id AS id FROM events WHERE event_id % 5 = 1),
+    l AS (SELECT event_type AS topic, ts, event_id AS id FROM events WHERE event_id % 50 <> 0),
     j AS (SELECT l.topic, l.id, l.ts, p.price, p.ts AS price_ts FROM l ASOF LEFT JOIN (SELECT topic, ts, arg_max(price, id) AS price FROM p GROUP BY topic, ts) p
     ON l.topic = p.topic AND l.ts >= p.ts)
     SELECT topic, id, CASE WHEN price_ts >= ts - INTERVAL 1 HOUR THEN price END AS price FROM j"""
@@ -256,7 +256,7 @@ def price_as_of(spark, sf_dir):
 def price_as_of_within_hour(spark, sf_dir):
     """J1 with a tolerance."""
     t = views.trades(spark, sf_dir)
-    left = t.where("id % 5 = 1").select("topic", "ts", "id")
+    left = t.where("id % 50 <> 0").select("topic", "ts", "id")
     right = t.where("id % 50 = 0").select("topic", "ts", "price", F.col("id").alias("rid"))
     return asof.asof_join(left, right, BY, "price", right_order=["rid"], tolerance="1 hour").select("topic", "id", "price")
 
@@ -266,7 +266,7 @@ SPANS = """spans AS (SELECT event_type AS topic, event_id AS id, epoch_us(ts) //
 
 
 @query(
-    f"""WITH {SPANS} SELECT a.topic, a.id AS a_id, b.id AS b_id FROM spans a JOIN spans b ON a.topic = b.topic AND a.id % 3 = 0 AND b.id % 3 = 1
+    f"""WITH {SPANS} SELECT a.topic, a.id AS a_id, b.id AS b_id FROM spans a JOIN spans b ON a.topic = b.topic AND a.id % 2 = 0 AND b.id % 2 = 1
     AND a.lo < b.hi AND b.lo < a.hi"""
 )
 def overlapping_intervals(spark, sf_dir):
@@ -274,7 +274,7 @@ def overlapping_intervals(spark, sf_dir):
     t = views.trades(spark, sf_dir)
     lo = F.floor(C.micros("ts") / 1_000_000)
     s = t.select("topic", "id", lo.alias("lo"), (lo + 60 + F.col("id") % 600).alias("hi"))
-    return asof.overlap_join(s.where("id % 3 = 0"), s.where("id % 3 = 1"), BY, 300).select("topic", "a_id", "b_id")
+    return asof.overlap_join(s.where("id % 2 = 0"), s.where("id % 2 = 1"), BY, 300).select("topic", "a_id", "b_id")
 
 
 @query(
