@@ -67,6 +67,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hashed_sample(df: DataFrame, column: str, bound: int) -> DataFrame:
+    """``bound`` rows of ``df`` (materialized) at most, those of smallest hash.
+
+    Rows that can't be among them are left out before they are ordered, so that
+    what tasks send to the driver stays near the bound with any number of tasks.
+    """
+    n = df.count()
+    share = min(1.0, (2 * bound + 1000) / max(n, 1))
+    h = F.xxhash64(column)
+    near = df.where(F.shiftrightunsigned(h, 34) < int(share * (1 << 30)) + 1)
+    return near.orderBy(F.shiftrightunsigned(h, 34), h, column).limit(bound)
+
+
 def map_batches(
     df: DataFrame, columns: list[str], work: Callable[[], Callable[[pa.RecordBatch], object]], schema: str
 ) -> DataFrame:

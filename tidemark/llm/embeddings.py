@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, discard, map_batches, materialize
+from tidemark.llm.common import bounded_batches, discard, hashed_sample, map_batches, materialize
 from tidemark.llm.components import connected_components
 from tidemark.llm.simhash import forest
 
@@ -116,7 +116,7 @@ def grow(points: DataFrame, threshold: float, depth: int) -> dict[int, list[Tree
     for dim in [r[0] for r in points.select("dim").distinct().orderBy("dim").limit(1000).collect()]:
         bound = max(64, SAMPLE_BYTES // (8 * dim))
         own = points.where(F.col("dim") == dim)
-        rows = own.orderBy(F.xxhash64("vec"), "rep").limit(bound).select("vec").toPandas()["vec"]
+        rows = hashed_sample(own, "vec", bound).select("vec").toPandas()["vec"]
         sample = unit(list(rows))
         deep = min(depth, int(math.log2(max(len(sample) / 8, 1))))
         margin = MARGIN * math.sqrt(max(2 - 2 * threshold, 0) / dim)

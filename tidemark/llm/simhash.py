@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, discard, map_batches, materialize, small
+from tidemark.llm.common import bounded_batches, discard, hashed_sample, map_batches, materialize, small
 from tidemark.llm.components import connected_components
 
 #: Fingerprints at most that the tree boundaries are set by.
@@ -188,7 +188,7 @@ def links(points: DataFrame, radius: int = 4, blocks: int = 3, leaf: int = LEAF)
     spark = points.sparkSession
     n = points.count()
     reach = radius // blocks
-    sampled = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy()
+    sampled = hashed_sample(points, "fp", SAMPLE).select("fp").toPandas()["fp"].to_numpy()
     sample = sampled.astype(np.int64).view(np.uint64)
     # a leaf's bound needs a few sampled points
     depth = max(0, min(math.ceil(math.log2(max(n, 1) / leaf)), int(math.log2(max(len(sample), 8) / 8))))
