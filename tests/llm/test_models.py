@@ -114,3 +114,20 @@ def test_quality(spark):
     bare = quality.score_documents(docs.select("doc_id", "text"), quality.fit(docs, labels.limit(0)))
     assert {r.score for r in bare.collect()} == {1.0}
     assert quality.score_documents(docs.limit(0), model).count() == 0
+
+
+def test_quality_is_fitted_on_whole_texts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "co_train", lambda labelled, pool, prior: seen.update(rows=[labelled, pool]) or quality.Model(prior))
+    long = " ".join(f"w{k}" for k in range(3000)) + "\nx | y\nx | y"
+    docs = spark.createDataFrame([(i, f"{long} {i}" if i % 2 else "short", "en", "s", 0) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    quality.fit(docs, spark.createDataFrame([(i, i // 2 % 2, 0) for i in range(20)], LABELS))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for rows in seen["rows"]:
+        flat, dense, _, _ = quality.features(rows)
+        assert len(rows)
+        for k, i in enumerate(rows["doc_id"]):
+            words = texts[i].split()
+            assert np.allclose(dense[k], quality.text_ratios(texts[i], words))
+            w = np.random.default_rng(1).normal(size=quality.BUCKETS)
+            assert np.isclose(w[flat[k][0]] @ flat[k][1], np.mean([w[b] for x in words for b in quality.word_features(x)]))

@@ -8,8 +8,8 @@ most confident of, and they join the other view's training set. Both are then
 calibrated on labelled documents that neither was trained on, and the
 calibrated logits, weighted by a last logistic fit, give the score.
 
-Fitting uses bounded samples (``LABELLED`` and ``POOL`` documents of up to
-``PASSAGES`` passages of ``PASSAGE_CHARS`` characters); rows held out by id are
+Fitting uses bounded samples (``LABELLED`` and ``POOL`` documents), of which
+Spark tasks make feature vectors from the whole texts; rows held out by id are
 never learned from. Scoring covers every whole text. Defined results: null and
 empty texts have the features of an empty text; nulls in the metadata are
 values of their own; without labels of both kinds the score is the share of
@@ -32,7 +32,7 @@ from tidemark.llm.common import bounded_batches, map_batches
 from tidemark.llm.sampling import balanced_sample, held_out, platt, sample, sigmoid
 
 #: Bounds of the samples that the views are fitted on.
-LABELLED, POOL, PASSAGES, PASSAGE_CHARS = 3000, 2000, 4, 500
+LABELLED, POOL = 3000, 2000
 BUCKETS = 1 << 16
 #: Rounds, and documents of each label that a view hands over in a round.
 ROUNDS, HANDED = 4, 60
@@ -75,7 +75,7 @@ class View:
     def __init__(self, dense: int):
         self.w, self.d = np.zeros(BUCKETS), np.zeros(dense)
 
-    def fit(self, flat: list[np.ndarray], dense: np.ndarray, y: np.ndarray, seed: int, epochs: int = 12, size: int = 64) -> View:
+    def fit(self, flat: list[tuple[np.ndarray, np.ndarray]], dense: np.ndarray, y: np.ndarray, seed: int, epochs: int = 12, size: int = 64) -> View:
         rng = np.random.default_rng(seed)
         sw, sd = np.full(BUCKETS, 1e-3), np.full(len(self.d), 1e-3)
         share = np.clip(y.mean(), 0.02, 0.98)
@@ -84,10 +84,8 @@ class View:
             order = rng.permutation(len(y))
             for i in range(0, len(order), size):
                 part = order[i : i + size]
-                ids = np.concatenate([flat[k] for k in part])
-                counts = np.array([len(flat[k]) for k in part])
-                owner = np.repeat(np.arange(len(part)), counts)
-                scale = (1 / np.maximum(counts, 1))[owner]
+                ids, scale = (np.concatenate([flat[k][x] for k in part]) for x in range(2))
+                owner = np.repeat(np.arange(len(part)), [len(flat[k][0]) for k in part])
                 z = np.bincount(owner, self.w[ids] * scale, len(part)) + dense[part] @ self.d
                 e = (sigmoid(z) - y[part]) * weight[part]
                 g = np.bincount(ids, e[owner] * scale, BUCKETS) + 1e-6 * self.w
@@ -98,17 +96,26 @@ class View:
                 self.d -= 0.2 * gd / np.sqrt(sd)
         return self
 
-    def logits(self, flat: list[np.ndarray], dense: np.ndarray) -> np.ndarray:
-        return np.array([self.w[f].mean() if len(f) else 0.0 for f in flat]) + dense @ self.d
+    def logits(self, flat: list[tuple[np.ndarray, np.ndarray]], dense: np.ndarray) -> np.ndarray:
+        return np.array([self.w[ids] @ shares for ids, shares in flat]) + dense @ self.d
+
+
+def text_features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets, their counts, and ratios of a whole text."""
+    words = text.split()
+    ids, counts = np.unique(np.array([b for w in words for b in word_features(w)], np.int32), return_counts=True)
+    return ids, counts.astype(np.int32), text_ratios(text, words)
+
+
+OF_TEXTS = text_features, "ids array<int>, counts array<int>, ratios array<double>"
 
 
 def features(rows: pd.DataFrame) -> tuple[list, np.ndarray, list, np.ndarray]:
-    texts = [" ".join(p) for p in rows["passages"]]
-    words = [t.split() for t in texts]
-    flat = [np.array([b for w in ws for b in word_features(w)], np.int64) for ws in words]
-    dense = np.array([text_ratios(t, w) for t, w in zip(texts, words, strict=True)]).reshape(len(rows), 7)
+    """Of rows with the columns of ``OF_TEXTS``: (buckets, shares) and ratios of the text, and of the metadata."""
+    flat = [(np.asarray(i, np.int64), np.asarray(c, float) / max(np.sum(c), 1)) for i, c in zip(rows["ids"], rows["counts"], strict=True)]
+    dense = np.array([np.asarray(r, float) for r in rows["ratios"]]).reshape(len(rows), 7)
     meta = [np.array(metadata_features(*r)) for r in rows[list(METADATA)].itertuples(index=False)]
-    return flat, dense, meta, np.ones((len(rows), 1))
+    return flat, dense, [(m, np.full(len(m), 1 / len(m))) for m in meta], np.ones((len(rows), 1))
 
 
 class Model:
@@ -187,11 +194,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     wanted = labels.select(id_col, F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     facts = with_metadata(docs, id_col, text_col).drop(text_col)
     # ids of labelled rows that exist as documents, with their metadata
-    labelled, prior = balanced_sample(docs, wanted.join(facts, id_col), LABELLED, PASSAGES, PASSAGE_CHARS, id_col, text_col)
+    labelled, prior = balanced_sample(docs, wanted.join(facts, id_col), LABELLED, 0, 0, id_col, text_col, OF_TEXTS)
     if not len(labelled) or labelled["label"].nunique() < 2:
         return Model(prior if len(labelled) else 1.0)
     free = facts.join(wanted, id_col, "left_anti")
-    pool = sample(docs, free, POOL, PASSAGES, PASSAGE_CHARS, id_col, text_col)
+    pool = sample(docs, free, POOL, 0, 0, id_col, text_col, OF_TEXTS)
     return co_train(labelled, pool, prior)
 
 

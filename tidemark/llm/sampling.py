@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches
+
 
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that no model may learn from: crc32 of the id's text mod 4 is 2."""
@@ -22,36 +24,42 @@ def passages(text: str, count: int, size: int) -> list[str]:
     return [text[i : i + size] for i in np.linspace(0, len(text) - size, count).astype(int)]
 
 
-def sample(docs: DataFrame, wanted: DataFrame, bound: int, count: int, size: int, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
+def sample(docs: DataFrame, wanted: DataFrame, bound: int, count: int, size: int, id_col: str = "doc_id", text_col: str = "text", of_texts=None) -> pd.DataFrame:
     """At most ``bound`` rows of ``wanted(id, label, ...)``, in hash order, with at most
     ``count`` passages of ``size`` characters of each one's text, on the driver.
 
-    The bounds hold at any size of ``docs``; rows of equal id come once.
+    The bounds hold at any size of ``docs``; rows of equal id come once. ``of_texts``,
+    (function of a text to a tuple, its schema), takes the place of the passages: it
+    sees whole texts, in Spark tasks.
     """
     chosen = wanted.where(~held_out(id_col)).orderBy(F.xxhash64(id_col), id_col).limit(bound).toPandas()
-    return with_passages(docs, chosen, count, size, id_col, text_col)
+    return with_passages(docs, chosen, count, size, id_col, text_col, of_texts)
 
 
-def balanced_sample(docs: DataFrame, wanted: DataFrame, bound: int, count: int, size: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[pd.DataFrame, float]:
+def balanced_sample(docs: DataFrame, wanted: DataFrame, bound: int, count: int, size: int, id_col: str = "doc_id", text_col: str = "text", of_texts=None) -> tuple[pd.DataFrame, float]:
     """As ``sample``, for labels 0 and 1: up to a third of the rows with label 1. Also
     the share of label 1 among all rows that may be learned from."""
     free = wanted.where(~held_out(id_col))
     n, ones = free.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     order = F.xxhash64(id_col), F.col(id_col)
     parts = [free.where(F.col("label") == k).orderBy(*order).limit(m).toPandas() for k, m in ((1, bound // 3), (0, bound - bound // 3))]
-    return with_passages(docs, pd.concat(parts), count, size, id_col, text_col), float(ones / n) if n else 0.0
+    return with_passages(docs, pd.concat(parts), count, size, id_col, text_col, of_texts), float(ones / n) if n else 0.0
 
 
-def with_passages(docs: DataFrame, chosen: pd.DataFrame, count: int, size: int, id_col: str, text_col: str) -> pd.DataFrame:
+def with_passages(docs: DataFrame, chosen: pd.DataFrame, count: int, size: int, id_col: str, text_col: str, of_texts=None) -> pd.DataFrame:
+    bounded_batches(docs.sparkSession)
+    of, schema = of_texts or (lambda t: (passages(t, count, size),), "passages array<string>")
+    names = [c.split()[0] for c in schema.split(", ")]
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({id_col: pdf[id_col], "passages": [passages(t or "", count, size) for t in pdf[text_col]]})
+            found = [of(t or "") for t in pdf[text_col]]
+            yield pd.DataFrame({id_col: pdf[id_col], **{c: [x[k] for x in found] for k, c in enumerate(names)}})
 
     ids = docs.sparkSession.createDataFrame([(x,) for x in chosen[id_col].tolist()], f"`{id_col}` {kind}")
     texts = docs.select(id_col, text_col).join(F.broadcast(ids), id_col, "left_semi")  # as many ids as the bound
-    texts = texts.mapInPandas(run, f"`{id_col}` {kind}, passages array<string>").toPandas()
+    texts = texts.mapInPandas(run, f"`{id_col}` {kind}, {schema}").toPandas()
     rows = chosen.merge(texts, on=id_col).drop_duplicates(id_col)
     order = [zlib.crc32(str(x).encode()) for x in rows[id_col]]
     return rows.iloc[np.argsort(order, kind="stable")].reset_index(drop=True)
