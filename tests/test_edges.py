@@ -1,6 +1,7 @@
 """Edge cases against small tables and row-at-a-time models."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -349,3 +350,13 @@ def test_named_values():
     assert values.apply(v, "default", "a", 2.0) == 2.0 and values.apply(v, "default", "a", 3.0) == 2.0
     assert values.apply(v, "update", "a", 4.0) == 4.0 and values.apply(v, "get", "a", None) == 4.0
     assert values.apply(v, "delete", "a", None) is None and v == {}
+
+
+def test_book_snapshots_come_in_bounded_pages(spark, monkeypatch):
+    from tidemark.plans import live
+
+    seen, parse = [], live.feeds.parse_book_snapshot
+    monkeypatch.setattr(live.feeds, "parse_book_snapshot", lambda lines, by: seen.append(lines) or parse(lines, by))
+    n = live.book_snapshot_parsed(spark, "/root/testdata/sf0.1").count()
+    sizes = [len(m["asks"]) + len(m["bids"]) for m in (json.loads(r.value) for r in seen[0].collect())]
+    assert sum(sizes) == n and n > 8000 and max(sizes) < 2000

@@ -14,6 +14,9 @@ from tidemark.streaming import fuzzy, streams, values
 
 QUERIES, ORACLES, query = registry()
 
+#: Orders, about, of a page of a book snapshot.
+SNAPSHOT_PAGE = 1000
+
 
 def event_stream(spark, sf_dir):
     return streams.stream_series(spark, sf_dir, views.table(spark, sf_dir, "events").schema, "events.parquet")
@@ -152,7 +155,10 @@ def book_snapshot_parsed(spark, sf_dir):
     f = views.order_feed(spark, sf_dir).where("kind = 'open'")
     row = F.array(F.col("price").cast("string"), F.col("size").cast("string"), F.concat_ws("-", F.col("order_id").cast("string"), F.col("seq").cast("string")))
     sides = [F.collect_list(F.when(F.col("side") == s, row)).alias(f"{s}s") for s in ("ask", "bid")]
-    lines = f.groupBy("topic").agg(F.max("seq").alias("sequence"), *sides).select("topic", F.to_json(F.struct("sequence", "asks", "bids")).alias("value"))
+    # a topic's snapshot comes in pages of about SNAPSHOT_PAGE orders, each with the topic's sequence
+    whole = f.groupBy("topic").agg(F.max("seq").alias("sequence"), F.ceil(F.count("*") / SNAPSHOT_PAGE).alias("pages"))
+    paged = f.join(F.broadcast(whole), "topic").withColumn("page", F.pmod(F.xxhash64("order_id", "seq"), F.col("pages")))
+    lines = paged.groupBy("topic", "page").agg(F.max("sequence").alias("sequence"), *sides).select("topic", F.to_json(F.struct("sequence", "asks", "bids")).alias("value"))
     return feeds.parse_book_snapshot(lines, ["topic"])
 
 
