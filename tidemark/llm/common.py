@@ -5,41 +5,57 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
-#: Rows of one Arrow batch handed to Python. Texts may be long, so few.
-BATCH_ROWS = 256
+#: Bytes, about, of the rows that Python works on at once; a longer row comes alone.
+PIECE_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in small Arrow batches, so that memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset
-    (local mode, tests) a temporary folder stands in for it.
+    It is the cluster's ``spark.checkpoint.dir``. Where that is unset a
+    temporary folder stands in for it in local mode (tests); on a cluster, whose
+    machines have no disk in common, that is an error.
     """
     context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir")
-    if not found and context.getCheckpointDir():
-        found = context.getCheckpointDir()
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: For each scope that is open, the tables written in it.
+scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are materialized inside are deleted at the end, but those marked to be kept."""
+    made: list[DataFrame] = []
+    scopes.append(made)
+    try:
+        yield
+    finally:
+        scopes.remove(made)
+        discard(*made)
+
+
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there,
     and the loss of an executor costs no more than a reread."""
     spark = df.sparkSession
@@ -47,6 +63,8 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if scopes and not keep:
+        scopes[-1].append(out)
     return out
 
 
@@ -58,32 +76,64 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of a few numbers each, some tens of MB at most in every executor.
-BROADCAST_ROWS = 1_000_000
+#: Bytes, about, that a broadcast may take in every executor.
+BROADCAST_BYTES = 32 << 20
+
+
+def width(df: DataFrame) -> Column:
+    """Bytes, about, of a row: eight for a number, and what texts and arrays hold."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        kind = f.dataType
+        if isinstance(kind, (StringType, BinaryType)):
+            total = total + F.coalesce(F.octet_length(f.name), F.lit(0)) + 8
+        elif isinstance(kind, ArrayType):
+            total = total + F.greatest(F.size(f.name), F.lit(0)) * len(kind.elementType.simpleString().split(",")) * 8 + 8
+        else:
+            total = total + 8
+    return total.cast("long")
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (materialized), marked for broadcast only if the bytes it holds are few enough."""
+    held = df.agg(F.sum(width(df))).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (materialized), marked for broadcast only if its counted rows are few enough."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def hash_share(column: str | Column) -> Column:
+    """A number in [0, 1) that is the same for equal values."""
+    return F.shiftrightunsigned(F.xxhash64(column), 34) / F.lit(float(1 << 30))
 
 
 def hashed_sample(df: DataFrame, column: str, bound: int) -> DataFrame:
-    """``bound`` rows of ``df`` (materialized) at most, those of smallest hash.
+    """``bound`` rows, about, of ``df`` (materialized), whose values of ``column`` differ: those of small hash.
 
-    Rows that can't be among them are left out before they are ordered, so that
-    what tasks send to the driver stays near the bound with any number of tasks.
+    Nothing is ordered or limited, so tasks send the sample to the driver and no more.
     """
-    n = df.count()
-    share = min(1.0, (2 * bound + 1000) / max(n, 1))
-    h = F.xxhash64(column)
-    near = df.where(F.shiftrightunsigned(h, 34) < int(share * (1 << 30)) + 1)
-    return near.orderBy(F.shiftrightunsigned(h, 34), h, column).limit(bound)
+    share = bound / max(df.count(), 1)
+    return df.where(hash_share(column) < share) if share < 1 else df
+
+
+def pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text. Spark bounds what it sends at once by bytes,
+    but Python's own objects take several times that."""
+    if not batch.num_rows:
+        return
+    sizes = np.full(batch.num_rows, 16, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(column.type):
+            sizes += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    cuts = np.nonzero(np.diff(np.cumsum(sizes) // most))[0] + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
 
 
 def map_batches(
     df: DataFrame, columns: list[str], work: Callable[[], Callable[[pa.RecordBatch], object]], schema: str
 ) -> DataFrame:
-    """Run ``work()(batch)`` over Arrow batches of the named columns.
+    """Run ``work()(batch)`` over Arrow batches, of bounded bytes, of the named columns.
 
     ``work`` is called once per task and may keep caches; its function returns
     a dict of column values (or None for no rows).
@@ -92,8 +142,9 @@ def map_batches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work()
         for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
-                yield to_batch(out, target)
+            for piece in pieces(batch):
+                if (out := step(piece)) is not None:
+                    yield to_batch(out, target)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

@@ -5,16 +5,18 @@ their boundaries; each hashes to an embedding, the embeddings are averaged, and
 a linear softmax over the average gives the languages' probabilities. Trained
 by stochastic gradient descent in numpy on a bounded sample of labelled
 documents (``TRAIN_DOCS`` of up to ``PASSAGES`` passages of ``PASSAGE_CHARS``
-characters). A fifth of the sample is kept back to calibrate: one temperature
-for the probabilities, and the probability below which a prediction counts as
-rejected, set so that accepted ones are right ``ACCEPTED_RIGHT`` of the time.
+characters), drawn by language in equal shares, so that rare ones are learned.
+A fifth of the sample is kept back to calibrate: one temperature for the
+probabilities, and the probability below which a prediction counts as rejected,
+set so that accepted ones are right ``ACCEPTED_RIGHT`` of the time.
 
 The layers are linear, so their product, a row of logits for each n-gram, is
 all that scoring looks up; it covers every n-gram of every whole text (texts
-beyond ``PIECE`` characters in pieces). A text that is null or without letters
-is ``und`` with score 0; without labelled rows all are ``und``; ties go to the
-language that sorts first; rows that repeat are each scored; an empty table
-gives an empty result. Only the named columns are read.
+beyond ``PIECE`` characters in pieces that overlap by the longest n-gram less
+one). A text that is null or without letters is ``und`` with score 0; without
+labelled rows all are ``und``; ties go to the language that sorts first; rows
+that repeat, or have no id, are each scored; an id that repeats is learned from
+once; an empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, map_batches
-from tidemark.llm.sampling import held_out, sample
+from tidemark.llm.common import map_batches
+from tidemark.llm.sampling import held_out, stratified_sample
 
 #: Bounds of the sample that the model is trained on.
 TRAIN_DOCS, PASSAGES, PASSAGE_CHARS = 3000, 4, 250
@@ -86,8 +88,8 @@ class Model:
         """Logits summed over the n-grams, and their number."""
         total = np.zeros(self.table.shape[1])
         for i in range(0, len(codes), PIECE):
-            piece = codes[i : i + PIECE]
             for n in NGRAMS:
+                piece = codes[i : i + PIECE + n - 1]  # n-grams that begin in the piece
                 counts = np.bincount(ngram_buckets(piece, n), minlength=len(self.table)) if len(piece) > 1 << 14 else None
                 total += counts @ self.table if counts is not None else self.table[ngram_buckets(piece, n)].sum(axis=0)
         return total
@@ -162,7 +164,7 @@ def calibrated(model: Model, texts: list[str], labels: np.ndarray, kept: np.ndar
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Train on a bounded sample of the rows with a language that are not held out."""
     wanted = docs.select(id_col, F.col(lang_col).alias("label")).where(F.col("label").isNotNull())
-    rows = sample(docs, wanted, TRAIN_DOCS, PASSAGES, PASSAGE_CHARS, id_col, text_col)
+    rows = stratified_sample(docs, wanted, TRAIN_DOCS, PASSAGES, PASSAGE_CHARS, id_col, text_col)
     if not len(rows):
         return Model([], np.zeros((1, 1), np.float32), np.zeros(0, np.float32))
     langs = sorted(rows["label"].unique())
@@ -172,7 +174,6 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, held_out, lang_pred, score, rejected)`` for every whole text."""
-    bounded_batches(docs.sparkSession)
 
     def work():
         letters = Letters()

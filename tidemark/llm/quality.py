@@ -3,19 +3,21 @@
 The text view sees hashed words, the hashed shapes of words and a few ratios of
 the whole text; the metadata view sees hashed source, language and size. Each is
 a logistic regression trained in numpy. They start from the labelled sample; in
-every round each view labels the documents of the unlabelled pool that it is
-most confident of, and they join the other view's training set. Both are then
-calibrated on labelled documents that neither was trained on, and the
-calibrated logits, weighted by a last logistic fit, give the score.
-
-Fitting uses bounded samples (``LABELLED`` and ``POOL`` documents), of which
-Spark tasks make feature vectors from the whole texts; rows held out by id are
-never learned from. Scoring covers every whole text. Defined results: null and
-empty texts have the features of an empty text; nulls in the metadata are
-values of their own; without labels of both kinds the score is the share of
-label 1 (1 without labels); rows that repeat are each scored; an empty table
-gives an empty result. Only the named columns are read; metadata columns that
-the table lacks count as null.
+every round both views score all unlabelled documents in Spark, and of the
+``CONFIDENT`` share that a view is most sure of, at either end, a hashed sample
+of up to ``HANDED`` documents joins the other view's training set with that
+label. Both are then calibrated on labelled documents that neither was trained
+on, and the calibrated logits, weighted by a last logistic fit, give the score.
+
+Fitting uses a bounded sample of ``LABELLED`` labelled documents; Spark tasks
+make feature vectors from whole texts, which is all that the driver sees; rows
+held out by id are never learned from. Scoring covers every whole text. Defined
+results: null and empty texts have the features of an empty text; nulls in the
+metadata are values of their own; without labels of both kinds the score is the
+share of label 1 (1 without labels); rows that repeat, or have no id, are each
+scored, and an id that repeats is learned from once; an empty table gives an
+empty result. Only the named columns are read; metadata columns that the table
+lacks count as null.
 """
 
 from __future__ import annotations
@@ -28,14 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, map_batches
-from tidemark.llm.sampling import balanced_sample, held_out, platt, sample, sigmoid
+from tidemark.llm.common import discard, hash_share, map_batches, materialize
+from tidemark.llm.sampling import balanced_sample, held_out, one_each, platt, sigmoid, with_passages
 
-#: Bounds of the samples that the views are fitted on.
-LABELLED, POOL = 3000, 2000
+#: Bound of the labelled sample that the views are fitted on.
+LABELLED = 3000
 BUCKETS = 1 << 16
-#: Rounds, and documents of each label that a view hands over in a round.
-ROUNDS, HANDED = 4, 60
+#: Rounds; share of the unlabelled documents that a view is confident of, of each label; how many of them it hands over.
+ROUNDS, CONFIDENT, HANDED = 2, 0.02, 150
 REMEMBERED_WORDS = 400_000
 METADATA = ("source", "lang", "n_chars")
 
@@ -131,41 +133,79 @@ class Model:
         return sigmoid(t), sigmoid(m), sigmoid(self.blend[0] * t + self.blend[1] * m + self.blend[2])
 
 
-def co_train(labelled: pd.DataFrame, pool: pd.DataFrame, prior: float) -> Model:
-    flat, dense, meta, ones = features(pd.concat([labelled, pool], ignore_index=True))
+class Unlabelled:
+    """The documents that may be learned from and have no label."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str):
+        facts = with_metadata(docs, id_col, text_col)
+        self.docs, self.free = docs, facts.where(F.col(id_col).isNotNull() & ~held_out(id_col))
+        self.labels, self.id_col, self.text_col = labels, id_col, text_col
+
+    def confident(self, text: View, meta: View) -> list[dict[int, pd.DataFrame]]:
+        """For each view, by label, the documents (with features) that it hands over."""
+        id_col = self.id_col
+        kind = self.free.schema[id_col].dataType.simpleString()
+        extra = ", ".join(f"{c} {self.free.schema[c].dataType.simpleString()}" for c in METADATA)
+
+        def work():
+            judge = judged(text, meta)
+
+            def step(batch):
+                t, m = judge(batch.column(1).to_pylist(), [batch.column(k).to_pylist() for k in (2, 3, 4)])
+                return {id_col: batch.column(0), **{c: batch.column(2 + k) for k, c in enumerate(METADATA)}, "t": t, "m": m}
+
+            return step
+
+        scored = map_batches(self.free, [id_col, self.text_col, *METADATA], work, f"`{id_col}` {kind}, {extra}, t double, m double")
+        scored = materialize(scored)
+        unlabelled = materialize(scored.join(self.labels.select(id_col), id_col, "left_anti"))
+        n, *ends = unlabelled.agg(F.count("*"), *[F.percentile_approx(v, [CONFIDENT, 1 - CONFIDENT], 10000) for v in "tm"]).first()
+        out = []
+        for v, edge in zip("tm", ends, strict=True):
+            out.append({})
+            if not n or edge[0] == edge[1]:
+                continue
+            for label, sure in ((0, F.col(v) <= edge[0]), (1, F.col(v) >= edge[1])):
+                rows = unlabelled.where(sure)
+                share = HANDED / max(rows.agg(F.approx_count_distinct(id_col)).first()[0], 1)
+                rows = one_each(rows.where(hash_share(id_col) < share).select(id_col, *METADATA), id_col).toPandas()
+                out[-1][label] = with_passages(self.docs, rows, 0, 0, id_col, self.text_col, OF_TEXTS)
+        discard(scored, unlabelled)
+        return out
+
+
+def co_train(labelled: pd.DataFrame, unlabelled: Unlabelled, prior: float) -> Model:
     n = len(labelled)
-    y = np.concatenate([labelled["label"].to_numpy(float), np.full(len(pool), np.nan)])
-    kept = np.zeros(len(y), bool)
-    kept[:n] = np.arange(n) % 4 == 0
-    start = np.nonzero(~np.isnan(y) & ~kept)[0]
-    if len(np.unique(y[start])) < 2 or len(np.unique(y[kept])) < 2:
+    flat, dense, meta, ones = features(labelled)
+    y = labelled["label"].to_numpy(float)
+    kept = np.arange(n) % 4 == 0
+    start, at = np.nonzero(~kept)[0], np.nonzero(kept)[0]
+    if len(np.unique(y[start])) < 2 or len(np.unique(y[at])) < 2:
         return Model(prior)
-    # what each view learns from: row -> label
-    mine = [dict(zip(start, y[start], strict=True)) for _ in range(2)]
-    sides = [(flat, dense, 7), (meta, ones, 1)]
-    free = set(range(n, len(y)))
+    # what each view learns from: sparse and dense features, labels
+    sides = [
+        [[f[i] for i in start], d[start], y[start]] for f, d in ((flat, dense), (meta, ones))
+    ]
+    known = [set(), set()]
 
-    def fitted(k: int, round_: int) -> View:
-        rows = np.array(list(mine[k]))
-        f, d, size = sides[k]
-        return View(size).fit([f[i] for i in rows], d[rows], np.array(list(mine[k].values())), seed=round_)
+    def fitted(round_: int) -> list[View]:
+        return [View(d.shape[1]).fit(f, d, label, seed=round_) for f, d, label in sides]
 
     for r in range(ROUNDS):
-        views = [fitted(k, r) for k in range(2)]
-        for k in range(2):
-            left = np.array(sorted(free))
-            if len(left) < 2 * HANDED:
-                break
-            f, d, _ = sides[k]
-            order = left[np.argsort(views[k].logits([f[i] for i in left], d[left]), kind="stable")]
-            for label, rows in ((0.0, order[:HANDED]), (1.0, order[-HANDED:])):
-                mine[1 - k].update(dict.fromkeys(rows, label))
-                free -= set(rows.tolist())
-    views = [fitted(k, ROUNDS) for k in range(2)]
-    at = np.nonzero(kept)[0]
-    logits = [v.logits([f[i] for i in at], d[at]) for v, (f, d, _) in zip(views, sides, strict=True)]
+        for k, by_label in enumerate(unlabelled.confident(*fitted(r))):
+            other = 1 - k
+            for label, rows in by_label.items():
+                rows = rows[~rows[unlabelled.id_col].isin(known[other])].reset_index(drop=True)
+                if len(rows):
+                    known[other] |= set(rows[unlabelled.id_col])
+                    parts = features(rows)
+                    f, d = parts[2 * other], parts[2 * other + 1]
+                    side = sides[other]
+                    side[0], side[1], side[2] = side[0] + f, np.concatenate([side[1], d]), np.r_[side[2], np.full(len(rows), float(label))]
+    views = fitted(ROUNDS)
+    logits = [v.logits([f[i] for i in at], d[at]) for v, (f, d) in zip(views, ((flat, dense), (meta, ones)), strict=True)]
     # the sample holds more of the rarer label than the table
-    shift = np.log(prior / (1 - prior)) - np.log(y[:n].mean() / (1 - y[:n].mean()))
+    shift = np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))
     scales = [(a, b + shift) for a, b in (platt(x, y[at]) for x in logits)]
     model = Model(prior, *views, scales, (1.0, 0.0, 0.0))
     t, m = (s * x + o for (s, o), x in zip(scales, logits, strict=True))
@@ -190,16 +230,14 @@ def with_metadata(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Co-train on bounded samples of labelled and of unlabelled documents."""
+    """Co-train on a bounded sample of labelled documents and all unlabelled ones."""
     wanted = labels.select(id_col, F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     facts = with_metadata(docs, id_col, text_col).drop(text_col)
     # ids of labelled rows that exist as documents, with their metadata
     labelled, prior = balanced_sample(docs, wanted.join(facts, id_col), LABELLED, 0, 0, id_col, text_col, OF_TEXTS)
     if not len(labelled) or labelled["label"].nunique() < 2:
         return Model(prior if len(labelled) else 1.0)
-    free = facts.join(wanted, id_col, "left_anti")
-    pool = sample(docs, free, POOL, 0, 0, id_col, text_col, OF_TEXTS)
-    return co_train(labelled, pool, prior)
+    return co_train(labelled, Unlabelled(docs, wanted, id_col, text_col), prior)
 
 
 class WordWeights(dict):
@@ -215,29 +253,35 @@ class WordWeights(dict):
         return x
 
 
+def judged(text: View, meta: View):
+    """A function from texts and columns of metadata to the logits of both views; it remembers words."""
+    known = WordWeights(text.w)
+
+    def text_logit(content: str) -> float:
+        words = content.split()
+        total = sum(map(known.__getitem__, words)) / (2 * len(words)) if words else 0.0
+        return total + text_ratios(content, words) @ text.d
+
+    def judge(texts: list[str | None], facts: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        if len(known) > REMEMBERED_WORDS:
+            known.clear()
+        metas = [meta.w[list(metadata_features(*f))].mean() + meta.d[0] for f in zip(*facts, strict=True)]
+        return np.array([text_logit(t or "") for t in texts]), np.array(metas)
+
+    return judge
+
+
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, held_out, text_score, metadata_score, score, kept)`` for every whole text."""
-    bounded_batches(docs.sparkSession)
 
     def work():
-        known = WordWeights(model.text.w) if model.text else None
-
-        def text_logit(text: str) -> float:
-            words = text.split()
-            total = sum(map(known.__getitem__, words)) / (2 * len(words)) if words else 0.0
-            return total + text_ratios(text, words) @ model.text.d
+        judge = judged(model.text, model.meta) if model.text else None
 
         def step(batch):
-            n = batch.num_rows
-            if known is None:
-                text = meta = score = np.full(n, model.prior)
+            if judge is None:
+                text = meta = score = np.full(batch.num_rows, model.prior)
             else:
-                if len(known) > REMEMBERED_WORDS:
-                    known.clear()
-                texts = np.array([text_logit(t or "") for t in batch.column(1).to_pylist()])
-                facts = zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
-                metas = np.array([model.meta.w[list(metadata_features(*f))].mean() + model.meta.d[0] for f in facts])
-                text, meta, score = model.combined(texts, metas)
+                text, meta, score = model.combined(*judge(batch.column(1).to_pylist(), [batch.column(k).to_pylist() for k in (2, 3, 4)]))
             return {
                 id_col: batch.column(0),
                 "held_out": batch.column(5),

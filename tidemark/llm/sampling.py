@@ -6,10 +6,10 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches
+from tidemark.llm.common import hash_share, map_batches
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -24,43 +24,93 @@ def passages(text: str, count: int, size: int) -> list[str]:
     return [text[i : i + size] for i in np.linspace(0, len(text) - size, count).astype(int)]
 
 
-def sample(docs: DataFrame, wanted: DataFrame, bound: int, count: int, size: int, id_col: str = "doc_id", text_col: str = "text", of_texts=None) -> pd.DataFrame:
-    """At most ``bound`` rows of ``wanted(id, label, ...)``, in hash order, with at most
-    ``count`` passages of ``size`` characters of each one's text, on the driver.
+def one_each(wanted: DataFrame, id_col: str) -> DataFrame:
+    """One row for each id that a model may learn from: the smallest by the other columns."""
+    rest = [c for c in wanted.columns if c != id_col]
+    free = wanted.where(F.col(id_col).isNotNull() & ~held_out(id_col))
+    return free.groupBy(id_col).agg(F.min(F.struct(*rest)).alias("row")).select(id_col, *[F.col(f"row.{c}").alias(c) for c in rest])
+
+
+def drawn(wanted: DataFrame, quotas: dict, id_col: str) -> pd.DataFrame:
+    """Of each label about ``quotas[label] = (rows wanted, ids there)``, those of smallest hash, on the driver.
+
+    Ids are chosen by their hash before rows are made one for each id, so tasks
+    send little more than the sample, and an id that repeats without end is one row.
+    """
+    share = F.lit(0.0)
+    for label, (most, there) in quotas.items():
+        share = F.when(F.col("label") == label, min(1.0, 1.2 * (most + 50) / max(there, 1))).otherwise(share)
+    rows = one_each(wanted.where(hash_share(id_col) < share), id_col)
+    own = Window.partitionBy("label").orderBy(F.xxhash64(id_col), id_col)
+    most = F.lit(0)
+    for label, (n, _) in quotas.items():
+        most = F.when(F.col("label") == label, n).otherwise(most)
+    return rows.withColumn("__rank", F.row_number().over(own)).where(F.col("__rank") <= most).drop("__rank").toPandas()
+
+
+#: Labels at most that a sample is drawn for, those of the most ids.
+LABELS = 200
+
+
+def stratified_sample(docs: DataFrame, wanted: DataFrame, bound: int, count: int, size: int, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
+    """At most ``bound`` rows of ``wanted(id, label)``, as many of each label as there are up to an equal
+    share, with at most ``count`` passages of ``size`` characters of each one's text, on the driver.
+
+    So a rare label is learned too. Labels beyond the ``LABELS`` commonest are not drawn.
+    """
+    ids = F.approx_count_distinct(id_col).alias("n")
+    counts = wanted.where(~held_out(id_col)).groupBy("label").agg(ids).orderBy(F.desc("n"), "label").limit(LABELS).collect()
+    quotas = {r.label: (max(bound // len(counts), 1), r.n) for r in counts}
+    chosen = drawn(wanted, quotas, id_col) if quotas else pd.DataFrame({id_col: [], "label": []})
+    return with_passages(docs, chosen, count, size, id_col, text_col)
+
+
+def balanced_sample(docs: DataFrame, wanted: DataFrame, bound: int, count: int, size: int, id_col: str = "doc_id", text_col: str = "text", of_texts=None) -> tuple[pd.DataFrame, float]:
+    """At most ``bound`` rows of ``wanted(id, label, ...)``, labels 0 and 1, up to a third of them with
+    label 1, in hash order. Also the share of label 1 among all ids that may be learned from.
 
     The bounds hold at any size of ``docs``; rows of equal id come once. ``of_texts``,
     (function of a text to a tuple, its schema), takes the place of the passages: it
     sees whole texts, in Spark tasks.
     """
-    chosen = wanted.where(~held_out(id_col)).orderBy(F.xxhash64(id_col), id_col).limit(bound).toPandas()
-    return with_passages(docs, chosen, count, size, id_col, text_col, of_texts)
+    counts = wanted.where(~held_out(id_col)).groupBy("label").agg(F.approx_count_distinct(id_col).alias("n")).collect()
+    there = {r.label: r.n for r in counts}
+    quotas = {k: (m, there[k]) for k, m in ((1, bound // 3), (0, bound - bound // 3)) if k in there}
+    n = sum(there.values())
+    rows = drawn(wanted, quotas, id_col)
+    return with_passages(docs, rows, count, size, id_col, text_col, of_texts), float(there.get(1, 0) / n) if n else 0.0
 
 
-def balanced_sample(docs: DataFrame, wanted: DataFrame, bound: int, count: int, size: int, id_col: str = "doc_id", text_col: str = "text", of_texts=None) -> tuple[pd.DataFrame, float]:
-    """As ``sample``, for labels 0 and 1: up to a third of the rows with label 1. Also
-    the share of label 1 among all rows that may be learned from."""
-    free = wanted.where(~held_out(id_col))
-    n, ones = free.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    order = F.xxhash64(id_col), F.col(id_col)
-    parts = [free.where(F.col("label") == k).orderBy(*order).limit(m).toPandas() for k, m in ((1, bound // 3), (0, bound - bound // 3))]
-    return with_passages(docs, pd.concat(parts), count, size, id_col, text_col, of_texts), float(ones / n) if n else 0.0
+def of_ids(docs: DataFrame, ids: list, id_col: str, text_col: str) -> DataFrame:
+    """``(id, text)`` of the given ids (a bounded list); of rows that repeat an id the smallest text counts."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame([(x,) for x in ids], f"`{id_col}` {kind}")
+    # as many ids as the sample's bound
+    found = docs.select(id_col, text_col).join(F.broadcast(wanted), id_col, "left_semi")
+    return found.groupBy(id_col).agg(F.min(text_col).alias(text_col))
 
 
-def with_passages(docs: DataFrame, chosen: pd.DataFrame, count: int, size: int, id_col: str, text_col: str, of_texts=None) -> pd.DataFrame:
-    bounded_batches(docs.sparkSession)
-    of, schema = of_texts or (lambda t: (passages(t, count, size),), "passages array<string>")
+def map_texts(texts: DataFrame, of, schema: str, id_col: str, text_col: str) -> DataFrame:
+    """``(id, ...)``: what ``of()(text)``, a tuple, gives for each whole text."""
     names = [c.split()[0] for c in schema.split(", ")]
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches):
-        for pdf in batches:
-            found = [of(t or "") for t in pdf[text_col]]
-            yield pd.DataFrame({id_col: pdf[id_col], **{c: [x[k] for x in found] for k, c in enumerate(names)}})
+    def work():
+        one = of()
 
-    ids = docs.sparkSession.createDataFrame([(x,) for x in chosen[id_col].tolist()], f"`{id_col}` {kind}")
-    texts = docs.select(id_col, text_col).join(F.broadcast(ids), id_col, "left_semi")  # as many ids as the bound
-    texts = texts.mapInPandas(run, f"`{id_col}` {kind}, {schema}").toPandas()
-    rows = chosen.merge(texts, on=id_col).drop_duplicates(id_col)
+        def step(batch):
+            found = [one(t or "") for t in batch.column(1).to_pylist()]
+            return {id_col: batch.column(0), **{c: [x[k] for x in found] for k, c in enumerate(names)}}
+
+        return step
+
+    kind = texts.schema[id_col].dataType.simpleString()
+    return map_batches(texts, [id_col, text_col], work, f"`{id_col}` {kind}, {schema}")
+
+
+def with_passages(docs: DataFrame, chosen: pd.DataFrame, count: int, size: int, id_col: str, text_col: str, of_texts=None) -> pd.DataFrame:
+    of, schema = of_texts or (lambda t: (passages(t, count, size),), "passages array<string>")
+    texts = of_ids(docs, chosen[id_col].tolist(), id_col, text_col)
+    rows = chosen.merge(map_texts(texts, lambda: of, schema, id_col, text_col).toPandas(), on=id_col)
     order = [zlib.crc32(str(x).encode()) for x in rows[id_col]]
     return rows.iloc[np.argsort(order, kind="stable")].reset_index(drop=True)
 

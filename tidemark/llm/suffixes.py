@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, discard, map_batches, materialize, small
+from tidemark.llm.common import discard, map_batches, materialize, small
 
 MIN_WORDS, KEY_WORDS = 50, 25
 WINDOW = MIN_WORDS - KEY_WORDS + 1
@@ -265,7 +265,6 @@ def runs_around(reps: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, start, end, other)``: words start..end - 1 of the text stand elsewhere, in ``other``.
     Overlapping and touching spans of a text are one; ids are longs."""
-    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).where(F.col(id_col).isNotNull())
     both_kinds = materialize(retained(docs, id_col, text_col))
     suffixes = both_kinds.where("end is null").drop("end")

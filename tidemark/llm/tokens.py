@@ -20,7 +20,7 @@ from itertools import pairwise
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import bounded_batches, map_batches
+from tidemark.llm.common import map_batches
 
 #: Fixed value: the published split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -154,7 +154,6 @@ def count_tokens(
     docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(id, n_bytes, n_tokens, over_limit)`` for every whole text, one row per row."""
-    bounded_batches(docs.sparkSession)
     merges = Merges(tokenizer_path)
 
     def work():

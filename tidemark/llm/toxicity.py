@@ -4,18 +4,22 @@ A text is a sequence of words; a word's input is a hashed word embedding plus
 the mean of hashed embeddings of its character n-grams. Overlapping windows of
 ``WINDOW`` words go through a forward and a backward gated recurrent layer,
 attention pools their states, and a linear layer gives the window's logit. The
-document's logit is the largest of all its windows; Platt scaling, fitted on
-documents that the network was not trained on, makes it a probability.
+document's logit is the largest of all its windows; Platt scaling makes it a
+probability. It is fitted on the logits of the whole texts, scored in Spark
+tasks, of a fifth of the sample that the network was not trained on.
 
 The network is trained in numpy on a bounded sample of labelled documents
 (``TRAIN_DOCS`` of up to ``PASSAGES`` passages of ``PASSAGE_CHARS`` characters).
 A document's label first holds for all its windows; then training goes on with
 the windows that score highest within each document.
 
-Scoring covers all windows of every whole text. A text that is null or without
+Scoring covers all windows of every whole text, and all n-grams of every word,
+however long (a long one is hashed in pieces). A text that is null or without
 words scores 0; without any labelled row, or with one class only, the score is
-the share of label 1 (0 without labels); rows that repeat are scored each; an
-empty table gives an empty result. Only the two named columns are read.
+the share of label 1 (0 without labels); a score equal to the threshold is
+toxic; rows that repeat, or have no id, are each scored; an id that repeats is
+learned from once; an empty table gives an empty result. Only the two named
+columns are read.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, map_batches
-from tidemark.llm.sampling import balanced_sample, held_out, platt, sigmoid
+from tidemark.llm.common import map_batches, pieces
+from tidemark.llm.sampling import balanced_sample, held_out, map_texts, of_ids, platt, sigmoid
 
 #: Bounds of the sample that the network is trained on.
 TRAIN_DOCS, PASSAGES, PASSAGE_CHARS = 4500, 8, 800
@@ -36,8 +40,8 @@ WINDOW, STRIDE = 32, 24
 HIDDEN, INPUT = 8, 12
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 15
 NGRAMS = (3, 4, 5)
-#: Words whose inputs a task remembers; windows, and words, that are worked on at once.
-REMEMBERED_WORDS, AT_ONCE, WORDS_AT_ONCE = 150_000, 2048, 8192
+#: Words whose inputs a task remembers; windows, words, and characters of one word that are worked on at once.
+REMEMBERED_WORDS, AT_ONCE, WORDS_AT_ONCE, CHARS_AT_ONCE = 150_000, 2048, 8192, 1 << 16
 
 find_words = re.compile(r"\w+").findall
 
@@ -73,6 +77,20 @@ def char_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat[flat >= 0], counts
 
 
+def piece_buckets(marked: str, start: int, end: int) -> np.ndarray:
+    """Buckets of the n-grams that begin at start..end - 1 of one marked word."""
+    longest = max(NGRAMS)
+    chars = np.frombuffer(marked[start : end + longest - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    found = []
+    for n in NGRAMS:
+        size = min(end - start, len(chars) - n + 1)
+        h = np.full(max(size, 0), n, np.uint64)
+        for j in range(n):
+            h = (h * np.uint64(0x100000001B3)) ^ chars[j : j + len(h)]
+        found.append(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 15)).astype(np.int64))
+    return np.concatenate(found)
+
+
 def grouped_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive rows, ``counts`` (none zero) at a time."""
     return np.add.reduceat(values, np.cumsum(counts) - counts, axis=0)
@@ -104,6 +122,22 @@ class Network:
             self.w["u" + side] = rng.normal(0, h**-0.5, (h, 3 * h)).astype(np.float32)
             self.w["c" + side] = np.repeat(np.float32([1, 0, 0]), h)  # update gates start rather closed
 
+    def inputs_of(self, words: list[str]) -> np.ndarray:
+        """Inputs of words of any length, a long one's n-grams summed piece by piece."""
+        short = [w if len(w) <= CHARS_AT_ONCE else w[:8] for w in words]
+        out = np.concatenate([
+            self.inputs(word_buckets(part), *char_buckets(part)) for i in range(0, len(short), WORDS_AT_ONCE) for part in [short[i : i + WORDS_AT_ONCE]]
+        ])
+        for i, word in enumerate(words):
+            if len(word) > CHARS_AT_ONCE:
+                marked, total, count = f"<{word}>", np.zeros(INPUT), 0
+                for a in range(0, len(marked), CHARS_AT_ONCE):
+                    grams = piece_buckets(marked, a, a + CHARS_AT_ONCE)
+                    total += self.w["char"][grams].sum(axis=0, dtype=np.float64)
+                    count += len(grams)
+                out[i] = self.w["word"][word_buckets([word])[0]] + total / count
+        return out
+
     def inputs(self, words: np.ndarray, chars: np.ndarray, counts: np.ndarray) -> np.ndarray:
         out = self.w["word"][words]
         ends = np.cumsum(counts)
@@ -291,11 +325,6 @@ class Trainer:
             for _ in range(min(repeat, 12)):
                 self.epoch(chosen, labels)
 
-    def doc_logits(self, n: int) -> np.ndarray:
-        best = np.full(n, -np.inf)
-        np.maximum.at(best, self.owner, self.net.logits(self.ids, self.gates()))
-        return best
-
 
 class Model:
     """A fitted network with its calibration, or a constant score."""
@@ -306,7 +335,17 @@ class Model:
     def scorer(self):
         """A function from a list of texts to their scores; it remembers words."""
         if self.net is None:
-            return lambda texts: [self.prior] * len(texts)
+            return lambda texts: np.full(len(texts), self.prior)
+        logits = self.judge()
+
+        def score(texts: list[str | None]) -> np.ndarray:
+            best = logits(texts)
+            return np.where(np.isfinite(best), sigmoid(self.scale * best + self.offset), 0.0)
+
+        return score
+
+    def judge(self):
+        """A function from a list of texts to the largest logit of each one's windows (none: minus infinity)."""
         net = self.net
         index: dict[str, int] = {}
         rows = net.padded({s: [np.zeros((1023, HIDDEN), np.float32)] * 3 for s in "fb"})
@@ -319,13 +358,13 @@ class Model:
 
         ids, fresh = Ids(), []
 
-        def score(texts: list[str | None]) -> np.ndarray:
+        def judged(texts: list[str | None]) -> np.ndarray:
             if len(ids) > REMEMBERED_WORDS:
                 ids.clear()
             known = len(ids)
             spans = [windows_of(np.fromiter(map(ids.__getitem__, w), np.int32, len(w))) if (w := find_words((t or "").lower())) else None for t in texts]
             if fresh:
-                gates = net.project(net.inputs(word_buckets(fresh), *char_buckets(fresh)))
+                gates = net.project(net.inputs_of(fresh))
                 for s in "fb":
                     for k in range(3):
                         if len(rows[s][k]) < len(ids) + 1:
@@ -333,15 +372,14 @@ class Model:
                         rows[s][k][known + 1 : len(ids) + 1] = gates[s][k]
                 fresh.clear()
             counts = np.array([0 if x is None else len(x) for x in spans])
-            out = np.zeros(len(texts))
+            out = np.full(len(texts), -np.inf)
             if counts.sum():
                 logits = net.logits(np.concatenate([x for x in spans if x is not None]), rows)
                 has = counts > 0
-                best = np.maximum.reduceat(logits, (np.cumsum(counts) - counts)[has])
-                out[has] = sigmoid(self.scale * best.astype(np.float64) + self.offset)
+                out[has] = np.maximum.reduceat(logits, (np.cumsum(counts) - counts)[has])
             return out
 
-        return score
+        return judged
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -354,25 +392,32 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     trainer = Trainer(rows)
     trained = np.arange(len(rows)) % 5 != 0
     trainer.fit(y, trained)
-    logits = trainer.doc_logits(len(rows))
-    judged = ~trained & np.isfinite(logits)
-    if len(np.unique(y[judged])) < 2:
-        judged = np.isfinite(logits)
-    scale, offset = platt(logits[judged], y[judged])
+    kept = rows[~trained]
+    if kept["label"].nunique() < 2:
+        kept = rows
+    model = Model(trainer.net, 1.0, 0.0, shares)
+
+    def of():
+        judge = model.judge()
+        return lambda text: (float(judge([text])[0]),)
+
+    judged = map_texts(of_ids(docs, kept[id_col].tolist(), id_col, text_col), of, "logit double", id_col, text_col).toPandas()
+    judged = kept.merge(judged, on=id_col)
+    judged = judged[np.isfinite(judged["logit"])]
+    model.scale, model.offset = platt(judged["logit"].to_numpy(), judged["label"].to_numpy(np.float64))
     # the sample holds more of the rarer label than the table
-    offset += np.log(shares / (1 - shares)) - np.log(y.mean() / (1 - y.mean()))
-    return Model(trainer.net, scale, offset, shares)
+    model.offset += np.log(shares / (1 - shares)) - np.log(y.mean() / (1 - y.mean()))
+    return model
 
 
 def score_texts(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, held_out, score, predicted)`` for every whole text."""
-    bounded_batches(docs.sparkSession)
 
     def work():
         score = model.scorer()
 
         def step(batch):
-            scores = np.asarray(score(batch.column(1).to_pylist()), np.float64)
+            scores = score(batch.column(1).to_pylist())
             return {id_col: batch.column(0), "held_out": batch.column(2), "score": scores, "predicted": (scores >= threshold).astype(np.int32)}
 
         return step
@@ -384,12 +429,12 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: s
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """``docs`` without the texts that score ``threshold`` or more."""
-    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):
         score = model.scorer()
         for batch in batches:
-            yield batch.filter(np.asarray(score(batch.column(at).to_pylist())) < threshold)
+            for piece in pieces(batch):
+                yield piece.filter(score(piece.column(at).to_pylist()) < threshold)
 
     return docs.mapInArrow(run, docs.schema)

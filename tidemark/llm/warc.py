@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, map_batches
+from tidemark.llm.common import map_batches
 
 #: Dates stand for when pages were fetched; tables without one get this.
 DATE = "2024-01-01T00:00:00Z"
@@ -176,7 +176,6 @@ def record_of(row: dict) -> bytes:
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
     """``(id, record)``: each page as a WARC response record."""
-    bounded_batches(pages.sparkSession)
 
     def work():
         def step(batch):
@@ -192,7 +191,6 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 def derive(records: DataFrame, id_col: str = "page_id", record_col: str = "record") -> DataFrame:
     """``(id, ...)``: a metadata and a conversion row for each response record."""
-    bounded_batches(records.sparkSession)
 
     def work():
         def step(batch):
