@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from tests.llm.helpers import corpus, empty, words
@@ -69,7 +70,7 @@ def test_near_copies_against_all_pairs(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
-def test_vantage_search_finds_every_link(spark):
+def test_vantage_search_finds_every_link(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centres = rng.integers(0, 1 << 64, 300, np.uint64)
     fps = set(centres.tolist())
@@ -85,12 +86,54 @@ def test_vantage_search_finds_every_link(spark):
         fps.add(x)
     fps = sorted(fps)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    points = spark.createDataFrame(list(enumerate(signed)), "rep long, fp long")
-    got = classes([(r.src, r.dst) for r in simhash.links(points, leaf=16).collect()], range(len(fps)))
+    place = {fp: i for i, fp in enumerate(signed)}
+    monkeypatch.setattr(simhash, "SAMPLED_LEVELS", 3)  # the tree goes on below what is sampled
+    points = spark.createDataFrame([(x,) for x in signed], "fp long")
+    got = classes([(place[r.src], place[r.dst]) for r in simhash.links(points, leaf=16).collect()], range(len(fps)))
     pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
     assert got == classes(pairs, range(len(fps)))
 
 
+def test_ids_that_repeat_and_ids_that_lack(spark):
+    rnd = random.Random(12)
+    a, b, c = (" ".join(words(rnd, 80)) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (9, b), (None, c), (None, b), (11, None), (None, None), (12, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(3, 3), (5, 3), (5, 3), (9, 3), (None, None), (None, 3), (11, 11), (None, 11), (12, 11)], key=str)
+
+
+def comparisons(n, leaf=1 << 9, outright=1 << 12):
+    """Pairs of ``n`` random fingerprints that one block's tree leaves to compare, over 24 of its leaves."""
+    rng = np.random.default_rng(n)
+    fps = rng.integers(0, 1 << 64, n, np.uint64)
+    mask = simhash.block_masks(3)[0]
+    tree = simhash.BlockTree(mask, 1, max(0, int(np.ceil(np.log2(n / leaf)))), fps[:4096], 0)
+    row, node, home = tree.leaves(fps)
+    order = np.argsort(node, kind="stable")
+    ends = np.nonzero(np.diff(node[order]))[0] + 1
+    groups = np.split(order, ends)
+    tried = homes = 0
+    for g in groups[:: max(1, len(groups) // 24)]:
+        todo = [(fps[row[g]][home[g]], fps[row[g]])]
+        homes += home[g].sum()
+        while todo:
+            h, m = todo.pop()
+            if len(h) and len(h) * len(m) > outright:
+                dh, dm = (np.bitwise_count((x ^ h[len(h) // 2]) & np.uint64(mask)).astype(int) for x in (h, m))
+                t = simhash.balanced(dh, 64)
+                if 0 < (dh <= t).sum() < len(h):
+                    todo += [(h[dh <= t], m[dm <= t + 1]), (h[dh > t], m[dm > t - 1])]
+                    continue
+            tried += len(h) * len(m)
+    return tried / homes * n
+
+
+def test_comparisons_grow_slower_than_pairs():
+    small, large = comparisons(1 << 14), comparisons(1 << 18)
+    assert np.log(large / small) / np.log(16) < 1.5
+
+
 def covered(rows):
     """Words in a run of 50 that stands at a smaller (id, position)."""
     seen, out = set(), {}
@@ -160,3 +203,54 @@ def test_embeddings_against_all_pairs(spark):
     n = {i: sum(i in p for p in pairs) for i in data}
     assert got == {i: (n[i], parts[i], parts[i] == i) for i in data}
     assert embeddings.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def planted(rng, n, dim, cone):
+    """Unit vectors, some of them at a cosine just above 0.98 to one before."""
+    out = [rng.standard_normal(dim) + (np.r_[6.0, np.zeros(dim - 1)] if cone else 0) for _ in range(n)]
+    for k in range(0, n - 1, 7):
+        v = out[k] / np.linalg.norm(out[k])
+        w = rng.standard_normal(dim)
+        w -= (w @ v) * v
+        out[k + 1] = 0.981 * v + np.sqrt(1 - 0.981**2) * w / np.linalg.norm(w)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("cone", [False, True])
+def test_forest_finds_planted_pairs(spark, cone, monkeypatch):
+    rng = np.random.default_rng(4 + cone)
+    x = planted(rng, 1400, 24, cone).astype(np.float32)
+    monkeypatch.setattr(embeddings, "SAMPLE_BYTES", 8 * 24 * 150)  # fewer than the leaves ask for
+    rows = [(k, v.tolist(), 7) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    seen = {}
+    grow = embeddings.grow
+    monkeypatch.setattr(embeddings, "grow", lambda *a: seen.update(grow(*a)) or seen)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, leaf=48).collect()}
+    tree = seen[24][0]
+    assert tree.depth >= 4 and tree.depth > tree.sampled
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = np.triu(u @ u.T >= 0.98, 1)
+    pairs = list(zip(*map(list, np.nonzero(near)), strict=True))
+    n = near.sum(axis=0) + near.sum(axis=1)
+    parts = classes([(int(a), int(b)) for a, b in pairs], range(len(x)))
+    right = np.mean([got[k] == (n[k], parts[k]) for k in range(len(x)) if n[k]])
+    assert len(pairs) > 150 and right >= 0.99
+    assert all(got[k][0] <= n[k] for k in range(len(x)))
+
+
+def test_embeddings_of_repeated_and_missing_ids(spark):
+    e, f = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, e, 0), (5, f, 0), (6, [1.0, 0.01, 0.0], 0), (7, [0.01, 1.0, 0.0], 0), (None, e, 0), (8, e, None), (9, [2.0, 0.0, 0.0], 0)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    found = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str)
+    want = [(5, 2, 5, True), (5, 1, 5, True), (6, 2, 5, False), (7, 1, 5, False), (None, 0, None, True), (8, 0, 8, True), (9, 2, 5, False)]
+    assert found == sorted(want, key=str)
+
+
+def test_vectors_of_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "LENGTHS", 1)
+    rows = [(k, [1.0] * (1 + k % 5) + [0.0], k % 2) for k in range(60)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), leaf=2).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(k, 5, k % 10) for k in range(60)}

@@ -6,18 +6,21 @@ The 64 bits are cut into blocks so that a linked pair differs in at most
 Hamming metric, gets a vantage-point tree. Inner nodes split by the distance to
 a vantage point; by the triangle bound a fingerprint whose ball reaches over
 the boundary is sent to both sides, so every linked pair meets in the home leaf
-of its smaller member. Leaves are the shards that Spark deals out; within one,
-the search goes on as a vantage-point tree of its own, down to groups that are
-compared outright. Results are exact: the sampled medians only set where
-boundaries lie.
+of its smaller member. Leaves are the shards that Spark deals out, as many as
+their size asks for; within one, the search goes on as a vantage-point tree of
+its own, down to groups that are compared outright. Results are exact: medians,
+of a bounded sample, only set where boundaries lie. Nodes beyond the sampled
+levels split at half of the block's bits, the median of random distances.
 
 Copies of one fingerprint are a single point. Leaves that hold many points are
 dealt out as pairs of chunks, and a task gives back a spanning forest of its
 links, never all pairs of a group.
 
 Defined results: a null or wordless text has fingerprint zero, linked like any
-other; rows that repeat an id are the same document; an empty table gives an
-empty result. Only the two named columns are read.
+other; rows that repeat an id are the same document, so fingerprints that share
+an id are in one component; a row without id has the component of its
+fingerprint, null if no row with an id is in it, and links nothing by itself;
+an empty table gives an empty result. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -31,13 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, discard, hashed_sample, map_batches, materialize, small
+from tidemark.llm.common import discard, hashed_sample, map_batches, materialize, small
 from tidemark.llm.components import connected_components
 
 #: Fingerprints at most that the tree boundaries are set by.
 SAMPLE = 65_536
+#: Levels that the sample sets boundaries of.
+SAMPLED_LEVELS = 12
 #: Points at home in a leaf that the tree depth aims at; home points and members of one task at most.
-LEAF, HOME_CHUNK, MEMBER_CHUNK = 512, 1024, 8192
+LEAF, HOME_CHUNK, MEMBER_CHUNK = 1 << 14, 1 << 15, 1 << 18
 #: Pairs that are compared outright within a task.
 OUTRIGHT = 1 << 16
 
@@ -72,7 +77,6 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp)``, fp as a signed long of the 64 bits."""
-    bounded_batches(docs.sparkSession)
 
     def work():
         def step(batch):
@@ -90,27 +94,39 @@ def block_masks(blocks: int) -> list[int]:
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in pairwise(edges)]
 
 
+def vantages(nodes: np.ndarray, seed: int) -> np.ndarray:
+    """A vantage point for each node: 64 mixed bits of its number."""
+    x = nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed + 1) * 0xD1B54A32D192ED03 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class BlockTree:
     """Vantage-point tree over one block; node k has children 2k + 1 and 2k + 2."""
 
     def __init__(self, mask: int, reach: int, depth: int, sample: np.ndarray, seed: int):
-        rng = np.random.default_rng(seed)
-        self.mask, self.reach, self.depth = np.uint64(mask), reach, depth
-        self.vantage = rng.integers(0, 1 << 64, (1 << depth) - 1, np.uint64)
-        self.bound = np.zeros(len(self.vantage), np.int64)
+        self.mask, self.reach, self.depth, self.seed = np.uint64(mask), reach, depth, seed
+        self.half = (mask.bit_count() - 1) // 2
+        # a bound needs a few sampled points
+        sampled = max(0, min(depth, SAMPLED_LEVELS, int(math.log2(max(len(sample), 8) / 8))))
+        self.bound = np.full((1 << sampled) - 1, self.half, np.int64)
         at = np.zeros(len(sample), np.int64)
-        for k in range(len(self.vantage)):
+        for k in range(len(self.bound)):
             own = at == k
-            d = np.bitwise_count((sample[own] ^ self.vantage[k]) & self.mask).astype(np.int64)
+            d = self.distance(sample[own], np.full(own.sum(), k))
             self.bound[k] = balanced(d, mask.bit_count())
             at[own] = 2 * k + 1 + (d > self.bound[k])
 
+    def distance(self, fps: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((fps ^ vantages(node, self.seed)) & self.mask).astype(np.int64)
+
     def leaves(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, leaf, at home) for each leaf that a ball of ``reach`` around a row meets."""
         row, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
-        for _ in range(self.depth):
-            d = np.bitwise_count((fps[row] ^ self.vantage[node]) & self.mask).astype(np.int64)
-            t = self.bound[node]
+        for level in range(self.depth):
+            d = self.distance(fps[row], node)
+            t = self.bound[node] if (2 << level) - 1 <= len(self.bound) else self.half
             left, right = d - self.reach <= t, d + self.reach > t
             row = np.concatenate([row[left], row[right]])
             home = np.concatenate([(home & (d <= t))[left], (home & (d > t))[right]])
@@ -149,7 +165,7 @@ def close_pairs(home: np.ndarray, member: np.ndarray, mask: np.uint64, reach: in
             yield part[a], m[b]
 
 
-def forest(pairs, n: int) -> dict[int, int]:
+def spanning(pairs, n: int) -> dict[int, int]:
     """Spanning stars of the pairs' components: node -> smallest node."""
     parent = list(range(n))
 
@@ -166,63 +182,56 @@ def forest(pairs, n: int) -> dict[int, int]:
 
 
 def link_task(mask: int, reach: int, radius: int, points: pa.Table) -> pa.Table:
-    """Links of one task's home points with its members, as a spanning forest of reps."""
-    fps = points["fp"].to_numpy().view(np.uint64)
-    rep, home = points["rep"].to_numpy(), points["home"].to_numpy()
-    names, code = np.unique(rep, return_inverse=True)
+    """Links of one task's home points with its members, as a spanning forest of fingerprints."""
+    home = points["home"].to_numpy()
+    names, code = np.unique(points["fp"].to_numpy().view(np.uint64), return_inverse=True)
     ch, cm = code[home], code[~home]
-    found = set()
-    for a, b in close_pairs(fps[home], fps[~home], np.uint64(mask), reach, radius):
+    found: set = set()
+    for a, b in close_pairs(names[ch], names[cm], np.uint64(mask), reach, radius):
         a, b = ch[a], cm[b]
         keep = a != b
-        pairs = np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]], 1), axis=0)
-        found.update(forest(pairs.tolist(), len(names)).items() if len(pairs) > len(names) else map(tuple, pairs.tolist()))
-    star = forest(found, len(names))
-    src, dst = np.array(list(star.keys()), np.int64), np.array(list(star.values()), np.int64)
-    return pa.table({"src": names[src], "dst": names[dst]})
+        found.update(zip(np.minimum(a, b)[keep].tolist(), np.maximum(a, b)[keep].tolist(), strict=True))
+        if len(found) > 4 * len(names) + 1000:
+            found = set(spanning(found, len(names)).items())
+    star = spanning(found, len(names))
+    src, dst = (np.fromiter(x, np.int64, len(star)) for x in (star.keys(), star.values()))
+    return pa.table({"src": names[src].view(np.int64), "dst": names[dst].view(np.int64)})
 
 
 def links(points: DataFrame, radius: int = 4, blocks: int = 3, leaf: int = LEAF) -> DataFrame:
-    """``points(rep, fp)``, fp distinct, to ``(src, dst)``: links that span the components
-    of "differs in at most ``radius`` bits". ``points`` should be materialized."""
-    spark = points.sparkSession
+    """``points(fp)``, distinct, to ``(src, dst)``: links that span the components of
+    "differs in at most ``radius`` bits". ``points`` should be materialized."""
     n = points.count()
     reach = radius // blocks
-    sampled = hashed_sample(points, "fp", SAMPLE).select("fp").toPandas()["fp"].to_numpy()
-    sample = sampled.astype(np.int64).view(np.uint64)
-    # a leaf's bound needs a few sampled points
-    depth = max(0, min(math.ceil(math.log2(max(n, 1) / leaf)), int(math.log2(max(len(sample), 8) / 8))))
+    sample = hashed_sample(points, "fp", SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    depth = max(0, math.ceil(math.log2(max(n, 1) / leaf)))
     masks = block_masks(blocks)
     trees = [BlockTree(mask, reach, depth, sample, seed) for seed, mask in enumerate(masks)]
 
     def deal():
         def step(batch):
-            rep, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            fps = batch.column(0).to_numpy().view(np.uint64)
             parts = [(k, *tree.leaves(fps)) for k, tree in enumerate(trees)]
-            row = np.concatenate([p[1] for p in parts])
             return {
                 "block": np.concatenate([np.full(len(p[1]), p[0], np.int32) for p in parts]),
-                "leaf": np.concatenate([p[2] for p in parts]).astype(np.int32),
+                "leaf": np.concatenate([p[2] for p in parts]),
                 "home": np.concatenate([p[3] for p in parts]),
-                "rep": rep[row],
-                "fp": fps[row].view(np.int64),
+                "fp": fps[np.concatenate([p[1] for p in parts])].view(np.int64),
             }
 
         return step
 
-    dealt = map_batches(points, ["rep", "fp"], deal, "block int, leaf int, home boolean, rep long, fp long")
-    dealt = materialize(dealt)
-    sizes = dealt.groupBy("block", "leaf").agg(
+    dealt = materialize(map_batches(points, ["fp"], deal, "block int, leaf long, home boolean, fp long"))
+    sizes = materialize(dealt.groupBy("block", "leaf").agg(
         F.ceil(F.sum(F.col("home").cast("int")) / HOME_CHUNK).alias("homes"), F.ceil(F.count("*") / MEMBER_CHUNK).alias("chunks")
-    )
-    # a row for each leaf of trees whose depth the sample bounds
-    sized = dealt.join(F.broadcast(sizes), ["block", "leaf"]).where("homes > 0")
+    ))
+    sized = dealt.join(small(sizes), ["block", "leaf"]).where("homes > 0")
     spread = F.pmod(F.xxhash64("fp"), F.col("homes")).alias("i"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).alias("j")
     as_home = sized.where("home").select(
-        "block", "leaf", spread[0], F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), F.lit(True).alias("home"), "rep", "fp"
+        "block", "leaf", spread[0], F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), F.lit(True).alias("home"), "fp"
     )
     as_member = sized.select(
-        "block", "leaf", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("i"), spread[1], F.lit(False).alias("home"), "rep", "fp"
+        "block", "leaf", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("i"), spread[1], F.lit(False).alias("home"), "fp"
     )
 
     def compare(key, table):
@@ -230,20 +239,25 @@ def links(points: DataFrame, radius: int = 4, blocks: int = 3, leaf: int = LEAF)
 
     tasks = as_home.unionByName(as_member)
     found = materialize(tasks.groupBy("block", "leaf", "i", "j").applyInArrow(compare, "src long, dst long"))
-    discard(dealt)
+    discard(dealt, sizes)
     return found
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF
 ) -> DataFrame:
     """``(id, fp, component_id)``: one row per row; component_id is the smallest id reachable by links."""
     marked = materialize(fingerprints(docs, width, id_col, text_col))
-    points = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("rep")).where("rep is not null"))
-    found = links(points, radius)
-    parts = connected_components(found)
-    classes = points.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = materialize(classes.select("fp", F.coalesce("component", "rep").alias("component_id")))
+    named = marked.where(F.col(id_col).isNotNull())
+    points = materialize(named.groupBy("fp").agg(F.min(id_col).alias("rep")))
+    found = links(points.select("fp"), radius, leaf=leaf)
+    # an id with several fingerprints links them
+    several = named.groupBy(id_col).agg(F.min("fp").alias("dst"), F.max("fp").alias("top")).where("dst < top").drop("top")
+    same = named.join(several, id_col).select(F.col("fp").alias("src"), "dst").where("src <> dst").distinct()
+    parts = connected_components(found.unionByName(same)).withColumnRenamed("node", "fp")
+    placed = points.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = materialize(placed.join(smallest, "component").select("fp", "component_id"))
     discard(points, found)
     return marked.join(classes, "fp", "left").select(id_col, "fp", "component_id")
 
