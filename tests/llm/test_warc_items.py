@@ -1,4 +1,8 @@
+import gzip
 import random
+import time
+import zlib
+from html.parser import HTMLParser
 
 import duckdb
 
@@ -16,17 +20,94 @@ def test_plain_text():
     assert len(warc.plain_text("<" * 20000 + '<a "' * 2000)) > 0
 
 
+SHAPES = ["<script>", "<!--", "<title>", "<a ", "<html ", "<![CDATA[", "<a \"", "<a '\">", "<a \"'>", "</script ", "<svg\t", "<", "&#9", "<a href=", "<p x=\"<p y='", "a='\" ", "<style><!--<a href='"]
+
+
+def test_pages_are_read_in_linear_time():
+    for shape in SHAPES:
+        for page in (shape * (2_000_000 // len(shape)), shape * (1_000_000 // len(shape)) + ">", "<a href='" + shape * (1_000_000 // len(shape)) + "'>"):
+            began = time.process_time()
+            warc.Page(page)
+            assert time.process_time() - began < 4, (shape, len(page))
+
+
+def test_attributes_and_entities():
+    page = warc.Page("<HTML data-lang=x LANG = 'de-AT'><a title='<a href=no>' HREF=yes>1</a><a>2</a><!-- <a href=hidden> --><a href=\"p &amp;\nq\">3</a>&#" + "9" * 5000 + ";&#0000065;")
+    assert (page.language, page.links, page.title) == ("de-AT", ["yes", "p & q"], None)
+    assert page.text == "123\ufffdA"
+
+
+class Reader(HTMLParser):
+    """Text by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.hidden = [], None
+
+    def handle_starttag(self, tag, attrs):
+        if self.hidden is None and tag in warc.HIDDEN:
+            self.hidden = tag
+        elif self.hidden is None and tag in warc.BLOCKS:
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag == self.hidden:
+            self.hidden = None
+        elif self.hidden is None and tag in warc.BLOCKS:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if self.hidden is None:
+            self.out.append(data)
+
+
+def test_text_is_that_of_the_librarys_parser(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        reader = Reader()
+        reader.feed(r.html or "")
+        reader.close()
+        lines = (" ".join(x.split()) for x in "".join(reader.out).split("\n"))
+        assert warc.plain_text(r.html or "") == "\n".join(x for x in lines if x)
+
+
+def test_encoded_bodies():
+    text = b"<html lang=en><title>T</title><p>hello</p></html>"
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(part), part) for part in (text[:20], text[20:])) + b"0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    bodies = {
+        "Content-Encoding: gzip": gzip.compress(text),
+        "Content-Encoding: deflate": zlib.compress(text),
+        "content-encoding: Deflate": raw.compress(text) + raw.flush(),
+        "Transfer-Encoding: chunked": chunked,
+        "Transfer-Encoding: chunked\r\nX: joined already": text,
+        "Content-Type: text/html; charset=undefined": text,
+        "Content-Encoding: gzip\r\nTransfer-Encoding:\r\n chunked": b"%x\r\n%s\r\n0\r\n\r\n" % (len(z := gzip.compress(text)), z),
+    }
+    for headers, body in bodies.items():
+        block = b"HTTP/1.1 200 OK\r\n" + headers.encode() + b"\r\nSet-Cookie: a\r\nSet-Cookie: b\r\n\r\n" + body
+        record = warc.serialized([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Concurrent-To", "<1>"), ("WARC-Concurrent-To", "<2>"), ("WARC-Payload-Digest", warc.sha1(body))], block)
+        meta, conversion = (dict(zip(warc.NAMES, row, strict=True)) for row in warc.derived(record))
+        assert conversion["content"] == "T\nhello" and meta["digest_ok"], headers
+        assert "http-header-set-cookie: a\r\nhttp-header-set-cookie: b\r\n" in meta["content"] and "title: T\r\nlanguage: en\r\n" in meta["content"]
+    for headers, body in {"Content-Encoding: br": text, "Content-Encoding: gzip": b"nonsense"}.items():
+        block = b"HTTP/1.1 200 OK\r\n" + headers.encode() + b"\r\n\r\n" + body
+        assert [r[0] for r in warc.derived(warc.serialized([("WARC-Type", "response")], block))] == ["invalid"]
+
+
 def test_derivatives(spark):
     pages = spark.createDataFrame([(1, "http://a/\n b", PAGE, "x"), (2, None, None, "y"), (3, "http://é", "日本" * 9000, "z"), (1, "http://a/\n b", PAGE, "x")], "page_id long, url string, html string, record string")
     responses = warc.responses(pages)
     rows = [r.asDict() for r in warc.derive(responses).collect()]
-    assert len(rows) == 8
+    assert len(rows) == 8 and len({r["record_id"] for r in rows}) == 8 and len({r["refers_to"] for r in rows}) == 4
+    assert sorted(map(tuple, warc.derive_pages(pages).collect())) == sorted(map(tuple, warc.derive(responses).collect()))
+    by_id = {warc.parse(bytes(x.record))[0]["warc-record-id"]: x.record for x in responses.collect()}
+    assert all(" " not in r["target_uri"] for r in rows)
     for r in rows:
-        source = next(x.record for x in responses.collect() if x.page_id == r["page_id"])
+        source = by_id[r["refers_to"]]
         headers, block = warc.parse(bytes(source))
         assert r["refers_to"] == headers["warc-record-id"] and r["target_uri"] == headers["warc-target-uri"] and r["warc_date"] == headers["warc-date"]
         assert r["source_block_digest"] == headers["warc-block-digest"] == warc.sha1(block) and r["digest_ok"]
-        other = next(x for x in rows if x["page_id"] == r["page_id"] and x["record_type"] != r["record_type"])
+        other = next(x for x in rows if x["refers_to"] == r["refers_to"] and x["record_type"] != r["record_type"])
         assert r["concurrent_to"] == other["record_id"]
         again, content = warc.parse(warc.record_of(r))
         assert content.decode() == r["content"] and again["warc-refers-to"] == r["refers_to"] and again["warc-block-digest"] == warc.sha1(content)

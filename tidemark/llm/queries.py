@@ -40,7 +40,7 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derive(warc.responses(read(spark, sf_dir, "pages")))
+    return warc.derive_pages(read(spark, sf_dir, "pages"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
