@@ -152,6 +152,7 @@ def test_repeats_against_all_runs(spark):
     passage, circle = words(rnd, 70), ["round", "and"] * 90
     extra = [" ".join(words(rnd, rnd.randint(0, 60)) + passage[rnd.randint(0, 15) : 70 - rnd.randint(0, 8)] + words(rnd, rnd.randint(0, 60))) for _ in range(25)]
     extra += [" ".join(words(rnd, 9) + circle + words(rnd, 5)), " ".join(circle[1:121]), " ".join(["spam"] * 200), " ".join(["spam"] * 51)]
+    extra += ["\n\t" + " ".join(passage), "\xa0" + " ".join(passage) + "\n"]  # nothing is left of these but white space
     extra += [" ".join(passage[:49]), " ".join(words(rnd, 20) + passage + words(rnd, 3) + passage)]
     df = corpus(spark, extra)
     rows = {r.doc_id: r.text for r in df.collect()}
@@ -254,3 +255,9 @@ def test_vectors_of_many_lengths(spark, monkeypatch):
     rows = [(k, [1.0] * (1 + k % 5) + [0.0], k % 2) for k in range(60)]
     got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), leaf=2).collect()
     assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(k, 5, k % 10) for k in range(60)}
+
+
+def test_spans_are_joined_where_they_touch(spark):
+    spans = [(1, 0, 50, 7), (1, 50, 90, 3), (1, 91, 95, 9), (1, 10, 20, 2), (1, 93, 94, 8), (2, 5, 60, 1), (2, 5, 70, 4)]
+    got = suffixes.merged(spark.createDataFrame(spans, "doc long, start int, end int, other long"))
+    assert sorted((r.doc, r.start, r.end, r.other) for r in got.collect()) == [(1, 0, 90, 2), (1, 91, 95, 8), (2, 5, 70, 1)]

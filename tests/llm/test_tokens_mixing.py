@@ -75,3 +75,10 @@ def test_mixing_large_means_null_sources_and_empty(spark):
     assert got.count() == pytest.approx(50 * 130, rel=0.1)
     assert got.where("source is null").count() == pytest.approx(5 * 130, rel=0.2)
     assert mixing.mix_sources(empty(spark)).count() == 0
+
+
+def test_rows_without_id_spread_by_their_texts(spark):
+    df = spark.createDataFrame([(None, f"text {i}", "a") for i in range(200)] + [(None, None, "a")], "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, scale=3.0, alpha=1.0).collect()
+    assert len({r.shuffle_key for r in got}) == len(got) and 450 < len(got) < 750
+    assert len({r.text for r in got}) > 150

@@ -69,7 +69,7 @@ def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete materialized tables that no result to come depends on."""
+    """Delete materialized tables that no result to come depends on; those already deleted do no harm."""
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)

@@ -7,12 +7,13 @@ document id; it is repeated count times and all copies are dealt out in the
 order of another hash. Only DataFrame functions are used; per-source tables
 have one row a source, and the sum over all sources is one number.
 
-Defined results: null sources form one source of their own; a null id hashes as
-the empty string; a null text has no mass but may be drawn (unit "docs" counts
-it); rows that repeat an id repeat its draw; sources of no mass or of weight
-zero, and those that ``targets`` doesn't name, are dropped; an empty table
-gives an empty result. Other columns are carried along; columns named as the
-two that are added give way to them.
+Defined results: null sources form one source of their own; a row without id
+hashes as its text's MD5 (nothing for a null text), so such rows draw and
+spread each by its text; a null text has no mass but may be drawn (unit "docs"
+counts it); rows that repeat an id repeat its draw; sources of no mass or of
+weight zero, and those that ``targets`` doesn't name, are dropped; an empty
+table gives an empty result. Other columns are carried along; columns named as
+the two that are added give way to them.
 """
 
 from __future__ import annotations
@@ -95,10 +96,11 @@ def mix_sources(
     rates = materialize(rates.select(F.col("source").alias("__source"), parts.alias("__parts"), cdf.alias("__cdf")))
     kept = docs.drop("copy", "shuffle_key")
     columns = kept.columns
+    named = F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary")), F.lit(""))
     draws = F.aggregate(
         F.sequence(F.lit(1), F.col("__parts")),
         F.lit(0),
-        lambda n, j: n + F.size(F.filter("__cdf", lambda c: c <= uniform(seed, F.col(id_col), j))),
+        lambda n, j: n + F.size(F.filter("__cdf", lambda c: c <= uniform(seed, named, j))),
     )
     drawn = (
         kept.join(rates, F.col(source_col).eqNullSafe(F.col("__source")))
@@ -106,5 +108,5 @@ def mix_sources(
         .where("__count > 0")
         .select(*columns, F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("copy"))
     )
-    key = hashed(F.lit(seed + "/order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string"))
+    key = hashed(F.lit(seed + "/order"), named, F.col("copy").cast("string"))
     return drawn.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

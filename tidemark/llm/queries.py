@@ -108,10 +108,11 @@ FROM documents d JOIN e ON d.doc_id = e.doc_id
     "op9_decontamination": r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
 b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
-bs AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM b)),
+i AS (SELECT item_id, ws, least(len(ws), 5) AS w FROM b WHERE len(ws) > 0),
+ds AS (SELECT DISTINCT doc_id, w, array_to_string(ws[i:i + w - 1], ' ') AS s FROM (SELECT doc_id, w, ws, unnest(range(1, len(ws) - w + 2)) AS i FROM d, (SELECT DISTINCT w FROM i))),
+bs AS (SELECT DISTINCT item_id, w, array_to_string(ws[i:i + w - 1], ' ') AS s FROM (SELECT item_id, w, ws, unnest(range(1, len(ws) - w + 2)) AS i FROM i)),
 n AS (SELECT item_id, CAST(count(*) AS INTEGER) AS n_shingles FROM bs GROUP BY item_id),
-m AS (SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+m AS (SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS n_shared FROM ds JOIN bs USING (w, s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_shingles, CAST(n_shared AS DOUBLE) / n_shingles AS containment
 FROM m JOIN n USING (item_id) WHERE n_shared >= n_shingles * 0.8 - 1e-9
 """,

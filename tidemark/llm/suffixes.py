@@ -20,9 +20,13 @@ each range's ends are compared in a step of their own. Lookups take minima
 that are combined before the shuffle, and joins that can be split.
 
 Defined results: null, empty and shorter texts have no passages; rows that
-repeat an id are the same document; runs that repeat within one text count from
-their second occurrence on; an empty table gives an empty result. Only the two
-named columns are read.
+repeat an id are the same document, whose spans are those of all its texts; a
+row without id has no passages and is left as it is; runs that repeat within one
+text count from their second occurrence on; a word counts as repeated exactly if
+it is in a run of MIN_WORDS words that also stands at a smaller (id, position),
+so a first occurrence stays whole, and a repeat of fewer words, or with a word
+changed every MIN_WORDS words, is none; an empty table gives an empty result.
+Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, map_batches, materialize, small
@@ -146,8 +150,9 @@ def retained(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def contexts(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The words around each suffix of ``shared(id, pos, key)`` as 4-byte hashes: ``after``
     from the suffix on, ``before`` going back from it."""
-    wanted = shared.groupBy(id_col).agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    texts = docs.select(id_col, text_col).join(wanted, id_col)
+    # of a text as many as it has minimisers
+    wanted = materialize(shared.groupBy(id_col).agg(F.array_sort(F.collect_set("pos")).alias("at")))
+    texts = docs.select(id_col, text_col).join(small(wanted), id_col)
 
     def work():
         known, powers = WordHashes(), Powers()
@@ -310,31 +315,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def merged(spans: DataFrame) -> DataFrame:
     """Spans of each document joined where they overlap or touch; at most its length in spans."""
-    listed = spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end", "other"))).alias("spans"))
-    kind = "array<struct<start:int,end:int,other:bigint>>"
-
-    def add(acc, x):
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), F.least(last["other"], x["other"]).alias("other"))
-        rest = F.slice(acc, 1, F.size(acc) - 1)
-        return (
-            F.when(F.size(acc) == 0, F.array(x))
-            .when(x["start"] <= last["end"], F.concat(rest, F.array(grown)))
-            .otherwise(F.concat(acc, F.array(x)))
-        )
-
-    first = F.slice("spans", 1, 0).cast(kind)
-    return listed.select("doc", F.explode(F.aggregate("spans", first, add)).alias("s")).select("doc", "s.*")
+    starts = spans.groupBy("doc", "start").agg(F.max("end").alias("end"), F.min("other").alias("other"))
+    own = Window.partitionBy("doc").orderBy("start")
+    reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = starts.withColumn("__new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    islands = fresh.withColumn("__island", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy("doc", "__island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other")).drop("__island")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` without the words of the spans and the white space after each of them."""
+    """``text`` without the words of the spans and the white space after each of them; empty if no word is left."""
     at = [m.start() for m in re.finditer(r"\S+", text)] + [len(text)]
     out, done = [], 0
     for start, end in spans:
         out.append(text[done : at[start]])
         done = at[min(end, len(at) - 1)]
-    return "".join(out) + text[done:]
+    left = "".join(out) + text[done:]
+    return left if left.strip() else ""
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
@@ -343,7 +340,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``size_col``, if the table has it, gets the new text's length."""
     spans = repeats(docs, id_col, text_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
     spans = materialize(spans)
-    joined = docs.join(small(spans.withColumnRenamed(id_col, "__id"), 200_000), docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")
+    joined = docs.join(small(spans.withColumnRenamed(id_col, "__id")), docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")
 
     @F.pandas_udf("string")
     def shortened(texts, lists):
@@ -355,4 +352,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = joined.withColumn(text_col, F.when(hit, changed).otherwise(F.col(text_col)))
     if size_col in docs.columns:
         out = out.withColumn(size_col, F.when(hit, F.length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
-    return out.where(~hit | (F.trim(text_col) != "")).select(*docs.columns)
+    return out.where(~hit | (F.col(text_col) != "")).select(*docs.columns)
