@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions import paths as P
-from tidemark.operators import asof, bars, book, fx, ladder, order, portfolio, replay
+from tidemark.operators import asof, bars, book, fx, ladder, order, portfolio, replay, report
 from tidemark.sources import feeds
 from tidemark.sources import series as stored
+from tidemark.sources.shared import shared_path
 from tidemark.streaming import fuzzy, state, streams, values
 
 T0 = dt.datetime(2018, 11, 23, 23, 53)
@@ -39,6 +40,18 @@ def test_anchored_bars(spark):
     got = bars.anchored_bars(t, 5 * 60_000_000).orderBy("ts").collect()
     assert [(r.open, r.close) for r in got] == [(1, 2), (3, 3), (4, 4)]  # a tick at exactly one step stays
     assert bars.anchored_bars(t, 5 * 60_000_000, keep_last=False).count() == 2
+    rnd = random.Random(1)
+    minutes = sorted(rnd.randint(0, 9000) for _ in range(600))
+    many = ticks(spark, [(m, rnd.randint(1, 99)) for m in minutes]).repartition(3)
+    want, start = [], None
+    for r in many.orderBy("ts", "seqid").collect():
+        if start is None or (r.ts - start).total_seconds() > 1800:
+            start = r.ts
+            want.append([start, r.price, r.price, r.price, r.price])
+        else:
+            want[-1][2:] = [max(want[-1][2], r.price), min(want[-1][3], r.price), r.price]
+    got = bars.anchored_bars(many, 1_800_000_000).orderBy("ts").collect()
+    assert [[r.ts, r.open, r.high, r.low, r.close] for r in got] == want
 
 
 def test_dedupes_differ(spark):
@@ -211,6 +224,46 @@ def test_positions_against_the_model(spark):
         assert (r.entry is None) == (entry is None) and (entry is None or r.entry == pytest.approx(entry, rel=1e-9))
 
 
+def test_positions_that_never_cross_zero(spark):
+    """A running product of the shares that are left would come to nothing."""
+    fills = [("buy", 1.0, 100.0)] + [(("buy", "sell")[i % 2], 1.0, 50.0 + i % 23) for i in range(5000)]
+    df = spark.createDataFrame([(1, at(i * 400), i, *f) for i, f in enumerate(fills)], "account int, ts timestamp_ntz, i int, side string, size double, price double")
+    got = portfolio.position_series(df, ["account"], ["ts", "i"]).orderBy("i").collect()
+    assert df.selectExpr("max(year(ts)) - min(year(ts)) AS y").first().y >= 3
+    for r, (pos, entry, gain) in zip(got, position_model(fills), strict=True):
+        assert r.position == pos and r.entry == pytest.approx(entry, rel=1e-9) and r.realized == pytest.approx(gain, abs=1e-6)
+
+
+def test_equity_after_each_change(spark):
+    rnd = random.Random(8)
+    changes = [(a, rnd.choice("xyz"), at(rnd.randint(0, 3000)), i, float(rnd.randint(-3, 3))) for i, a in enumerate([1] * 60 + [2] * 30)]
+    prices = [(c, at(m), float(rnd.randint(1, 9))) for c in "xy" for m in sorted(rnd.sample(range(100, 3000), 40))]
+    got = portfolio.equity_curve(spark.createDataFrame(changes, "account int, asset string, ts timestamp_ntz, i int, delta double"), spark.createDataFrame(prices, "asset string, ts timestamp_ntz, price double"), ["account"], ["ts", "i"])
+    want = {}
+    for account, _, ts, i, _ in changes:
+        held = {}
+        for a, c, t, j, d in changes:
+            if a == account and (t, j) <= (ts, i):
+                held[c] = held.get(c, 0) + d
+        last = {c: max(((t, p) for x, t, p in prices if x == c and t <= ts), default=(None, 0.0))[1] for c in held}
+        want[account, i] = sum(held[c] * last[c] for c in held)
+    assert {(r.account, r.i): r.equity for r in got.collect()} == pytest.approx(want)
+
+
+def test_chains_of_any_length(spark):
+    m = spark.createDataFrame([("x", f"a{i}", f"a{i + 1}", 2.0) for i in range(9)], "exchange string, base string, quote string, price double")
+    got = {r.asset: (r.n_hops, r.rate) for r in fx.rates_to(m, "a9").collect()}
+    assert got == {f"a{i}": (9 - i, 2.0 ** (9 - i)) for i in range(10)}
+
+
+def test_spreads_of_fine_quantities(spark):
+    schema = "k int, side string, price double, qty double"
+    left = spark.createDataFrame([(0, "ask", 10.0, 0.004), (0, "ask", 11.0, 0.004), (0, "bid", 8.0, 0.00000003), (0, "bid", 7.0, 0.0)], schema)
+    right = spark.createDataFrame([(0, "bid", 9.0, 0.008), (0, "ask", 12.0, 0.00000001), (0, "ask", 13.0, 0.1)], schema)
+    got = sorted((r.side, r.price, r.qty) for r in ladder.ladder_spread(left, right, ["k"]).collect())
+    assert got == [("ask", 1.0, 0.004), ("ask", 2.0, 0.004), ("bid", -5.0, 0.00000002), ("bid", -4.0, 0.00000001)]
+
+
 def test_rates_pegs_inverse_unreachable_and_ties(spark):
     m = spark.createDataFrame(
         [("x", "eth", "btc", 0.03), ("x", "btc", "usdt", 4000.0), ("x", "eur", "usd", 1.25), ("y", "ltc", "aaa", 2.0), ("x", "aaa", "usd", 10.0), ("x", "ltc", "btc", 0.01), ("z", "lost", "found", 1.0)],
@@ -261,41 +314,74 @@ def test_feed_quarantine(spark):
     assert sorted(r.error for r in bad.collect()) == ["no message", "no number", "no sequence", "unknown type"]
 
 
+MINUTE = 60_000_000
+
+
+def play(events, late=MINUTE, forget=2 * MINUTE):
+    """Row-at-a-time model of the out-of-order book: outcomes of (order, time, event) in order of arrival."""
+    clock, alive, gone, out = None, {}, {}, []
+    for order_id, ts, event in events:
+        if order_id in gone and clock is not None and gone[order_id] < clock - forget:
+            del gone[order_id]
+        if clock is not None and clock - ts > late:
+            out.append("late")
+        elif order_id in gone:
+            out.append("already removed")
+        elif order_id not in alive:
+            out.append("accepted" if event == "create" else "unknown order")
+            if event == "create":
+                alive[order_id] = ts
+            elif event == "delete":
+                gone[order_id] = ts
+        elif event == "create":
+            out.append("already active")
+        elif ts <= alive[order_id]:
+            out.append("outdated")
+        else:
+            out.append("accepted")
+            alive[order_id] = ts
+            if event == "delete":
+                gone[order_id] = alive.pop(order_id)
+        clock = ts if clock is None else max(clock, ts)
+    return out
+
+
 def test_fuzzy_rules():
-    b = fuzzy.Book()
-    m = 60_000_000
-    assert b.put(1, 5 * m, 10.0, 2.0, "bid") == ("create", "accepted")
-    assert b.put(1, 5 * m, 10.0, 2.0, "bid") == ("create", "already active")
-    assert b.put(1, 5 * m, None, 3.0, None) == ("change", "outdated")
-    assert b.put(1, 5 * m + 1, None, 3.0, None) == ("change", "accepted")
-    assert b.put(1, 5 * m + 1, None, 4.0, None) == ("change", "outdated")
-    assert b.put(2, 4 * m - 1, 1.0, 1.0, "ask") == ("create", "late")
-    assert b.put(1, 6 * m, None, None, None) == ("delete", "accepted")
-    assert b.put(1, 6 * m, 1.0, 1.0, "bid") == ("create", "already removed")
-    assert b.put(3, 6 * m, None, None, None) == ("delete", "unknown order")
-    assert b.put(4, 9 * m, 1.0, 1.0, "ask") == ("create", "accepted")
-    assert b.forget() == [1, 3] and list(b.orders) == [4]
+    m = MINUTE
+    steps = [
+        (1, 5 * m, "create", "accepted"), (1, 5 * m, "create", "already active"), (1, 5 * m, "change", "outdated"), (1, 5 * m + 1, "change", "accepted"),
+        (2, 4 * m, "create", "late"), (1, 6 * m, "delete", "accepted"), (1, 6 * m, "create", "already removed"), (3, 6 * m, "delete", "unknown order"),
+        (4, 9 * m, "create", "accepted"), (3, 9 * m, "create", "accepted"), (5, 9 * m, "change", "unknown order"),
+    ]
+    clock, known = None, {}
+    for order_id, ts, event, outcome in steps:
+        got, known[order_id] = fuzzy.judged(known.get(order_id), event, ts, clock, m, 2 * m)
+        assert got == outcome, (order_id, ts, event)
+        clock = max(clock or 0, ts)
+    assert play([x[:3] for x in steps]) == [x[3] for x in steps]
 
 
 def test_fuzzy_stream_is_the_model(spark, tmp_path):
     rnd = random.Random(2)
     rows = []
-    for i in range(400):
+    for i in range(600):
         kind = rnd.random()
         price, size, side = (1.0, 2.0, "bid") if kind < 0.5 else (None, 3.0, None) if kind < 0.75 else (None, None, None)
-        rows.append((i % 2, rnd.randint(0, 40), i, at(i / 60 - rnd.choice([0, 0, 0, 2])), price, size, side))
+        rows.append((i % 2, rnd.randint(0, 40), i, at(i / 60 - rnd.choice([0, 0, 0, 0.3, 2])), price, size, side))
     schema = "topic int, order_id long, seq long, ts timestamp, price double, size double, side string"
     df = spark.createDataFrame(rows, schema)
-    df.repartition(1).write.parquet(str(tmp_path / "in"))
-    out = streams.drained(fuzzy.fuzzy_book(streams.stream_series(spark, str(tmp_path / "in"), df.schema)))
-    got = sorted((r.topic, r.order_id, r.ts, r.event, r.outcome) for r in out.collect())
-    want = []
+    folder = fuzzy.in_arrival_order(df, 4)
+    fuzzy.clocked(streams.stream_series(spark, folder, df.schema, each=1), str(tmp_path / "clocked"), str(tmp_path / "cp"), 50)
+    whole = spark.read.parquet(str(tmp_path / "clocked" / "batch=0")).schema
+    out = streams.drained(fuzzy.fuzzy_book(streams.stream_series(spark, str(tmp_path / "clocked"), whole, each=2)))
+    got = {r.seq: r.outcome for r in out.collect()}
+    want = {}
     for topic in (0, 1):
-        b = fuzzy.Book()
-        for r in sorted((r for r in rows if r[0] == topic), key=lambda r: (r[3], r[2])):
-            micros = int((r[3] - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1))
-            want.append((topic, r[1], r[3], *b.put(r[1], micros, *r[4:])))
-    assert got == sorted(want)
+        mine = [r for r in rows if r[0] == topic]
+        event = lambda r: "create" if r[4] else "change" if r[5] else "delete"
+        times = [int((r[3] - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1)) for r in mine]
+        want |= dict(zip([r[2] for r in mine], play([(r[1], t, event(r)) for r, t in zip(mine, times, strict=True)]), strict=True))
+    assert got == want and set(want.values()) == {"late", "outdated", "accepted", "unknown order", "already active", "already removed"}
 
 
 def test_ingest_restarts_without_repeats(spark, tmp_path):
@@ -316,32 +402,89 @@ def test_liveness_and_state(spark):
     assert {r.bot: r.payload for r in got.collect()} == {"a": "y", "b": "w"}
 
 
+def test_patterns_and_paths_that_are_patterns(spark):
+    schema = "source string, topic string, datatype string"
+    rules = spark.createDataFrame([("a", "x", "t", 1), ("*", "y", "t", 2), ("b", "*", "*", 3)], f"{schema}, rule int")
+    rows = spark.createDataFrame([("a", "x", "t"), ("a", "y", "t"), ("b", "y", "t"), ("c", "z", "t"), ("a", "*", "t"), ("*", "*", "*")], schema)
+    got = {tuple(r)[:3]: r.rule for r in P.pattern_join(rows, rules, "rule").collect()}
+    assert got == {("a", "x", "t"): 1, ("a", "y", "t"): 2, ("b", "y", "t"): 2, ("a", "*", "t"): 1, ("*", "*", "*"): 1}
+    assert P.enabled_paths(rows, rules).count() == 5 and P.resolve_pattern(rows, rules).count() == 3
+
+
+def test_hot_series_are_many_tasks(spark, tmp_path):
+    """One series of nearly all rows is dealt out by days, and the store's files by position."""
+    hot = spark.range(40_000).select(F.lit("s").alias("source"), F.when(F.col("id") % 50 == 0, "cold").otherwise("hot").alias("topic"), F.lit("trades").alias("datatype"),
+        F.expr("timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 10)").alias("ts"), F.col("id").alias("seqid"), F.lit(1).cast("long").alias("bundle"), F.col("id").cast("double").alias("price"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        before = order.with_previous(hot.where("topic = 'hot'"), order.PATH, ["ts", "seqid"], ["price"])
+        sizes = [r["count"] for r in before.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
+        stored.write_series(hot, str(tmp_path / "s"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    files = spark.read.parquet(str(tmp_path / "s")).where("topic = 'hot' and date = '2020-01-02'").groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 1
+    path = stored.read_series(spark, str(tmp_path / "s"), "s", "hot", "trades", dt.datetime(2020, 1, 1, 2), dt.datetime(2020, 1, 1, 3))
+    plan = path._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "topic#" in plan.split("PartitionFilters")[1] and path.count() == 353
+
+
+def test_symbols_must_be_unambiguous(spark):
+    rows = spark.createDataFrame([("x", "btc", at(1), 1.0), ("x", "btc", at(2), 2.0), ("y", "eth", at(1), 3.0)], "exchange string, symbol string, ts timestamp_ntz, price double")
+    assert {r.symbol: r.price for r in order.latest_price(rows, ["ts"]).collect()} == {"btc": 2.0, "eth": 3.0}
+    with pytest.raises(Exception, match="ambiguous symbol: btc"):
+        order.latest_price(rows.union(spark.createDataFrame([("z", "btc", at(3), 4.0)], rows.schema)), ["ts"]).collect()
+
+
+def test_panels_take_one_series():
+    assert report.concrete("a/b/c") == ("a", "b", "c")
+    for path in ("a/*/c", "a/b", "a//c"):
+        with pytest.raises(ValueError):
+            report.concrete(path)
+
+
+def test_runs_and_grids(spark):
+    assert C.run_range("live", 7) == (7, None) and C.run_range("paper:1s", 5_000_000) == (4_000_000, None) and C.run_range("backtest", 7, (1, 2)) == (1, 2)
+    for mode in ("backtest", "live:1h", "dance"):
+        with pytest.raises(ValueError):
+            C.run_range(mode, 7)
+    a, b = F.lit(at(0)).cast("timestamp_ntz"), F.lit(at(120)).cast("timestamp_ntz")
+    sizes = spark.range(1).select(F.size(C.tick_grid(a, b, "1 hour")), F.size(C.tick_grid(a, b, "1 hour", True)), F.size(C.tick_grid(b, a, "1 hour"))).first()
+    assert tuple(sizes) == (2, 3, 0)
+
+
+def test_store_on_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        shared_path(Session(), "x")
+
+
 def test_plans_have_no_cartesian_product(spark):
     t = ticks(spark, [(1, 1)])
     plan = asof.asof_join(t.select("topic", "ts", "seqid"), t, ["topic"], "price")._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-def test_snapshots_reconcile():
-    b, s = fuzzy.Book(), 1_000_000
-    b.put(1, 100 * s, 10.0, 1.0, "bid")
-    b.put(2, 115 * s, 10.0, 1.0, "bid")
-    shot = {7: (9.0, 1.0, "ask"), 8: (9.0, 1.0, "ask")}
-    assert b.reconcile(120 * s, shot) == [(1, "lingering", "accepted")]  # 2 is too fresh, 7 and 8 only suspects
-    assert b.reconcile(120 * s, shot) == [] and b.reconcile(90 * s, shot) == []
-    assert b.reconcile(121 * s, {8: (9.0, 1.0, "ask"), 9: (1.0, 1.0, "ask")}) == [(8, "missed", "accepted")]
-    assert b.reconcile(122 * s, {7: (9.0, 1.0, "ask"), 8: (9.0, 1.0, "ask"), 2: (10.0, 1.0, "bid")}) == []
-    assert sorted(k for k, v in b.orders.items() if v[1]) == [2, 8]
-
-
-def test_snapshots_in_the_stream(spark, tmp_path):
-    at_s = lambda s: T0 + dt.timedelta(seconds=s)
-    rows = [(1, 5, 0, at_s(0), 1.0, 2.0, "bid", False), (1, 6, 1, at_s(30), 1.0, 2.0, "ask", True), (1, 6, 2, at_s(31), 1.0, 2.0, "ask", True)]
-    df = spark.createDataFrame(rows, "topic int, order_id long, seq long, ts timestamp, price double, size double, side string, snapshot boolean")
-    df.write.parquet(str(tmp_path / "in"))
-    out = streams.drained(fuzzy.fuzzy_book(streams.stream_series(spark, str(tmp_path / "in"), df.schema)))
-    got = sorted((r.order_id, r.event, r.outcome) for r in out.collect())
-    assert got == [(5, "create", "accepted"), (5, "lingering", "accepted"), (6, "missed", "accepted")]
+def test_snapshots_reconcile(spark):
+    sec = lambda n: T0 + dt.timedelta(seconds=n)
+    shots = [(0, sec(t), i) for t, ids in ((100, [1, 7]), (120, [7, 8]), (121, [8, 9, 2])) for i in ids]
+    known = [(0, 1, sec(100), True), (0, 2, sec(115), True), (0, 3, sec(115), True), (0, 4, sec(100), False), (0, 9, sec(1), False)]
+    snapshots = spark.createDataFrame(shots, "k int, ts timestamp, order_id long")
+    got = book.reconciled(spark.createDataFrame(known, "k int, order_id long, ts timestamp, alive boolean"), snapshots, ["k"])
+    # 3 is too fresh, 7 has gone again, 9 is known as gone, 2 is there
+    assert sorted((r.order_id, r.correction) for r in got.collect()) == [(1, "lingering"), (8, "missed")]
 
 
 def test_named_values():

@@ -19,7 +19,8 @@ def micros(ts: Column | str) -> Column:
 
 
 def from_micros(n: Column | str) -> Column:
-    return F.timestamp_micros(col(n))
+    """The time of epoch microseconds, without zone."""
+    return F.timestamp_micros(col(n)).cast("timestamp_ntz")
 
 
 def iso_micros(text: Column | str) -> Column:
@@ -81,6 +82,18 @@ def side_of(size: Column | str) -> Column:
     return F.when(col(size) > 0, "buy").otherwise("sell")
 
 
+def signed_size(side: Column | str, size: Column | str) -> Column:
+    """The size, below zero for a sell; the reverse of ``side_of`` and the absolute value."""
+    return F.when(col(side) == "buy", col(size)).otherwise(-col(size))
+
+
+def tick_grid(start: Column, end: Column, step: str, inclusive: bool = False) -> Column:
+    """Array of times from ``start`` by ``step``, up to but without ``end`` (``inclusive``: with it)."""
+    times = F.when(start <= end, F.sequence(start, end, F.expr(f"INTERVAL {step}")))
+    times = F.coalesce(times, F.array().cast("array<timestamp_ntz>"))
+    return times if inclusive else F.filter(times, lambda t: t < end)
+
+
 def checked_sum(a: Column, unit_a: Column, b: Column, unit_b: Column) -> Column:
     """a + b, an error if their units differ."""
     fits = F.assert_true(unit_a.eqNullSafe(unit_b), F.concat_ws(" ", F.lit("units differ:"), unit_a, unit_b))
@@ -97,7 +110,19 @@ def json_kind(value: Column, key: str = "") -> Column:
     if key in ("time", "micros"):
         return F.lit("time")
     kind = F.schema_of_variant(F.parse_json(value))
-    return F.when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), "number").when(kind == "STRING", "string").otherwise("string")
+    return F.when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), "number").otherwise("string")
+
+
+def run_range(mode: str, now_micros: int, closed: tuple[int, int] | None = None) -> tuple[int, int | None]:
+    """(from, to) of a run: ``live`` and ``paper`` from now on, ``paper:1h`` from a look-back on, without end; ``backtest`` over ``closed``."""
+    name, _, lookback = mode.partition(":")
+    if name == "backtest":
+        if closed is None:
+            raise ValueError("a backtest needs a closed range")
+        return closed
+    if name not in ("live", "paper") or (lookback and name == "live"):
+        raise ValueError(f"unknown mode: {mode}")
+    return (time_range(f"{lookback},now", now_micros)[0] if lookback else now_micros), None
 
 
 def time_range(text: str, now_micros: int) -> tuple[int, int]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import duration_micros
@@ -38,43 +38,51 @@ def path_eq(source: str, topic: str, datatype: str) -> Column:
     return (F.col("source") == source) & (F.col("topic") == topic) & (F.col("datatype") == datatype)
 
 
-def one_way(pattern: str, row: str) -> Column:
-    """Each part of the pattern is ``*`` or equal; ``pattern`` and ``row`` are aliases."""
-    out = F.lit(True)
+def variants(paths: DataFrame) -> DataFrame:
+    """``PARTS`` and all patterns that match them, as ``p_`` columns: each part itself or ``*``."""
+    out = paths
     for p in PARTS:
-        out = out & ((F.col(f"{pattern}.{p}") == "*") | (F.col(f"{pattern}.{p}") == F.col(f"{row}.{p}")))
+        out = out.withColumn(f"p_{p}", F.explode(F.array_distinct(F.array(F.col(p), F.lit("*")))))
     return out
 
 
-def path_matches(a: str, b: str) -> Column:
-    """Either matches the other as a pattern."""
-    return one_way(a, b) | one_way(b, a)
+def matches(paths: DataFrame, patterns: DataFrame, both_ways: bool = False) -> DataFrame:
+    """Pairs of distinct ``paths`` and ``patterns`` that match: ``PARTS``, then the pattern's other columns.
+
+    A path has eight patterns, so this is an equi-join, whatever the number of
+    patterns. ``both_ways``: paths may hold ``*`` as well and match as patterns.
+    """
+    extra = [c for c in patterns.columns if c not in PARTS]
+    named = patterns.select(*[F.col(p).alias(f"p_{p}") for p in PARTS], *extra)
+    found = variants(paths).join(named, [f"p_{p}" for p in PARTS]).select(*PARTS, *extra)
+    if both_ways:
+        turned = variants(patterns).withColumnsRenamed({p: f"x_{p}" for p in PARTS}).drop(*[f"x_{p}" for p in PARTS])
+        wild = paths.where(" or ".join(f"{p} = '*'" for p in PARTS)).select(*[F.col(p).alias(f"p_{p}") for p in PARTS])
+        other = wild.join(turned, [f"p_{p}" for p in PARTS]).select(*[F.col(f"p_{p}").alias(p) for p in PARTS], *extra)
+        found = found.unionByName(other).distinct()
+    return found
 
 
 def resolve_pattern(catalog: DataFrame, patterns: DataFrame) -> DataFrame:
     """Paths of the catalog that any pattern matches, one way, as a set."""
-    paths = catalog.select(*PARTS).distinct()
-    return paths.alias("d").join(F.broadcast(patterns).alias("p"), one_way("p", "d"), "left_semi")
+    return matches(catalog.select(*PARTS).distinct(), patterns.select(*PARTS).distinct()).distinct()
 
 
 def pattern_join(rows: DataFrame, rules: DataFrame, order: str) -> DataFrame:
     """Each row with the first rule, by ``order``, that matches its path; rows without one go.
 
-    The theta join runs on the distinct paths only, whose number is that of the
-    series, and the rows then meet their path's rule in an equi-join. Rules are
-    a table of settings.
+    Rules meet the distinct paths only, whose number is that of the series, and
+    the rows then meet their path's rule in an equi-join.
     """
     extra = [c for c in rules.columns if c not in PARTS]
-    paths = rows.select(*PARTS).distinct()
-    hit = paths.alias("d").join(F.broadcast(rules).alias("p"), path_matches("p", "d")).select("d.*", *[f"p.{c}" for c in extra])
-    first = hit.withColumn("__rank", F.row_number().over(Window.partitionBy(*PARTS).orderBy(order))).where("__rank = 1").drop("__rank")
+    hit = matches(rows.select(*PARTS).distinct(), rules, both_ways=True)
+    first = hit.groupBy(*PARTS).agg(F.min_by(F.struct(*extra), order).alias("rule__")).select(*PARTS, *[F.col(f"rule__.{c}").alias(c) for c in extra])
     return rows.join(first, list(PARTS))
 
 
 def enabled_paths(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows whose path any rule matches."""
-    paths = rows.select(*PARTS).distinct()
-    on = paths.alias("d").join(F.broadcast(rules).alias("p"), path_matches("p", "d"), "left_semi")
+    on = matches(rows.select(*PARTS).distinct(), rules.select(*PARTS).distinct(), both_ways=True).distinct()
     return rows.join(on, list(PARTS), "left_semi")
 
 

@@ -5,10 +5,12 @@ Bars are aligned to the epoch and half-open; arrival order is (ts, position).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.order import PATH, last_rows
+from tidemark.operators.running import previous, with_running
 
 
 def bar_start(ts: Column | str, step: str) -> Column:
@@ -85,28 +87,57 @@ def last_bars(bars: DataFrame, n: int = 1000, by: list[str] = PATH) -> DataFrame
 def anchored_bars(prices: DataFrame, step_micros: int, by: list[str] = PATH, seq: str = "seqid", keep_last: bool = True) -> DataFrame:
     """Bars that start at their first tick: a tick more than a step after a bar's start opens the next.
 
-    Each start depends on the one before, so a series is folded in order, in
-    one array; for the epoch-aligned form, which has no such limit, see ``ohlcv``.
+    A tick more than a step after the one before it opens a bar whatever stands
+    before, so a series is cut there, and the stretches are folded side by side:
+    Spark sorts them (to disk, if need be) and a pass with constant state runs
+    over each. Only within a stretch without such a pause does one bar's start
+    depend on another's; for the epoch-aligned form see ``ohlcv``.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    row = F.struct(micros.alias("t"), F.col(seq).cast("long").alias("s"), F.col("price").cast("double").alias("p"))
-    kind = "array<struct<start:bigint,open:double,high:double,low:double,close:double>>"
-
-    def bar(t, o, h, low, c):
-        return F.struct(t.alias("start"), o.alias("open"), h.alias("high"), low.alias("low"), c.alias("close"))
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        fresh = bar(x["t"], x["p"], x["p"], x["p"], x["p"])
-        grown = bar(last["start"], last["open"], F.greatest(last["high"], x["p"]), F.least(last["low"], x["p"]), x["p"])
-        return (
-            F.when((F.size(acc) == 0) | (last["start"] + step_micros < x["t"]), F.concat(acc, F.array(fresh)))
-            .otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown)))
-        )
-
-    folded = prices.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    bars = folded.withColumn("bars", F.aggregate("rows", F.from_json(F.lit("[]"), kind), step))
-    bars = bars.withColumn("bars", F.col("bars") if keep_last else F.slice("bars", 1, F.size("bars") - 1))
-    return bars.select(*by, F.explode("bars").alias("b")).select(
-        *by, F.timestamp_micros("b.start").cast("timestamp_ntz").alias("ts"), "b.open", "b.high", "b.low", "b.close", F.lit(0.0).alias("volume")
-    )
+    rows = prices.select(*by, "ts", seq, micros.alias("__t"), F.col("price").cast("double").alias("price"))
+    paused = F.coalesce(F.col("__t") - F.col("__before.__t") > step_micros, F.lit(False)).cast("long")
+    opened = previous(rows, by, ["ts", seq], ["__t"]).withColumn("__opens", paused).drop("__before")
+    cut = with_running(opened, by, ["ts", seq], {"__stretch": ("sum", F.col("__opens"))}).drop("ts", "__opens")
+    key = [*by, "__stretch"]
+    ordered = cut.repartition(*key).sortWithinPartitions(*key, "__t", seq)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(*key).schema]
+    bars = ordered.select(*key, "__t", "price").mapInArrow(folded(len(key), step_micros), ", ".join([*kinds, BAR]))
+    if not keep_last:
+        last = bars.groupBy(*by).agg(F.max("start").alias("__last"))
+        bars = bars.join(last, by).where("start < __last")
+    start = F.timestamp_micros("start").cast("timestamp_ntz").alias("ts")
+    return bars.select(*by, start, "open", "high", "low", "close", F.lit(0.0).alias("volume"))
+
+
+BAR = "start long, open double, high double, low double, close double"
+
+
+def folded(keys: int, step: int):
+    """A pass over sorted rows (``keys`` columns, time, price) that gives a row for each bar; a bar may go on in the next batch."""
+
+    def run(batches):
+        key, bar, names, kinds = None, None, None, None
+        for batch in batches:
+            out = []
+            names, kinds = [*batch.schema.names[:keys], *(c.split()[0] for c in BAR.split(", "))], batch.schema.types[:keys]
+            columns = [c.to_pylist() for c in batch.columns]
+            for *own, t, price in zip(*columns, strict=True):
+                if own != key or t > bar[0] + step:
+                    if bar:
+                        out.append((*key, *bar))
+                    key, bar = own, [t, price, price, price, price]
+                elif price is not None:
+                    if bar[1] is None:
+                        bar[1:4] = price, price, price
+                    bar[2], bar[3], bar[4] = max(bar[2], price), min(bar[3], price), price
+            yield bars_batch(out, names, kinds)
+        if bar:
+            yield bars_batch([(*key, *bar)], names, kinds)
+
+    return run
+
+
+def bars_batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    types = [*kinds, pa.int64(), *[pa.float64()] * 4]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)

@@ -132,3 +132,23 @@ def match_orders(incoming: DataFrame, orders: DataFrame, by: list[str]) -> DataF
     pairs = incoming.alias("i").join(queue.alias("o"), [*key, F.col("o.side") == side, F.col("o.before") < F.col("i.size"), within])
     fill = F.least(F.col("o.size"), F.col("i.size") - F.col("o.before"))
     return pairs.select(*[F.col(f"i.{c}") for c in by], "taker_id", "order_id", F.col("o.price").alias("price"), fill.alias("size"))
+
+
+def reconciled(book: DataFrame, snapshots: DataFrame, by: list[str], linger: str = "10 seconds") -> DataFrame:
+    """What the latest snapshot of each book corrects: ``by, order_id, correction``.
+
+    ``snapshots``: orders of snapshots (``by, ts, order_id``), of which the two
+    latest count; ``book``: orders known (``by, order_id, ts, alive``), ts the
+    time of their last event. An order in both snapshots that is not known, not
+    even as gone, was ``missed``; a live one that the latest snapshot lacks, and
+    that no event has touched for ``linger``, is ``lingering``.
+    """
+    times = snapshots.select(*by, "ts").distinct()
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("ts")))
+    two = times.withColumn("__rank", rank).where("__rank <= 2")
+    last = two.where("__rank = 1").select(*by, F.col("ts").alias("__now"))
+    seen = snapshots.join(two, [*by, "ts"]).groupBy(*by, "order_id").agg(F.count_distinct("__rank").alias("__times"), F.min("__rank").alias("__newest"))
+    key = [*by, "order_id"]
+    missed = seen.where("__times = 2").join(book.select(*key), key, "left_anti").select(*key, F.lit("missed").alias("correction"))
+    old = book.where("alive").join(last, by).where(F.col("ts") <= F.col("__now") - F.expr(f"INTERVAL {linger}"))
+    return missed.unionByName(old.join(seen.where("__newest = 1"), key, "left_anti").select(*key, F.lit("lingering").alias("correction")))

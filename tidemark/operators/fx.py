@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import round_half_down
+from tidemark.sources.shared import shared_path
+
 
 #: Currencies held equal.
 PEGS = [("usd", "usdt"), ("usd", "usdc"), ("usd", "dai"), ("usd", "tusd"), ("usd", "bitusd"), ("btc", "xbt")]
@@ -82,44 +84,49 @@ def compose(p: DataFrame, q: DataFrame) -> DataFrame:
     return best.select("id", F.col("p_a").alias("base"), F.col("q_b").alias("quote"), (F.col("p_r") * F.col("q_r")).alias("rate"))
 
 
-def rates_to(markets: DataFrame, target: str, hops: int = 4) -> DataFrame:
+def rates_to(markets: DataFrame, target: str) -> DataFrame:
     """``(asset, rate, n_hops, path)``: the chain of fewest markets from every asset to ``target``.
 
     Pegged currencies are equal at no cost. Of chains as short the first by
     path, as text, counts, and among markets of one pair the first exchange.
-    The frontier grows by one join a hop over the markets, which are a table of
-    settings; assets that can't be reached are left out.
+    Each hop joins the assets that the hop before reached with the markets and
+    keeps those not reached yet; it is written, so the plan doesn't grow with
+    the hops, and the search ends when nothing new is found, however long the
+    chains are. Assets that can't be reached are left out.
     """
     spark = markets.sparkSession
-    pegs = F.broadcast(peg_table(spark).groupBy("a").agg(F.collect_list("b").alias("equal")))
-    w = Window.partitionBy("src", "dst").orderBy("exchange")
-    pairs = edges(markets).withColumn("__rank", F.row_number().over(w)).where("__rank = 1")
-    steps = pairs.select("src", "dst", F.col("rate").alias("step"))
+    first_exchange = edges(markets).groupBy("src", "dst").agg(F.min_by("rate", "exchange").alias("step"))
+    steps = stored(first_exchange)
+    pegs = peg_table(spark).groupBy("a").agg(F.collect_list("b").alias("equal"))  # a row for each pegged currency
 
     def with_pegs(front: DataFrame) -> DataFrame:
         same = F.explode(F.concat(F.array("asset"), F.coalesce("equal", F.array().cast("array<string>"))))
-        all_ = front.join(pegs, F.col("asset") == F.col("a"), "left").select(F.col("asset").alias("of"), same.alias("asset"), "rate", "n_hops", "path")
+        all_ = front.join(F.broadcast(pegs), F.col("asset") == F.col("a"), "left").select(F.col("asset").alias("of"), same.alias("asset"), "rate", "n_hops", "path")
         pegged = F.when(F.col("asset") == F.col("of"), F.col("path")).otherwise(F.concat("asset", F.lit("="), "path"))
-        return first(all_.withColumn("path", pegged).drop("of"))
-
-    def first(found: DataFrame) -> DataFrame:
-        best = Window.partitionBy("asset").orderBy("n_hops", "path")
-        return found.withColumn("__rank", F.row_number().over(best)).where("__rank = 1").drop("__rank")
+        best = all_.withColumn("path", pegged).groupBy("asset").agg(F.min_by(F.struct("rate", "n_hops", "path"), F.struct("n_hops", "path")).alias("b"))
+        return best.select("asset", "b.*")
 
-    front = with_pegs(spark.createDataFrame([(target, 1.0, 0, target)], "asset string, rate double, n_hops int, path string"))
+    front = stored(with_pegs(spark.createDataFrame([(target, 1.0, 0, target)], "asset string, rate double, n_hops int, path string")))
     reached = front
-    for n in range(1, hops + 1):
+    while not front.isEmpty():
         path = F.concat("src", F.lit(">"), "path").alias("path")
-        grown = steps.join(front, F.col("dst") == F.col("asset")).select(F.col("src").alias("asset"), (F.col("step") * F.col("rate")).alias("rate"), F.lit(n).alias("n_hops"), path)
-        front = with_pegs(grown)
-        reached = reached.unionByName(front)
-    return first(reached)
+        grown = steps.join(front, F.col("dst") == F.col("asset")).select(F.col("src").alias("asset"), (F.col("step") * F.col("rate")).alias("rate"), (F.col("n_hops") + 1).alias("n_hops"), path)
+        front = stored(with_pegs(grown).join(reached.select("asset"), "asset", "left_anti"))
+        reached = stored(reached.unionByName(front))
+    return reached
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A table in the shared folder, so that what follows does not compute it again."""
+    path = shared_path(df.sparkSession, "rates")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def rates_near(markets: DataFrame, target: str, exchanges: list[str], hops: int = 4) -> DataFrame:
+def rates_near(markets: DataFrame, target: str, exchanges: list[str]) -> DataFrame:
     """As ``rates_to``, by chains on the named exchanges where there are any, else on all."""
-    near = rates_to(markets.where(F.col("exchange").isin(exchanges)), target, hops)
-    return near.unionByName(rates_to(markets, target, hops).join(near.select("asset"), "asset", "left_anti"))
+    near = rates_to(markets.where(F.col("exchange").isin(exchanges)), target)
+    return near.unionByName(rates_to(markets, target).join(near.select("asset"), "asset", "left_anti"))
 
 
 def all_accounts(instruments: DataFrame) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import overlap_join
-
 
 def toward(side: str = "side", price: str = "price") -> Column:
     """Order of levels from the best: asks rise, bids fall."""
@@ -31,7 +29,9 @@ def walk_depth(orders: DataFrame, levels: DataFrame, by: list[str]) -> DataFrame
     against = F.when(F.col("i.side") == "buy", "ask").otherwise("bid")
     within = F.col("i.limit").isNull() | F.when(F.col("i.side") == "buy", F.col("l.price") <= F.col("i.limit")).otherwise(F.col("l.price") >= F.col("i.limit"))
     key = [F.col(f"i.{c}") == F.col(f"l.{c}") for c in by]
-    pairs = orders.alias("i").join(cumulative(levels, by).alias("l"), [*key, F.col("l.side") == against, within])
+    # only levels that an order reaches
+    reached = F.when(F.col("i.size").isNotNull(), F.col("l.q0") < F.col("i.size")).otherwise(F.col("l.c0") < F.col("i.funds"))
+    pairs = orders.alias("i").join(cumulative(levels, by).alias("l"), [*key, F.col("l.side") == against, within, reached])
     by_size = F.least(F.col("l.qty"), F.col("i.size") - F.col("l.q0"))
     by_funds = F.least(F.col("l.qty"), (F.col("i.funds") - F.col("l.c0")) / F.col("l.price"))
     fill = F.when(F.col("i.size").isNotNull(), by_size).when(F.col("i.side") == "buy", by_funds)
@@ -88,24 +88,34 @@ def quantity_at(levels: DataFrame, wanted: DataFrame, by: list[str]) -> DataFram
     return wanted.join(sums, [*by, "price"], "left").fillna({"qty": 0.0})
 
 
-def ladder_spread(left: DataFrame, right: DataFrame, by: list[str], scale: int = 100) -> DataFrame:
+def ladder_spread(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """The ladder of left minus right: asks are left asks less right bids, bids left bids less right asks.
 
-    Both sides are laid out by cumulative quantity; where two levels overlap
-    there is a level of the price difference with the overlap's length. Equal
-    differences are one. ``scale``: steps of quantity that the layout resolves.
+    Both sides are laid out by cumulative quantity, in exact decimals of 18
+    digits behind the point; where two levels overlap there is a level of the
+    price difference with the overlap's length. Equal differences are one.
+    Levels without quantity are none.
     """
+    exact = "decimal(38,18)"
 
-    def laid(levels: DataFrame, flip: bool) -> DataFrame:
+    def laid(levels: DataFrame, flip: bool, name: str) -> DataFrame:
+        """``(by, side, at, name)``: the price from a cumulative quantity on, null from the end on."""
         side = F.when(F.col("side") == "ask", "bid").otherwise("ask") if flip else F.col("side")
-        c = cumulative(levels, by)
-        lo = F.round(F.col("q0") * scale).cast("long")
-        return c.select(*by, side.alias("side"), "price", lo.alias("lo"), F.round((F.col("q0") + F.col("qty")) * scale).cast("long").alias("hi"))
-
-    pairs = overlap_join(laid(left, False), laid(right, True), [*by, "side"], 16 * scale)
-    overlap = (F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo")) / F.lit(float(scale))
-    levels = pairs.select(*by, "side", (F.col("a_price") - F.col("b_price")).alias("price"), overlap.alias("qty"))
-    return levels.groupBy(*by, "side", "price").agg(F.sum("qty").alias("qty"))
+        q = F.col("qty").cast(exact)
+        w = Window.partitionBy(*by, "side").orderBy(toward()).rowsBetween(Window.unboundedPreceding, -1)
+        rows = levels.withColumn("__q", q).where("__q > 0")
+        rows = rows.withColumn("at", F.coalesce(F.sum("__q").over(w), F.lit(0)).cast(exact))
+        rows = rows.select(*by, side.alias("side"), "at", "__q", F.struct("price").alias(name))
+        ends = rows.groupBy(*by, "side").agg(F.sum("__q").cast(exact).alias("at")).withColumn(name, F.struct(F.lit(None).cast("double").alias("price")))
+        return rows.drop("__q").unionByName(ends)
+
+    marks = laid(left, False, "a").unionByName(laid(right, True, "b"), allowMissingColumns=True)
+    marks = marks.groupBy(*by, "side", "at").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    w = Window.partitionBy(*by, "side").orderBy("at")
+    stands = {f"__{c}": F.last(c, ignorenulls=True).over(w) for c in ("a", "b")}
+    spans = marks.withColumns(stands | {"__next": F.lead("at").over(w)})
+    levels = spans.select(*by, "side", (F.col("__a.price") - F.col("__b.price")).alias("price"), (F.col("__next") - F.col("at")).alias("qty"))
+    return levels.where("price is not null and qty > 0").groupBy(*by, "side", "price").agg(F.sum("qty").cast("double").alias("qty"))
 
 
 def as_parts(levels: DataFrame, by: list[str]) -> DataFrame:

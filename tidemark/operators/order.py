@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.running import with_running
+from tidemark.operators.running import previous, with_running
 
 PATH = ["source", "topic", "datatype"]
 
@@ -17,9 +17,9 @@ def window(by: list[str], order: list[str | Column]):
     return Window.partitionBy(*by).orderBy(*order)
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "index") -> DataFrame:
-    """Zero-based position of each row in its series."""
-    return with_running(df, by, order, {name: ("count", F.lit(1))}, include_current=False)
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "index", bucket: Column | None = None) -> DataFrame:
+    """Zero-based position of each row in its series; ``bucket`` as for ``with_running``."""
+    return with_running(df, by, order, {name: ("count", F.lit(1))}, bucket, include_current=False)
 
 
 def dedupe_increasing(df: DataFrame, by: list[str], order: list[str], seq: str) -> DataFrame:
@@ -28,11 +28,10 @@ def dedupe_increasing(df: DataFrame, by: list[str], order: list[str], seq: str)
     return seen.where(F.col(seq) > F.coalesce("__seen", F.lit(-1))).drop("__seen")
 
 
-def dedupe_consecutive(df: DataFrame, by: list[str], order: list[str], key: str) -> DataFrame:
+def dedupe_consecutive(df: DataFrame, by: list[str], order: list[str], key: str, bucket: Column | None = None) -> DataFrame:
     """Rows that differ in ``key`` from the row right before them."""
-    w = window(by, order)
-    first = F.row_number().over(w) == 1
-    return df.withColumn("__new", first | ~F.col(key).eqNullSafe(F.lag(key).over(w))).where("__new").drop("__new")
+    seen = with_running(df, by, order, {"__before": ("last", F.struct(F.col(key).alias("v")))}, bucket, include_current=False)
+    return seen.where(F.col("__before").isNull() | ~F.col(key).eqNullSafe(F.col("__before.v"))).drop("__before")
 
 
 def drop_unordered(df: DataFrame, by: list[str], order: list[str], keys: list[str]) -> DataFrame:
@@ -44,15 +43,15 @@ def drop_unordered(df: DataFrame, by: list[str], order: list[str], keys: list[st
 
 def drop_against_previous(df: DataFrame, by: list[str], order: list[str], key: str, unordered: bool = False) -> DataFrame:
     """Drop rows that equal (or, ``unordered``, do not exceed) the raw row before them."""
-    before = F.lag(key).over(window(by, order))
+    before = F.col(f"__before.{key}")
     keep = before.isNull() | ((F.col(key) > before) if unordered else (F.col(key) != before))
-    return df.withColumn("__keep", keep).where("__keep").drop("__keep")
+    return previous(df, by, order, [key]).where(keep).drop("__before")
 
 
 def with_previous(df: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """``prev_*`` columns of the row before, null at the start."""
-    w = window(by, order)
-    return df.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns})
+    seen = previous(df, by, order, columns)
+    return seen.withColumns({f"prev_{c}": F.col(f"__before.{c}") for c in columns}).drop("__before")
 
 
 def last_rows(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
@@ -68,6 +67,11 @@ def snapshot_points(df: DataFrame, by: list[str], order: list[str], hours: int =
     return df.withColumn("is_snapshot", F.row_number().over(w) == 1)
 
 
+def by_position(df: DataFrame) -> DataFrame:
+    """Rows of a store in the order of their bundles and positions."""
+    return df.orderBy("bundle", "seqid")
+
+
 def after_first(df: DataFrame, by: list[str], order: list[str], marker: Column) -> DataFrame:
     """Rows from the first row on for which ``marker`` holds; series without one go."""
     at = F.struct(*order)
@@ -97,6 +101,13 @@ def feed_order(events: DataFrame, snapshots: DataFrame) -> DataFrame:
     return both.orderBy("seq", "is_event")
 
 
+def latest_price(prices: DataFrame, order: list[str]) -> DataFrame:
+    """Last price of each symbol (``symbol, exchange, price``); an error if two exchanges list a symbol."""
+    last = prices.groupBy("symbol").agg(F.max_by("price", F.struct(*order)).alias("price"), F.min("exchange").alias("exchange"), F.max("exchange").alias("__other"))
+    one = F.assert_true(F.col("exchange") == F.col("__other"), F.concat(F.lit("ambiguous symbol: "), F.col("symbol"))).isNull()
+    return last.where(one).select("symbol", "exchange", "price")
+
+
 def latest(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The newest ``n`` rows, newest first."""
     return df.orderBy(*[F.desc(c) for c in order]).limit(n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,11 @@ def fees(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FEES, "exchange string, maker double, taker double")
 
 
+def with_fees(rows: DataFrame) -> DataFrame:
+    """Rows with the ``maker`` and ``taker`` fee of their exchange, null for unknown ones."""
+    return rows.join(F.broadcast(fees(rows.sparkSession)), "exchange", "left")  # a row an exchange, fixed
+
+
 def legs(fills: DataFrame, base: Column, quote: Column) -> DataFrame:
     """Two rows a fill, ``asset`` and ``delta``: a buy adds the base and costs size * price / (1 - fee) of
     the quote, a sell takes the base and brings size * price * (1 - fee)."""
@@ -46,28 +52,74 @@ def position_series(fills: DataFrame, by: list[str], order: list[str]) -> DataFr
 
     A fill that crosses zero closes the old position and opens a new one at its
     price; growth averages the entry by absolute sizes; a reduction realizes its
-    part. Within a stretch of one sign the cost is a linear recurrence
-    C = C' * r + a, solved in closed form by a running product and sum.
+    part. So the cost of a position is an affine function of the cost before,
+    C = r * C' + a with r = 0 where a position opens, 1 where it grows, and the
+    share left where it shrinks. Functions of this kind compose, (r1, a1) then
+    (r2, a2) being (r1 * r2, r2 * a1 + a2), without any division: years of a
+    series are folded side by side, their compositions joined, and the cost at
+    a year's start put into each of its rows.
     """
-    signed = F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size"))
-    years = F.year(order[0])
-    p = with_running(fills.withColumn("__d", signed), by, order, {"position": ("sum", F.col("__d"))}, years)
-    p = p.withColumn("position", F.round("position", 9)).withColumn("__was", F.round(F.col("position") - F.col("__d"), 9))
-    crossed = (F.col("__was") == 0) | (F.signum("position") != F.signum("__was"))
-    p = with_running(p, by, order, {"__segment": ("sum", crossed.cast("long"))}, years)
-    # a fill through zero opens its segment with what is beyond zero
-    grows = F.abs("position") > F.abs("__was")
-    opens = crossed
-    ratio = F.when(opens, 1.0).when(grows, 1.0).otherwise(F.abs("position") / F.abs("__was"))
-    added = F.when(opens, F.abs("position") * F.col("price")).when(grows, F.abs("__d") * F.col("price")).otherwise(0.0)
-    w = Window.partitionBy(*by, "__segment").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    p = p.withColumns({"__r": ratio, "__a": added}).withColumn("__p", F.product(F.when(F.col("__r") > 0, F.col("__r")).otherwise(1.0)).over(w))
-    cost = F.col("__p") * F.sum(F.col("__a") / F.col("__p")).over(w)
-    p = p.withColumn("entry", F.when(F.col("position") != 0, cost / F.abs("position")))
-    before = F.lag("entry").over(Window.partitionBy(*by).orderBy(*order))
-    closed = F.when(crossed, F.abs("__was")).when(grows, 0.0).otherwise(F.abs("__d"))
-    gain = F.coalesce(F.signum("__was") * closed * (F.col("price") - before), F.lit(0.0))
-    return p.withColumn("realized", gain).drop("__d", "__was", "__segment", "__r", "__a", "__p")
+    signed = F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size")).cast("double")
+    rows = fills.withColumns({"__d": signed, "__bucket": F.year(order[0])})
+    key = [*by, "__bucket"]
+    earlier = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*key).agg(F.sum("__d").alias("__sum"))
+    starts = sums.select(*key, F.coalesce(F.sum("__sum").over(earlier), F.lit(0.0)).alias("__was"))
+    ordered = same_keys(rows, starts, key).repartition(*key).sortWithinPartitions(*key, *order)
+    kinds = {"position": "double", "__was": "double", "__r0": "double", "__a0": "double", "__r": "double", "__a": "double"}
+    given = [f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.drop("__was", "__d").schema]
+    steps = ordered.mapInArrow(composed(ordered.columns, key), ", ".join([*given, *(f"{c} {k}" for c, k in kinds.items())]))
+    # of each year what it makes of the cost at its start; of each series few
+    whole = steps.groupBy(*key).agg(F.max_by(F.struct("__r", "__a"), F.struct(*order)).alias("f"))
+    years = whole.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__bucket", "f"))).alias("years"))
+    costs = years.select(*by, F.posexplode("years").alias("__n", "y"), "years").select(
+        *by, F.col("y.__bucket").alias("__bucket"),
+        F.aggregate(F.slice("years", 1, F.col("__n")), F.lit(0.0), lambda c, x: x["f"]["__r"] * c + x["f"]["__a"]).alias("__cost"),
+    )
+    p = same_keys(steps, costs, key)
+    cost, before = F.col("__r") * F.col("__cost") + F.col("__a"), F.col("__r0") * F.col("__cost") + F.col("__a0")
+    crossed = F.signum("position") != F.signum("__was")
+    closed = F.when(crossed, F.abs("__was")).otherwise(F.greatest(F.abs("__was") - F.abs("position"), F.lit(0.0)))
+    gain = F.when(F.col("__was") == 0, 0.0).otherwise(F.signum("__was") * closed * (F.col("price") - before / F.abs("__was")))
+    return p.withColumns({"entry": F.when(F.col("position") != 0, cost / F.abs("position")), "realized": gain}).select(*fills.columns, "position", "entry", "realized")
+
+
+def same_keys(rows: DataFrame, facts: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with the other columns of ``facts``, a row a key; nulls in keys are equal."""
+    extra = [c for c in facts.columns if c not in key]
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key]
+    return rows.alias("l").join(facts.alias("r"), on).select("l.*", *[f"r.{c}" for c in extra])
+
+
+def composed(columns: list[str], key: list[str]):
+    """A pass over fills sorted by ``key``: position, and the cost before and after each fill as functions of that at the key's start."""
+    at = {c: k for k, c in enumerate(columns)}
+
+    def run(batches):
+        current, was, r, a = None, 0.0, 1.0, 0.0
+        for batch in batches:
+            keys = zip(*(batch.column(at[c]).to_pylist() for c in key), strict=True)
+            facts = (batch.column(at[c]).to_pylist() for c in ("__was", "__d", "price"))
+            out = []
+            for own, start, d, price in zip(keys, *facts, strict=True):
+                if own != current:
+                    current, was, r, a = own, round(start, 9), 1.0, 0.0
+                d, price = d or 0.0, price or 0.0
+                now, r0, a0 = round(was + d, 9), r, a
+                if was == 0 or now * was <= 0:
+                    r, a = 0.0, abs(now) * price
+                elif abs(now) > abs(was):
+                    a += abs(d) * price
+                else:
+                    share = abs(now) / abs(was)
+                    r, a = share * r, share * a
+                out.append((now, was, r0, a0, r, a))
+                was = now
+            arrays = [batch.column(at[c]) for c in columns if c not in ("__was", "__d")] + [pa.array(c, pa.float64()) for c in (zip(*out, strict=True) if out else [()] * 6)]
+            names = [c for c in columns if c not in ("__was", "__d")] + ["position", "__was", "__r0", "__a0", "__r", "__a"]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return run
 
 
 def close_positions(positions: DataFrame, prices: DataFrame) -> DataFrame:
@@ -93,46 +145,53 @@ def without_exchange(rows: DataFrame, exchange: str) -> DataFrame:
     return rows.where(F.col("exchange") != exchange)
 
 
-def equity(balances: DataFrame, rates: DataFrame, by: list[str]) -> DataFrame:
-    """Value of balances (``by, asset, qty``) at ``rates(asset, rate)``; assets without rate count nothing. Losses keep their sign."""
-    return balances.join(rates.select("asset", "rate"), "asset").groupBy(*by).agg(F.sum(F.col("qty") * F.col("rate")).alias("equity"))
+def equity(balances: DataFrame, rates: DataFrame, by: list[str], positions: DataFrame | None = None) -> DataFrame:
+    """Value of balances (``by, asset, qty``) at ``rates(asset, rate)`` and of the profit of open positions (``by,
+    asset, size, entry_price, price``; asset: what they settle in). Assets without rate count nothing. Losses keep their sign."""
+    held = balances.select(*by, "asset", "qty")
+    if positions is not None:
+        profit = pnl(F.col("size"), F.col("entry_price"), F.col("price")).cast("double")
+        held = held.withColumn("qty", F.col("qty").cast("double")).unionByName(positions.select(*by, "asset", profit.alias("qty")))
+    return held.join(rates.select("asset", "rate"), "asset").groupBy(*by).agg(F.sum(F.col("qty") * F.col("rate")).alias("equity"))
+
+
+def holdings_at(points: DataFrame, changes: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``points(by, asset, order)`` with ``held``, the sum of all ``changes(by, asset, order, delta)`` up to them."""
+    asked = points.withColumns({"delta": F.lit(None).cast("double"), "__asked": F.lit(1)})
+    both = changes.select(*by, "asset", *order, "delta").withColumn("__asked", F.lit(0)).unionByName(asked)
+    summed = with_running(both, [*by, "asset"], [*order, "__asked"], {"held": ("sum", F.col("delta"))})
+    return summed.where("__asked = 1").drop("__asked", "delta")
 
 
 def equity_curve(changes: DataFrame, prices: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Equity of each account after every change (``asset, delta, ts``) of a balance.
 
     Each asset is valued at its latest price (``asset, ts, price``), at nothing
-    before its first; the currency of account needs a price of 1. A holding
-    gains whenever its asset's price moves, so equity is the running sum of
-    delta * price over changes and of holding * move over prices: one pass over
-    events instead of a valuation of all holdings at each.
+    before its first; the currency of account needs a price of 1. A change is
+    valued over the assets that its account has held so far, which are few; no
+    tick is joined with the accounts that hold its asset.
     """
-    rest = [c for c in order if c != "ts"]
-    before = F.lag("price").over(Window.partitionBy("asset").orderBy("ts"))
-    moves = prices.withColumn("move", F.col("price") - F.coalesce(before, F.lit(0.0)))
-    held = with_running(changes, [*by, "asset"], order, {"held": ("sum", F.col("delta"))})
-    valued = asof_join(held, prices, ["asset"], "price")
-    bought = valued.select(*by, *order, F.lit(1).alias("__own"), (F.col("delta") * F.coalesce("price", F.lit(0.0))).alias("__gain"))
-    accounts = held.groupBy(*by, "asset").agg(F.min("ts").alias("__from"))
-    # a move finds what was held before its instant
-    just = F.expr("INTERVAL '0.000001' SECOND")
-    ticks = moves.join(accounts, "asset").where(F.col("ts") > F.col("__from")).select(*by, "asset", (F.col("ts") - just).alias("ts"), "move")
-    ticks = asof_join(ticks, held.select(*by, "asset", *order, "held"), [*by, "asset"], "held", right_order=rest)
-    moved = ticks.select(*by, (F.col("ts") + just).alias("ts"), F.lit(0).alias("__own"), (F.col("held") * F.col("move")).alias("__gain"))
-    both = bought.unionByName(moved, allowMissingColumns=True)
-    summed = with_running(both, by, ["ts", "__own", *rest], {"equity": ("sum", F.col("__gain"))})
-    return summed.where("__own = 1").select(*by, *order, "equity")
-
-
-def portfolio_history(changes: DataFrame, by: list[str], grid: DataFrame, order: list[str]) -> DataFrame:
-    """Balances of every account and asset at each step of ``grid(ts)`` from its first change on."""
+    since = changes.groupBy(*by, "asset").agg(F.min("ts").alias("__from"))
+    points = changes.select(*by, *order).join(since, by).where(F.col("ts") >= F.col("__from")).select(*by, "asset", *order)
+    valued = asof_join(holdings_at(points, changes, by, order), prices, ["asset"], "price")
+    worth = F.sum(F.col("held") * F.coalesce("price", F.lit(0.0)))
+    return valued.groupBy(*by, *order).agg(worth.alias("equity"))
+
+
+def portfolio_history(changes: DataFrame, by: list[str], grid: Column, order: list[str]) -> DataFrame:
+    """Balances of every account and asset at each step of ``grid``, an array of times such as ``tick_grid`` gives, from its first change on."""
+    starts = changes.groupBy(*by, "asset").agg(F.min("ts").alias("__from"))
+    points = starts.select(*by, "asset", "__from", F.explode(grid).alias("ts")).where(F.col("ts") >= F.col("__from")).drop("__from")
     held = with_running(changes, [*by, "asset"], order, {"qty": ("sum", F.col("delta"))})
-    starts = held.groupBy(*by, "asset").agg(F.min("ts").alias("__from"))
-    ends = grid.agg(F.collect_list("ts").alias("steps"))  # the grid is a setting
-    points = starts.join(F.broadcast(ends)).select(*by, "asset", "__from", F.explode("steps").alias("ts")).where(F.col("ts") >= F.col("__from")).drop("__from")
     return asof_join(points, held, [*by, "asset"], "qty", right_order=[c for c in order if c != "ts"]).drop("qty_ts")
 
 
+def equity_history(changes: DataFrame, prices: DataFrame, by: list[str], grid: Column, order: list[str]) -> DataFrame:
+    """Equity of every account at each step of ``grid``, assets at their latest prices (nothing before the first)."""
+    valued = asof_join(portfolio_history(changes, by, grid, order), prices, ["asset"], "price")
+    return valued.groupBy(*by, "ts").agg(F.sum(F.col("qty") * F.coalesce("price", F.lit(0.0))).alias("equity"))
+
+
 def transactions(trades: DataFrame, deposits: DataFrame, withdrawals: DataFrame, start, exchange: str | None = None) -> DataFrame:
     """Trades, deposits and withdrawals since ``start``, in order of time."""
     kinds = (("trade", trades), ("deposit", deposits), ("withdraw", withdrawals))
@@ -154,8 +213,8 @@ def order_targets(targets: DataFrame, by: list[str], order: list[str]) -> DataFr
 
 def latest_accounts(snapshots: DataFrame, failed: DataFrame) -> DataFrame:
     """Rows of the latest snapshot of every exchange but those that failed to load."""
-    w = Window.partitionBy("exchange")
-    newest = snapshots.withColumn("__last", F.max("snapshot").over(w)).where("snapshot = __last").drop("__last")
+    last = snapshots.groupBy("exchange").agg(F.max("snapshot").alias("snapshot"))
+    newest = snapshots.join(last, ["exchange", "snapshot"])
     return newest.join(failed.select("exchange").distinct(), "exchange", "left_anti")
 
 
@@ -179,8 +238,9 @@ def execution_cost(orders: DataFrame, ladders: DataFrame, prices: DataFrame, by:
     placed = asof_join(asof_join(due, stamps, by, "ladder_ts"), prices, by, "price").drop("ladder_ts_ts", "price_ts")
     key = [*by, "ladder_ts"]
     walked = walk_depth(placed.where("ladder_ts is not null"), ladders.withColumnRenamed("ts", "ladder_ts"), key)
-    direct = placed.where("ladder_ts is null and price is not null").select(
-        *by, "ladder_ts", "order_id", "side", "price", F.coalesce("size", F.col("funds") / F.col("price")).alias("size")
-    )
+    buys = F.col("side") == "buy"
+    within = F.col("limit").isNull() | F.when(buys, F.col("price") <= F.col("limit")).otherwise(F.col("price") >= F.col("limit"))
+    size = F.when(F.col("size").isNotNull(), F.col("size")).when(buys, F.col("funds") / F.col("price"))
+    direct = placed.where("ladder_ts is null and price is not null").where(within).select(*by, "ladder_ts", "order_id", "side", "price", size.alias("size")).where("size > 0")
     fills = walked.unionByName(direct).drop("ladder_ts")
     return fill_summary(placed, fills, by, taker)

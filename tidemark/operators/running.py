@@ -16,6 +16,12 @@ def day_of(ts: str = "ts") -> Column:
     return F.to_date(ts)
 
 
+def previous(df: DataFrame, by: list[str], order: list[str], columns: list[str], name: str = "__before") -> DataFrame:
+    """Add a struct of the row right before, null at the start of a series; hot series are cut into buckets."""
+    # a struct is there even where its fields are null
+    return with_running(df, by, order, {name: ("last", F.struct(*columns))}, include_current=False)
+
+
 def with_running(
     df: DataFrame,
     by: list[str],

@@ -6,10 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import bars, fx, portfolio, report
+from tidemark.functions import columns as C
+from tidemark.operators import fx, portfolio, report
 from tidemark.plans import views
 from tidemark.plans.register import OFF_TIES, registry
-from tidemark.plans.series import BARS, BY, TICKS, hourly
+from tidemark.plans.series import FILLED, TICKS
 
 QUERIES, ORACLES, query = registry()
 
@@ -35,7 +36,7 @@ RATES = (
 walks(asset, rate, n_hops, path, seen) AS (
   SELECT 'asia', CAST(1 AS DOUBLE), 0, 'asia', ['asia']
   UNION ALL
-  SELECT src, steps.rate * walks.rate, n_hops + 1, src || '>' || path, list_append(seen, src) FROM walks JOIN steps ON dst = asset WHERE NOT list_contains(seen, src) AND n_hops < 4),
+  SELECT src, steps.rate * walks.rate, n_hops + 1, src || '>' || path, list_append(seen, src) FROM walks JOIN steps ON dst = asset WHERE NOT list_contains(seen, src)),
 rates AS (SELECT asset, arg_min(rate, (n_hops, path)) AS rate, min(n_hops) AS n_hops, arg_min(path, (n_hops, path)) AS path FROM walks GROUP BY asset)"""
 )
 
@@ -43,6 +44,11 @@ def leg_assets():
     return F.lit("base"), F.lit("quote")
 
 
+def years():
+    """Every 365 days of the time that line items span."""
+    start, end = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (1992, 1999))
+    return C.tick_grid(start, end, "365 days", inclusive=True)
+
 
 def rates(spark, sf_dir):
     return fx.rates_to(views.instruments(spark, sf_dir), "asia")
@@ -112,7 +118,7 @@ def conversion_rates(spark, sf_dir):
       SELECT 'asia', CAST(1 AS DOUBLE), 0, 'asia', ['asia'] UNION ALL
       SELECT src, e.rate * near.rate, n_hops + 1, src || '>' || path, list_append(seen, src) FROM near
       JOIN (SELECT base AS src, quote AS dst, price AS rate FROM markets WHERE exchange IN ('asia', 'europe') UNION ALL SELECT quote, base, 1 / price FROM markets WHERE exchange IN ('asia', 'europe')) e
-      ON dst = asset WHERE NOT list_contains(seen, src) AND n_hops < 4),
+      ON dst = asset WHERE NOT list_contains(seen, src)),
     n AS (SELECT asset, arg_min(rate, (n_hops, path)) AS rate, min(n_hops) AS n_hops, arg_min(path, (n_hops, path)) AS path FROM near GROUP BY asset)
     SELECT asset, round(rate, 6) AS rate, n_hops, path FROM n UNION ALL SELECT asset, round(rate, 6), n_hops, path FROM rates WHERE asset NOT IN (SELECT asset FROM n)"""
 )
@@ -141,16 +147,17 @@ def accounts_of_exchanges(spark, sf_dir):
 
 
 @query(
-    f"""WITH {MARKETS} SELECT lower(n_name) AS base, lower(r_name) AS quote, lower(r_name) AS exchange, m.base || '_' || m.quote AS symbol
-    FROM nation CROSS JOIN region LEFT JOIN markets m ON m.exchange = lower(r_name) AND m.base = lower(n_name) AND m.quote = lower(r_name)"""
+    f"""WITH {MARKETS}, w AS (SELECT DISTINCT lower(n_name) AS base, lower(r_name) AS quote FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON c_custkey % 5 = r_regionkey)
+    SELECT w.base, w.quote, w.quote AS exchange, m.base || '_' || m.quote AS symbol FROM w LEFT JOIN markets m ON m.exchange = w.quote AND m.base = w.base AND m.quote = w.quote"""
 )
 def markets_found(spark, sf_dir):
     """The market of a pair on an exchange."""
-    n, r = views.table(spark, sf_dir, "nation"), views.table(spark, sf_dir, "region")
+    c, n, r = (views.table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     m = views.instruments(spark, sf_dir)
     listed = m.select("exchange", F.col("base").alias("security"), F.col("quote").alias("settled_in"), F.concat_ws("_", "base", "quote").alias("symbol"))
     name = F.lower("r_name")
-    wanted = n.select(F.lower("n_name").alias("base")).join(F.broadcast(r.select(name.alias("exchange"), name.alias("quote"))))
+    asked = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("c_custkey") % 5 == F.col("r_regionkey"))
+    wanted = asked.select(F.lower("n_name").alias("base"), name.alias("exchange"), name.alias("quote")).distinct()
     return fx.find_market(wanted, listed)
 
 
@@ -236,10 +243,9 @@ def accounts_synced(spark, sf_dir):
     SELECT p.account, p.asset, p.ts, round(qty, 2) AS qty FROM p ASOF LEFT JOIN l ON p.account = l.account AND p.asset = l.asset AND p.ts >= l.ts"""
 )
 def portfolio_by_year(spark, sf_dir):
-    """Balances at the start of every year."""
-    grid = spark.sql("SELECT explode(sequence(TIMESTAMP_NTZ '1992-01-01', TIMESTAMP_NTZ '1999-01-01', INTERVAL 365 DAY)) AS ts")
+    """Balances at the start of every year."""
     changes = portfolio.legs(views.fills(spark, sf_dir), *leg_assets())
-    out = portfolio.portfolio_history(changes, ["account"], grid, ["ts", "fill_key"])
+    out = portfolio.portfolio_history(changes, ["account"], years(), ["ts", "fill_key"])
     return out.select("account", "asset", "ts", F.round("qty", 2).alias("qty"))
 
 
@@ -257,17 +263,17 @@ def transaction_history(spark, sf_dir):
 
 
 @query(
-    f"""WITH {TICKS} SELECT source || '/' || topic || '/' || datatype AS path, epoch_ms(ts) AS time, direction, id, price, seqid, size FROM ticks ORDER BY ts DESC, id DESC LIMIT 100"""
+    f"""WITH {TICKS} SELECT source || '/' || topic || '/' || datatype AS path, epoch_us(ts) // 1000 AS time, direction, id, price, seqid, size FROM ticks ORDER BY ts DESC, id DESC LIMIT 100"""
 )
 def panel_newest_trades(spark, sf_dir):
     """R2: the trades panel."""
     return report.panel_trades(views.ticks(spark, sf_dir), 100, ["ts", "id"])
 
 
-@query(f"WITH {BARS} SELECT topic, close, epoch_ms(ts) AS time FROM bars WHERE topic = 'click'")
+@query(f"WITH {FILLED} SELECT 'local.events.click' AS key, close, epoch_us(ts) // 1000 AS time FROM filled WHERE topic = 'click'")
 def panel_price_series(spark, sf_dir):
-    """The price panel of one series."""
-    return report.panel_prices(hourly(spark, sf_dir).where("topic = 'click'"), BY)
+    """The price panel of one series, without gaps."""
+    return report.panel_prices(views.trades(spark, sf_dir), "events/click/trades", "1 hour", seq="id")
 
 
 #: Report events: events of 20 sessions put, update and remove values and append to lists.
@@ -353,31 +359,40 @@ def equity_after_changes(spark, sf_dir):
 
 
 @query(
-    """WITH o AS (SELECT o_orderkey AS order_id, CAST(o_custkey % 2000 + 1 AS BIGINT) AS ladder, o_orderdate + INTERVAL 1 DAY AS ts, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
-      CAST(o_orderkey % 60 + 1 AS DOUBLE) AS size FROM orders),
+    f"""WITH o AS (SELECT o_orderkey AS order_id, CAST(o_custkey % 2000 + 1 AS BIGINT) AS ladder, o_orderdate + INTERVAL 1 DAY AS ts, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
+      CASE WHEN o_orderkey % 4 <> 2 THEN CAST(o_orderkey % 60 + 1 AS DOUBLE) END AS size, CASE WHEN o_orderkey % 4 = 2 THEN o_totalprice * (1 - 0.003::DOUBLE) END AS funds,
+      CASE WHEN o_orderkey % 4 <> 2 AND o_orderkey % 5 = 0 THEN o_totalprice / 4 END AS "limit" FROM orders),
     l AS (SELECT l_partkey AS ladder, date_trunc('year', l_shipdate) AS ts, CASE WHEN l_linestatus = 'O' THEN 'ask' ELSE 'bid' END AS side, round(l_extendedprice, -2) AS price, sum(l_quantity) AS qty
       FROM lineitem GROUP BY ALL),
     s AS (SELECT DISTINCT ladder, ts FROM l),
-    j AS (SELECT o.*, s.ts AS lts FROM o ASOF LEFT JOIN s ON o.ladder = s.ladder AND o.ts >= s.ts),
-    c AS (SELECT *, coalesce(sum(qty) OVER (PARTITION BY ladder, ts, side ORDER BY CASE WHEN side = 'ask' THEN price ELSE -price END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS q0 FROM l),
-    f AS (SELECT j.ladder, order_id, sum(least(qty, size - q0)) AS filled, sum(price * least(qty, size - q0)) AS cost FROM j JOIN c ON j.ladder = c.ladder AND j.lts = c.ts
-      AND c.side = CASE j.side WHEN 'buy' THEN 'ask' ELSE 'bid' END AND size - q0 > 0 GROUP BY ALL)
-    SELECT j.ladder, j.order_id, coalesce(filled, 0) AS filled, coalesce(cost, 0) AS cost, size - coalesce(filled, 0) AS unfilled FROM j LEFT JOIN f USING (ladder, order_id)"""
+    p AS (SELECT CAST(l_orderkey % 2000 + 1 AS BIGINT) AS ladder, l_shipdate AS ts, max(round(l_extendedprice, 0)) AS last FROM lineitem GROUP BY ALL),
+    j AS (SELECT o.*, s.ts AS lts, p.last FROM o ASOF LEFT JOIN s ON o.ladder = s.ladder AND o.ts >= s.ts ASOF LEFT JOIN p ON o.ladder = p.ladder AND o.ts >= p.ts),
+    c AS (SELECT *, coalesce(sum(qty) OVER w, 0) AS q0, coalesce(sum(price * qty) OVER w, 0) AS c0 FROM l
+      WINDOW w AS (PARTITION BY ladder, ts, side ORDER BY CASE WHEN side = 'ask' THEN price ELSE -price END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    h AS (SELECT j.ladder, order_id, c.price, CASE WHEN size IS NOT NULL THEN least(qty, size - q0) WHEN j.side = 'buy' THEN least(qty, (funds - c0) / price) END AS fill
+      FROM j JOIN c ON j.ladder = c.ladder AND j.lts = c.ts AND c.side = CASE j.side WHEN 'buy' THEN 'ask' ELSE 'bid' END
+        AND ("limit" IS NULL OR CASE j.side WHEN 'buy' THEN c.price <= "limit" ELSE c.price >= "limit" END)
+      UNION ALL SELECT ladder, order_id, last, CASE WHEN size IS NOT NULL THEN size WHEN side = 'buy' THEN funds / last END FROM j
+        WHERE lts IS NULL AND last IS NOT NULL AND ("limit" IS NULL OR CASE side WHEN 'buy' THEN last <= "limit" ELSE last >= "limit" END)),
+    f AS (SELECT ladder, order_id, sum(fill) AS filled, sum(price * fill) AS cost FROM h WHERE fill > 0 GROUP BY ALL)
+    SELECT j.ladder, j.order_id, round(coalesce(filled, 0) + {OFF_TIES:.10f}, 4) AS filled, round(coalesce(cost, 0) + {OFF_TIES:.10f}, 4) AS cost, round(coalesce(cost, 0) * 0.003 + {OFF_TIES:.10f}, 4) AS fee,
+      round(CASE WHEN size IS NOT NULL THEN size - coalesce(filled, 0) ELSE funds - coalesce(cost, 0) END + {OFF_TIES:.10f}, 4) AS unfilled FROM j LEFT JOIN f USING (ladder, order_id)"""
 )
 def execution_costs(spark, sf_dir):
-    """What orders would have cost against the ladder of a day later."""
+    """What orders, by size or funds, with and without limit, would have cost a day later against the ladder there was, or at the last price."""
     k = F.col("o_orderkey")
+    by_size = k % 4 != 2
     orders = views.table(spark, sf_dir, "orders").select(
         k.alias("order_id"), (F.col("o_custkey") % 2000 + 1).alias("ladder"), F.col("o_orderdate").alias("ts"), F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"),
-        (k % 60 + 1).cast("double").alias("size"), F.lit(None).cast("double").alias("funds"), F.lit(None).cast("double").alias("limit"),
+        F.when(by_size, (k % 60 + 1).cast("double")).alias("size"), F.when(~by_size, F.col("o_totalprice")).alias("funds"), F.when(by_size & (k % 5 == 0), F.col("o_totalprice") / 4).alias("limit"),
     )
     li = views.table(spark, sf_dir, "lineitem")
     side = F.when(F.col("l_linestatus") == "O", "ask").otherwise("bid").alias("side")
     year = F.date_trunc("year", "l_shipdate").cast("timestamp_ntz").alias("ts")
     ladders = li.groupBy(F.col("l_partkey").alias("ladder"), year, side, F.round("l_extendedprice", -2).alias("price")).agg(F.sum("l_quantity").alias("qty"))
-    prices = orders.where("false").select("ladder", "ts", F.lit(0.0).alias("price"))
+    prices = li.groupBy((F.col("l_orderkey") % 2000 + 1).alias("ladder"), F.col("l_shipdate").alias("ts")).agg(F.max(F.round("l_extendedprice", 0)).alias("price"))
     costs = portfolio.execution_cost(orders, ladders, prices, ["ladder"], "1 day", F.lit(0.003))
-    return costs.select("ladder", "order_id", "filled", "cost", "unfilled")
+    return costs.select("ladder", "order_id", *[F.round(F.col(c) + OFF_TIES, 4).alias(c) for c in ("filled", "cost", "fee", "unfilled")])
 
 
 @query(
@@ -447,3 +462,100 @@ def bot_states(spark, sf_dir):
     kind = F.when(F.col("event_type") == "error", "expired").otherwise(F.col("event_type")).alias("kind")
     log = views.table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("bot"), F.col("event_id").alias("seq"), kind, F.col("value").alias("payload"))
     return latest_state(log)
+
+
+@query("SELECT n_name AS exchange, 'coinbase' AS rules, 0.0::DOUBLE AS maker, 0.003::DOUBLE AS taker, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0 GROUP BY n_name UNION ALL SELECT n_name, 'bitstamp', 0.0005, 0.0005, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 1 GROUP BY n_name UNION ALL SELECT n_name, 'bitfinex', 0.001, 0.002, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 2 GROUP BY n_name")
+def fees_of_accounts(spark, sf_dir):
+    """P10: the fees that accounts trade at."""
+    c, n = views.table(spark, sf_dir, "customer"), views.table(spark, sf_dir, "nation")
+    k = F.col("c_custkey") % 3
+    on = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("place"), F.when(k == 0, "coinbase").when(k == 1, "bitstamp").otherwise("bitfinex").alias("exchange"))
+    return portfolio.with_fees(on).groupBy(F.col("place").alias("exchange"), F.col("exchange").alias("rules"), "maker", "taker").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH RECURSIVE {RATES}, held AS (SELECT c_mktsegment AS account, lower(n_name) AS asset, c_acctbal AS qty FROM customer JOIN nation ON c_nationkey = n_nationkey
+      UNION ALL SELECT CASE s_suppkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'other' END, lower(n_name), (s_suppkey % 7 - 3) * (100.0::DOUBLE + n_nationkey - s_acctbal) FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+    SELECT account, round(sum(qty * rate) + {OFF_TIES:.10f}, 2) AS equity FROM held JOIN rates USING (asset) GROUP BY account"""
+)
+def equity_with_positions(spark, sf_dir):
+    """Balances and the profit of open positions in one currency; losses keep their sign."""
+    c, s, n = (views.table(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
+    asset, k = F.lower("n_name").alias("asset"), F.col("s_suppkey")
+    balances = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("account"), asset, F.col("c_acctbal").alias("qty"))
+    positions = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.when(k % 3 == 0, "BUILDING").when(k % 3 == 1, "MACHINERY").otherwise("other").alias("account"),
+        asset, (k % 7 - 3).alias("size"), F.col("s_acctbal").alias("entry_price"), (100.0 + F.col("n_nationkey")).alias("price"),
+    )
+    out = portfolio.equity(balances, rates(spark, sf_dir), ["account"], positions)
+    return out.withColumn("equity", F.round(F.col("equity") + OFF_TIES, 2))
+
+
+@query(
+    f"""WITH {FILLS}, legs AS (SELECT account % 50 AS account, 'm' || (market % 10) AS asset, ts, fill_key, CASE side WHEN 'buy' THEN size ELSE -size END AS delta FROM fills),
+    g AS (SELECT unnest(generate_series(TIMESTAMP '1992-01-01', TIMESTAMP '1999-01-01', INTERVAL '365 days')) AS ts),
+    h AS (SELECT account, asset, ts, sum(sum(delta)) OVER (PARTITION BY account, asset ORDER BY ts) AS qty FROM legs GROUP BY account, asset, ts),
+    p AS (SELECT account, asset, g.ts FROM (SELECT account, asset, min(ts) AS s FROM h GROUP BY ALL) JOIN g ON g.ts >= s),
+    q AS (SELECT p.*, qty FROM p ASOF LEFT JOIN h ON p.account = h.account AND p.asset = h.asset AND p.ts >= h.ts),
+    v AS (SELECT 'm' || (l_suppkey % 10) AS asset, l_shipdate AS ts, max(round(l_extendedprice / l_quantity, 2)) AS price FROM lineitem GROUP BY ALL)
+    SELECT account, q.ts, round(sum(qty * coalesce(price, 0)) + {OFF_TIES:.10f}, 2) AS equity FROM q ASOF LEFT JOIN v ON q.asset = v.asset AND q.ts >= v.ts GROUP BY account, q.ts"""
+)
+def equity_by_year(spark, sf_dir):
+    """Equity of every account at the start of every year."""
+    market = F.concat(F.lit("m"), (F.col("market") % 10).cast("string"))
+    changes = views.fills(spark, sf_dir).select((F.col("account") % 50).alias("account"), market.alias("asset"), "ts", "fill_key", C.signed_size("side", "size").alias("delta"))
+    li = views.table(spark, sf_dir, "lineitem")
+    prices = li.groupBy(F.concat(F.lit("m"), (F.col("l_suppkey") % 10).cast("string")).alias("asset"), F.col("l_shipdate").alias("ts")).agg(F.max(F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)).alias("price"))
+    out = portfolio.equity_history(changes, prices, ["account"], years(), ["ts", "fill_key"])
+    return out.withColumn("equity", F.round(F.col("equity") + OFF_TIES, 2))
+
+
+@query(
+    """WITH l AS (SELECT l_suppkey % 20 AS book, date_trunc('month', l_shipdate) AS ts, CASE WHEN l_linestatus = 'O' THEN 'ask' ELSE 'bid' END AS side, round(l_extendedprice, -2) AS price, sum(l_quantity) AS qty
+      FROM lineitem GROUP BY ALL), n AS (SELECT * FROM l WHERE ts = (SELECT max(ts) FROM l x WHERE x.book = l.book))
+    SELECT book, side, CAST(place AS INTEGER) AS place, price, qty FROM (SELECT *, row_number() OVER (PARTITION BY book, side ORDER BY CASE WHEN side = 'ask' THEN price ELSE -price END) - 1 AS place FROM n) WHERE place < 10"""
+)
+def panel_order_books(spark, sf_dir):
+    """The newest ladder of each book, asks then bids."""
+    li = views.table(spark, sf_dir, "lineitem")
+    side = F.when(F.col("l_linestatus") == "O", "ask").otherwise("bid").alias("side")
+    month = F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("ts")
+    ladders = li.groupBy((F.col("l_suppkey") % 20).alias("book"), month, side, F.round("l_extendedprice", -2).alias("price")).agg(F.sum("l_quantity").alias("qty"))
+    return report.panel_book(ladders, ["book"])
+
+
+@query("SELECT DISTINCT tag, value FROM (SELECT 'source' AS tag, 'events' AS value FROM events UNION ALL SELECT 'topic', event_type FROM events UNION ALL SELECT 'datatype', 'trades' FROM events)")
+def panel_tags(spark, sf_dir):
+    """Tags of panels and their values."""
+    return report.tags(views.trades(spark, sf_dir).select("source", "topic", "datatype").distinct())
+
+
+#: Events of 1000 sessions: trades, and some that complete or fail.
+SESSIONS = """s AS (SELECT user_id % 1000 AS session_id, event_id AS seq, ts, CAST(value AS VARCHAR) AS payload,
+  CASE WHEN event_type IN ('click', 'view') THEN 'trade' WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'complete' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'error' ELSE 'put' END AS kind FROM events)"""
+
+
+def session_events(spark, sf_dir):
+    e, kind, k = views.table(spark, sf_dir, "events"), F.col("event_type"), F.col("event_id")
+    named = F.when(kind.isin("click", "view"), "trade").when((kind == "purchase") & (k % 3 == 0), "complete").when((kind == "error") & (k % 4 == 0), "error").otherwise("put")
+    return e.select((F.col("user_id") % 1000).alias("session_id"), k.alias("seq"), "ts", F.col("value").alias("payload"), named.alias("kind"))
+
+
+@query(f"WITH {SESSIONS} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) - 1 AS place, ts, CAST(payload AS DOUBLE) AS payload FROM s WHERE kind = 'trade'")
+def report_trades_in_order(spark, sf_dir):
+    """The trades of each report."""
+    return report.report_trades(session_events(spark, sf_dir))
+
+
+@query(
+    f"""WITH {SESSIONS}, e AS (SELECT session_id, arg_max(kind, seq) FILTER (kind IN ('complete', 'error')) AS last, CAST(arg_max(payload, seq) FILTER (kind IN ('complete', 'error')) AS DOUBLE) AS payload,
+      count(*) FILTER (kind = 'trade') AS n_trades FROM s GROUP BY session_id),
+    b AS (SELECT DISTINCT c_custkey % 30 AS bot, c_custkey % 1200 AS session_id FROM customer)
+    SELECT bot, b.session_id, CASE last WHEN 'complete' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS state, CASE WHEN last = 'error' THEN payload END AS error, coalesce(n_trades, 0) AS n_trades
+    FROM b LEFT JOIN e USING (session_id)"""
+)
+def reports_of_bots(spark, sf_dir):
+    """All reports of all bots, with their completion or error."""
+    k = F.col("c_custkey")
+    sessions = views.table(spark, sf_dir, "customer").select((k % 30).alias("bot"), (k % 1200).alias("session_id")).distinct()
+    return report.bot_reports(report.report_ends(session_events(spark, sf_dir)), sessions)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import book, ladder
+from tidemark.operators import book, ladder, order
 from tidemark.plans import views
 from tidemark.plans.register import OFF_TIES, registry
 
@@ -212,10 +212,10 @@ def ladders_compared(spark, sf_dir):
     return ladder.ladder_diff(*halves(spark, sf_dir), ["ladder"])
 
 
-@query(f"WITH {HALVES} SELECT ladder, side, price * 2 AS price, sum(qty) AS qty FROM a GROUP BY ALL")
+@query(f"WITH {LADDERS} SELECT ladder, side, price * 2 AS price, sum(qty) AS qty FROM ladders GROUP BY ladder, side, price")
 def ladders_converted(spark, sf_dir):
-    """A ladder at other prices."""
-    return ladder.ladder_convert(halves(spark, sf_dir)[0], F.col("price") * 2)
+    """Ladders at other prices."""
+    return ladder.ladder_convert(views.ladders(spark, sf_dir), F.col("price") * 2)
 
 
 @query(
@@ -258,3 +258,59 @@ def ladders_recorded_or_derived(spark, sf_dir):
     derived = book.level_depth(the_book(spark, sf_dir), ["topic"])
     recorded = derived.where("topic < 2").withColumn("qty", F.col("qty") * 2)
     return ladder.ladder_or_book(recorded, derived, ["topic"])
+
+
+def fine(spark, sf_dir):
+    """The two ladders of ``halves`` with quantities of eight digits behind the point."""
+    steps = F.col("qty").cast("decimal(12,0)") * (F.pmod(F.col("price").cast("long"), F.lit(97)) + 1).cast("decimal(3,0)")
+    qty = steps * F.lit("0.00000001").cast("decimal(8,8)")
+    return [x.withColumn("qty", qty.cast("decimal(28,8)").cast("double")) for x in halves(spark, sf_dir)]
+
+
+@query(
+    f"""WITH {HALVES}, x AS (SELECT *, CAST(qty AS DECIMAL(20, 0)) * CAST(CAST(price AS BIGINT) % 97 + 1 AS DECIMAL(10, 0)) * CAST(0.00000001 AS DECIMAL(8, 8)) AS q FROM h),
+    c AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY half, ladder, side ORDER BY CASE WHEN side = 'ask' THEN price ELSE -price END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM x),
+    ca AS (SELECT * FROM c WHERE half = 0), cb AS (SELECT * REPLACE (CASE WHEN side = 'ask' THEN 'bid' ELSE 'ask' END AS side) FROM c WHERE half = 1)
+    SELECT ca.ladder, ca.side, ca.price - cb.price AS price, CAST(sum(least(ca.lo + ca.q, cb.lo + cb.q) - greatest(ca.lo, cb.lo)) AS DOUBLE) AS qty
+    FROM ca JOIN cb ON ca.ladder = cb.ladder AND ca.side = cb.side AND ca.lo < cb.lo + cb.q AND cb.lo < ca.lo + ca.q GROUP BY 1, 2, 3"""
+)
+def ladder_spreads_of_fine_quantities(spark, sf_dir):
+    """Spreads of ladders whose quantities have eight digits."""
+    return ladder.ladder_spread(*fine(spark, sf_dir), ["ladder"])
+
+
+@query(
+    f"""WITH {FEED}, k AS (SELECT topic, order_id, max(seq) AS s, arg_max(kind, seq) <> 'done' AS alive, max(ts) AS ts FROM feed WHERE kind IN ('open', 'change', 'done') AND order_id % 3 <> 0 GROUP BY ALL),
+    m AS (SELECT DISTINCT topic, date_trunc('day', ts) AS day, order_id FROM feed), d AS (SELECT DISTINCT topic, day FROM m),
+    r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY day DESC) AS n FROM d),
+    now AS (SELECT m.* FROM m JOIN r USING (topic, day) WHERE n = 1), was AS (SELECT m.* FROM m JOIN r USING (topic, day) WHERE n = 2)
+    SELECT topic, order_id, 'missed' AS correction FROM now SEMI JOIN was USING (topic, order_id) ANTI JOIN k USING (topic, order_id)
+    UNION ALL SELECT k.topic, k.order_id, 'lingering' FROM k JOIN r ON k.topic = r.topic AND n = 1 AND k.ts <= day - INTERVAL 10 SECOND WHERE alive AND NOT EXISTS (SELECT 1 FROM now WHERE now.topic = k.topic AND now.order_id = k.order_id)"""
+)
+def snapshots_reconciled(spark, sf_dir):
+    """What the latest of daily snapshots corrects in books that know two thirds of the orders."""
+    feed = views.order_feed(spark, sf_dir)
+    own = book.book_deltas(feed).where("order_id % 3 <> 0").groupBy("topic", "order_id")
+    known = own.agg((F.max_by("kind", "seq") != "done").alias("alive"), F.max("ts").alias("ts"))
+    shots = feed.select("topic", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), "order_id").distinct()
+    return book.reconciled(known, shots, ["topic"])
+
+
+@query(f"WITH {FEED} SELECT 'exchange' AS source, CAST(topic AS VARCHAR) AS topic, ts, CAST(seq AS VARCHAR) AS id, price, size, CASE side WHEN 'bid' THEN 'down' ELSE 'up' END AS direction FROM feed WHERE kind = 'open'")
+def trades_of_matches(spark, sf_dir):
+    """matches of an order feed as trades."""
+    feed = views.order_feed(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "open", "match").otherwise(F.col("kind")))
+    named = feed.withColumns({"source": F.lit("exchange"), "topic": F.col("topic").cast("string"), "trade_id": F.col("seq"), "direction": F.when(F.col("side") == "bid", "down").otherwise("up")})
+    return book.trades_from_matches(named)
+
+
+@query(
+    f"""WITH {FEED}, b AS (SELECT topic, seq, 1 AS is_event, kind FROM feed UNION ALL SELECT topic, seq, 0, 'snapshot' FROM feed WHERE seq % 100 = 0)
+    SELECT topic, seq, is_event, kind, row_number() OVER (PARTITION BY topic ORDER BY seq, is_event) - 1 AS place FROM b"""
+)
+def feed_with_snapshots_in_order(spark, sf_dir):
+    """O3: an order feed and its book snapshots; a snapshot stands before the event of its sequence."""
+    feed = views.order_feed(spark, sf_dir).select("topic", "seq", "kind")
+    shots = feed.where("seq % 100 = 0").withColumn("kind", F.lit("snapshot"))
+    both = order.feed_order(feed, shots)
+    return order.numbered(both, ["topic"], ["seq", "is_event"], "place", F.floor(F.col("seq") / 65536))

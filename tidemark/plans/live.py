@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from tidemark.functions import columns as C
 from tidemark.plans import views
 from tidemark.plans.books import FEED
 from tidemark.plans.register import registry
@@ -70,21 +73,57 @@ def streamed_report(spark, sf_dir):
     return out.groupBy("session_id", "key").agg(F.max_by("payload", "batch").alias("payload"))
 
 
-@query()
-def out_of_order_book(spark, sf_dir):
-    """Outcomes of order events that come out of order."""
-    k = F.get_json_object("props", "$.k").cast("double")
-    new, change = F.col("event_type").isin("signup", "view"), F.col("event_type") == "click"
-    e = event_stream(spark, sf_dir).where("event_type <> 'error'").select(
+#: Order events as they arrive: up to eight hours after their time, two thirds of them within ten minutes.
+ARRIVALS = """arrivals AS (SELECT CAST(user_id % 4 AS INTEGER) AS topic, event_id % 997 AS order_id, ts,
+  (epoch_us(ts) // 1000 + CASE WHEN event_id % 3 < 2 THEN event_id * 7919 % 600000 ELSE event_id * 104729 % 28800000 END) * 1048576 + event_id % 1048576 AS seq,
+  CASE event_type WHEN 'click' THEN 'change' WHEN 'purchase' THEN 'delete' WHEN 'error' THEN 'delete' ELSE 'create' END AS event FROM events)"""
+#: Time that an event may be late, and that deleted orders are remembered, for a table of a few events an hour.
+LATE, FORGET = 3 * 3_600_000_000, 24 * 3_600_000_000
+
+
+def arrivals(spark, sf_dir):
+    k, kind = F.col("event_id"), F.col("event_type")
+    new, change = kind.isin("signup", "view"), kind == "click"
+    delay = F.when(k % 3 < 2, k * 7919 % 600_000).otherwise(k * 104_729 % 28_800_000)
+    millis = F.floor(C.micros("ts") / 1000)
+    return views.table(spark, sf_dir, "events").select(
         (F.col("user_id") % 4).cast("int").alias("topic"),
-        (F.col("event_id") % 997).alias("order_id"),
-        F.hash("event_id").cast("long").alias("seq"),
+        (k % 997).alias("order_id"),
+        ((millis + delay) * 1_048_576 + k % 1_048_576).alias("seq"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(new, F.col("value")).alias("price"),
-        F.when(new | change, k + 1).alias("size"),
+        F.when(new | change, F.get_json_object("props", "$.k").cast("double") + 1).alias("size"),
         F.when(new, F.lit("bid")).alias("side"),
     )
-    return streams.drained(fuzzy.fuzzy_book(e))
+
+
+@query(
+    f"""WITH RECURSIVE {ARRIVALS}, c AS (SELECT *, max(epoch_us(ts)) OVER (PARTITION BY topic ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS clock,
+      row_number() OVER (PARTITION BY topic, order_id ORDER BY seq) AS n, epoch_us(ts) AS t FROM arrivals),
+    s(topic, order_id, n, outcome, alive, time) AS (
+      SELECT topic, order_id, CAST(0 AS BIGINT), '', CAST(NULL AS BOOLEAN), CAST(NULL AS BIGINT) FROM (SELECT DISTINCT topic, order_id FROM c)
+      UNION ALL
+      SELECT topic, order_id, n, outcome, CASE WHEN takes THEN event <> 'delete' ELSE alive END, CASE WHEN takes THEN t ELSE time END FROM (
+        SELECT *, outcome = 'accepted' OR (outcome = 'unknown order' AND event = 'delete') AS takes FROM (
+          SELECT x.topic, x.order_id, c.n, c.t, c.event, x.alive, x.time,
+            CASE WHEN c.t < c.clock - {LATE} THEN 'late'
+              WHEN x.alive IS NULL OR (NOT x.alive AND x.time < c.clock - {FORGET}) THEN CASE c.event WHEN 'create' THEN 'accepted' ELSE 'unknown order' END
+              WHEN NOT x.alive THEN 'already removed'
+              WHEN c.event = 'create' THEN 'already active'
+              WHEN c.t > x.time THEN 'accepted' ELSE 'outdated' END AS outcome
+          FROM s x JOIN c ON c.topic = x.topic AND c.order_id = x.order_id AND c.n = x.n + 1)))
+    SELECT c.topic, c.order_id, c.seq, epoch_us(c.ts) AS micros, c.event, s.outcome FROM s JOIN c USING (topic, order_id, n)"""
+)
+def out_of_order_book(spark, sf_dir):
+    """Outcomes of order events that come out of order, judged as they arrive, in several batches."""
+    folder = fuzzy.in_arrival_order(arrivals(spark, sf_dir), 3)
+    schema = arrivals(spark, sf_dir).schema
+    out, checkpoint = shared_path(spark, "clocked"), shared_path(spark, "checkpoints")
+    an_hour = 3_600_000 * 1_048_576
+    fuzzy.clocked(streams.stream_series(spark, folder, schema, each=1), out, checkpoint, an_hour)
+    whole = spark.read.parquet(f"{out}/batch=0").schema
+    outcomes = streams.drained(fuzzy.fuzzy_book(streams.stream_series(spark, out, whole, each=64), LATE, FORGET))
+    return outcomes.select("topic", "order_id", "seq", F.unix_micros("ts").alias("micros"), "event", "outcome")
 
 
 def feed_lines(spark, sf_dir):
@@ -187,3 +226,41 @@ def ingested_stream(spark, sf_dir):
     s = trade_stream(spark, sf_dir).select("id", "topic", "price")
     streams.ingest(s, folder, shared_path(spark, "checkpoints"), every=None).awaitTermination()
     return spark.read.parquet(folder).select("id", "topic", "price")
+
+
+def ticks_in_files(spark, sf_dir, files):
+    """Trades as so many files, each later than the one before: (folder, schema)."""
+    e = views.table(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), "ts", F.col("event_id").alias("id"), F.col("value").alias("price"), F.col("event_id").alias("seq"))
+    return fuzzy.in_arrival_order(e, files), e.schema
+
+
+@query(f"WITH {TICKS} SELECT topic, id, seqid, CAST(7 AS BIGINT) AS bundle FROM ticks")
+def ingested_series(spark, sf_dir):
+    """A stream appended to a store in three batches, each row with its bundle and position."""
+    files, schema = ticks_in_files(spark, sf_dir, 3)
+    folder = shared_path(spark, "ingested")
+    s = streams.stream_series(spark, files, schema, each=1)
+    streams.ingest_series(s, folder, shared_path(spark, "checkpoints"), 7, ["topic"], ["ts", "id"]).awaitTermination()
+    return spark.read.parquet(folder).select("topic", "id", "seqid", "bundle")
+
+
+@query("SELECT event_type AS topic, event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
+def streamed_since(spark, sf_dir):
+    """A stream of a series from a look-back on."""
+    s = streams.stream_series(spark, sf_dir, views.table(spark, sf_dir, "events").schema, "events.parquet", since=dt.datetime(2024, 1, 20))
+    return streams.drained(s.select(F.col("event_type").alias("topic"), F.col("event_id").alias("id")))
+
+
+@query(
+    """WITH j AS (SELECT event_type AS topic, event_id AS id, CAST(event_id // 3 - (event_id % 7) * 2 AS BIGINT) AS n FROM events)
+    SELECT topic, id, n FROM (SELECT *, max(n) OVER (PARTITION BY topic ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM j) WHERE n > coalesce(seen, -1)"""
+)
+def streamed_increasing(spark, sf_dir):
+    """Rows of a stream, in four batches, above all before them."""
+    files, schema = ticks_in_files(spark, sf_dir, 4)
+    n = (F.floor(F.col("id") / 3) - (F.col("id") % 7) * 2).cast("long")
+    s = streams.stream_series(spark, files, schema, each=1).select("topic", "id", n.alias("n"))
+    folder = shared_path(spark, "increasing")
+    bucket = F.floor(F.col("id") / F.lit(1 << 16))
+    streams.dedupe_increasing(s, folder, shared_path(spark, "checkpoints"), "n", ["topic"], ["id"], bucket).awaitTermination()
+    return spark.read.parquet(folder).select("topic", "id", "n")

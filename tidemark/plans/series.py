@@ -12,6 +12,7 @@ from tidemark.operators import asof, bars, order, replay
 from tidemark.plans import views
 from tidemark.plans.register import registry
 from tidemark.sources import series as stored
+from tidemark.sources.shared import shared_path
 
 QUERIES, ORACLES, query = registry()
 
@@ -342,6 +343,16 @@ def rules(spark):
     return spark.createDataFrame(RULES, "source string, topic string, datatype string, ttl string, rule int")
 
 
+@query(
+    """SELECT event_type AS topic, event_id AS id FROM events
+    WHERE ts >= TIMESTAMP '2024-04-10' - CASE event_type WHEN 'purchase' THEN INTERVAL 80 DAY ELSE INTERVAL 90 DAY END"""
+)
+def retention_by_default(spark, sf_dir):
+    """Rows whose path has no rule of its own are kept for the default time."""
+    own = rules(spark).where("rule = 1").withColumn("ttl", F.lit("80d"))
+    return stored.apply_retention(views.trades(spark, sf_dir), own, dt.datetime(2024, 4, 10)).select("topic", "id")
+
+
 @query(
     """SELECT event_type AS topic, event_id AS id FROM events
     WHERE ts >= TIMESTAMP '2024-01-20' - CASE event_type WHEN 'purchase' THEN INTERVAL 1 DAY WHEN 'signup' THEN INTERVAL 12 HOUR ELSE INTERVAL 10 DAY END"""
@@ -413,13 +424,11 @@ def bundles_assigned(spark, sf_dir):
     return stored.assign_bundles(views.trades(spark, sf_dir), BY, AT, "2 hours").select("topic", "id", "bundle")
 
 
-@query(
-    """SELECT event_type AS topic, arg_max(value, (ts, event_id)) AS price FROM events GROUP BY event_type"""
-)
+@query("SELECT event_type AS symbol, 'events' AS exchange, arg_max(value, (ts, event_id)) AS price FROM events GROUP BY event_type")
 def latest_price(spark, sf_dir):
-    """The last price of every market."""
-    t = views.trades(spark, sf_dir)
-    return t.groupBy("topic").agg(F.max_by("price", F.struct("ts", "id")).alias("price"))
+    """The last price of every market, whose symbol must name one exchange."""
+    t = views.trades(spark, sf_dir).withColumnsRenamed({"topic": "symbol", "source": "exchange"})
+    return order.latest_price(t, AT)
 
 
 @query(f"WITH {STORED} SELECT bundle, coalesce(min(CASE WHEN is_snapshot THEN seqid END), 0) AS earliest FROM stored GROUP BY bundle")
@@ -494,3 +503,93 @@ def iso_times_and_numbers(spark, sf_dir):
     t = views.trades(spark, sf_dir)
     iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("789Z"))
     return t.select("id", C.iso_micros(iso).alias("micros"), C.strip_zeroes(F.concat(F.col("id").cast("string"), F.lit(".000"))).alias("stripped"))
+
+
+def store(spark, rows):
+    """Rows written as a store of series in the shared folder."""
+    folder = shared_path(spark, "series")
+    stored.write_series(rows, folder)
+    return folder
+
+
+@query(
+    "SELECT event_id AS id, value AS price FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-09'"
+)
+def stored_path_in_range(spark, sf_dir):
+    """One series of a store in [from, to); only its days are read."""
+    rows = views.ticks(spark, sf_dir).withColumn("bundle", F.lit(1).cast("long"))
+    now = dt.datetime(2025, 1, 1)
+    return stored.read_series(spark, store(spark, rows), "events", "click", "trades", dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 9), now).select("id", "price")
+
+
+@query(
+    f"""WITH {STORED}, f AS (SELECT * FROM stored WHERE topic = 'view' AND ts >= TIMESTAMP '2024-01-10 02:00:00' - INTERVAL 4 HOUR AND ts < TIMESTAMP '2024-01-14'),
+    o AS (SELECT *, max(CASE WHEN is_snapshot THEN bundle END) OVER (ORDER BY ts, NOT is_snapshot, bundle, seqid) AS cur FROM f),
+    c AS (SELECT *, sum(CAST(is_snapshot AS INTEGER)) OVER (ORDER BY ts, NOT is_snapshot, bundle, seqid) AS seg FROM o WHERE bundle = cur),
+    w AS (SELECT c.*, s.seqid AS start FROM c JOIN (SELECT seg, seqid FROM c WHERE is_snapshot) s USING (seg) WHERE is_snapshot OR c.seqid > s.seqid),
+    n AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY NOT is_snapshot, ts, bundle, seqid) - 1 AS pos FROM w)
+    SELECT id, bundle, seqid FROM n WHERE (is_snapshot OR seqid = start + pos) AND ts >= TIMESTAMP '2024-01-10 02:00:00'"""
+)
+def stored_path_replayed(spark, sf_dir):
+    """A series of snapshots and deltas, read with a look-back for a snapshot, replayed and trimmed."""
+    folder = store(spark, views.stored_rows(spark, sf_dir))
+    start, end = dt.datetime(2024, 1, 10, 2), dt.datetime(2024, 1, 14)
+    return stored.read_series(spark, folder, "events", "view", "trades", start, end, dt.datetime(2025, 1, 1), replayed=True).select("id", "bundle", "seqid")
+
+
+@query("SELECT event_type AS topic, event_id AS id, value AS price FROM events")
+def backfilled_store_converges(spark, sf_dir):
+    """Live rows and overlapping pages of history, stored and read back, are each trade once."""
+    t = views.ticks(spark, sf_dir).withColumn("bundle", F.lit(1).cast("long"))
+    half = t.groupBy("topic").agg(F.max("seqid").alias("last"))
+    placed = t.join(half, "topic")
+    live = placed.where("seqid * 3 >= last").drop("last")
+    pages = placed.where("seqid * 2 <= last").drop("last", "seqid")
+    folder = store(spark, stored.backfill_merge(live, pages, order.PATH, AT))
+    # overlap is resolved by the trade's id
+    return order.dedupe_increasing(spark.read.parquet(folder).drop("date"), order.PATH, [*AT, "seqid"], "id").select("topic", "id", "price")
+
+
+@query(f"WITH {STORED} SELECT id, bundle, seqid, row_number() OVER (ORDER BY bundle, seqid, topic) - 1 AS place FROM stored WHERE topic = 'view'")
+def stored_rows_by_position(spark, sf_dir):
+    """O2: the rows of a series in order of their bundles and positions."""
+    rows = order.by_position(views.stored_rows(spark, sf_dir).where("topic = 'view'"))
+    return order.numbered(rows, order.PATH, ["bundle", "seqid"], "place", F.col("bundle")).select("id", "bundle", "seqid", "place")
+
+
+@query(
+    """SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN value WHEN 1 THEN value * 2 ELSE value * 4 END AS price, CASE WHEN event_id % 5 < 2 THEN 'sell' ELSE 'buy' END AS side,
+      CAST(CASE WHEN event_id % 5 < 2 THEN 2 - event_id % 5 ELSE event_id % 5 - 1 END AS BIGINT) AS qty, epoch_us(ts) AS micros, make_timestamp(epoch_us(ts)) AS ts,
+      CASE event_id % 3 WHEN 0 THEN 'number' ELSE 'string' END AS kind, CASE WHEN event_id % 7 = 0 THEN '{"id":' || event_id || '}' ELSE '{"id":' || event_id || ',"topic":"' || event_type || '"}' END AS line,
+      value + value * 2 AS total FROM events"""
+)
+def values_of_rows(spark, sf_dir):
+    """Prices of rows of several types, signed sizes, times, JSON without nulls, kinds of JSON values, sums of one unit."""
+    k, v = F.col("event_id"), F.col("value")
+    e = views.table(spark, sf_dir, "events")
+    signed = F.when(k % 5 < 2, k % 5 - 2).otherwise(k % 5 - 1)
+    price = C.priced(F.when(k % 3 == 0, v), F.when(k % 3 == 1, v * 2), v * 4)
+    text = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.lit('"text"')).otherwise(F.lit("true"))
+    line = F.to_json(F.struct(k.alias("id"), F.when(k % 7 != 0, F.col("event_type")).alias("topic")))
+    unit = F.lit("usd")
+    return e.select(
+        k.alias("id"), price.alias("price"), C.side_of(signed).alias("side"), F.abs(signed).alias("qty"), C.micros("ts").alias("micros"), C.from_micros(C.micros("ts")).alias("ts"),
+        C.json_kind(text).alias("kind"), line.alias("line"), C.checked_sum(v, unit, v * 2, unit).alias("total"),
+    )
+
+
+@query(f"WITH {TICKS} SELECT topic, unnest(generate_series(min(date_trunc('day', ts)), max(ts), INTERVAL '6 hours')) AS ts FROM ticks GROUP BY topic")
+def grids_of_series(spark, sf_dir):
+    """C14: a grid of six hours over the time of each series."""
+    t = views.trades(spark, sf_dir).groupBy("topic").agg(F.min(F.date_trunc("day", "ts")).cast("timestamp_ntz").alias("a"), F.max("ts").alias("b"))
+    return t.select("topic", F.explode(C.tick_grid(F.col("a"), F.col("b"), "6 hours", inclusive=True)).alias("ts"))
+
+
+@query("SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 5 DAY")
+def rows_of_a_paper_run(spark, sf_dir):
+    """Rows that a paper run with a look-back of five days begins with."""
+    now = dt.datetime(2024, 1, 20)
+    start, end = C.run_range("paper:5d", int((now - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1)))
+    since = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=start)
+    P.validate_selection(since, end, now)
+    return views.trades(spark, sf_dir).where(P.time_range("ts", since, end)).select("id")

@@ -66,7 +66,7 @@ def parse_trade_pages(pages: DataFrame, by: list[str], page: str = "page", text:
     page before had already reached are dropped. ``side`` is the maker's.
     """
     rows = pages.select(*by, page, F.posexplode(F.from_json(text, TRADES)).alias("place", "t")).select(*by, page, "place", "t.*")
-    once = dedupe_consecutive(rows, [*by, page], ["place"], "trade_id")
+    once = dedupe_consecutive(rows, [*by, page], ["place"], "trade_id", F.lit(0))  # a page is one bucket
     last = once.groupBy(*by, page).agg(F.max_by("trade_id", "place").alias("__last"))
     reached = last.select(*by, (F.col(page) + 1).alias(page), "__last")
     joined = once.join(reached, [*by, page], "left")

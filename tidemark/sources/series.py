@@ -9,18 +9,24 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import duration_micros, micros
 from tidemark.functions.paths import PARTS, path_eq, pattern_join, time_range, validate_selection
+from tidemark.operators.order import numbered
 from tidemark.operators.replay import replay
+from tidemark.operators.running import previous, with_running
 
 #: Stored series have a snapshot at least this often.
 SNAPSHOT_INTERVAL = dt.timedelta(hours=4)
 
 
 def write_series(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Typed Parquet, partitioned by path and day, sorted by position so that row groups can be skipped."""
+    """Typed Parquet, partitioned by path and day, sorted by position so that row groups can be skipped.
+
+    Rows are dealt out by ranges of path, day and position, so a day of a hot path is as many files as it needs.
+    """
+    place = ("source", "topic", "datatype", "date", "bundle", "seqid")
     days = df.withColumn("date", F.to_date("ts"))
     (
-        days.repartition("source", "topic", "datatype", "date")
-        .sortWithinPartitions("source", "topic", "datatype", "date", "bundle", "seqid")
+        days.repartitionByRange(*place)
+        .sortWithinPartitions(*place)
         .write.mode(mode)
         .partitionBy("source", "topic", "datatype", "date")
         .parquet(path)
@@ -79,9 +85,17 @@ def series_find(rows: DataFrame, key: str, wanted) -> DataFrame:
     return rows.where(F.col(key) == F.lit(wanted)).limit(1)
 
 
+#: How long rows are kept whose path no rule matches.
+DEFAULT_TTL = "90d"
+
+
 def apply_retention(rows: DataFrame, rules: DataFrame, now: dt.datetime, order: str = "rule") -> DataFrame:
-    """Rows not older than the first rule (``source, topic, datatype, ttl, rule``) for their path allows."""
-    ruled = pattern_join(rows, rules.withColumn("__ttl", duration_micros("ttl")).drop("ttl"), order)
+    """Rows not older than the first rule (``source, topic, datatype, ttl, rule``) for their path allows, or the default."""
+    kind = rules.schema[order].dataType
+    last = rules.agg((F.coalesce(F.max(order), F.lit(0)) + 1).cast(kind).alias(order))
+    rest = last.select(*[F.lit("*").alias(p) for p in PARTS], F.lit(DEFAULT_TTL).alias("ttl"), order)
+    given = rules.select(*PARTS, "ttl", order).unionByName(rest)
+    ruled = pattern_join(rows, given.withColumn("__ttl", duration_micros("ttl")).drop("ttl"), order)
     age = micros(F.lit(now)) - micros("ts")
     return ruled.where(age <= F.col("__ttl")).select(*rows.columns)
 
@@ -93,12 +107,11 @@ def backfill_merge(live: DataFrame, pages: DataFrame, by: list[str], order: list
     time. Overlap with live rows is resolved when the history is read.
     """
     first = live.groupBy(*by).agg(F.min("seqid").alias("__first"))
-    w = Window.partitionBy(*by).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(*by))
-    placed = pages.join(first, by, "left").withColumn(
-        "seqid", F.least(F.lit(0), F.coalesce("__first", F.lit(0))) + F.row_number().over(w) - 1 - n
-    )
-    return live.unionByName(placed.drop("__first"), allowMissingColumns=True)
+    # a row a series
+    below = pages.groupBy(*by).agg(F.count("*").alias("__n")).join(first, by, "left")
+    below = below.select(*by, (F.least(F.lit(0), F.coalesce("__first", F.lit(0))) - F.col("__n")).alias("__below"))
+    placed = numbered(pages, by, order, "__at").join(below, by).withColumn("seqid", F.col("__below") + F.col("__at"))
+    return live.unionByName(placed.drop("__below", "__at"), allowMissingColumns=True)
 
 
 def page_order_errors(pages: DataFrame, by: list[str], page: str, order: list[str]) -> DataFrame:
@@ -111,7 +124,6 @@ def page_order_errors(pages: DataFrame, by: list[str], page: str, order: list[st
 
 def assign_bundles(rows: DataFrame, by: list[str], order: list[str], gap: str) -> DataFrame:
     """Number the uninterrupted stretches of static files: a pause of more than ``gap`` opens a bundle."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    pause = F.col(order[0]) > F.lag(order[0]).over(w) + F.expr(f"INTERVAL {gap}")
-    opened = rows.withColumn("__opens", F.coalesce(pause, F.lit(False)).cast("long"))
-    return opened.withColumn("bundle", F.sum("__opens").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("__opens")
+    pause = F.col(order[0]) > F.col(f"__before.{order[0]}") + F.expr(f"INTERVAL {gap}")
+    opened = previous(rows, by, order, [order[0]]).withColumn("__opens", F.coalesce(pause, F.lit(False)).cast("long")).drop("__before")
+    return with_running(opened, by, order, {"bundle": ("sum", F.col("__opens"))}).withColumn("bundle", F.col("bundle") + 1).drop("__opens")

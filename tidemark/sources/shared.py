@@ -9,10 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; a temporary folder where that is unset."""
+    """A new path under ``spark.checkpoint.dir``; where that is unset, a temporary folder in local mode, else an error."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}/{uuid.uuid4().hex}"

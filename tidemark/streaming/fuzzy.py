@@ -1,13 +1,24 @@
-"""Books of order events that come out of order, as a stateful streaming operator.
-
-Events: ``topic, order_id, ts, price, size, side``. One with price, size and
-side creates an order, one with size alone changes it, one without deletes it.
-The book of a topic rejects events more than ``LATE`` behind the latest it has
-accepted, creations of known orders, changes and deletions that are older than
-the order's last event, and anything for orders that are gone. Deleted ids stay
-known for ``FORGET``. Every event yields one row with its outcome. Unknown
-orders that a deletion names are remembered as gone. Crossing orders are not
-matched here; see ``operators.book.match_orders``.
+"""Books of order events that come out of order.
+
+Events: ``topic, order_id, seq, ts, price, size, side``; ``seq`` is the order of
+arrival. One with price, size and side creates an order, one with size alone
+changes it, one without deletes it. An event is judged as it arrives:
+
+* more than ``late`` behind its topic's clock, the latest time of the topic's
+  events that arrived before it: ``late``;
+* by what is known of its order: see ``RULES``. Changes and deletions of a live
+  order count if they are newer than the last event that counted, and are
+  ``outdated`` otherwise; a deletion of an unknown order marks it as gone;
+* a deleted order is remembered until the clock is ``forget`` ahead of its
+  deletion, and is unknown again from then on.
+
+Every event yields one row with its outcome. The clock is a running maximum, so
+it is set ahead, for all orders of a topic at once, in buckets of arrival
+(``clocked``). What is left depends on one order alone: the stateful operator is
+keyed by topic and a share of its orders, so a hot book is many tasks, and reads
+the state of those orders only that have events. Crossing orders are not
+matched here; see ``operators.book.match_orders``. For snapshots see
+``operators.book.reconciled``.
 """
 
 from __future__ import annotations
@@ -16,133 +27,150 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: Microseconds.
-LATE, FORGET, LINGER = 60_000_000, 120_000_000, 10_000_000
+from tidemark.functions.columns import UNIT_MICROS, micros
+from tidemark.operators.running import with_running
+from tidemark.sources.shared import shared_path
 
-OUTCOMES = "topic int, order_id long, ts timestamp, event string, outcome string"
+#: Defaults, in microseconds.
+LATE, FORGET = UNIT_MICROS["m"], 2 * UNIT_MICROS["m"]
+#: Shares of a topic's orders; a checkpoint is bound to their number.
+SHARES = 64
+#: Numbers of ``seq`` in one bucket of the running clock.
+BUCKET = 1 << 16
 
-#: What becomes of an event, by what is known of its order.
+OUTCOMES = "topic int, order_id long, seq long, ts timestamp, event string, outcome string"
+
+#: Outcome of an event, by what is known of its order, and the order's state after it if it counts.
 RULES = {
-    ("unknown", "create"): "accepted",
-    ("unknown", "change"): "unknown order",
-    ("unknown", "delete"): "unknown order",
-    ("active", "create"): "already active",
-    ("active", "change"): "newer",
-    ("active", "delete"): "newer",
-    ("removed", "create"): "already removed",
-    ("removed", "change"): "already removed",
-    ("removed", "delete"): "already removed",
+    ("unknown", "create"): ("accepted", "active"),
+    ("unknown", "change"): ("unknown order", None),
+    ("unknown", "delete"): ("unknown order", "removed"),
+    ("active", "create"): ("already active", None),
+    ("active", "change"): ("accepted", "active"),
+    ("active", "delete"): ("accepted", "removed"),
+    ("removed", "create"): ("already removed", None),
+    ("removed", "change"): ("already removed", None),
+    ("removed", "delete"): ("already removed", None),
 }
 
 
-def event_of(price, size, side) -> str:
-    if size is None or size != size:
-        return "delete"
-    return "change" if price is None or price != price or side is None else "create"
-
-
-class Book:
-    """Orders of one topic: ``orders[id] = (time, alive, price, size, side)``, and the latest accepted time."""
-
-    def __init__(self, latest: int = 0, orders: dict | None = None, snapshot: int = 0, suspects: set | None = None):
-        self.latest, self.orders, self.touched = latest, orders if orders is not None else {}, set()
-        self.snapshot, self.suspects = snapshot, suspects or set()
-
-    def put(self, order_id: int, ts: int, price, size, side) -> tuple[str, str]:
-        """(event, outcome) of one event."""
-        event = event_of(price, size, side)
-        if ts < self.latest - LATE:
-            return event, "late"
-        known = self.orders.get(order_id)
-        state = "unknown" if known is None else "active" if known[1] else "removed"
-        outcome = RULES[state, event]
-        if outcome == "newer":
-            outcome = "accepted" if ts > known[0] else "outdated"
-        if outcome == "accepted":
-            old = known or (0, True, price, size, side)
-            row = (ts, event != "delete", *((price, size, side) if event == "create" else (old[2], size if event == "change" else old[3], old[4])))
-            self.orders[order_id] = row
-            self.latest = max(self.latest, ts)
-            self.touched.add(order_id)
-        elif (state, event) == ("unknown", "delete"):
-            self.orders[order_id] = (ts, False, None, None, None)
-            self.touched.add(order_id)
-        return event, outcome
-
-    def reconcile(self, ts: int, found: dict[int, tuple]) -> list[tuple[int, str, str]]:
-        """(order, event, outcome) of what a snapshot ``id -> (price, size, side)`` changes.
-
-        A snapshot that is not newer than the last is ignored. An order that is
-        unknown in two snapshots in a row was missed and is added; one that the
-        snapshot lacks, and that no event has touched for ``LINGER``, is removed.
-        """
-        if ts <= self.snapshot:
-            return []
-        self.snapshot, self.latest = ts, max(self.latest, ts)
-        unknown = {k for k in found if k not in self.orders}
-        out = [(k, "missed", self.put(k, ts, *found[k])[1]) for k in sorted(unknown & self.suspects)]
-        self.suspects = unknown
-        gone = [k for k, v in self.orders.items() if v[1] and k not in found and v[0] <= ts - LINGER]
-        return out + [(k, "lingering", self.put(k, ts, None, None, None)[1]) for k in sorted(gone)]
-
-    def forget(self) -> list[int]:
-        """Ids of orders that are gone for long enough."""
-        gone = [k for k, v in self.orders.items() if not v[1] and v[0] < self.latest - FORGET]
-        for k in gone:
-            del self.orders[k]
-        return gone
-
-
-def given(*values):
-    """Nulls as None."""
-    return tuple(None if x is None or x != x else x for x in values)
-
-
-class BookProcessor(StatefulProcessor):
+def judged(known: tuple[int, bool] | None, event: str, ts: int, clock: int | None, late: int, forget: int) -> tuple[str, tuple[int, bool] | None]:
+    """(outcome, what is known after it) of an event; known: time of the last event that counted, and whether the order lives."""
+    if clock is not None and ts < clock - late:
+        return "late", known
+    if known and not known[1] and clock is not None and known[0] < clock - forget:
+        known = None
+    state = "unknown" if known is None else "active" if known[1] else "removed"
+    outcome, after = RULES[state, event]
+    if state == "active" and after and ts <= known[0]:
+        return "outdated", known
+    return outcome, known if after is None else (ts, after == "active")
+
+
+def with_clock(events: DataFrame, before: DataFrame | None = None, width: int = BUCKET) -> DataFrame:
+    """Events with ``clock``, the latest time (micros) of their topic's earlier arrivals, null for none.
+
+    ``before(topic, clock)``: clocks that earlier events left.
+    """
+    bucket = F.floor(F.col("seq") / F.lit(width))
+    out = with_running(events, ["topic"], ["seq"], {"clock": ("max", micros("ts"))}, bucket, include_current=False)
+    if before is None:
+        return out
+    # a row a topic
+    known = before.select(F.col("topic").alias("__topic"), F.col("clock").alias("__clock"))
+    return out.join(known, F.col("topic") == F.col("__topic"), "left").withColumn("clock", F.greatest("clock", "__clock")).drop("__topic", "__clock")
+
+
+def clocked(events: DataFrame, folder: str, checkpoint: str, width: int = BUCKET) -> None:
+    """Append all events there are now, with their clocks, to a table; the topics' clocks are kept beside it.
+
+    A batch writes folders of its own, over those of a run that was cut short.
+    Batches must arrive in the order of ``seq``.
+    """
+    spark = events.sparkSession
+
+    def clocks(batch_id: int) -> str:
+        return f"{folder}-clocks/batch={batch_id}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        before = spark.read.parquet(clocks(batch_id - 1)) if batch_id else None
+        with_clock(batch, before, width).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        now = batch.groupBy("topic").agg(F.max(micros("ts")).alias("clock"))
+        both = now if before is None else now.unionByName(before).groupBy("topic").agg(F.max("clock").alias("clock"))
+        both.write.mode("overwrite").parquet(clocks(batch_id))
+
+    events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+
+
+class OrdersProcessor(StatefulProcessor):
+    """The orders of one share of a topic: those that live and those that are gone, each with its time."""
+
+    def __init__(self, late: int, forget: int):
+        self.late, self.forget = late, forget
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getValueState("times", "latest long, snapshot long, suspects array<bigint>")
-        self.orders = handle.getMapState("orders", "id long", "ts long, alive boolean, price double, size double, side string")
+        self.maps = {alive: handle.getMapState(name, "id long", "ts long") for alive, name in ((True, "alive"), (False, "gone"))}
+        self.swept = handle.getValueState("swept", "clock long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows))
-        got["micros"] = got["ts"].astype("datetime64[us]").astype("int64")
-        if "snapshot" not in got:
-            got["snapshot"] = False
-        got = got.sort_values(["micros", "snapshot", "seq"], kind="stable")
-        known = self.times.exists()
-        latest, snapshot, suspects = self.times.get() if known else (0, 0, [])
-        stored = {k[0]: tuple(v) for k, v in self.orders.iterator()} if known else {}
-        book = Book(latest, dict(stored), snapshot, set(suspects))
-        out = []
-        for (micros, shot), part in got.groupby(["micros", "snapshot"], sort=False):
-            ids, facts = part["order_id"].tolist(), [given(*x) for x in zip(part["price"], part["size"], part["side"], strict=True)]
-            if shot:
-                changes = book.reconcile(int(micros), dict(zip(ids, facts, strict=True)))
+        got = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        known: dict[int, tuple[int, bool] | None] = {}
+        outcomes = []
+        times = got["ts"].astype("datetime64[us]").astype("int64")
+        clocks = [None if c != c else int(c) for c in got["clock"]]
+        for order_id, ts, clock, event in zip(got["order_id"].tolist(), times.tolist(), clocks, got["event"], strict=True):
+            if order_id not in known:
+                known[order_id] = self.stored(order_id)
+            outcome, known[order_id] = judged(known[order_id], event, ts, clock, self.late, self.forget)
+            outcomes.append(outcome)
+        for order_id, state in known.items():
+            self.store(order_id, state)
+        self.sweep(max((c for c in clocks if c is not None), default=0))
+        yield pd.DataFrame({"topic": key[0], "order_id": got["order_id"], "seq": got["seq"], "ts": got["ts"], "event": got["event"], "outcome": outcomes})
+
+    def stored(self, order_id: int) -> tuple[int, bool] | None:
+        for alive, states in self.maps.items():
+            if states.containsKey((order_id,)):
+                return states.getValue((order_id,))[0], alive
+        return None
+
+    def store(self, order_id: int, state: tuple[int, bool] | None) -> None:
+        for alive, states in self.maps.items():
+            if state is not None and state[1] == alive:
+                states.updateValue((order_id,), (state[0],))
             else:
-                changes = [(i, *book.put(int(i), int(micros), *x)) for i, x in zip(ids, facts, strict=True)]
-            out += [(key[0], i, part["ts"].iloc[0], event, outcome) for i, event, outcome in changes]
-        for k in book.forget():
-            if k in stored:
-                self.orders.removeKey((k,))
-            book.touched.discard(k)
-        for k in book.touched:
-            self.orders.updateValue((k,), book.orders[k])
-        self.times.update((book.latest, book.snapshot, sorted(book.suspects)))
-        yield pd.DataFrame(out, columns=["topic", "order_id", "ts", "event", "outcome"])
+                states.removeKey((order_id,))
+
+    def sweep(self, clock: int) -> None:
+        """Drop deleted orders once the clock has gone on by the time that they are remembered."""
+        last = self.swept.get()[0] if self.swept.exists() else 0
+        if clock - last >= self.forget:
+            for (order_id,), (ts,) in list(self.maps[False].iterator()):
+                if ts < clock - self.forget:
+                    self.maps[False].removeKey((order_id,))
+            self.swept.update((clock,))
 
     def close(self) -> None:
         pass
 
 
-def fuzzy_book(events: DataFrame) -> DataFrame:
-    """Outcome of every event of the stream ``(topic, order_id, seq, ts, price, size, side)``.
+def fuzzy_book(events: DataFrame, late: int = LATE, forget: int = FORGET) -> DataFrame:
+    """Outcome of every event of a stream of ``clocked`` events. Start it with the RocksDB state store (``streams.drained`` does)."""
+    event = F.when(F.col("size").isNull(), "delete").when(F.col("price").isNull() | F.col("side").isNull(), "change").otherwise("create")
+    share = F.pmod(F.xxhash64("order_id"), F.lit(SHARES)).cast("int").alias("share")
+    keyed = events.select("topic", share, "order_id", "seq", "ts", "clock", event.alias("event"))
+    return keyed.groupBy("topic", "share").transformWithStateInPandas(OrdersProcessor(late, forget), OUTCOMES, "Append", "None")
 
-    With a column ``snapshot``, rows of one instant for which it is true are a
-    snapshot of the topic's orders, and what it changes comes out as ``missed``
-    and ``lingering``.
-    """
-    spark = events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return events.groupBy("topic").transformWithStateInPandas(BookProcessor(), OUTCOMES, "Append", "None")
+
+def in_arrival_order(events: DataFrame, files: int) -> str:
+    """Events of a table as so many files, each of a range of ``seq``, one written after the other, for a stream to read."""
+    folder = shared_path(events.sparkSession, "arrivals")
+    ends = events.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    step = max(1, -(-(ends.hi - ends.lo + 1) // files)) if ends.lo is not None else 1
+    for k in range(files):
+        lo = (ends.lo or 0) + k * step
+        events.where((F.col("seq") >= lo) & (F.col("seq") < lo + step)).coalesce(1).write.parquet(f"{folder}/part={k}")
+    return folder

@@ -48,7 +48,5 @@ class ValuesProcessor(StatefulProcessor):
 
 
 def named_values(commands: DataFrame) -> DataFrame:
-    """The value after every command of the stream."""
-    spark = commands.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """The value after every command of the stream. Start it with the RocksDB state store (``streams.drained`` does)."""
     return commands.groupBy("session_id").transformWithStateInPandas(ValuesProcessor(), RESULT, "Append", "None")
