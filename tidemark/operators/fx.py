@@ -95,8 +95,8 @@ def rates_to(markets: DataFrame, target: str) -> DataFrame:
     chains are. Assets that can't be reached are left out.
     """
     spark = markets.sparkSession
-    first_exchange = edges(markets).groupBy("src", "dst").agg(F.min_by("rate", "exchange").alias("step"))
-    steps = stored(first_exchange)
+    folder = shared_path(spark, "rates")
+    steps = stored(edges(markets).groupBy("src", "dst").agg(F.min_by("rate", "exchange").alias("step")), f"{folder}/steps")
     pegs = peg_table(spark).groupBy("a").agg(F.collect_list("b").alias("equal"))  # a row for each pegged currency
 
     def with_pegs(front: DataFrame) -> DataFrame:
@@ -106,19 +106,20 @@ def rates_to(markets: DataFrame, target: str) -> DataFrame:
         best = all_.withColumn("path", pegged).groupBy("asset").agg(F.min_by(F.struct("rate", "n_hops", "path"), F.struct("n_hops", "path")).alias("b"))
         return best.select("asset", "b.*")
 
-    front = stored(with_pegs(spark.createDataFrame([(target, 1.0, 0, target)], "asset string, rate double, n_hops int, path string")))
-    reached = front
+    start = spark.createDataFrame([(target, 1.0, 0, target)], "asset string, rate double, n_hops int, path string")
+    front = stored(with_pegs(start), f"{folder}/hops/hop=0")
+    hops = 0
     while not front.isEmpty():
+        hops += 1
+        reached = spark.read.schema(front.schema).parquet(f"{folder}/hops")
         path = F.concat("src", F.lit(">"), "path").alias("path")
         grown = steps.join(front, F.col("dst") == F.col("asset")).select(F.col("src").alias("asset"), (F.col("step") * F.col("rate")).alias("rate"), (F.col("n_hops") + 1).alias("n_hops"), path)
-        front = stored(with_pegs(grown).join(reached.select("asset"), "asset", "left_anti"))
-        reached = stored(reached.unionByName(front))
-    return reached
+        front = stored(with_pegs(grown).join(reached.select("asset"), "asset", "left_anti"), f"{folder}/hops/hop={hops}")
+    return spark.read.schema(front.schema).parquet(f"{folder}/hops")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, path: str) -> DataFrame:
     """A table in the shared folder, so that what follows does not compute it again."""
-    path = shared_path(df.sparkSession, "rates")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -73,8 +73,8 @@ def streamed_report(spark, sf_dir):
     return out.groupBy("session_id", "key").agg(F.max_by("payload", "batch").alias("payload"))
 
 
-#: Order events as they arrive: up to eight hours after their time, two thirds of them within ten minutes.
-ARRIVALS = """arrivals AS (SELECT CAST(user_id % 4 AS INTEGER) AS topic, event_id % 997 AS order_id, ts,
+#: Order events as they arrive, eight an order: up to eight hours after their time, two thirds of them within ten minutes.
+ARRIVALS = """arrivals AS (SELECT CAST(event_id // 8 % 4 AS INTEGER) AS topic, event_id // 8 AS order_id, ts,
   (epoch_us(ts) // 1000 + CASE WHEN event_id % 3 < 2 THEN event_id * 7919 % 600000 ELSE event_id * 104729 % 28800000 END) * 1048576 + event_id % 1048576 AS seq,
   CASE event_type WHEN 'click' THEN 'change' WHEN 'purchase' THEN 'delete' WHEN 'error' THEN 'delete' ELSE 'create' END AS event FROM events)"""
 #: Time that an event may be late, and that deleted orders are remembered, for a table of a few events an hour.
@@ -87,8 +87,8 @@ def arrivals(spark, sf_dir):
     delay = F.when(k % 3 < 2, k * 7919 % 600_000).otherwise(k * 104_729 % 28_800_000)
     millis = F.floor(C.micros("ts") / 1000)
     return views.table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 4).cast("int").alias("topic"),
-        (k % 997).alias("order_id"),
+        (F.expr("event_id div 8") % 4).cast("int").alias("topic"),
+        F.expr("event_id div 8").alias("order_id"),
         ((millis + delay) * 1_048_576 + k % 1_048_576).alias("seq"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(new, F.col("value")).alias("price"),
