@@ -111,11 +111,11 @@ def rates_to(markets: DataFrame, target: str) -> DataFrame:
     hops = 0
     while not front.isEmpty():
         hops += 1
-        reached = spark.read.schema(front.schema).parquet(f"{folder}/hops")
+        reached = spark.read.schema(front.schema).parquet(f"{folder}/hops").drop("hop")
         path = F.concat("src", F.lit(">"), "path").alias("path")
         grown = steps.join(front, F.col("dst") == F.col("asset")).select(F.col("src").alias("asset"), (F.col("step") * F.col("rate")).alias("rate"), (F.col("n_hops") + 1).alias("n_hops"), path)
         front = stored(with_pegs(grown).join(reached.select("asset"), "asset", "left_anti"), f"{folder}/hops/hop={hops}")
-    return spark.read.schema(front.schema).parquet(f"{folder}/hops")
+    return spark.read.schema(front.schema).parquet(f"{folder}/hops").drop("hop")
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
