@@ -411,6 +411,15 @@ def test_patterns_and_paths_that_are_patterns(spark):
     assert P.enabled_paths(rows, rules).count() == 5 and P.resolve_pattern(rows, rules).count() == 3
 
 
+def test_slices_match_all_ways(spark):
+    values = (-1, 0, 1)
+    rows = spark.createDataFrame([(b, s) for b in values for s in values], "bundle int, slice int")
+    wanted = rows.selectExpr("bundle", "slice", "bundle AS b", "slice AS s")
+    got = sorted(tuple(r) for r in P.slice_join(rows, wanted).collect())
+    fits = lambda x, y: (x == y or -1 in (x, y)) and (x, y) != (-1, -1)
+    assert got == sorted((b, s, c, t) for b in values for s in values for c in values for t in values if fits(b, c) and fits(s, t))
+
+
 def test_hot_series_are_many_tasks(spark, tmp_path):
     """One series of nearly all rows is dealt out by days, and the store's files by position."""
     hot = spark.range(40_000).select(F.lit("s").alias("source"), F.when(F.col("id") % 50 == 0, "cold").otherwise("hot").alias("topic"), F.lit("trades").alias("datatype"),

@@ -34,7 +34,10 @@ def plain(df: pd.DataFrame) -> pd.DataFrame:
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = QUERIES[name](spark, SF).toPandas()
+    result = QUERIES[name](spark, SF)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    got = result.toPandas()
     if name not in ORACLES:
         assert len(got)
         return

@@ -86,13 +86,21 @@ def enabled_paths(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.join(on, list(PARTS), "left_semi")
 
 
-def slice_matches(a: str, b: str) -> Column:
-    """Slices (bundle, slice), -1 matching any, equal; one side of each must be concrete."""
-    out = F.lit(True)
-    for f in ("bundle", "slice"):
-        x, y = F.col(f"{a}.{f}"), F.col(f"{b}.{f}")
-        out = out & ((x == y) | (x == -1) | (y == -1)) & ~((x == -1) & (y == -1))
-    return out
+def slice_join(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Pairs of slices (``bundle, slice``, -1 for any) that match: both parts equal, or one of them any and the other concrete.
+
+    The result has the columns of ``rows`` and the other columns of ``wanted``.
+    An equi-join: a concrete part meets itself and those that are any, a part
+    that is any meets concrete ones, under a number of their own.
+    """
+    fields = ("bundle", "slice")
+    extra = [c for c in wanted.columns if c not in fields]
+    keys = [f"__{f}" for f in fields]
+    for f in fields:
+        own, concrete = F.col(f), F.col(f) != -1
+        rows = rows.withColumn(f"__{f}", F.explode(F.when(concrete, F.array(own, F.lit(-1))).otherwise(F.array(F.lit(-2)))))
+        wanted = wanted.withColumn(f"__{f}", F.explode(F.when(concrete, F.array(own, F.lit(-2))).otherwise(F.array(F.lit(-1)))))
+    return rows.join(wanted.select(*keys, *extra), keys).drop(*keys)
 
 
 def adhoc_filter(filters: list[dict]) -> Column:

@@ -196,7 +196,7 @@ def book_snapshot_parsed(spark, sf_dir):
     sides = [F.collect_list(F.when(F.col("side") == s, row)).alias(f"{s}s") for s in ("ask", "bid")]
     # a topic's snapshot comes in pages of about SNAPSHOT_PAGE orders, each with the topic's sequence
     whole = f.groupBy("topic").agg(F.max("seq").alias("sequence"), F.ceil(F.count("*") / SNAPSHOT_PAGE).alias("pages"))
-    paged = f.join(F.broadcast(whole), "topic").withColumn("page", F.pmod(F.xxhash64("order_id", "seq"), F.col("pages")))
+    paged = f.join(whole, "topic").withColumn("page", F.pmod(F.xxhash64("order_id", "seq"), F.col("pages")))
     lines = paged.groupBy("topic", "page").agg(F.max("sequence").alias("sequence"), *sides).select("topic", F.to_json(F.struct("sequence", "asks", "bids")).alias("value"))
     return feeds.parse_book_snapshot(lines, ["topic"])
 

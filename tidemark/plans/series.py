@@ -492,7 +492,7 @@ def slices_matched(spark, sf_dir):
     k = F.col("id")
     s = views.trades(spark, sf_dir).select("id", F.when(k % 5 == 0, -1).otherwise(k % 3).alias("bundle"), F.when(k % 7 == 0, -1).otherwise(k % 2).alias("slice"))
     wanted = spark.createDataFrame([(1, 0)], "bundle long, slice long")
-    return s.alias("a").join(F.broadcast(wanted).alias("b"), P.slice_matches("a", "b")).select("a.id")
+    return P.slice_join(s, wanted).select("id")
 
 
 @query(
