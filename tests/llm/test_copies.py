@@ -250,6 +250,12 @@ def test_embeddings_of_repeated_and_missing_ids(spark):
     assert found == sorted(want, key=str)
 
 
+def test_a_cosine_equal_to_the_threshold_links(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [0.8, 0.6], 0), (3, [0.79, 0.6131068], 0)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=0.8).collect()
+    assert {r.vec_id: r.n_links for r in got} == {1: 1, 2: 2, 3: 1}
+
+
 def test_vectors_of_many_lengths(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "LENGTHS", 1)
     rows = [(k, [1.0] * (1 + k % 5) + [0.0], k % 2) for k in range(60)]

@@ -71,6 +71,8 @@ def test_toxicity(spark):
     assert got[900].score == 0 and got[901].score == 0 and got[902].predicted == 1  # in the last of many windows
     kept = toxicity.without_toxic(docs, model)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, g in got.items() if not g.predicted}
+    tie = got[0].score  # a score equal to the threshold is toxic
+    assert all(r.predicted == 1 for r in toxicity.score_texts(docs.where("doc_id = 0"), model, threshold=tie).collect())
     nothing = toxicity.fit(docs, labels.limit(0))
     assert {r.score for r in toxicity.score_texts(docs, nothing).collect()} == {0.0}
     assert toxicity.score_texts(docs.limit(0), model).count() == 0
