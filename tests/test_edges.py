@@ -1,5 +1,6 @@
 """Edge cases against small tables and row-at-a-time models."""
 
+import dataclasses
 import datetime as dt
 import json
 import random
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions import paths as P
-from tidemark.operators import asof, bars, book, fx, ladder, order, portfolio, replay, report
+from tidemark.operators import analysis, asof, bars, book, fx, ladder, order, portfolio, replay, report
 from tidemark.sources import feeds
 from tidemark.sources import series as stored
 from tidemark.sources.shared import shared_path
@@ -512,3 +513,19 @@ def test_book_snapshots_come_in_bounded_pages(spark, monkeypatch):
     n = live.book_snapshot_parsed(spark, "/root/testdata/sf0.1").count()
     sizes = [len(m["asks"]) + len(m["bids"]) for m in (json.loads(r.value) for r in seen[0].collect())]
     assert sum(sizes) == n and n > 8000 and max(sizes) < 2000
+
+
+@dataclasses.dataclass(frozen=True)
+class Settings:
+    step: str
+    depth: int = 5
+    share: float = 0.5
+    names: list = dataclasses.field(default_factory=list)
+
+
+def test_parameters_are_checked():
+    assert analysis.parameters(Settings, '{"step": "1 hour", "share": 1}') == Settings("1 hour", 5, 1)
+    assert analysis.described(Settings)["step"] == {"type": "string", "required": True} and analysis.described(Settings)["names"] == {"type": "array", "default": []}
+    for text in ("{}", '{"step": 1}', '{"step": "x", "depth": true}', '{"step": "x", "depth": 1.5}', '{"step": "x", "other": 1}', "[]", "{"):
+        with pytest.raises(ValueError):
+            analysis.parameters(Settings, text)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions import paths as P
-from tidemark.operators import asof, bars, order, replay
+from tidemark.operators import analysis, asof, bars, order, replay
 from tidemark.plans import views
 from tidemark.plans.register import registry
 from tidemark.sources import series as stored
@@ -593,3 +594,19 @@ def rows_of_a_paper_run(spark, sf_dir):
     since = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=start)
     P.validate_selection(since, end, now)
     return views.trades(spark, sf_dir).where(P.time_range("ts", since, end)).select("id")
+
+
+@dataclasses.dataclass(frozen=True)
+class Closes:
+    step: str
+    least_volume: float = 0.0
+
+
+CLOSES = analysis.Analysis(("events/click/*", "*/view/trades"), lambda rows, p: bars.ohlcv(rows, p.step, BY, seq="id").where(F.col("volume") >= p.least_volume), Closes)
+
+
+@query(f"WITH {BARS} SELECT topic, ts, close FROM bars WHERE topic IN ('click', 'view') AND volume >= 100")
+def analysis_of_paths(spark, sf_dir):
+    """An analysis over declared paths with parameters as JSON, given rows of its caller's choice."""
+    found = analysis.analysed(CLOSES, views.trades(spark, sf_dir), '{"step": "1 hour", "least_volume": 100}')
+    return found.select("topic", "ts", "close")
