@@ -16,6 +16,8 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 #: Bytes, about, of the rows that Python works on at once; a longer row comes alone.
 PIECE_BYTES = 1 << 20
+#: Rows of a batch on its way to Python, whose bytes Spark bounds at 64 MB.
+BATCH_ROWS = 256
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -114,6 +116,16 @@ def hashed_sample(df: DataFrame, column: str, bound: int) -> DataFrame:
     return df.where(hash_share(column) < share) if share < 1 else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand few rows to Python at once, unless the session has a setting of its own.
+
+    Results are lazy, so the setting stays: it must hold when they are written.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's default
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text. Spark bounds what it sends at once by bytes,
     but Python's own objects take several times that."""
@@ -149,6 +161,7 @@ def map_batches(
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    small_batches(df.sparkSession)
     target = to_arrow_schema(_parse_datatype_string(schema))
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, pieces
+from tidemark.llm.common import map_batches, pieces, small_batches
 from tidemark.llm.sampling import balanced_sample, held_out, map_texts, of_ids, platt, sigmoid
 
 #: Bounds of the sample that the network is trained on.
@@ -430,6 +430,7 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: s
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """``docs`` without the texts that score ``threshold`` or more."""
     at = docs.columns.index(text_col)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         score = model.scorer()
