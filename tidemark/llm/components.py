@@ -41,5 +41,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         discard(old, grand)
         if state.where("f < old").isEmpty():
             discard(edges)
-            return state.select("node", F.col("f").alias("component"))
+            found = state.select("node", F.col("f").alias("component"))
+            found.written_to = state.written_to
+            return found
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
