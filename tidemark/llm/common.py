@@ -157,6 +157,8 @@ def map_batches(
             for piece in pieces(batch):
                 if (out := step(piece)) is not None:
                     yield to_batch(out, target)
+        # a worker outlives its task
+        pa.default_memory_pool().release_unused()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
