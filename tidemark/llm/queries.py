@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, embeddings, language, mixing, quality, simhash, suffixes, tokens, toxicity, warc
-from tidemark.llm.common import read
+from tidemark.llm import (
+    alignment,
+    decontamination,
+    embeddings,
+    language,
+    mixing,
+    prefixes,
+    quality,
+    sharding,
+    simhash,
+    suffixes,
+    tokens,
+    toxicity,
+    warc,
+)
+from tidemark.llm.common import materialize, read
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +71,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.align(read(spark, sf_dir, "documents"), a, b)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    found = materialize(found.withColumn("groups_sha256", digest).drop("groups"))
+    return alignment.score_links(found, carried=("groups_sha256",)).withColumnRenamed("id", "doc_id")
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shuffle_into_shards(read(spark, sf_dir, "documents"))
+    return found.select("*", F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = materialize(prefixes.turns(read(spark, sf_dir, "conversations")))
+    return prefixes.prefix_trie(*prefixes.shared_openings(ranked)).drop(*prefixes.NAME)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_suffixes": op2_suffixes,
@@ -68,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
+    "op12_sharding": op12_sharding,
+    "op13_prefixes": op13_prefixes,
 }
 
 ORACLES: dict[str, str] = {
@@ -115,5 +152,37 @@ n AS (SELECT item_id, CAST(count(*) AS INTEGER) AS n_shingles FROM bs GROUP BY i
 m AS (SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS n_shared FROM ds JOIN bs USING (w, s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_shingles, CAST(n_shared AS DOUBLE) / n_shingles AS containment
 FROM m JOIN n USING (item_id) WHERE n_shared >= n_shingles * 0.8 - 1e-9
+""",
+    "op13_prefixes": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+r AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS rank,
+    sha256(length(role) || ':' || role || text) AS digest, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, count(*) AS own,
+    xor(4294967295, list_reduce(
+      list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1))))) % 4 AS h
+  FROM r GROUP BY conv_id),
+o AS (SELECT c.*, least(c.h, coalesce(b.own, 0)) AS opening FROM c LEFT JOIN c b ON c.base = b.conv_id),
+rebuilt AS (
+  SELECT o.conv_id, r.rank AS depth, digest, words FROM o JOIN r ON r.conv_id = o.base AND r.rank <= o.h
+  UNION ALL SELECT o.conv_id, r.rank - o.h + o.opening, digest, words FROM o JOIN r ON r.conv_id = o.conv_id AND r.rank > o.h),
+p AS (
+  SELECT conv_id, depth, words, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM o),
+n AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM p GROUP BY depth, key),
+k AS (SELECT left(key, 64 * (depth - 1)) AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+v AS (
+  SELECT left(n.key, 64 * e) AS key, sum(CASE WHEN n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS e FROM n) n LEFT JOIN k ON n.key = k.key GROUP BY 1),
+d AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+s AS (
+  SELECT key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM p JOIN d USING (conv_id, depth) GROUP BY key)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, m.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM n JOIN v USING (key) LEFT JOIN k USING (key) LEFT JOIN s USING (key)
+LEFT JOIN n m ON n.depth > 0 AND m.depth = n.depth - 1 AND m.key = left(n.key, 64 * (n.depth - 1))
 """,
 }
