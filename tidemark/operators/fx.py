@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import round_half_down
-from tidemark.sources.shared import shared_path
-
-
-#: Currencies held equal.
-PEGS = [("usd", "usdt"), ("usd", "usdc"), ("usd", "dai"), ("usd", "tusd"), ("usd", "bitusd"), ("btc", "xbt")]
-
+from tidemark.operators.chains import conversion_chains, peg_classes
 
 #: Decimal digits of base and quote amounts by pair, first match; * is any.
 PRECISION = [("eur", "usd", 5, 5), ("xrp", "eur", 8, 5), ("xrp", "usd", 8, 5), ("*", "usd", 8, 2), ("*", "eur", 8, 2), ("*", "*", 8, 8)]
@@ -37,17 +32,12 @@ def reversed_quote(quotes: DataFrame) -> DataFrame:
     return quotes.select(*[F.col(swap.get(c, c)).alias(c) for c in quotes.columns])
 
 
-def peg_table(spark: SparkSession) -> DataFrame:
-    """``(a, b)`` both ways, all pegs of a currency."""
-    return spark.createDataFrame(PEGS + [(b, a) for a, b in PEGS], "a string, b string")
-
-
 def peg_equivalents(assets: DataFrame, column: str = "security") -> DataFrame:
-    """Each asset with itself and all it is pegged to, ``equal_to``."""
-    pegs = F.broadcast(peg_table(assets.sparkSession))
-    named = assets.withColumn("equal_to", F.col(column))
-    pegged = assets.join(pegs, F.col(column) == F.col("a")).withColumn("equal_to", F.col("b")).drop("a", "b")
-    return named.unionByName(pegged)
+    """Each asset with itself and all that pegs, over however many steps, hold it equal to: ``equal_to``."""
+    classes = peg_classes()
+    equal = {c: sorted(x for x in classes if classes[x] == classes[c]) for c in classes}
+    table = F.create_map(*[x for c, group in sorted(equal.items()) for x in (F.lit(c), F.array(*map(F.lit, group)))])
+    return assets.withColumn("equal_to", F.explode(F.coalesce(F.try_element_at(table, F.col(column)), F.array(column))))
 
 
 def find_market(wanted: DataFrame, instruments: DataFrame) -> DataFrame:
@@ -56,14 +46,6 @@ def find_market(wanted: DataFrame, instruments: DataFrame) -> DataFrame:
     return wanted.join(found, ["exchange", "base", "quote"], "left")
 
 
-def edges(markets: DataFrame) -> DataFrame:
-    """Priced markets ``(exchange, base, quote, price)`` as conversions both ways: ``(src, dst, rate, exchange)``."""
-    on = markets.where("price > 0")
-    there = on.select(F.col("base").alias("src"), F.col("quote").alias("dst"), F.col("price").alias("rate"), "exchange")
-    back = on.select(F.col("quote").alias("src"), F.col("base").alias("dst"), (1 / F.col("price")).alias("rate"), "exchange")
-    return there.unionByName(back)
-
-
 def compose(p: DataFrame, q: DataFrame) -> DataFrame:
     """Rates joined where the quote of the first is, or is pegged to, the base of the second.
 
@@ -85,43 +67,9 @@ def compose(p: DataFrame, q: DataFrame) -> DataFrame:
 
 
 def rates_to(markets: DataFrame, target: str) -> DataFrame:
-    """``(asset, rate, n_hops, path)``: the chain of fewest markets from every asset to ``target``.
-
-    Pegged currencies are equal at no cost. Of chains as short the first by
-    path, as text, counts, and among markets of one pair the first exchange.
-    Each hop joins the assets that the hop before reached with the markets and
-    keeps those not reached yet; it is written, so the plan doesn't grow with
-    the hops, and the search ends when nothing new is found, however long the
-    chains are. Assets that can't be reached are left out.
-    """
-    spark = markets.sparkSession
-    folder = shared_path(spark, "rates")
-    steps = stored(edges(markets).groupBy("src", "dst").agg(F.min_by("rate", "exchange").alias("step")), f"{folder}/steps")
-    pegs = peg_table(spark).groupBy("a").agg(F.collect_list("b").alias("equal"))  # a row for each pegged currency
-
-    def with_pegs(front: DataFrame) -> DataFrame:
-        same = F.explode(F.concat(F.array("asset"), F.coalesce("equal", F.array().cast("array<string>"))))
-        all_ = front.join(F.broadcast(pegs), F.col("asset") == F.col("a"), "left").select(F.col("asset").alias("of"), same.alias("asset"), "rate", "n_hops", "path")
-        pegged = F.when(F.col("asset") == F.col("of"), F.col("path")).otherwise(F.concat("asset", F.lit("="), "path"))
-        best = all_.withColumn("path", pegged).groupBy("asset").agg(F.min_by(F.struct("rate", "n_hops", "path"), F.struct("n_hops", "path")).alias("b"))
-        return best.select("asset", "b.*")
-
-    start = spark.createDataFrame([(target, 1.0, 0, target)], "asset string, rate double, n_hops int, path string")
-    front = stored(with_pegs(start), f"{folder}/hops/hop=0")
-    hops = 0
-    while not front.isEmpty():
-        hops += 1
-        reached = spark.read.schema(front.schema).parquet(f"{folder}/hops").drop("hop")
-        path = F.concat("src", F.lit(">"), "path").alias("path")
-        grown = steps.join(front, F.col("dst") == F.col("asset")).select(F.col("src").alias("asset"), (F.col("step") * F.col("rate")).alias("rate"), (F.col("n_hops") + 1).alias("n_hops"), path)
-        front = stored(with_pegs(grown).join(reached.select("asset"), "asset", "left_anti"), f"{folder}/hops/hop={hops}")
-    return spark.read.schema(front.schema).parquet(f"{folder}/hops").drop("hop")
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """A table in the shared folder, so that what follows does not compute it again."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``(asset, rate, n_hops, path)`` of the chain of fewest markets from every asset to ``target``, as
+    ``conversion_chains`` finds them: pegs, and pegs of pegs, cost no hop."""
+    return conversion_chains(markets, target).drop("steps")
 
 
 def rates_near(markets: DataFrame, target: str, exchanges: list[str]) -> DataFrame:

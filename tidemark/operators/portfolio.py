@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
+from tidemark.operators.chains import rates_as_of
 from tidemark.operators.running import with_running
 
 #: Maker and taker fee of each exchange.
@@ -163,17 +164,27 @@ def holdings_at(points: DataFrame, changes: DataFrame, by: list[str], order: lis
     return summed.where("__asked = 1").drop("__asked", "delta")
 
 
-def equity_curve(changes: DataFrame, prices: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+def equity_curve(
+    changes: DataFrame, prices: DataFrame, by: list[str], order: list[str], chains: DataFrame | None = None
+) -> DataFrame:
     """Equity of each account after every change (``asset, delta, ts``) of a balance.
 
     Each asset is valued at its latest price (``asset, ts, price``), at nothing
-    before its first; the currency of account needs a price of 1. A change is
-    valued over the assets that its account has held so far, which are few; no
-    tick is joined with the accounts that hold its asset.
+    before its first; the currency of account needs a price of 1. With
+    ``chains``, as ``conversion_chains`` finds them, ``prices`` are those of
+    markets, and an asset is valued at the product of its chain's latest prices,
+    at nothing before the first of each. Changes of one place in ``order`` count
+    together. A change is valued over the assets that its account has held so
+    far, which are few; no tick is joined with the accounts that hold its asset.
     """
     since = changes.groupBy(*by, "asset").agg(F.min("ts").alias("__from"))
-    points = changes.select(*by, *order).join(since, by).where(F.col("ts") >= F.col("__from")).select(*by, "asset", *order)
-    valued = asof_join(holdings_at(points, changes, by, order), prices, ["asset"], "price")
+    places = changes.select(*by, *order).distinct()
+    points = places.join(since, by).where(F.col("ts") >= F.col("__from")).select(*by, "asset", *order)
+    held = holdings_at(points, changes, by, order)
+    if chains is None:
+        valued = asof_join(held, prices, ["asset"], "price")
+    else:
+        valued = held.join(rates_as_of(points, chains, prices).withColumnRenamed("rate", "price"), ["asset", "ts"])
     worth = F.sum(F.col("held") * F.coalesce("price", F.lit(0.0)))
     return valued.groupBy(*by, *order).agg(worth.alias("equity"))
 

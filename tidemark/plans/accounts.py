@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators import fx, portfolio, report
+from tidemark.operators.chains import conversion_chains
 from tidemark.plans import views
 from tidemark.plans.register import OFF_TIES, registry
 from tidemark.plans.series import FILLED, TICKS
@@ -127,6 +128,34 @@ def conversion_rates_near(spark, sf_dir):
     return fx.rates_near(views.instruments(spark, sf_dir), "asia", ["asia", "europe"]).withColumn("rate", F.round("rate", 6))
 
 
+@query(
+    """WITH RECURSIVE pegs(a, b) AS (VALUES ('usd', 'usdt'), ('usd', 'usdc'), ('usd', 'dai'), ('usd', 'tusd'), ('usd', 'bitusd'), ('btc', 'xbt')),
+    both_ways AS (SELECT a, b FROM pegs UNION SELECT b, a FROM pegs),
+    equal(a, b) AS (SELECT a, a FROM both_ways UNION SELECT equal.a, both_ways.b FROM equal JOIN both_ways ON equal.b = both_ways.a),
+    markets AS (
+      SELECT lower(n_name) AS base, (['usdc', 'xbt', 'tusd', 'eur', 'bitusd'])[r_regionkey + 1] AS quote, (n_nationkey + 2) / CAST(4 AS DOUBLE) AS price
+      FROM nation JOIN region ON n_regionkey = r_regionkey
+      UNION ALL SELECT CASE r_regionkey WHEN 0 THEN 'btc' ELSE 'eur' END, 'dai', CASE r_regionkey WHEN 0 THEN CAST(40 AS DOUBLE) ELSE 1.25 END FROM region WHERE r_regionkey < 2),
+    steps AS (SELECT base AS src, quote AS dst, price AS rate FROM markets UNION ALL SELECT quote, base, 1 / price FROM markets),
+    walks(asset, rate, n_hops, path, seen) AS (
+      SELECT 'usdt', CAST(1 AS DOUBLE), 0, 'usdt', (SELECT list(b) FROM equal WHERE a = 'usdt')
+      UNION ALL
+      SELECT src, s.rate * w.rate, n_hops + 1, src || '>' || CASE WHEN dst = asset THEN '' ELSE dst || '=' END || path,
+        list_concat(seen, coalesce((SELECT list(b) FROM equal WHERE a = src), [src]))
+      FROM walks w JOIN steps s ON (dst = asset OR (dst, asset) IN (SELECT a, b FROM equal)) AND NOT list_contains(seen, src)),
+    best AS (
+      SELECT coalesce((SELECT min(b) FROM equal WHERE a = asset), asset) AS class, arg_min(asset, (n_hops, path)) AS entry, arg_min(rate, (n_hops, path)) AS rate,
+        min(n_hops) AS n_hops, arg_min(path, (n_hops, path)) AS path FROM walks GROUP BY 1),
+    named AS (SELECT a AS asset FROM equal UNION SELECT src FROM steps)
+    SELECT asset, round(rate, 6) AS rate, n_hops, CASE WHEN asset = entry THEN '' ELSE asset || '=' END || path AS path
+    FROM named JOIN best ON class = coalesce((SELECT min(b) FROM equal WHERE a = asset), asset)"""
+)
+def conversion_rates_pegged(spark, sf_dir):
+    """Chains through currencies that pegs of pegs hold equal, at no hop."""
+    rates = fx.rates_to(views.pegged_instruments(spark, sf_dir), "usdt")
+    return rates.withColumn("rate", F.round("rate", 6))
+
+
 @query(
     f"""WITH RECURSIVE {RATES} SELECT c_mktsegment AS account, round(sum(c_acctbal * rate), 2) AS equity
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN rates ON asset = lower(n_name) GROUP BY c_mktsegment"""
@@ -162,17 +191,21 @@ def markets_found(spark, sf_dir):
 
 
 @query(
-    """SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE 'unit' END AS base, CASE WHEN n_nationkey % 2 = 0 THEN 'unit' ELSE lower(n_name) END AS quote,
-    1 AS rate FROM nation WHERE false UNION ALL
-    SELECT n_nationkey, lower(n_name), 'eur', (n_nationkey + 1) * CASE WHEN n_nationkey % 2 = 0 THEN 0.5 ELSE 1 / CAST(4 AS DOUBLE) END FROM nation"""
+    """WITH n AS (SELECT n_nationkey AS id, lower(n_name) AS own, CAST(n_nationkey + 1 AS DOUBLE) AS r1, CASE WHEN n_nationkey % 2 = 0 THEN 0.5 ELSE CAST(4 AS DOUBLE) END AS r2 FROM nation)
+    SELECT id, own AS base, 'eur' AS quote,
+      CASE id % 4 WHEN 0 THEN r1 * r2 WHEN 1 THEN r1 / r2 WHEN 2 THEN r2 / r1 ELSE 1 / (r1 * r2) END AS rate FROM n"""
 )
 def rates_composed(spark, sf_dir):
-    """Two rates joined, the second turned over where needed; usd and usdt are pegged."""
+    """Two rates joined: as they are, the second turned over, the first, or both; usdc and usdt are held equal."""
     n = views.table(spark, sf_dir, "nation")
-    k = F.col("n_nationkey")
-    p = n.select(k.alias("id"), F.lower("n_name").alias("base"), F.lit("usd").alias("quote"), (k + 1).cast("double").alias("rate"))
-    even = k % 2 == 0
-    q = n.select(k.alias("id"), F.when(even, "usdt").otherwise("eur").alias("base"), F.when(even, "eur").otherwise("usdt").alias("quote"), F.when(even, 0.5).otherwise(4.0).alias("rate"))
+    k, own = F.col("n_nationkey"), F.lower("n_name")
+    turn = k % 4
+    first, second = turn.isin(0, 1), turn.isin(0, 2)  # as it is, not turned over
+    p = n.select(k.alias("id"), F.when(first, own).otherwise("usdc").alias("base"), F.when(first, "usdc").otherwise(own).alias("quote"), (k + 1).cast("double").alias("rate"))
+    q = n.select(
+        k.alias("id"), F.when(second, "usdt").otherwise("eur").alias("base"), F.when(second, "eur").otherwise("usdt").alias("quote"),
+        F.when(k % 2 == 0, 0.5).otherwise(4.0).alias("rate"),
+    )
     return fx.compose(p, q)
 
 
@@ -347,7 +380,7 @@ def bots_expired(spark, sf_dir):
     SELECT account, ts, id, round(sum(held * coalesce(price, 0)) + {OFF_TIES:.10f}, 3) AS equity FROM v GROUP BY ALL"""
 )
 def equity_after_changes(spark, sf_dir):
-    """Equity after every change of a balance."""
+    """Equity after every change of a balance, assets at their own prices."""
     t = views.trades(spark, sf_dir)
     e = views.table(spark, sf_dir, "events")
     changes = e.where("event_id % 2 = 1").select(
@@ -358,6 +391,40 @@ def equity_after_changes(spark, sf_dir):
     return out.select("account", "ts", "id", F.round(F.col("equity") + OFF_TIES, 3).alias("equity"))
 
 
+@query(
+    f"""WITH {FILLS}, places AS (SELECT n_nationkey, lower(n_name) AS nation, lower(r_name) AS region FROM nation JOIN region ON n_regionkey = r_regionkey),
+    c AS (
+      SELECT account, nation AS asset, region, ts, fill_key, CASE side WHEN 'buy' THEN size ELSE -size END AS delta
+      FROM fills JOIN supplier ON market = s_suppkey JOIN places ON s_nationkey = n_nationkey
+      UNION ALL
+      SELECT account, region, region, ts, fill_key, CASE side WHEN 'buy' THEN -size * price / (1 - fee) ELSE size * price * (1 - fee) END
+      FROM fills JOIN supplier ON market = s_suppkey JOIN places ON s_nationkey = n_nationkey),
+    e AS (
+      SELECT a.account, a.ts, a.fill_key, b.asset, b.region, sum(b.delta) AS held FROM (SELECT DISTINCT account, ts, fill_key FROM c) a
+      JOIN c b ON a.account = b.account AND (b.ts, b.fill_key) <= (a.ts, a.fill_key) GROUP BY ALL),
+    p1 AS (SELECT nation AS asset, l_shipdate AS ts, max(l_extendedprice / l_quantity) / 1000 AS p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN places ON s_nationkey = n_nationkey GROUP BY ALL),
+    p2 AS (SELECT region, o_orderdate AS ts, max(o_totalprice) / 100000 AS p FROM orders JOIN customer ON o_custkey = c_custkey JOIN places ON c_nationkey = n_nationkey GROUP BY ALL),
+    p3 AS (SELECT o_orderdate AS ts, max(o_totalprice) / 200000 AS p FROM orders GROUP BY ALL),
+    v AS (
+      SELECT e.*, CASE WHEN e.asset = e.region THEN 1 ELSE p1.p END * p2.p * p3.p AS rate FROM e
+      ASOF LEFT JOIN p1 ON e.asset = p1.asset AND e.ts >= p1.ts ASOF LEFT JOIN p2 ON e.region = p2.region AND e.ts >= p2.ts ASOF LEFT JOIN p3 ON e.ts >= p3.ts)
+    SELECT account, ts, CAST(fill_key[1] AS BIGINT) AS order_id, CAST(fill_key[2] AS INTEGER) AS line, round(sum(held * coalesce(rate, 0)) + {OFF_TIES:.10f}, 2) AS equity
+    FROM v GROUP BY account, ts, fill_key"""
+)
+def equity_through_chains(spark, sf_dir):
+    """Equity after every fill in a currency that no asset trades in directly, at rates as of then."""
+    nations = views.table(spark, sf_dir, "nation").join(views.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    markets = views.table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    markets = markets.select(F.col("s_suppkey").alias("market"), F.lower("n_name").alias("base"), F.lower("r_name").alias("quote"))
+    fills = views.fills(spark, sf_dir).join(markets, "market")
+    changes = portfolio.legs(fills, F.col("base"), F.col("quote")).select("account", "asset", "ts", "fill_key", "delta")
+    prices = views.market_prices(spark, sf_dir)
+    found = conversion_chains(prices.groupBy("exchange", "base", "quote").agg(F.max_by("price", "ts").alias("price")), "eur")
+    out = portfolio.equity_curve(changes, prices, ["account"], ["ts", "fill_key"], found)
+    line = [F.col("fill_key.l_orderkey").alias("order_id"), F.col("fill_key.l_linenumber").alias("line")]
+    return out.select("account", "ts", *line, F.round(F.col("equity") + OFF_TIES, 2).alias("equity"))
+
+
 @query(
     f"""WITH o AS (SELECT o_orderkey AS order_id, CAST(o_custkey % 2000 + 1 AS BIGINT) AS ladder, o_orderdate + INTERVAL 1 DAY AS ts, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
       CASE WHEN o_orderkey % 4 <> 2 THEN CAST(o_orderkey % 60 + 1 AS DOUBLE) END AS size, CASE WHEN o_orderkey % 4 = 2 THEN o_totalprice * (1 - 0.003::DOUBLE) END AS funds,

@@ -121,3 +121,39 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("a.r_regionkey") + 3) / 2).alias("price"),
     )
     return pairs.unionByName(links)
+
+
+def pegged_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations against a pegged currency of their region's exchange, and two markets between other pegged ones."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    units = F.array(*map(F.lit, ["usdc", "xbt", "tusd", "eur", "bitusd"]))
+    pairs = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.lower("r_name").alias("exchange"),
+        F.lower("n_name").alias("base"),
+        F.element_at(units, F.col("r_regionkey") + 1).alias("quote"),
+        ((F.col("n_nationkey") + 2) / 4).alias("price"),
+    )
+    links = r.where("r_regionkey < 2").select(
+        F.lower("r_name").alias("exchange"),
+        F.when(F.col("r_regionkey") == 0, "btc").otherwise("eur").alias("base"),
+        F.lit("dai").alias("quote"),
+        F.when(F.col("r_regionkey") == 0, 40.0).otherwise(1.25).alias("price"),
+    )
+    return pairs.unionByName(links)
+
+
+def market_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily prices of markets: nation against its region's unit, from line items; region's unit against hub, from
+    orders of the region's customers; hub against eur, from all orders."""
+    li, o, c, s = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    places = places.select("n_nationkey", F.lower("n_name").alias("nation"), F.lower("r_name").alias("region"))
+    sold = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("n_nationkey"), F.col("l_shipdate").alias("ts"))
+    nations = sold.agg((F.max(F.col("l_extendedprice") / F.col("l_quantity")) / 1000).alias("price")).join(places, "n_nationkey")
+    nations = nations.select(F.col("region").alias("exchange"), F.col("nation").alias("base"), F.col("region").alias("quote"), "ts", "price")
+    bought = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    bought = bought.groupBy("region", F.col("o_orderdate").alias("ts")).agg((F.max("o_totalprice") / 100_000).alias("price"))
+    regions = bought.select(F.lit("hub").alias("exchange"), F.col("region").alias("base"), F.lit("hub").alias("quote"), "ts", "price")
+    all_ = o.groupBy(F.col("o_orderdate").alias("ts")).agg((F.max("o_totalprice") / 200_000).alias("price"))
+    hub = all_.select(F.lit("hub").alias("exchange"), F.lit("hub").alias("base"), F.lit("eur").alias("quote"), "ts", "price")
+    return nations.unionByName(regions).unionByName(hub)
