@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions import paths as P
-from tidemark.operators import analysis, asof, bars, book, fx, ladder, order, portfolio, replay, report
+from tidemark.operators import analysis, asof, bars, book, fx, ladder, order, portfolio, positions, replay, report
 from tidemark.sources import feeds
 from tidemark.sources import series as stored
 from tidemark.sources.shared import shared_path
@@ -219,7 +219,7 @@ def test_positions_against_the_model(spark):
     rnd = random.Random(5)
     fills = [(rnd.choice(["buy", "sell"]), float(rnd.randint(1, 5)), float(rnd.randint(50, 60))) for _ in range(300)]
     df = spark.createDataFrame([(1, at(i * 100), i, *f) for i, f in enumerate(fills)], "account int, ts timestamp_ntz, i int, side string, size double, price double")
-    got = portfolio.position_series(df, ["account"], ["ts", "i"]).orderBy("i").collect()
+    got = positions.position_series(df, ["account"], ["ts", "i"]).orderBy("i").collect()
     for r, (pos, entry, gain) in zip(got, position_model(fills), strict=True):
         assert r.position == pos and r.realized == pytest.approx(gain, abs=1e-6)
         assert (r.entry is None) == (entry is None) and (entry is None or r.entry == pytest.approx(entry, rel=1e-9))
@@ -229,7 +229,7 @@ def test_positions_that_never_cross_zero(spark):
     """A running product of the shares that are left would come to nothing."""
     fills = [("buy", 1.0, 100.0)] + [(("buy", "sell")[i % 2], 1.0, 50.0 + i % 23) for i in range(5000)]
     df = spark.createDataFrame([(1, at(i * 400), i, *f) for i, f in enumerate(fills)], "account int, ts timestamp_ntz, i int, side string, size double, price double")
-    got = portfolio.position_series(df, ["account"], ["ts", "i"]).orderBy("i").collect()
+    got = positions.position_series(df, ["account"], ["ts", "i"]).orderBy("i").collect()
     assert df.selectExpr("max(year(ts)) - min(year(ts)) AS y").first().y >= 3
     for r, (pos, entry, gain) in zip(got, position_model(fills), strict=True):
         assert r.position == pos and r.entry == pytest.approx(entry, rel=1e-9) and r.realized == pytest.approx(gain, abs=1e-6)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,81 +47,6 @@ def pnl(size: Column, entry: Column, price: Column) -> Column:
     return size * (price - entry)
 
 
-def position_series(fills: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Position after every fill: ``position``, average ``entry`` (null at 0), and profit ``realized`` by it.
-
-    A fill that crosses zero closes the old position and opens a new one at its
-    price; growth averages the entry by absolute sizes; a reduction realizes its
-    part. So the cost of a position is an affine function of the cost before,
-    C = r * C' + a with r = 0 where a position opens, 1 where it grows, and the
-    share left where it shrinks. Functions of this kind compose, (r1, a1) then
-    (r2, a2) being (r1 * r2, r2 * a1 + a2), without any division: years of a
-    series are folded side by side, their compositions joined, and the cost at
-    a year's start put into each of its rows.
-    """
-    signed = F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size")).cast("double")
-    rows = fills.withColumns({"__d": signed, "__bucket": F.year(order[0])})
-    key = [*by, "__bucket"]
-    earlier = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*key).agg(F.sum("__d").alias("__sum"))
-    starts = sums.select(*key, F.coalesce(F.sum("__sum").over(earlier), F.lit(0.0)).alias("__was"))
-    ordered = same_keys(rows, starts, key).repartition(*key).sortWithinPartitions(*key, *order)
-    kinds = {"position": "double", "__was": "double", "__r0": "double", "__a0": "double", "__r": "double", "__a": "double"}
-    given = [f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.drop("__was", "__d").schema]
-    steps = ordered.mapInArrow(composed(ordered.columns, key), ", ".join([*given, *(f"{c} {k}" for c, k in kinds.items())]))
-    # of each year what it makes of the cost at its start; of each series few
-    whole = steps.groupBy(*key).agg(F.max_by(F.struct("__r", "__a"), F.struct(*order)).alias("f"))
-    years = whole.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__bucket", "f"))).alias("years"))
-    costs = years.select(*by, F.posexplode("years").alias("__n", "y"), "years").select(
-        *by, F.col("y.__bucket").alias("__bucket"),
-        F.aggregate(F.slice("years", 1, F.col("__n")), F.lit(0.0), lambda c, x: x["f"]["__r"] * c + x["f"]["__a"]).alias("__cost"),
-    )
-    p = same_keys(steps, costs, key)
-    cost, before = F.col("__r") * F.col("__cost") + F.col("__a"), F.col("__r0") * F.col("__cost") + F.col("__a0")
-    crossed = F.signum("position") != F.signum("__was")
-    closed = F.when(crossed, F.abs("__was")).otherwise(F.greatest(F.abs("__was") - F.abs("position"), F.lit(0.0)))
-    gain = F.when(F.col("__was") == 0, 0.0).otherwise(F.signum("__was") * closed * (F.col("price") - before / F.abs("__was")))
-    return p.withColumns({"entry": F.when(F.col("position") != 0, cost / F.abs("position")), "realized": gain}).select(*fills.columns, "position", "entry", "realized")
-
-
-def same_keys(rows: DataFrame, facts: DataFrame, key: list[str]) -> DataFrame:
-    """``rows`` with the other columns of ``facts``, a row a key; nulls in keys are equal."""
-    extra = [c for c in facts.columns if c not in key]
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key]
-    return rows.alias("l").join(facts.alias("r"), on).select("l.*", *[f"r.{c}" for c in extra])
-
-
-def composed(columns: list[str], key: list[str]):
-    """A pass over fills sorted by ``key``: position, and the cost before and after each fill as functions of that at the key's start."""
-    at = {c: k for k, c in enumerate(columns)}
-
-    def run(batches):
-        current, was, r, a = None, 0.0, 1.0, 0.0
-        for batch in batches:
-            keys = zip(*(batch.column(at[c]).to_pylist() for c in key), strict=True)
-            facts = (batch.column(at[c]).to_pylist() for c in ("__was", "__d", "price"))
-            out = []
-            for own, start, d, price in zip(keys, *facts, strict=True):
-                if own != current:
-                    current, was, r, a = own, round(start, 9), 1.0, 0.0
-                d, price = d or 0.0, price or 0.0
-                now, r0, a0 = round(was + d, 9), r, a
-                if was == 0 or now * was <= 0:
-                    r, a = 0.0, abs(now) * price
-                elif abs(now) > abs(was):
-                    a += abs(d) * price
-                else:
-                    share = abs(now) / abs(was)
-                    r, a = share * r, share * a
-                out.append((now, was, r0, a0, r, a))
-                was = now
-            arrays = [batch.column(at[c]) for c in columns if c not in ("__was", "__d")] + [pa.array(c, pa.float64()) for c in (zip(*out, strict=True) if out else [()] * 6)]
-            names = [c for c in columns if c not in ("__was", "__d")] + ["position", "__was", "__r0", "__a0", "__r", "__a"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    return run
-
-
 def close_positions(positions: DataFrame, prices: DataFrame) -> DataFrame:
     """Profit of closing ``positions(exchange, symbol, size, entry_price, settled_in)`` at ``prices(exchange,
     symbol, price)``, credited to the settlement asset."""

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import fx, portfolio, report
+from tidemark.operators import fx, portfolio, positions, report
 from tidemark.operators.chains import conversion_chains
 from tidemark.plans import views
 from tidemark.plans.register import OFF_TIES, registry
@@ -87,7 +87,7 @@ def balances_over_time(spark, sf_dir):
 )
 def positions_over_time(spark, sf_dir):
     """Positions, average entry and realized profit after every fill."""
-    out = portfolio.position_series(views.fills(spark, sf_dir), ["account", "market"], ["ts", "fill_key"])
+    out = positions.position_series(views.fills(spark, sf_dir), ["account", "market"], ["ts", "fill_key"])
     return out.select("account", "market", "order_id", "position", F.round(F.col("entry") + OFF_TIES, 4).alias("entry"), F.round(F.col("realized") + OFF_TIES, 3).alias("realized"))
 
 
