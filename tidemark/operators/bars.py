@@ -5,12 +5,12 @@ Bars are aligned to the epoch and half-open; arrival order is (ts, position).
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.order import PATH, last_rows
-from tidemark.operators.running import previous, with_running
+from tidemark.operators.running import null_safe_join, with_running
+from tidemark.sources.shared import shared_path, written
 
 
 def bar_start(ts: Column | str, step: str) -> Column:
@@ -87,57 +87,59 @@ def last_bars(bars: DataFrame, n: int = 1000, by: list[str] = PATH) -> DataFrame
 def anchored_bars(prices: DataFrame, step_micros: int, by: list[str] = PATH, seq: str = "seqid", keep_last: bool = True) -> DataFrame:
     """Bars that start at their first tick: a tick more than a step after a bar's start opens the next.
 
-    A tick more than a step after the one before it opens a bar whatever stands
-    before, so a series is cut there, and the stretches are folded side by side:
-    Spark sorts them (to disk, if need be) and a pass with constant state runs
-    over each. Only within a stretch without such a pause does one bar's start
-    depend on another's; for the epoch-aligned form see ``ohlcv``.
+    For the epoch-aligned form see ``ohlcv``. Nulls in ``by`` are a series of
+    their own; a null price opens a bar, but is none of its prices.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = prices.select(*by, "ts", seq, micros.alias("__t"), F.col("price").cast("double").alias("price"))
-    paused = F.coalesce(F.col("__t") - F.col("__before.__t") > step_micros, F.lit(False)).cast("long")
-    opened = previous(rows, by, ["ts", seq], ["__t"]).withColumn("__opens", paused).drop("__before")
-    cut = with_running(opened, by, ["ts", seq], {"__stretch": ("sum", F.col("__opens"))}).drop("ts", "__opens")
-    key = [*by, "__stretch"]
-    ordered = cut.repartition(*key).sortWithinPartitions(*key, "__t", seq)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(*key).schema]
-    bars = ordered.select(*key, "__t", "price").mapInArrow(folded(len(key), step_micros), ", ".join([*kinds, BAR]))
+    rows = prices.select(*by, seq, micros.alias("__t"), F.col("price").cast("double").alias("price"))
+    starts = anchored_starts(rows.select(*by, F.col("__t").alias("t")).distinct(), step_micros, by)
+    opened = starts.select(*by, F.col("t").alias("__t"), F.col("t").alias("__opens_at"))
+    # a start stands before all ticks of its time
+    both = rows.withColumn("__kind", F.lit(1)).unionByName(opened.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
+    bucket = F.floor(F.col("__t") / F.lit(86_400_000_000))
+    known = with_running(both, by, ["__t", "__kind", seq], {"start": ("last", F.col("__opens_at"))}, bucket).where("__kind = 1")
+    order = F.when(F.col("price").isNotNull(), F.struct("__t", seq))
+    bars = known.groupBy(*by, "start").agg(
+        F.min_by("price", order).alias("open"),
+        F.max("price").alias("high"),
+        F.min("price").alias("low"),
+        F.max_by("price", order).alias("close"),
+    )
     if not keep_last:
         last = bars.groupBy(*by).agg(F.max("start").alias("__last"))
-        bars = bars.join(last, by).where("start < __last")
+        bars = null_safe_join(bars, last, by).where("start < __last")
     start = F.timestamp_micros("start").cast("timestamp_ntz").alias("ts")
     return bars.select(*by, start, "open", "high", "low", "close", F.lit(0.0).alias("volume"))
 
 
-BAR = "start long, open double, high double, low double, close double"
-
-
-def folded(keys: int, step: int):
-    """A pass over sorted rows (``keys`` columns, time, price) that gives a row for each bar; a bar may go on in the next batch."""
-
-    def run(batches):
-        key, bar, names, kinds = None, None, None, None
-        for batch in batches:
-            out = []
-            names, kinds = [*batch.schema.names[:keys], *(c.split()[0] for c in BAR.split(", "))], batch.schema.types[:keys]
-            columns = [c.to_pylist() for c in batch.columns]
-            for *own, t, price in zip(*columns, strict=True):
-                if own != key or t > bar[0] + step:
-                    if bar:
-                        out.append((*key, *bar))
-                    key, bar = own, [t, price, price, price, price]
-                elif price is not None:
-                    if bar[1] is None:
-                        bar[1:4] = price, price, price
-                    bar[2], bar[3], bar[4] = max(bar[2], price), min(bar[3], price), price
-            yield bars_batch(out, names, kinds)
-        if bar:
-            yield bars_batch([(*key, *bar)], names, kinds)
+def anchored_starts(times: DataFrame, step_micros: int, by: list[str]) -> DataFrame:
+    """Of distinct ``times(by, t)`` in micros those at which anchored bars start.
 
-    return run
-
-
-def bars_batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
-    types = [*kinds, pa.int64(), *[pa.float64()] * 4]
-    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+    A start leads to the next one, the first time more than a step after it. These pointers are found for all times at
+    once, by a running value from the end, and squared round by round: starts known so far, from which pointers over
+    2^k bars lead, are twice as many after round k. The first time of a series is a start, as is any that follows the
+    one before it by more than a step, so that rounds grow as the logarithm of the longest stretch without such a pause.
+    Every round is two joins on (by, t); no series is one task.
+    """
+    folder = shared_path(times.sparkSession, "starts")
+    # from the end: the last time seen before a time's limit is the first one beyond it
+    asked = times.select(*by, (-(F.col("t") + step_micros)).alias("at"), F.lit(0).alias("kind"), F.col("t").alias("of"))
+    seen = times.select(*by, (-F.col("t")).alias("at"), F.lit(1).alias("kind"), F.col("t").alias("to"))
+    both = asked.unionByName(seen, allowMissingColumns=True)
+    bucket = F.floor(F.col("at") / F.lit(86_400_000_000))
+    led = with_running(both, by, ["at", "kind"], {"next": ("last", F.col("to"))}, bucket).where("kind = 0")
+    pointers = written(led.select(*by, F.col("of").alias("t"), F.col("next").alias("to")).where("to IS NOT NULL"), f"{folder}/pointers=0")
+
+    before = with_running(times, by, ["t"], {"before": ("last", F.col("t"))}, F.floor(F.col("t") / F.lit(86_400_000_000)), include_current=False)
+    sure = before.where((F.col("before").isNull()) | (F.col("t") - F.col("before") > step_micros)).select(*by, "t")
+    starts = written(sure, f"{folder}/starts/round=0")
+    rounds = 0
+    while True:
+        rounds += 1
+        known = starts.sparkSession.read.schema(starts.schema).parquet(f"{folder}/starts").select(*by, "t")
+        ahead = null_safe_join(known, pointers, [*by, "t"]).select(*by, F.col("to").alias("t")).distinct()
+        found = written(null_safe_join(ahead, known, [*by, "t"], "left_anti"), f"{folder}/starts/round={rounds}")
+        if found.isEmpty():
+            return known
+        further = pointers.select(*by, F.col("t").alias("to"), F.col("to").alias("further"))
+        pointers = written(null_safe_join(pointers, further, [*by, "to"]).select(*by, "t", F.col("further").alias("to")), f"{folder}/pointers={rounds}")

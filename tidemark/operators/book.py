@@ -6,10 +6,12 @@ columns of the book, ``by``. Sides are bid and ask.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import overlap_join
 from tidemark.operators.running import with_running
 
 
@@ -102,18 +104,92 @@ def lifetimes(events: DataFrame, by: list[str]) -> DataFrame:
     return spans.where("gone is null and size is not null").drop("gone", "kind")
 
 
-def ladder_at(events: DataFrame, ticks: DataFrame, by: list[str], depth: int, width: int) -> DataFrame:
-    """The ladder of the book after each tick (``by, seq``): lifetimes joined with the ticks inside them.
+#: Ticks whose ladders one group of ``ladder_at`` makes.
+TICKS_TOGETHER = 64
 
-    ``width``: sequence numbers of one bucket of the join. A lifetime that does
-    not end runs to the last tick.
+
+def level_changes(events: DataFrame, by: list[str]) -> DataFrame:
+    """``(by, seq, side, price, qty, orders)``: what events add to the size and the number of orders of each level.
+
+    An order's stretch of one size is a change where it begins and one, of the other sign, where it ends; one that
+    never ends is a single change.
+    """
+    w = lifetimes(events, by)
+    begins = w.select(*by, F.col("lo").alias("seq"), "side", "price", F.col("size").cast("double").alias("qty"), F.lit(1).alias("orders"))
+    ends = w.where("hi is not null").select(*by, F.col("hi").alias("seq"), "side", "price", (-F.col("size")).cast("double").alias("qty"), F.lit(-1).alias("orders"))
+    return begins.unionByName(ends)
+
+
+def ladder_at(events: DataFrame, ticks: DataFrame, by: list[str], depth: int, together: int = TICKS_TOGETHER) -> DataFrame:
+    """The ladder of the book after each tick (``by, seq``), ``depth`` levels a side.
+
+    Events are signed changes of their levels, summed up to the tick that first sees them. Ticks are taken ``together``
+    in groups: a group's levels start with what all changes before it sum to, and each of its ticks shows the best that
+    hold orders. So rows are a few an event, levels a group of ticks, and the result; an order that never ends is no
+    more of them than one that does. A level stands as long as it holds orders, whatever rounding its size has.
     """
-    end = ticks.groupBy(*by).agg(F.max("seq").alias("__end"))
-    spans = lifetimes(events, by).join(end, by).withColumn("hi", F.coalesce("hi", F.col("__end") + 1)).drop("__end")
-    points = ticks.select(*by, F.col("seq").alias("lo"), (F.col("seq") + 1).alias("hi"))
-    alive = overlap_join(spans, points, by, width)
-    named = alive.select(*by, F.col("b_lo").alias("seq"), F.col("a_side").alias("side"), F.col("a_price").alias("price"), F.col("a_size").alias("size"))
-    return ladder(named, [*by, "seq"], depth)
+    schema = ", ".join(f"`{c}` {ticks.schema[c].dataType.simpleString()}" for c in by)
+    schema += f", seq {ticks.schema['seq'].dataType.simpleString()}, side string, price double, qty double, level int"
+    points = ticks.select(*by, "seq").distinct().withColumn("__tick", F.lit(1))
+    both = level_changes(events, by).unionByName(points, allowMissingColumns=True).withColumn("__kind", F.coalesce("__tick", F.lit(0)))
+    bucket = F.floor(F.col("seq") / F.lit(1 << 16))
+    # a change is seen first by the tick of which as many are before it
+    counted = with_running(both, by, ["seq", "__kind"], {"__n": ("count", F.col("__tick"))}, bucket, include_current=False)
+    level = [*by, "side", "price"]
+    sums = [F.sum("qty").alias("qty"), F.sum("orders").alias("orders")]
+    changes = counted.where("__tick is null").groupBy(*level, "__n").agg(*sums)
+    numbered = counted.where("__tick is not null").select(*by, "__n", "seq")
+
+    group = F.expr(f"__n DIV {together}")
+    ends = numbered.groupBy(*by).agg(F.max(group).alias("__last"))
+    of_group = changes.groupBy(*level, group.alias("__group")).agg(*sums)
+    so_far = Window.partitionBy(*level).orderBy("__group")
+    held = of_group.select(
+        *level, "__group", F.lead("__group").over(so_far).alias("__next"), *[F.sum(c).over(so_far).alias(c) for c in ("qty", "orders")]
+    )
+    # what a level holds after a group's changes is what it starts with in the groups up to its next change
+    held = held.where("orders > 0").join(ends, by)
+    until = F.coalesce("__next", "__last")
+    held = held.where(F.col("__group") < until).withColumn("__group", F.explode(F.sequence(F.col("__group") + 1, until)))
+    opening = held.select(*level, "__group", (F.col("__group") * together - 1).alias("__n"), "qty", "orders")
+    parts = opening.unionByName(changes.withColumn("__group", group)).unionByName(numbered.withColumn("__group", group), allowMissingColumns=True)
+    return parts.groupBy(*by, "__group").applyInArrow(shown(by, depth, together), schema)
+
+
+def shown(by: list[str], depth: int, together: int):
+    """The ladders of one group of ticks, from its levels' sums at the start and their changes."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        is_tick = pc.is_valid(rows.column("seq")).to_numpy()
+        group = rows.column("__group")[0].as_py()
+        column = rows.column("__n").to_numpy() - group * together + 1  # 0: at the start
+        seqs = np.zeros(together + 1, np.int64)
+        seen = np.zeros(together + 1, bool)
+        seqs[column[is_tick]], seen[column[is_tick]] = rows.column("seq").filter(pa.array(is_tick)).to_numpy(), True
+        of_levels = rows.filter(pa.array(~is_tick & (column <= together)))
+        column = column[~is_tick & (column <= together)]
+        ask = pc.equal(of_levels.column("side"), "ask").to_numpy(zero_copy_only=False)
+        price = pc.cast(of_levels.column("price"), pa.float64()).to_numpy(zero_copy_only=False)
+        # asks rise, bids fall
+        levels, of = np.unique(np.stack([ask, np.where(ask, price, -price)], axis=1), axis=0, return_inverse=True)
+        of = of.reshape(-1)
+        table = []
+        for c in ("qty", "orders"):
+            sums = np.zeros((len(levels), together + 1))
+            np.add.at(sums, (of, column), of_levels.column(c).to_numpy(zero_copy_only=False))
+            table.append(np.cumsum(sums, axis=1))
+        stands = (table[1] > 0) & seen
+        asks = levels[:, 0] > 0
+        rank = np.zeros(stands.shape, np.int64)
+        for side in (asks, ~asks):
+            rank[side] = np.cumsum(stands[side], axis=0) - 1
+        at, tick = np.nonzero(stands & (rank < depth))
+        keys = {c: pa.array([rows.column(c)[0].as_py()] * len(at), rows.schema.field(c).type) for c in by}
+        sides, prices = np.where(asks[at], "ask", "bid"), np.where(asks[at], levels[at, 1], -levels[at, 1])
+        found = {"seq": pa.array(seqs[tick], rows.schema.field("seq").type), "side": pa.array(sides.tolist(), pa.string()), "price": pa.array(prices)}
+        return pa.table(keys | found | {"qty": pa.array(table[0][at, tick]), "level": pa.array(rank[at, tick].astype(np.int32))})
+
+    return run
 
 
 def match_orders(incoming: DataFrame, orders: DataFrame, by: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
-from tidemark.sources.shared import shared_path
+from tidemark.sources.shared import shared_path, written
 
 #: Currencies held equal.
 PEGS = [("usd", "usdt"), ("usd", "usdc"), ("usd", "dai"), ("usd", "tusd"), ("usd", "bitusd"), ("btc", "xbt")]
@@ -95,12 +95,6 @@ def conversion_chains(markets: DataFrame, target: str, pegs: list[tuple[str, str
     return of_all.select("asset", "best.rate", "best.n_hops", path.alias("path"), "best.steps")
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """A table in the shared folder, so that what follows does not compute it again."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def rates_as_of(points: DataFrame, chains: DataFrame, prices: DataFrame) -> DataFrame:
     """``(asset, ts, rate)`` of distinct ``points(asset, ts)``: the product of the prices, turned over where the chain
     goes from quote to base, that each market of the asset's chain has at that time.

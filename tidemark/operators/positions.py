@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.chains import written
-from tidemark.sources.shared import shared_path
+from tidemark.operators.running import null_safe_join
+from tidemark.sources.shared import shared_path, written
 
 #: A position is zero if it is not more than this share of the fill that made it: what is left of decimals that sum to zero.
 FLAT = 1e-9
@@ -50,9 +50,8 @@ def position_series(fills: DataFrame, by: list[str], order: list[str]) -> DataFr
     # ranges' heads, and what else of their series lies in earlier ranges: a few rows a range
     heads = swept.where("__head").select(*by, "__part").distinct()
     keys = F.broadcast(heads.select(*by).distinct())  # one series a range
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
     parts = (
-        swept.alias("l").join(keys.alias("r"), same, "left_semi").groupBy(*by, "__part")
+        null_safe_join(swept, keys, by, "left_semi").groupBy(*by, "__part")
         .agg(F.max("__head").alias("__head"), *[F.max_by(c, "__place").alias(c) for c in ("__sum", "__scale", "__cost")])
     )
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

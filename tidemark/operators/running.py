@@ -70,3 +70,10 @@ def with_running(
     }
     out = {n: both[k](inner[k](e), F.col(f"__{n}")) for n, (k, e) in values.items()}
     return joined.withColumns(out).drop("__bucket", *[f"__{n}" for n in values])
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``; nulls in keys are equal."""
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key]
+    extra = [] if how in ("left_semi", "left_anti") else [f"r.{c}" for c in right.columns if c not in key]
+    return left.alias("l").join(right.alias("r"), on, how).select("l.*", *extra)

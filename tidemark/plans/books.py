@@ -131,7 +131,7 @@ def best_bid_ask(spark, sf_dir):
 def ladders_over_time(spark, sf_dir):
     """The ladder of the book after every 250th event."""
     feed = views.order_feed(spark, sf_dir)
-    return book.ladder_at(feed, feed.where("seq % 250 = 0").select("topic", "seq"), ["topic"], 5, 256)
+    return book.ladder_at(feed, feed.where("seq % 250 = 0").select("topic", "seq"), ["topic"], 5)
 
 
 @query(f"WITH {WALK} SELECT ladder, order_id, side, price, fill AS size FROM fills")
