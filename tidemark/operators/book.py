@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.running import with_running
+from tidemark.sources.shared import shared_path, written
 
 
 def book_deltas(events: DataFrame) -> DataFrame:
@@ -93,15 +94,20 @@ def best_prices(levels: DataFrame, by: list[str]) -> DataFrame:
 
 
 def lifetimes(events: DataFrame, by: list[str]) -> DataFrame:
-    """Stretches of sequence [lo, hi) in which an order stands with one size, for each order and size."""
-    steps = episodes(events, by)
+    """Stretches of sequence [lo, hi) in which an order stands with one size, for each order and size.
+
+    One window over an order's events; those before its first open, and those after a done up to the next open, are
+    no stretch.
+    """
     w = Window.partitionBy(*by, "order_id").orderBy("seq")
-    side, price = (F.last(F.when(F.col("kind") == "open", F.col(c)), ignorenulls=True).over(w) for c in ("side", "price"))
-    gone = F.max(F.when(F.col("kind") == "done", F.lit(1))).over(Window.partitionBy(*by, "order_id", "episode").orderBy("seq"))
-    spans = steps.select(
-        *by, "order_id", side.alias("side"), price.alias("price"), "size", "kind", gone.alias("gone"), F.col("seq").alias("lo"), F.lead("seq").over(w).alias("hi")
+    opens = F.col("kind") == "open"
+    side, price = (F.last(F.when(opens, F.col(c)), ignorenulls=True).over(w) for c in ("side", "price"))
+    opened, done = (F.max(F.when(F.col("kind") == k, F.col("seq"))).over(w) for k in ("open", "done"))
+    spans = book_deltas(events).select(
+        *by, "order_id", side.alias("side"), price.alias("price"), "size", opened.alias("opened"), done.alias("done"), F.col("seq").alias("lo"), F.lead("seq").over(w).alias("hi")
     )
-    return spans.where("gone is null and size is not null").drop("gone", "kind")
+    stands = F.col("opened").isNotNull() & (F.col("done").isNull() | (F.col("done") < F.col("opened")))
+    return spans.where(stands & F.col("size").isNotNull()).drop("opened", "done")
 
 
 #: Ticks whose ladders one group of ``ladder_at`` makes.
@@ -114,10 +120,11 @@ def level_changes(events: DataFrame, by: list[str]) -> DataFrame:
     An order's stretch of one size is a change where it begins and one, of the other sign, where it ends; one that
     never ends is a single change.
     """
-    w = lifetimes(events, by)
-    begins = w.select(*by, F.col("lo").alias("seq"), "side", "price", F.col("size").cast("double").alias("qty"), F.lit(1).alias("orders"))
-    ends = w.where("hi is not null").select(*by, F.col("hi").alias("seq"), "side", "price", (-F.col("size")).cast("double").alias("qty"), F.lit(-1).alias("orders"))
-    return begins.unionByName(ends)
+    size = F.col("size").cast("double")
+    begins = F.struct(F.col("lo").alias("seq"), size.alias("qty"), F.lit(1).alias("orders"))
+    ends = F.struct(F.col("hi").alias("seq"), (-size).alias("qty"), F.lit(-1).alias("orders"))
+    both = F.when(F.col("hi").isNull(), F.array(begins)).otherwise(F.array(begins, ends))
+    return lifetimes(events, by).select(*by, "side", "price", F.inline(both)).select(*by, "seq", "side", "price", "qty", "orders")
 
 
 def ladder_at(events: DataFrame, ticks: DataFrame, by: list[str], depth: int, together: int = TICKS_TOGETHER) -> DataFrame:
@@ -137,8 +144,11 @@ def ladder_at(events: DataFrame, ticks: DataFrame, by: list[str], depth: int, to
     counted = with_running(both, by, ["seq", "__kind"], {"__n": ("count", F.col("__tick"))}, bucket, include_current=False)
     level = [*by, "side", "price"]
     sums = [F.sum("qty").alias("qty"), F.sum("orders").alias("orders")]
-    changes = counted.where("__tick is null").groupBy(*level, "__n").agg(*sums)
-    numbered = counted.where("__tick is not null").select(*by, "__n", "seq")
+    # written once: a row a tick, and one for each level between two ticks that changes it
+    tick = F.when(F.col("__tick") == 1, F.col("seq")).alias("seq")
+    summed = written(counted.groupBy(*level, "__n", tick).agg(*sums), shared_path(events.sparkSession, "ladders"))
+    changes = summed.where("seq is null").drop("seq")
+    numbered = summed.where("seq is not null").select(*by, "__n", "seq")
 
     group = F.expr(f"__n DIV {together}")
     ends = numbered.groupBy(*by).agg(F.max(group).alias("__last"))
