@@ -126,6 +126,72 @@ def out_of_order_book(spark, sf_dir):
     return outcomes.select("topic", "order_id", "seq", F.unix_micros("ts").alias("micros"), "event", "outcome")
 
 
+#: Every three days' start a snapshot of each topic, an hour after its time: orders with events in the four days before,
+#: but every third, and, under negative numbers, every fifth of them as orders that no event names.
+SNAPSHOTS = f"""{ARRIVALS}, days AS (SELECT DISTINCT topic, CAST(floor(epoch_us(ts) / 259200000000) * 259200000000 AS BIGINT) AS day FROM arrivals),
+  listed AS (
+    SELECT DISTINCT d.topic, d.day, CASE WHEN ghost = 1 THEN -a.order_id ELSE a.order_id END AS order_id FROM days d
+    JOIN arrivals a ON a.topic = d.topic AND epoch_us(a.ts) >= d.day - 345600000000 AND epoch_us(a.ts) < d.day
+    JOIN (VALUES (0), (1)) g(ghost) ON (ghost = 0 AND a.order_id % 3 <> 0) OR (ghost = 1 AND a.order_id % 5 = 0))"""
+
+
+def with_snapshots(spark, sf_dir):
+    events = arrivals(spark, sf_dir)
+    three_days = 259_200_000_000
+    day = (F.floor(C.micros("ts") / three_days) * three_days).alias("day")
+    headers = events.select("topic", day).distinct()
+    # an order is listed by the snapshots of the four days after each of its events: two at most
+    ahead = F.explode(F.array(*[F.floor(C.micros("ts") / three_days) * three_days + k * three_days for k in (1, 2)])).alias("day")
+    seen = events.select("topic", "order_id", C.micros("ts").alias("t"), ahead).where(F.col("t") >= F.col("day") - 345_600_000_000)
+    named = F.array_compact(F.array(F.when(F.col("order_id") % 3 != 0, F.col("order_id")), F.when(F.col("order_id") % 5 == 0, -F.col("order_id"))))
+    orders = seen.select("topic", "day", F.explode(named).alias("order_id")).distinct().join(headers, ["topic", "day"], "left_semi")
+    shots = headers.unionByName(orders, allowMissingColumns=True).select(
+        "topic", "order_id", ((F.col("day") / 1000 + 3_600_000).cast("long") * 1_048_576 + 1_048_575).alias("seq"), F.timestamp_micros("day").alias("ts"), F.lit(True).alias("snapshot")
+    )
+    return events.withColumn("snapshot", F.lit(False)).unionByName(shots, allowMissingColumns=True)
+
+
+LINGER = 36 * 3_600_000_000
+
+
+@query(
+    f"""WITH RECURSIVE {SNAPSHOTS},
+    shots AS (SELECT topic, day AS t, (day // 1000 + 3600000) * 1048576 + 1048575 AS seq, lag(day) OVER (PARTITION BY topic ORDER BY day) AS day_before FROM days),
+    orders AS (SELECT topic, order_id FROM arrivals UNION SELECT topic, order_id FROM listed),
+    moves AS (
+      SELECT topic, order_id, seq, epoch_us(ts) AS t, event, false AS has, false AS had FROM arrivals
+      UNION ALL
+      SELECT o.topic, o.order_id, s.seq, s.t, 'snapshot', l.order_id IS NOT NULL, b.order_id IS NOT NULL FROM orders o JOIN shots s USING (topic)
+      LEFT JOIN listed l ON l.topic = o.topic AND l.order_id = o.order_id AND l.day = s.t LEFT JOIN listed b ON b.topic = o.topic AND b.order_id = o.order_id AND b.day = s.day_before),
+    clocks AS (SELECT topic, seq, max(max(t)) OVER (PARTITION BY topic ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS clock FROM moves GROUP BY topic, seq),
+    c AS (SELECT m.*, clock, row_number() OVER (PARTITION BY topic, order_id ORDER BY seq) AS n FROM moves m JOIN clocks USING (topic, seq)),
+    s(topic, order_id, n, seq, t, event, outcome, alive, time, suspect) AS (
+      SELECT topic, order_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', '', CAST(NULL AS BOOLEAN), CAST(NULL AS BIGINT), false FROM orders
+      UNION ALL
+      SELECT topic, order_id, n, seq, t, event, outcome, CASE WHEN takes THEN event <> 'delete' AND outcome <> 'lingering' ELSE alive END, CASE WHEN takes THEN t ELSE time END,
+        CASE WHEN event = 'snapshot' THEN has AND unknown ELSE suspect END FROM (
+        SELECT *, outcome IN ('accepted', 'missed', 'lingering') OR (outcome = 'unknown order' AND event = 'delete') AS takes FROM (
+          SELECT x.topic, x.order_id, c.n, c.seq, c.t, c.event, c.has, x.alive, x.time, x.suspect, x.alive IS NULL OR (NOT x.alive AND x.time < coalesce(c.clock, 0) - {FORGET}) AS unknown,
+            CASE WHEN c.event = 'snapshot' THEN CASE WHEN unknown AND c.has AND x.suspect THEN 'missed' WHEN x.alive AND NOT c.has AND x.time <= c.t - {LINGER} THEN 'lingering' ELSE '' END
+              WHEN c.t < c.clock - {LATE} THEN 'late'
+              WHEN unknown THEN CASE c.event WHEN 'create' THEN 'accepted' ELSE 'unknown order' END
+              WHEN NOT x.alive THEN 'already removed'
+              WHEN c.event = 'create' THEN 'already active'
+              WHEN c.t > x.time THEN 'accepted' ELSE 'outdated' END AS outcome
+          FROM s x JOIN c ON c.topic = x.topic AND c.order_id = x.order_id AND c.n = x.n + 1)))
+    SELECT topic, order_id, seq, t AS micros, event, outcome FROM s WHERE outcome <> ''"""
+)
+def book_with_snapshots(spark, sf_dir):
+    """T4, T5: the out-of-order book corrected by snapshots among its events, in four batches."""
+    both = with_snapshots(spark, sf_dir)
+    folder = fuzzy.in_arrival_order(both, 4)
+    out, checkpoint = shared_path(spark, "clocked"), shared_path(spark, "checkpoints")
+    fuzzy.clocked(streams.stream_series(spark, folder, both.schema, each=1), out, checkpoint, 3_600_000 * 1_048_576)
+    whole = spark.read.parquet(f"{out}/batch=0").schema
+    outcomes = streams.drained(fuzzy.fuzzy_book(streams.stream_series(spark, out, whole, each=64), LATE, FORGET, LINGER))
+    return outcomes.select("topic", "order_id", "seq", F.unix_micros("ts").alias("micros"), "event", "outcome")
+
+
 def feed_lines(spark, sf_dir):
     """The order feed as an exchange's JSON messages, every 101st of them broken."""
     f = views.order_feed(spark, sf_dir)

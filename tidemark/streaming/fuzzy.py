@@ -12,13 +12,27 @@ changes it, one without deletes it. An event is judged as it arrives:
 * a deleted order is remembered until the clock is ``forget`` ahead of its
   deletion, and is unknown again from then on.
 
-Every event yields one row with its outcome. The clock is a running maximum, so
+Every event yields one row with its outcome.
+
+A snapshot says which orders of a topic there are at about its time. It arrives
+as rows of one ``seq`` whose ``snapshot`` is true: one for each order, and one
+without order id, so that an empty snapshot is one too. Snapshots that are no
+newer than one before them are ignored. An order that two snapshots in a row
+list, and that is not known, not even as gone, was ``missed`` and lives from then
+on; a live one that a snapshot lacks, and that nothing has touched for ``linger``,
+is ``lingering`` and gone. Each correction yields a row of event ``snapshot``.
+
+The clock is a running maximum, so
 it is set ahead, for all orders of a topic at once, in buckets of arrival
 (``clocked``). What is left depends on one order alone: the stateful operator is
 keyed by topic and a share of its orders, so a hot book is many tasks, and reads
 the state of those orders only that have events. Crossing orders are not
-matched here; see ``operators.book.match_orders``. For snapshots see
+matched here; see ``operators.book.match_orders``. For snapshots of a table see
 ``operators.book.reconciled``.
+
+Deleted orders are forgotten by their topic's clock, not by the watermark of the
+whole stream, by which a timer would go: each batch tells all shares of its
+topics what the clock has come to, so that a share without events is swept too.
 """
 
 from __future__ import annotations
@@ -35,7 +49,7 @@ from tidemark.operators.running import with_running
 from tidemark.sources.shared import shared_path
 
 #: Defaults, in microseconds.
-LATE, FORGET = UNIT_MICROS["m"], 2 * UNIT_MICROS["m"]
+LATE, FORGET, LINGER = UNIT_MICROS["m"], 2 * UNIT_MICROS["m"], 10 * UNIT_MICROS["s"]
 #: Shares of a topic's orders; a checkpoint is bound to their number.
 SHARES = 64
 #: Numbers of ``seq`` in one bucket of the running clock.
@@ -84,8 +98,14 @@ def with_clock(events: DataFrame, before: DataFrame | None = None, width: int =
     return out.join(known, F.col("topic") == F.col("__topic"), "left").withColumn("clock", F.greatest("clock", "__clock")).drop("__topic", "__clock")
 
 
+def dealt(events: DataFrame) -> DataFrame:
+    """Events with the ``share`` of their order; one without order goes to all shares of its topic."""
+    own = F.array(F.pmod(F.xxhash64("order_id"), F.lit(SHARES)).cast("int"))
+    return events.withColumn("share", F.explode(F.when(F.col("order_id").isNull(), F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(own)))
+
+
 def clocked(events: DataFrame, folder: str, checkpoint: str, width: int = BUCKET) -> None:
-    """Append all events there are now, with their clocks, to a table; the topics' clocks are kept beside it.
+    """Append all events there are now, with their clocks and shares, to a table; the topics' clocks are kept beside it.
 
     A batch writes folders of its own, over those of a run that was cut short.
     Batches must arrive in the order of ``seq``.
@@ -97,8 +117,12 @@ def clocked(events: DataFrame, folder: str, checkpoint: str, width: int = BUCKET
 
     def write(batch: DataFrame, batch_id: int) -> None:
         before = spark.read.parquet(clocks(batch_id - 1)) if batch_id else None
-        with_clock(batch, before, width).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
         now = batch.groupBy("topic").agg(F.max(micros("ts")).alias("clock"))
+        # a row without order a topic, after all others: what the clock has come to
+        told = batch.groupBy("topic").agg(F.max("seq").alias("seq"), F.max("ts").alias("ts"), F.max(micros("ts")).alias("clock"))
+        rows = dealt(with_clock(batch, before, width).unionByName(told, allowMissingColumns=True))
+        # a share is one file, so that no order's events of a batch are read apart
+        rows.repartition("topic", "share").write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
         both = now if before is None else now.unionByName(before).groupBy("topic").agg(F.max("clock").alias("clock"))
         both.write.mode("overwrite").parquet(clocks(batch_id))
 
@@ -106,30 +130,64 @@ def clocked(events: DataFrame, folder: str, checkpoint: str, width: int = BUCKET
 
 
 class OrdersProcessor(StatefulProcessor):
-    """The orders of one share of a topic: those that live and those that are gone, each with its time."""
+    """The orders of one share of a topic: those that live and those that are gone, each with its time, and those that
+    the last snapshot listed though they are not known."""
 
-    def __init__(self, late: int, forget: int):
-        self.late, self.forget = late, forget
+    def __init__(self, late: int, forget: int, linger: int):
+        self.late, self.forget, self.linger = late, forget, linger
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.maps = {alive: handle.getMapState(name, "id long", "ts long") for alive, name in ((True, "alive"), (False, "gone"))}
+        self.suspects = handle.getMapState("suspects", "id long", "ts long")
+        self.snapshot = handle.getValueState("snapshot", "ts long")
         self.swept = handle.getValueState("swept", "clock long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        known: dict[int, tuple[int, bool] | None] = {}
-        outcomes = []
-        times = got["ts"].astype("datetime64[us]").astype("int64")
+        got = pd.concat(list(rows))
+        got = got.assign(rank=got["event"].map({"listed": 1, "tick": 2}).fillna(0)).sort_values(["seq", "rank"], kind="stable")
+        times = got["ts"].astype("datetime64[us]").astype("int64").tolist()
         clocks = [None if c != c else int(c) for c in got["clock"]]
-        for order_id, ts, clock, event in zip(got["order_id"].tolist(), times.tolist(), clocks, got["event"], strict=True):
-            if order_id not in known:
-                known[order_id] = self.stored(order_id)
-            outcome, known[order_id] = judged(known[order_id], event, ts, clock, self.late, self.forget)
-            outcomes.append(outcome)
+        found = list(zip(got["order_id"], got["seq"].tolist(), times, clocks, got["event"], strict=True))
+        # a snapshot concerns all orders of the share
+        known: dict[int, tuple[int, bool] | None] = self.everything() if "header" in set(got["event"]) else {}
+        out = []
+        for i, (order_id, seq, ts, clock, event) in enumerate(found):
+            if event == "header":
+                listed = {int(x[0]) for x in found[i + 1 :] if x[1] == seq and x[4] == "listed"}
+                out += [(x, seq, ts, "snapshot", why) for x, why in self.reconcile(known, listed, ts, clock)]
+            elif event not in ("listed", "tick"):
+                order_id = int(order_id)
+                if order_id not in known:
+                    known[order_id] = self.stored(order_id)
+                outcome, known[order_id] = judged(known[order_id], event, ts, clock, self.late, self.forget)
+                out.append((order_id, seq, ts, event, outcome))
         for order_id, state in known.items():
             self.store(order_id, state)
         self.sweep(max((c for c in clocks if c is not None), default=0))
-        yield pd.DataFrame({"topic": key[0], "order_id": got["order_id"], "seq": got["seq"], "ts": got["ts"], "event": got["event"], "outcome": outcomes})
+        done = pd.DataFrame(out, columns=["order_id", "seq", "ts", "event", "outcome"])
+        done["ts"] = pd.to_datetime(done["ts"], unit="us")
+        done.insert(0, "topic", key[0])
+        yield done
+
+    def reconcile(self, known: dict, listed: set[int], ts: int, clock: int | None) -> list[tuple[int, str]]:
+        """What a snapshot corrects; ``known`` holds all orders of the share."""
+        if self.snapshot.exists() and ts <= self.snapshot.get()[0]:
+            return []
+        self.snapshot.update((ts,))
+        forgotten = lambda x: x is None or (not x[1] and clock is not None and x[0] < clock - self.forget)
+        missing = {i for i in listed if forgotten(known.get(i))}
+        before = {k[0] for k, _ in self.suspects.iterator()}
+        missed = sorted(missing & before)
+        lingering = sorted(i for i, x in known.items() if x and x[1] and i not in listed and x[0] <= ts - self.linger)
+        for i in before - missing:
+            self.suspects.removeKey((i,))
+        for i in missing - before:
+            self.suspects.updateValue((i,), (ts,))
+        known.update({i: (ts, True) for i in missed} | {i: (ts, False) for i in lingering})
+        return [(i, "missed") for i in missed] + [(i, "lingering") for i in lingering]
+
+    def everything(self) -> dict[int, tuple[int, bool] | None]:
+        return {k[0]: (v[0], alive) for alive, states in self.maps.items() for k, v in states.iterator()}
 
     def stored(self, order_id: int) -> tuple[int, bool] | None:
         for alive, states in self.maps.items():
@@ -157,12 +215,22 @@ class OrdersProcessor(StatefulProcessor):
         pass
 
 
-def fuzzy_book(events: DataFrame, late: int = LATE, forget: int = FORGET) -> DataFrame:
-    """Outcome of every event of a stream of ``clocked`` events. Start it with the RocksDB state store (``streams.drained`` does)."""
-    event = F.when(F.col("size").isNull(), "delete").when(F.col("price").isNull() | F.col("side").isNull(), "change").otherwise("create")
-    share = F.pmod(F.xxhash64("order_id"), F.lit(SHARES)).cast("int").alias("share")
-    keyed = events.select("topic", share, "order_id", "seq", "ts", "clock", event.alias("event"))
-    return keyed.groupBy("topic", "share").transformWithStateInPandas(OrdersProcessor(late, forget), OUTCOMES, "Append", "None")
+def fuzzy_book(events: DataFrame, late: int = LATE, forget: int = FORGET, linger: int = LINGER) -> DataFrame:
+    """Outcome of every event of a stream of ``clocked`` events, and what snapshots among them correct.
+
+    Start it with the RocksDB state store (``streams.drained`` does).
+    """
+    listed = F.coalesce(F.col("snapshot"), F.lit(False)) if "snapshot" in events.columns else F.lit(False)
+    event = (
+        F.when(F.col("order_id").isNull(), F.when(listed, "header").otherwise("tick"))
+        .when(listed, "listed")
+        .when(F.col("size").isNull(), "delete")
+        .when(F.col("price").isNull() | F.col("side").isNull(), "change")
+        .otherwise("create")
+    )
+    keyed = events.select("topic", "share", "order_id", "seq", "ts", "clock", event.alias("event"))
+    processor = OrdersProcessor(late, forget, linger)
+    return keyed.groupBy("topic", "share").transformWithStateInPandas(processor, OUTCOMES, "Append", "None")
 
 
 def in_arrival_order(events: DataFrame, files: int) -> str:
