@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from tidemark.streaming import fuzzy, streams
+from tidemark.streaming.state import liveness, stream_liveness
 
 T0 = dt.datetime(2024, 1, 1)
 S = 1_000_000
@@ -120,3 +121,46 @@ def test_a_share_without_events_is_swept():
     assert set(handle.states["gone"]) == {(7,)}
     list(p.handleInputRows((0, 3), iter([tick(130)]), None))
     assert set(handle.states["gone"]) == set() and set(handle.states["alive"]) == {(8,)}
+
+
+BEATS = "bot string, ts timestamp, ttl_micros long"
+
+
+def expiring(spark, tmp_path, batches):
+    for i, rows in enumerate(batches):
+        frame = spark.createDataFrame([(b, T0 + dt.timedelta(seconds=s), int(ttl * S)) for b, s, ttl in rows], BEATS)
+        frame.coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = streams.stream_series(spark, str(tmp_path / "in"), frame.schema, each=1)
+    got = streams.drained(stream_liveness(stream)).collect()
+    return sorted((r.bot, (r.ts - T0).total_seconds(), r.state) for r in got)
+
+
+def test_a_heartbeat_holds_two_seconds(spark, tmp_path):
+    """Alive at 2.5 seconds, as a heartbeat came at 1; gone at 3.5; each in a batch of its own."""
+    got = expiring(spark, tmp_path, [[("a", 0, 2)], [("a", 1, 2)], [("clock", 2.5, 0)], [("clock", 3.5, 0)], [("a", 9, 2)], [("clock", 10, 0)]])
+    assert got == [("a", 0.0, "alive"), ("a", 3.0, "expired"), ("a", 9.0, "alive"), ("clock", 2.5, "alive")]
+
+
+def test_expiry_does_not_depend_on_batches(spark, tmp_path):
+    rnd = random.Random(3)
+    beats = sorted({(rnd.choice("abcd"), rnd.randint(0, 3000) / 10, rnd.choice([0, 1, 5, 20])) for _ in range(200)}, key=lambda b: b[1])
+    beats = list({(b, s): (b, s, ttl) for b, s, ttl in beats}.values())
+    want, now = [], beats[-1][1]
+    for bot in "abcd":
+        mine, alive, last = [x for x in beats if x[0] == bot], False, None
+        for _, s, ttl in [*mine, (bot, now + 1e-9, None)]:
+            if alive and last[1] and last[0] + last[1] < s:
+                want.append((bot, pytest.approx(last[0] + last[1]), "expired"))
+                alive = False
+            if ttl is not None and not alive:
+                want.append((bot, s, "alive"))
+                alive = True
+            last = (s, ttl)
+    for i, cuts in enumerate(([0, 200], [0, 40, 41, 90, 150, 200])):
+        got = expiring(spark, tmp_path / str(i), [beats[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        assert got == sorted(want, key=lambda x: (x[0], getattr(x[1], "expected", x[1]), x[2]))
+
+
+def test_the_last_heartbeat_says_how_long_it_holds(spark):
+    beats = spark.createDataFrame([("a", T0, 100 * S), ("a", T0 + dt.timedelta(seconds=1), 2 * S)], BEATS)
+    assert liveness(beats, T0 + dt.timedelta(seconds=4)).first().expired

@@ -12,6 +12,8 @@ from tidemark.operators.chains import conversion_chains
 from tidemark.plans import views
 from tidemark.plans.register import OFF_TIES, registry
 from tidemark.plans.series import FILLED, TICKS
+from tidemark.streaming import fuzzy, streams
+from tidemark.streaming.state import stream_liveness
 
 QUERIES, ORACLES, query = registry()
 
@@ -372,6 +374,22 @@ def bots_expired(spark, sf_dir):
     return liveness(beats, dt.datetime(2024, 1, 31))
 
 
+@query(
+    """WITH b AS (SELECT CAST(user_id % 200 AS INTEGER) AS bot, epoch_us(ts) AS t, max((event_id % 5) * 7200000000) AS ttl FROM events GROUP BY ALL),
+    n AS (SELECT *, lead(t) OVER w AS later, lag(t) OVER w AS earlier, lag(t + ttl) OVER w AS held, lag(ttl) OVER w AS ttl_before FROM b WINDOW w AS (PARTITION BY bot ORDER BY t))
+    SELECT bot, t AS micros, 'alive' AS state FROM n WHERE earlier IS NULL OR (ttl_before > 0 AND held < t)
+    UNION ALL SELECT bot, t + ttl, 'expired' FROM n WHERE ttl > 0 AND t + ttl < coalesce(later, (SELECT max(t) // 1000 * 1000 FROM b))"""
+)
+def bots_expiring(spark, sf_dir):
+    """Bots as they come alive and expire, from a stream of heartbeats in five batches."""
+    e = views.table(spark, sf_dir, "events").withColumnRenamed("event_id", "seq")
+    folder = fuzzy.in_arrival_order(e, 5)
+    beats = streams.stream_series(spark, folder, e.schema, each=1).select(
+        (F.col("user_id") % 200).cast("int").alias("bot"), "ts", (F.col("seq") % 5 * 7_200_000_000).alias("ttl_micros")
+    )
+    return streams.drained(stream_liveness(beats)).select("bot", F.unix_micros("ts").alias("micros"), "state")
+
+
 @query(
     f"""WITH {TICKS}, c AS (SELECT CAST(user_id % 10 AS INTEGER) AS account, event_type AS asset, ts, event_id AS id, CAST(event_id % 5 - 2 AS DOUBLE) AS delta FROM events WHERE event_id % 2 = 1),
     p AS (SELECT event_type AS asset, ts, arg_max(value, event_id) AS price FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
