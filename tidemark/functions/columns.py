@@ -105,12 +105,12 @@ def priced(price: Column | None = None, close: Column | None = None, last: Colum
     return F.coalesce(*[c for c in (price, close, last) if c is not None])
 
 
-def json_kind(value: Column, key: str = "") -> Column:
-    """number, string or time: how a panel shows a JSON value."""
-    if key in ("time", "micros"):
-        return F.lit("time")
+def json_kind(value: Column, key: Column | str = "") -> Column:
+    """number, string or time: how a panel shows a JSON value; values under ``time`` or ``micros`` are times."""
     kind = F.schema_of_variant(F.parse_json(value))
-    return F.when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), "number").otherwise("string")
+    number = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+    named = F.lit(key) if isinstance(key, str) else key
+    return F.when(F.coalesce(named.isin("time", "micros"), F.lit(False)), "time").when(number, "number").otherwise("string")
 
 
 def run_range(mode: str, now_micros: int, closed: tuple[int, int] | None = None) -> tuple[int, int | None]:

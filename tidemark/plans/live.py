@@ -10,7 +10,7 @@ from tidemark.functions import columns as C
 from tidemark.plans import views
 from tidemark.plans.books import FEED
 from tidemark.plans.register import registry
-from tidemark.plans.series import TICKS
+from tidemark.plans.series import TICKS, TOPICS
 from tidemark.sources import feeds
 from tidemark.sources.shared import shared_path
 from tidemark.streaming import fuzzy, streams, values
@@ -48,11 +48,11 @@ def streamed_pairs_once(spark, sf_dir):
     return streams.drained(streams.stream_dedupe(s, ["user_id", "event_type"], "400 days")).select("user_id", "event_type")
 
 
-@query("SELECT event_id AS id, event_type AS topic, value AS price FROM events WHERE event_type IN ('click', 'view')")
+@query("SELECT event_id AS id, event_type AS topic, value AS price FROM events")
 def streams_first_come(spark, sf_dir):
-    """Two streams as one."""
-    a, b = (trade_stream(spark, sf_dir).where(F.col("topic") == t).select("id", "topic", "price") for t in ("click", "view"))
-    return streams.drained(streams.first_come(a, b))
+    """A stream for each series, as one."""
+    each = [trade_stream(spark, sf_dir).where(F.col("topic") == t).select("id", "topic", "price") for t in TOPICS]
+    return streams.drained(streams.first_come(*each))
 
 
 @query(

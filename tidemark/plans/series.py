@@ -13,7 +13,9 @@ from tidemark.operators import analysis, asof, bars, order, replay
 from tidemark.plans import views
 from tidemark.plans.register import registry
 from tidemark.sources import series as stored
+from tidemark.sources import plugin
 from tidemark.sources.shared import shared_path
+from tidemark.streaming import streams
 
 QUERIES, ORACLES, query = registry()
 
@@ -223,15 +225,15 @@ def latest_trades(spark, sf_dir):
     return order.latest(views.trades(spark, sf_dir), AT, 50).select("topic", "ts", "id", "price")
 
 
-@query(
-    f"""WITH {TICKS} SELECT topic, ts, id, price, 'click' AS series FROM ticks WHERE topic = 'click'
-    UNION ALL SELECT topic, ts, id, price, 'view' FROM ticks WHERE topic = 'view'"""
-)
+#: All series of the table of events.
+TOPICS = ("signup", "click", "view", "purchase", "error")
+
+
+@query("SELECT event_type AS topic, ts, event_id AS id, value AS price, event_type AS series FROM events")
 def merged_by_time(spark, sf_dir):
-    """Two series as one."""
+    """All series as one."""
     t = views.trades(spark, sf_dir).select("topic", "ts", "id", "price")
-    a, b = (t.where(F.col("topic") == x).withColumn("series", F.lit(x)) for x in ("click", "view"))
-    return order.merge_by_time(a, b)
+    return order.merge_by_time(*[t.where(F.col("topic") == x).withColumn("series", F.lit(x)) for x in TOPICS])
 
 
 @query(
@@ -497,13 +499,16 @@ def slices_matched(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id AS id, epoch_us(ts) AS micros, CAST(event_id AS VARCHAR) AS stripped FROM events"""
+    """SELECT event_id AS id, epoch_us(ts) AS micros, CASE WHEN event_id % 4 = 3 THEN CAST(event_id * 10 AS VARCHAR)
+      ELSE event_id || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '.5' ELSE '.025' END END AS stripped FROM events"""
 )
 def iso_times_and_numbers(spark, sf_dir):
-    """ISO times with nine digits, numbers with zeroes behind the point."""
+    """ISO times with nine digits; numbers with zeroes behind the point, behind a fraction, and without a point."""
     t = views.trades(spark, sf_dir)
     iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("789Z"))
-    return t.select("id", C.iso_micros(iso).alias("micros"), C.strip_zeroes(F.concat(F.col("id").cast("string"), F.lit(".000"))).alias("stripped"))
+    k = F.col("id")
+    ends = F.when(k % 4 == 0, ".000").when(k % 4 == 1, ".50").when(k % 4 == 2, ".025000").otherwise("0")
+    return t.select("id", C.iso_micros(iso).alias("micros"), C.strip_zeroes(F.concat(k.cast("string"), ends)).alias("stripped"))
 
 
 def store(spark, rows):
@@ -551,17 +556,17 @@ def backfilled_store_converges(spark, sf_dir):
     return order.dedupe_increasing(spark.read.parquet(folder).drop("date"), order.PATH, [*AT, "seqid"], "id").select("topic", "id", "price")
 
 
-@query(f"WITH {STORED} SELECT id, bundle, seqid, row_number() OVER (ORDER BY bundle, seqid, topic) - 1 AS place FROM stored WHERE topic = 'view'")
+@query(f"WITH {STORED} SELECT topic, id, bundle, seqid, row_number() OVER (PARTITION BY topic ORDER BY bundle, seqid) - 1 AS place FROM stored")
 def stored_rows_by_position(spark, sf_dir):
-    """O2: the rows of a series in order of their bundles and positions."""
-    rows = order.by_position(views.stored_rows(spark, sf_dir).where("topic = 'view'"))
-    return order.numbered(rows, order.PATH, ["bundle", "seqid"], "place", F.col("bundle")).select("id", "bundle", "seqid", "place")
+    """O2: the rows of each series in order of their bundles and positions."""
+    rows = order.by_position(views.stored_rows(spark, sf_dir))
+    return order.numbered(rows, order.PATH, ["bundle", "seqid"], "place", F.col("bundle")).select("topic", "id", "bundle", "seqid", "place")
 
 
 @query(
     """SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN value WHEN 1 THEN value * 2 ELSE value * 4 END AS price, CASE WHEN event_id % 5 < 2 THEN 'sell' ELSE 'buy' END AS side,
       CAST(CASE WHEN event_id % 5 < 2 THEN 2 - event_id % 5 ELSE event_id % 5 - 1 END AS BIGINT) AS qty, epoch_us(ts) AS micros, make_timestamp(epoch_us(ts)) AS ts,
-      CASE event_id % 3 WHEN 0 THEN 'number' ELSE 'string' END AS kind, CASE WHEN event_id % 7 = 0 THEN '{"id":' || event_id || '}' ELSE '{"id":' || event_id || ',"topic":"' || event_type || '"}' END AS line,
+      CASE WHEN event_id % 11 IN (3, 4) THEN 'time' WHEN event_id % 3 = 0 THEN 'number' ELSE 'string' END AS kind, CASE WHEN event_id % 7 = 0 THEN '{"id":' || event_id || '}' ELSE '{"id":' || event_id || ',"topic":"' || event_type || '"}' END AS line,
       value + value * 2 AS total FROM events"""
 )
 def values_of_rows(spark, sf_dir):
@@ -573,9 +578,10 @@ def values_of_rows(spark, sf_dir):
     text = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.lit('"text"')).otherwise(F.lit("true"))
     line = F.to_json(F.struct(k.alias("id"), F.when(k % 7 != 0, F.col("event_type")).alias("topic")))
     unit = F.lit("usd")
+    key = F.when(k % 11 == 3, "time").when(k % 11 == 4, "micros").when(k % 11 == 5, "price")
     return e.select(
         k.alias("id"), price.alias("price"), C.side_of(signed).alias("side"), F.abs(signed).alias("qty"), C.micros("ts").alias("micros"), C.from_micros(C.micros("ts")).alias("ts"),
-        C.json_kind(text).alias("kind"), line.alias("line"), C.checked_sum(v, unit, v * 2, unit).alias("total"),
+        C.json_kind(text, key).alias("kind"), line.alias("line"), C.checked_sum(v, unit, v * 2, unit).alias("total"),
     )
 
 
@@ -610,3 +616,47 @@ def analysis_of_paths(spark, sf_dir):
     """An analysis over declared paths with parameters as JSON, given rows of its caller's choice."""
     found = analysis.analysed(CLOSES, views.trades(spark, sf_dir), '{"step": "1 hour", "least_volume": 100}')
     return found.select("topic", "ts", "close")
+
+
+@query("SELECT event_type AS topic, count(*) AS n, arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY event_type")
+def stored_first_last_size(spark, sf_dir):
+    """Paths of a store, their ends and sizes, from the files' footers."""
+    rows = views.ticks(spark, sf_dir).withColumn("bundle", F.lit(1).cast("long"))
+    return stored.stored_ends(spark, store(spark, rows), "price").select("topic", "n", "first_value", "last_value")
+
+
+@query("SELECT event_type AS topic, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n FROM events GROUP BY ALL")
+def stored_days(spark, sf_dir):
+    """The days of each path of a store and their sizes, from listing and footers."""
+    folder = store(spark, views.ticks(spark, sf_dir).withColumn("bundle", F.lit(1).cast("long")))
+    days = stored.stored_files(spark, folder).select(*order.PATH, "date").distinct()
+    return days.join(stored.stored_sizes(spark, folder), [*order.PATH, "date"]).select("topic", F.col("date").cast("string").alias("date"), "n")
+
+
+@query(
+    """SELECT event_type AS topic, event_id AS id, value AS price FROM events
+    WHERE ts >= TIMESTAMP '2024-01-20 07:00:00' - CASE event_type WHEN 'purchase' THEN INTERVAL 1 DAY WHEN 'signup' THEN INTERVAL 12 HOUR ELSE INTERVAL 10 DAY END"""
+)
+def retention_enforced(spark, sf_dir):
+    """What is left in a store after its expired days are deleted, twice."""
+    folder = store(spark, views.ticks(spark, sf_dir).withColumn("bundle", F.lit(1).cast("long")))
+    for _ in range(2):
+        stored.enforce_retention(spark, folder, rules(spark), dt.datetime(2024, 1, 20, 7))
+    return spark.read.parquet(folder).select("topic", "id", "price")
+
+
+@query("SELECT event_type AS topic, event_id AS id, value AS price, ts FROM events")
+def own_source_converges(spark, sf_dir):
+    """History by pages and live rows by offsets, from a source of a user's own, are each trade once."""
+    t = views.ticks(spark, sf_dir).select("topic", F.col("ts").cast("timestamp").alias("ts"), "id", "price", "seqid")
+    last = t.groupBy("topic").agg(F.max("seqid").alias("last"))
+    placed = t.join(last, "topic")
+    folder = shared_path(spark, "recorded")
+    plugin.record(placed.where("seqid * 8 <= last * 7").drop("last", "seqid"), placed.where("seqid * 8 >= last * 5").drop("last", "seqid"), folder, 1000, 700, AT)
+    spark.dataSource.register(plugin.Recorded)
+    schema = t.select(F.col("topic").alias("topic_name"), "ts", "id", "price").schema
+    options = {"path": folder, "schema": schema.json(), "rows_per_partition": "500"}
+    pages = spark.read.format("recorded").options(**options).load()
+    live = streams.drained(spark.readStream.format("recorded").options(**options).load())
+    once = pages.unionByName(live).dropDuplicates(["topic_name", "id"])
+    return once.select(F.col("topic_name").alias("topic"), "id", "price", F.col("ts").cast("timestamp_ntz").alias("ts"))
