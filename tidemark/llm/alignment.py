@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from tidemark.llm.common import materialize, pieces, small_batches
+from tidemark.llm.common import give_back, materialize, pieces, small_batches
 from tidemark.llm.tokens import byte_symbols
 
 #: Bytes, about, of the texts of a block; a longer text is a block alone.
@@ -340,7 +340,7 @@ def align(
                     block=np.full(len(texts), number),
                 )
         yield from dictionary()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     small_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, schema)

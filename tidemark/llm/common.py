@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 #: Bytes, about, of the rows that Python works on at once; a longer row comes alone.
 PIECE_BYTES = 1 << 20
@@ -82,24 +83,32 @@ def discard(*tables: DataFrame) -> None:
 BROADCAST_BYTES = 32 << 20
 
 
+def held(value: Column, kind: DataType) -> Column:
+    """Bytes, about, of a value: eight for a number, and what texts hold, in structs, lists and maps too."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 8
+    if isinstance(kind, StructType):
+        return sum((held(value[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    if isinstance(kind, MapType):
+        lists = (F.map_keys(value), ArrayType(kind.keyType)), (F.map_values(value), ArrayType(kind.valueType))
+        return sum((held(*x) for x in lists), F.lit(8).cast("long"))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, StructType, MapType, ArrayType)):
+            total = F.aggregate(value, F.lit(8).cast("long"), lambda n, x: n + held(x, kind.elementType))
+            return F.coalesce(total, F.lit(8).cast("long"))
+        return F.greatest(F.size(value), F.lit(0)).cast("long") * 8 + 8
+    return F.lit(8).cast("long")
+
+
 def width(df: DataFrame) -> Column:
-    """Bytes, about, of a row: eight for a number, and what texts and arrays hold."""
-    total = F.lit(16)
-    for f in df.schema.fields:
-        kind = f.dataType
-        if isinstance(kind, (StringType, BinaryType)):
-            total = total + F.coalesce(F.octet_length(f.name), F.lit(0)) + 8
-        elif isinstance(kind, ArrayType):
-            total = total + F.greatest(F.size(f.name), F.lit(0)) * len(kind.elementType.simpleString().split(",")) * 8 + 8
-        else:
-            total = total + 8
-    return total.cast("long")
+    """Bytes, about, of a row."""
+    return sum((held(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
 
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` (materialized), marked for broadcast only if the bytes it holds are few enough."""
-    held = df.agg(F.sum(width(df))).first()[0] or 0
-    return F.broadcast(df) if held <= most else df
+    total = df.agg(F.sum(width(df))).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
 
 
 def hash_share(column: str | Column) -> Column:
@@ -126,22 +135,39 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def bytes_of(column: pa.Array) -> np.ndarray:
+    """Bytes, about, that each value of a column holds, in structs, lists and maps too."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8
+    if pa.types.is_struct(kind):
+        return sum((bytes_of(x) for x in column.flatten()), np.full(len(column), 8, np.int64))
+    if pa.types.is_list(kind) or pa.types.is_map(kind) or pa.types.is_large_list(kind):
+        ends = column.offsets.to_numpy()
+        inner = column.values if not pa.types.is_map(kind) else pa.StructArray.from_arrays([column.keys, column.items], ["k", "v"])
+        so_far = np.concatenate([[0], np.cumsum(bytes_of(inner))])
+        return so_far[ends[1:]] - so_far[ends[:-1]] + 8
+    return np.full(len(column), 8, np.int64)
+
+
 def pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text. Spark bounds what it sends at once by bytes,
     but Python's own objects take several times that."""
     if not batch.num_rows:
         return
-    sizes = np.full(batch.num_rows, 16, np.int64)
-    for column in batch.columns:
-        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
-            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-        elif pa.types.is_list(column.type):
-            sizes += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    sizes = sum((bytes_of(column) for column in batch.columns), np.full(batch.num_rows, 16, np.int64))
     cuts = np.nonzero(np.diff(np.cumsum(sizes) // most))[0] + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Return to the system what a task has freed: a worker outlives its task, and others run beside it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        trim(0)
+
+
 def map_batches(
     df: DataFrame, columns: list[str], work: Callable[[], Callable[[pa.RecordBatch], object]], schema: str
 ) -> DataFrame:
@@ -157,8 +183,7 @@ def map_batches(
             for piece in pieces(batch):
                 if (out := step(piece)) is not None:
                     yield to_batch(out, target)
-        # a worker outlives its task
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
