@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from math import comb
@@ -229,7 +230,7 @@ def trie_plainly(rows, group=20, most=4):
     children = Counter(p[:-1] for p in members if p)
     leaves, saved = Counter(), Counter()
     for p, m in members.items():
-        words = len([w for w in __import__("re").split(r"[\x20\x09-\x0D]+", p[-1][1]) if w]) if p else 0
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) if p else 0
         for d in range(len(p) + 1):
             leaves[p[:d]] += p not in children
             saved[p[:d]] += (len(m) - 1) * words
