@@ -113,17 +113,38 @@ def equity_curve(
     return valued.groupBy(*by, *order).agg(worth.alias("equity"))
 
 
-def portfolio_history(changes: DataFrame, by: list[str], grid: Column, order: list[str]) -> DataFrame:
-    """Balances of every account and asset at each step of ``grid``, an array of times such as ``tick_grid`` gives, from its first change on."""
-    starts = changes.groupBy(*by, "asset").agg(F.min("ts").alias("__from"))
-    points = starts.select(*by, "asset", "__from", F.explode(grid).alias("ts")).where(F.col("ts") >= F.col("__from")).drop("__from")
-    held = with_running(changes, [*by, "asset"], order, {"qty": ("sum", F.col("delta"))})
-    return asof_join(points, held, [*by, "asset"], "qty", right_order=[c for c in order if c != "ts"]).drop("qty_ts")
+def steps_before(grid: Column, ts: Column) -> Column:
+    """How many times of ``grid``, an ascending array, are before ``ts``, by halving what is left of it."""
+    halves = F.sequence(F.floor(F.log2(F.greatest(F.size(grid), F.lit(1)))).cast("int"), F.lit(0), F.lit(-1))
 
+    def further(at: Column, half: Column) -> Column:
+        there = at + F.pow(F.lit(2), half).cast("int")
+        return F.when((there <= F.size(grid)) & (F.get(grid, there - 1) < ts), there).otherwise(at)
 
-def equity_history(changes: DataFrame, prices: DataFrame, by: list[str], grid: Column, order: list[str]) -> DataFrame:
+    return F.aggregate(halves, F.lit(0), further)
+
+
+def portfolio_history(changes: DataFrame, by: list[str], grid: Column) -> DataFrame:
+    """Balances of every account and asset at each step of ``grid``, an array of times such as ``tick_grid`` gives, from its first change on.
+
+    Changes are summed by the first step that sees them; what goes through the
+    running sum is a row a step, account and asset, not a row a change.
+    """
+    key = [*by, "asset"]
+    placed = changes.withColumn("__grid", F.sort_array(F.array_compact(grid))).where("ts is not null")
+    placed = placed.withColumn("__step", steps_before(F.col("__grid"), F.col("ts"))).where("__step < size(__grid)")
+    sums = placed.groupBy(*key, "__step").agg(F.sum("delta").alias("__sum"))
+    w = Window.partitionBy(*key).orderBy("__step")
+    held = sums.select(*key, "__step", F.coalesce(F.sum("__sum").over(w), F.lit(0)).alias("qty"), F.lead("__step").over(w).alias("__next"))
+    # a balance stands until the step that sees the next change
+    held = held.withColumn("__grid", F.sort_array(F.array_compact(grid)))
+    stands = F.slice("__grid", F.col("__step") + 1, F.coalesce("__next", F.size("__grid")) - F.col("__step"))
+    return held.select(*key, F.explode(stands).alias("ts"), "qty")
+
+
+def equity_history(changes: DataFrame, prices: DataFrame, by: list[str], grid: Column) -> DataFrame:
     """Equity of every account at each step of ``grid``, assets at their latest prices (nothing before the first)."""
-    valued = asof_join(portfolio_history(changes, by, grid, order), prices, ["asset"], "price")
+    valued = asof_join(portfolio_history(changes, by, grid), prices, ["asset"], "price")
     return valued.groupBy(*by, "ts").agg(F.sum(F.col("qty") * F.coalesce("price", F.lit(0.0))).alias("equity"))
 
 

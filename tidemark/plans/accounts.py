@@ -280,7 +280,7 @@ def accounts_synced(spark, sf_dir):
 def portfolio_by_year(spark, sf_dir):
     """Balances at the start of every year."""
     changes = portfolio.legs(views.fills(spark, sf_dir), *leg_assets())
-    out = portfolio.portfolio_history(changes, ["account"], years(), ["ts", "fill_key"])
+    out = portfolio.portfolio_history(changes, ["account"], years())
     return out.select("account", "asset", "ts", F.round("qty", 2).alias("qty"))
 
 
@@ -591,7 +591,7 @@ def equity_by_year(spark, sf_dir):
     changes = views.fills(spark, sf_dir).select((F.col("account") % 50).alias("account"), market.alias("asset"), "ts", "fill_key", C.signed_size("side", "size").alias("delta"))
     li = views.table(spark, sf_dir, "lineitem")
     prices = li.groupBy(F.concat(F.lit("m"), (F.col("l_suppkey") % 10).cast("string")).alias("asset"), F.col("l_shipdate").alias("ts")).agg(F.max(F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)).alias("price"))
-    out = portfolio.equity_history(changes, prices, ["account"], years(), ["ts", "fill_key"])
+    out = portfolio.equity_history(changes, prices, ["account"], years())
     return out.withColumn("equity", F.round(F.col("equity") + OFF_TIES, 2))
 
 
