@@ -40,3 +40,26 @@ def test_history_reads_no_order_of_fills(spark):
     """Sums need no order within a step: the nine columns that order fills are neither read nor shuffled."""
     for name in ("portfolio_by_year", "equity_by_year"):
         assert "l_linenumber" not in plan(QUERIES[name](spark, SF)), name
+
+
+def test_equity_moves_no_order_of_fills_with_assets(spark):
+    """Rows of places and assets, many times the fills, hold a number in place of the columns that order fills."""
+    got = plan(QUERIES["equity_through_chains"](spark, SF))
+    specs = re.findall(r"windowspecdefinition\(([^()]*)", got)
+    assert specs and not [s for s in specs if "fill_key" in s and "asset#" in s]
+
+
+def test_equity_over_years_is_the_plain_sum(spark):
+    """Accounts that pause for years, places that several changes share, assets without price, null and late ones."""
+    changes = [(a, f"s{(a + i) % 4}", day(i * 97 % 1500), i // 2, float(i % 7 - 3)) for a in (0, 1) for i in range(60)] + [(2, "s1", day(900), 1, 2.0), (2, "s2", day(9), 0, 1.0), (1, "s1", None, 0, 50.0)]
+    prices = [(f"s{k}", day(n), float(k + n % 13)) for k, n in itertools.product((0, 1, 3), range(100, 1500, 150))]
+    df = spark.createDataFrame(changes, "account int, asset string, ts timestamp_ntz, i int, delta double")
+    got = portfolio.equity_curve(df, spark.createDataFrame(prices, "asset string, ts timestamp_ntz, price double"), ["account"], ["ts", "i"])
+
+    def price(asset, ts):
+        return max(((t, p) for a, t, p in prices if a == asset and t <= ts), default=(0, 0.0))[1]
+
+    places = {(c[0], c[2], c[3]) for c in changes if c[2]}
+    want = {p: sum(c[4] * price(c[1], p[1]) for c in changes if c[2] and c[0] == p[0] and c[2:4] <= p[1:]) for p in places}
+    found = {(r.account, r.ts, r.i): r.equity for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-6 for p in want)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.asof import asof_join
 from tidemark.operators.chains import rates_as_of
 from tidemark.operators.running import with_running
+from tidemark.sources.shared import shared_path, written
 
 #: Maker and taker fee of each exchange.
 FEES = [("coinbase", 0.0, 0.003), ("bitstamp", 0.0005, 0.0005), ("bitfinex", 0.001, 0.002)]
@@ -80,12 +81,18 @@ def equity(balances: DataFrame, rates: DataFrame, by: list[str], positions: Data
     return held.join(rates.select("asset", "rate"), "asset").groupBy(*by).agg(F.sum(F.col("qty") * F.col("rate")).alias("equity"))
 
 
-def holdings_at(points: DataFrame, changes: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """``points(by, asset, order)`` with ``held``, the sum of all ``changes(by, asset, order, delta)`` up to them."""
-    asked = points.withColumns({"delta": F.lit(None).cast("double"), "__asked": F.lit(1)})
-    both = changes.select(*by, "asset", *order, "delta").withColumn("__asked", F.lit(0)).unionByName(asked)
-    summed = with_running(both, [*by, "asset"], [*order, "__asked"], {"held": ("sum", F.col("delta"))})
-    return summed.where("__asked = 1").drop("__asked", "delta")
+def yearly(changes: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``changes`` with their ``__year``, and at each account's start of a year what it holds of each asset by then, ``__opens``.
+
+    An account's long history is cut there: what is done within (by, year) needs no other rows.
+    """
+    rows = changes.select(*by, "asset", *dict.fromkeys(["ts", *order]), "delta").withColumn("__year", F.year("ts")).where("__year is not null")
+    sums = rows.groupBy(*by, "asset", "__year").agg(F.sum("delta").alias("delta"))
+    w = Window.partitionBy(*by, "asset").orderBy("__year")
+    last = F.max("__year").over(Window.partitionBy(*by))
+    held = sums.select(*by, "asset", "__year", F.sum("delta").over(w).alias("delta"), F.coalesce(F.lead("__year").over(w), last).alias("__until"))
+    opens = held.where("__until > __year").withColumn("__year", F.explode(F.sequence(F.col("__year") + 1, F.col("__until")))).drop("__until")
+    return rows.withColumn("__opens", F.lit(False)).unionByName(opens.withColumn("__opens", F.lit(True)), allowMissingColumns=True)
 
 
 def equity_curve(
@@ -100,17 +107,32 @@ def equity_curve(
     at nothing before the first of each. Changes of one place in ``order`` count
     together. A change is valued over the assets that its account has held so
     far, which are few; no tick is joined with the accounts that hold its asset.
+
+    Changes are dealt out once, by account and year. A year's places are
+    numbered, and the rows of places and assets hold that number for ``order``.
     """
+    spark = changes.sparkSession
+    part = [*by, "__year"]
     since = changes.groupBy(*by, "asset").agg(F.min("ts").alias("__from"))
-    places = changes.select(*by, *order).distinct()
-    points = places.join(since, by).where(F.col("ts") >= F.col("__from")).select(*by, "asset", *order)
-    held = holdings_at(points, changes, by, order)
-    if chains is None:
-        valued = asof_join(held, prices, ["asset"], "price")
-    else:
-        valued = held.join(rates_as_of(points, chains, prices).withColumnRenamed("rate", "price"), ["asset", "ts"])
-    worth = F.sum(F.col("held") * F.coalesce("price", F.lit(0.0)))
-    return valued.groupBy(*by, *order).agg(worth.alias("equity"))
+    asked = changes.select(*by, "ts").distinct().join(since, by).where(F.col("ts") >= F.col("__from")).select("asset", "ts").distinct()
+    rates = asof_join(asked, prices, ["asset"], "price") if chains is None else rates_as_of(asked, chains, prices).withColumnRenamed("rate", "price")
+    # a row an asset and time, often few enough to be sent to all
+    rates = written(rates.select("asset", "ts", "price"), shared_path(spark, "rates"))
+
+    place = F.dense_rank().over(Window.partitionBy(*part).orderBy(F.desc("__opens"), *order)).alias("__n")
+    numbered = yearly(changes, by, order).repartition(*part).select("*", place)
+    at = numbered.where("not __opens")
+    times = at.groupBy(*part, "__n").agg(F.min("ts").alias("ts"))
+    assets = numbered.groupBy(*part, "asset").agg(F.min("__n").alias("__first"))
+    points = times.join(assets, part).where("__n >= __first").select(*part, "asset", "__n", "ts", F.lit(None).cast("double").alias("delta"))
+    moved = numbered.select(*part, "asset", "__n", F.lit(None).cast(at.schema["ts"].dataType).alias("ts"), F.col("delta").cast("double").alias("delta"))
+    w = Window.partitionBy(*part, "asset").orderBy("__n").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    held = points.unionByName(moved).withColumn("held", F.coalesce(F.sum("delta").over(w), F.lit(0.0))).where("ts is not null")
+    valued = held.join(rates, ["asset", "ts"], "left")
+    worth = valued.select(*part, "__n", (F.col("held") * F.coalesce("price", F.lit(0.0))).alias("worth"))
+    named = at.select(*part, "__n", F.struct(*order).alias("__at"))
+    out = worth.unionByName(named, allowMissingColumns=True).groupBy(*part, "__n").agg(F.sum("worth").alias("equity"), F.max("__at").alias("__at"))
+    return out.select(*by, *[F.col(f"__at.{c}").alias(c) for c in order], "equity")
 
 
 def steps_before(grid: Column, ts: Column) -> Column:
