@@ -21,7 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a five-word Jaccard similarity of 0.8 the document of smallest id stays."""
+    """Of each group linked by a five-word Jaccard similarity of 0.8, candidates by SimHash and then by prefixes, the
+    document of smallest id stays."""
     return near_copies.first_of_each(docs)
 
 

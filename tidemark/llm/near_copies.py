@@ -12,9 +12,11 @@ the end of the prefix that ends first, sets that similar share many more shingle
 than long documents do that have a passage in common. The others are verified on
 their texts.
 
-Documents with one set are a single point. Candidates are first the stars
-around each key's smallest document; pairs of a key that those links leave in
-different components follow. So a large group of copies takes links, not pairs.
+Documents with one set are a single point. SimHash comes first: links between
+fingerprints that differ in few bits are candidates, verified like all others.
+What it leaves apart is found by prefixes: candidates are the stars around each
+key's smallest document, and then pairs of a key that links so far leave in
+different components. So a large group of copies takes links, not pairs.
 
 Defined results: a text of fewer words than a shingle is one shingle; null and
 wordless texts have the empty set and are copies of each other; rows that repeat
@@ -31,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import simhash
 from tidemark.llm.common import discard, map_batches, materialize, small
 from tidemark.llm.components import connected_components
 
@@ -190,6 +193,22 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, threshold: float, id
     return materialize(map_batches(first.join(second, "dst"), ["src", "dst", "a", "b"], work, "src long, dst long").distinct())
 
 
+def by_fingerprints(docs: DataFrame, table: DataFrame, width: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """``(src, dst)``: links that SimHash proposes, verified; the smallest document of a fingerprint stands for it."""
+    of_points = docs.select(id_col, text_col).join(small(materialize(table.select(F.col("rep").alias(id_col)).distinct())), id_col, "left_semi")
+    marked = materialize(simhash.fingerprints(of_points, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("rep"), "fp"))
+    points = materialize(marked.groupBy("fp").agg(F.min("rep").alias("low")))
+    near = simhash.links(points.select("fp"))
+    ends = [points.select(F.col("fp").alias(end), F.col("low").alias(f"low_{end}")) for end in ("src", "dst")]
+    apart = near.join(ends[0], "src").join(ends[1], "dst").select(F.col("low_src").alias("a"), F.col("low_dst").alias("b"))
+    equal = marked.join(points, "fp").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    tried = apart.unionByName(equal).where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    tried = materialize(tried)
+    out = verified(docs, tried, width, threshold, id_col, text_col)
+    discard(marked, points, near, tried)
+    return out
+
+
 def links(docs: DataFrame, table: DataFrame, width: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(src, dst)``: links that span the components of "similar", of the documents of ``table`` (materialized), whose sets differ."""
     keys = table.select("rep", F.explode("hs").alias("h"))
@@ -200,13 +219,18 @@ def links(docs: DataFrame, table: DataFrame, width: int, threshold: float, id_co
     keyed = materialize(held.join(facts.join(counted, "rep"), "rep"))
     discard(shared)
 
+    alike = by_fingerprints(docs, table, width, threshold, id_col, text_col)
+    parts = connected_components(alike)
+
     row = F.struct("rep", *[c for c in keyed.columns if c not in ("rep", "h")])
     stars = keyed.join(keyed.groupBy("h").agg(F.min(row).alias("c")), "h").alias("x").where("c.rep < rep")
     tried = stars.where(plausible("x", "c", threshold)).select(F.col("c.rep").alias("src"), F.col("rep").alias("dst")).distinct()
-    tried = without_unlike(tried, table, threshold)
+    tried = without_unlike(between(tried, parts), table, threshold)
+    discard(parts)
     # a copy of many is tried against one of them first, and against those only that this leaves in another component
     once = materialize(tried.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst"))
-    found = verified(docs, once, width, threshold, id_col, text_col)
+    found = materialize(alike.unionByName(verified(docs, once, width, threshold, id_col, text_col)))
+    discard(alike)
     parts = connected_components(found)
     rest = materialize(between(tried.join(once, ["src", "dst"], "left_anti"), parts))
     found = materialize(found.unionByName(verified(docs, rest, width, threshold, id_col, text_col)))
