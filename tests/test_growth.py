@@ -63,3 +63,18 @@ def test_equity_over_years_is_the_plain_sum(spark):
     want = {p: sum(c[4] * price(c[1], p[1]) for c in changes if c[2] and c[0] == p[0] and c[2:4] <= p[1:]) for p in places}
     found = {(r.account, r.ts, r.i): r.equity for r in got.collect()}
     assert found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-6 for p in want)
+
+
+def test_balances_deal_out_fills_once(spark):
+    """No join on the account and asset of each change: what a year starts with is a row among its fills."""
+    got = plan(QUERIES["balances_over_time"](spark, SF))
+    assert not [line for line in got.splitlines() if "Join" in line and "__bucket" in line]
+    changes = [(a, day(n * 100), n, "buy" if n % 3 else "sell", float(n), 1.0, 0.0) for a in ("a", "b", None) for n in range(12)]
+    fills = spark.createDataFrame(changes, "account string, ts timestamp_ntz, i int, side string, size double, price double, fee double")
+    held = {}
+    for r in portfolio.running_balance(fills, ["account"], F.lit("x"), F.lit("y"), ["ts", "i"]).collect():
+        held[r.account, r.asset, r.i] = r.balance
+    for (account, asset, i), balance in held.items():
+        total = sum(n if n % 3 else -n for n in range(i + 1))
+        assert balance == (total if asset == "x" else -total)
+    assert len(held) == 72

@@ -39,8 +39,19 @@ def settle(fills: DataFrame, by: list[str], base: Column, quote: Column) -> Data
 
 
 def running_balance(fills: DataFrame, by: list[str], base: Column, quote: Column, order: list[str]) -> DataFrame:
-    """Balance of each account and asset after every fill that touches it; long histories are cut by year."""
-    return with_running(legs(fills, base, quote), [*by, "asset"], order, {"balance": ("sum", F.col("delta"))}, F.year(order[0]))
+    """Balance of each account and asset after every fill that touches it; long histories are cut by year.
+
+    What a year starts with is a row before its first, so that fills, with all their columns, are dealt out once.
+    """
+    rows = legs(fills, base, quote).withColumns({"__year": F.year(order[0]), "__opens": F.lit(0)})
+    key = [*by, "asset"]
+    w = Window.partitionBy(*key).orderBy("__year")
+    sums = rows.groupBy(*key, "__year").agg(F.sum("delta").alias("delta"))
+    opens = sums.select(*key, F.lead("__year").over(w).alias("__year"), F.sum("delta").over(w).alias("delta"), F.lit(1).alias("__opens"))
+    within = Window.partitionBy(*key, "__year").orderBy(F.desc("__opens"), *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.unionByName(opens.where("__year is not null"), allowMissingColumns=True)
+    summed = both.withColumn("balance", F.coalesce(F.sum("delta").over(within), F.lit(0)))
+    return summed.where("__opens = 0").drop("__year", "__opens")
 
 
 def pnl(size: Column, entry: Column, price: Column) -> Column:
