@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import portfolio
+from tidemark.operators import book, portfolio
 from tidemark.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +78,32 @@ def test_balances_deal_out_fills_once(spark):
         total = sum(n if n % 3 else -n for n in range(i + 1))
         assert balance == (total if asset == "x" else -total)
     assert len(held) == 72
+
+
+def test_incoming_orders_meet_only_places_that_they_reach(spark):
+    """No join of all incoming orders with all of a book's side, and the fills are those of a plain walk down the queue."""
+    got = plan(QUERIES["orders_matched"](spark, SF))
+    joins = [line for line in got.splitlines() if "Join" in line and "side" in line]
+    assert joins and all("place" in line or "want" in line for line in joins)
+
+    orders = [("k" if i % 3 else "m", i, "bid" if i % 2 else "ask", None if i == 4 else float(i * 7 % 5), float(i % 4 + 1), i * 13 % 31) for i in range(40)]
+    orders += [("k", 41, "ask", float("nan"), 2.0, 50), ("k", 43, "bid", float("nan"), 2.0, 51), (None, 45, "ask", 1.0, 9.0, 52)]
+    sizes, limits = (0.5, 1.0, 7.0, 1000.0, None), (None, -1.0, 0.0, 2.0, 2.5, 9.0)
+    taken = [(b, s, z, x) for b in ("k", "m", "z", None) for s in ("buy", "sell") for z in sizes for x in limits]
+    taken = [(b, n, s, z, x) for n, (b, s, z, x) in enumerate(taken + taken[:40])]
+    want = set()
+    key = lambda p, sign: (p is not None, p != p if p is not None else False, sign * p if p == p and p is not None else 0)  # noqa: E731  nulls first, NaN last
+    for book_of, taker, side, size, limit in taken:
+        other = "ask" if side == "buy" else "bid"
+        queue = sorted((o for o in orders if o[0] == book_of is not None and o[2] == other), key=lambda o: (key(o[3], 1 if other == "ask" else -1), o[5]))
+        before = 0.0
+        for o in queue:
+            p = o[3]
+            within = limit is None or (p is not None and ((p <= limit) if side == "buy" else (p != p or p >= limit)))
+            if size is not None and before < size and within:
+                want.add((book_of, taker, o[1], repr(p), min(o[4], size - before)))
+            before += o[4]
+    known = spark.createDataFrame(orders, "topic string, order_id int, side string, price double, size double, prio_seq int")
+    incoming = spark.createDataFrame(taken, "topic string, taker_id int, side string, size double, limit double")
+    rows = book.match_orders(incoming, known, ["topic"]).collect()
+    assert len(rows) == len(want) and {(r.topic, r.taker_id, r.order_id, repr(r.price), r.size) for r in rows} == want

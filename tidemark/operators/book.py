@@ -206,18 +206,38 @@ def match_orders(incoming: DataFrame, orders: DataFrame, by: list[str]) -> DataF
     """Fills of incoming orders, each on its own, against the book's orders: best price, then queue order.
 
     ``incoming``: ``by, taker_id, side (buy, sell), size, limit (nullable)``.
-    What stands in front of an order in the book is summed once, and only
-    orders that an incoming one reaches are joined with it.
+    What stands in front of an order in the book is summed once. Incoming orders
+    of one book, side, size and limit fill alike; how far down the queue they
+    reach is found by sorting them among its orders, and places up to there are
+    joined by equality: no row is made that is no fill.
     """
     near = F.when(F.col("side") == "ask", F.col("price")).otherwise(-F.col("price"))
-    w = Window.partitionBy(*by, "side").orderBy(near, "prio_seq").rowsBetween(Window.unboundedPreceding, -1)
-    queue = orders.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0.0)))
-    side = F.when(F.col("i.side") == "buy", "ask").otherwise("bid")
-    within = F.col("i.limit").isNull() | F.when(F.col("i.side") == "buy", F.col("o.price") <= F.col("i.limit")).otherwise(F.col("o.price") >= F.col("i.limit"))
+    line = Window.partitionBy(*by, "side").orderBy(near, "prio_seq")
+    before = F.coalesce(F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    queue = orders.withColumns({"before": before, "place": F.row_number().over(line) - 1})
+    against = F.when(F.col("side") == "buy", "ask").otherwise("bid")
+    wanted = incoming.select(*by, against.alias("side"), F.col("size").alias("want"), "limit").where("want is not null").distinct()
+
+    marks = queue.select(*by, "side", F.col("before").alias("__sum"), F.col("price").alias("__price"), "place")
+    asked = wanted.withColumns({"__sum": F.col("want"), "__price": F.col("limit")})
+    side = Window.partitionBy(*by, "side")
+    sums = side.orderBy("__sum", F.col("place").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rising, falling = (F.when(F.col("side") == s, F.col("__price")) for s in ("ask", "bid"))
+    prices = side.orderBy(rising, falling.desc(), F.col("place").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = asked.unionByName(marks, allowMissingColumns=True)
+    both = both.withColumns({"__by_size": F.max("place").over(sums), "__by_price": F.max("place").over(prices)})
+    last = F.when(F.col("limit").isNull(), F.col("__by_size")).when(F.col("__by_price").isNotNull(), F.least("__by_size", "__by_price"))
+    reached = both.where("place is null").select(*by, "side", "want", "limit", last.alias("last")).where("last is not null")
+
+    places = reached.withColumn("place", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
+    within = F.col("limit").isNull() | F.when(F.col("side") == "ask", F.col("price") <= F.col("limit")).otherwise(F.col("price") >= F.col("limit"))
+    fill = F.least(F.col("size"), F.col("want") - F.col("before"))
+    met = places.join(queue, [*by, "side", "place"]).where(within & (F.col("before") < F.col("want")))
+    fills = met.select(*by, "side", "want", "limit", "order_id", "price", fill.alias("fill"))
     key = [F.col(f"i.{c}") == F.col(f"o.{c}") for c in by]
-    pairs = incoming.alias("i").join(queue.alias("o"), [*key, F.col("o.side") == side, F.col("o.before") < F.col("i.size"), within])
-    fill = F.least(F.col("o.size"), F.col("i.size") - F.col("o.before"))
-    return pairs.select(*[F.col(f"i.{c}") for c in by], "taker_id", "order_id", F.col("o.price").alias("price"), fill.alias("size"))
+    same = [F.col("i.__against") == F.col("o.side"), F.col("i.size") == F.col("o.want"), F.col("i.limit").eqNullSafe(F.col("o.limit"))]
+    pairs = incoming.withColumn("__against", against).alias("i").join(fills.alias("o"), [*key, *same])
+    return pairs.select(*[F.col(f"i.{c}") for c in by], "taker_id", "order_id", F.col("o.price").alias("price"), F.col("fill").alias("size"))
 
 
 def reconciled(book: DataFrame, snapshots: DataFrame, by: list[str], linger: str = "10 seconds") -> DataFrame:
