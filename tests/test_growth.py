@@ -107,3 +107,9 @@ def test_incoming_orders_meet_only_places_that_they_reach(spark):
     incoming = spark.createDataFrame(taken, "topic string, taker_id int, side string, size double, limit double")
     rows = book.match_orders(incoming, known, ["topic"]).collect()
     assert len(rows) == len(want) and {(r.topic, r.taker_id, r.order_id, repr(r.price), r.size) for r in rows} == want
+
+
+def test_a_message_is_parsed_once(spark):
+    for name in ("order_feed_quarantine", "order_feed_parsed"):
+        got = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert got.count("from_json") == 1, name

@@ -23,7 +23,8 @@ def parse_order_feed(lines: DataFrame, text: str = "value") -> tuple[DataFrame,
     are none go to the quarantine with their reason. A match's direction is
     opposite to its maker's side: a maker who sold means the price went up.
     """
-    m = lines.withColumn("m", F.from_json(text, FEED))
+    # a filter on a message goes past no generator, so that a line is parsed once and not once for each use of a field
+    m = lines.select("*", F.explode(F.array(F.from_json(text, FEED))).alias("m"))
     number = {c: F.col(f"m.{c}").try_cast("double") for c in ("price", "size", "remaining_size", "new_size")}
     broken = F.lit(False)
     for c, n in number.items():
