@@ -113,3 +113,14 @@ def test_a_message_is_parsed_once(spark):
     for name in ("order_feed_quarantine", "order_feed_parsed"):
         got = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert got.count("from_json") == 1, name
+
+
+def test_costs_sum_up_only_ladders_that_orders_name(spark):
+    """Each sum over line items is behind a semi join with the ladders of orders, on its own rows."""
+    got = QUERIES["execution_costs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    scans = [i for i, line in enumerate(got) if "l_extendedprice" in line and "Relation" in line]
+    assert len(scans) >= 3
+    for i in scans:
+        above = [line for line in got[:i] if len(line) - len(line.lstrip(" :+-")) < len(got[i]) - len(got[i].lstrip(" :+-"))]
+        nearest = [line for line in reversed(above) if "LeftSemi" in line or "Aggregate" in line]
+        assert nearest and "LeftSemi" in nearest[0]

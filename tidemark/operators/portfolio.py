@@ -219,9 +219,13 @@ def execution_cost(orders: DataFrame, ladders: DataFrame, prices: DataFrame, by:
     An order takes effect ``latency`` after its time: against the latest ladder
     (``by, ts, side, price, qty``) there is by then, else at the last price.
     Funds are reduced by the taker fee before they buy; what is filled pays it.
+    Of ladders and prices only those are looked at that some order names.
     """
     from tidemark.operators.ladder import fill_summary, walk_depth
 
+    # written, so that its size is known when the plan is made: a small one goes below the sums of ladders and prices
+    named = written(orders.select(*by).distinct(), shared_path(orders.sparkSession, "named"))
+    ladders, prices = (rows.join(named, by, "left_semi") for rows in (ladders, prices))
     due = orders.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {latency}")).withColumn("funds", F.col("funds") * (1 - taker))
     stamps = ladders.select(*by, "ts").distinct().withColumn("ladder_ts", F.col("ts"))
     placed = asof_join(asof_join(due, stamps, by, "ladder_ts"), prices, by, "price").drop("ladder_ts_ts", "price_ts")
