@@ -2,9 +2,13 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.helpers import corpus, empty, words
 from tests.llm.test_copies import classes
+from tidemark.llm import near_copies
 
 
 def shingles(text, width=5):
@@ -43,3 +47,15 @@ def test_ids_that_repeat_and_ids_that_lack(spark):
     rows = [(3, a, 1), (5, a, 2), (5, b, 3), (9, b, 4), (None, c, 5), (None, c, 6), (11, None, 7), (12, "", 8), (13, c, 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, place int")
     assert sorted(r.place for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == [1, 5, 6, 7, 9]
+
+
+def test_shingles_of_a_group_come_last_however_large_the_corpus(spark):
+    """A passage that 25 of 50,000 documents share is no key of them, so they are not tried against one another."""
+    own = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.concat_ws("_", F.lit("u"), F.col("doc_id"), k)), " ")
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id")).withColumn("text", own)
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 2003 == 0, F.concat(F.lit("p0 p1 p2 p3 p4 p5 p6 "), F.col("text"))).otherwise(F.col("text")))
+    common = near_copies.common_shingles(docs, 5, "doc_id", "text")
+    group = docs.where("doc_id % 2003 = 0")
+    passage = set(near_copies.shingles("p0 p1 p2 p3 p4 p5 p6", 5).view(np.int64).tolist())
+    rows = near_copies.described(group, common, 5, 0.8, "doc_id", "text").select("hs").collect()
+    assert len(rows) == 25 and all(len(r.hs) == 3 and not passage & set(r.hs) for r in rows)

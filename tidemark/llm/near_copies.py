@@ -4,8 +4,11 @@ Two documents link when the Jaccard similarity of their sets of distinct word
 shingles is at least ``threshold``. A set of n shingles that is to share that
 much with another may lack n - ceil(threshold * n) of its own, so in any common
 order the first one more than that of both sets share a shingle: no linked pair
-is missed. Shingles that a bounded sample finds common come last in the order,
-which spares hot keys and never changes a result. Sets of widely differing size
+is missed. Shingles that many documents hold, counted over all documents, come
+last in the order, so that keys of few documents are what most prefixes consist
+of: the pairs of a key that comes first are bounded by a number for each of its
+rows, however large the groups are that share a passage. The order never changes
+a result. Sets of widely differing size
 and parity sketches (of 256 bits; their difference is at most that of the sets)
 rule most candidates out, as do keys that no other set has in its prefix: up to
 the end of the prefix that ends first, sets that similar share many more shingles
@@ -29,16 +32,19 @@ Shingles are compared by 64-bit hashes.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
-from tidemark.llm.common import discard, map_batches, materialize, small
+from tidemark.llm.common import discard, give_back, map_batches, materialize, small
 from tidemark.llm.components import connected_components
 
-#: Documents, about, that common shingles are looked for in; documents of those that make one common; shingles kept.
-SAMPLE, COMMON, KEPT = 20_000, 10, 200_000
+#: Documents that make a shingle common: the lowest of these that leaves at least seven of eight marks free.
+COMMON = (8, 64, 512)
+#: Marks are of the first bits of hashes; shingles are counted by ranges of hashes, and by so many bits in each.
+MARK_BITS, RANGE_BITS, COUNTED_BITS = 26, 10, 32
 SKETCH = ("s0", "s1", "s2", "s3")
 #: Shingles beyond which a sketch of 4096 bits is kept too.
 LONG = 400
@@ -77,15 +83,44 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
 
 
 def common_shingles(docs: DataFrame, width: int, id_col: str, text_col: str) -> np.ndarray:
-    """Hashes of shingles that many sampled documents hold."""
-    parts = max(1, -(-docs.count() // SAMPLE))
-    sampled = docs.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == 0)
+    """A bit for each ``MARK_BITS`` first bits of a hash: whether a shingle that begins so is in many documents.
+
+    All documents are counted. Tasks send a list of four-byte numbers for each range of hashes, and a range sends back
+    its bits, so the driver gets 24 MB whatever the size of the input.
+    """
+    of_range = MARK_BITS - RANGE_BITS
 
     def work():
-        return lambda batch: {"h": np.concatenate([shingles(t, width) for t in batch.column(0).to_pylist()]).view(np.int64)}
+        def step(batch):
+            hashes = np.sort(np.concatenate([shingles(t, width) for t in batch.column(0).to_pylist()]))
+            ranges = (hashes >> np.uint64(64 - RANGE_BITS)).astype(np.int32)
+            low = (hashes >> np.uint64(64 - RANGE_BITS - COUNTED_BITS)).astype(np.uint32)
+            at = np.concatenate([[0], np.nonzero(np.diff(ranges))[0] + 1, [len(ranges)]]) if len(ranges) else np.zeros(1, int)
+            return {"range": ranges[at[:-1]], "low": [low[i:j].tobytes() for i, j in zip(at, at[1:])]}
+
+        return step
 
-    counts = map_batches(sampled, [text_col], work, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
-    return np.sort(counts.orderBy(F.desc("count"), "h").limit(KEPT).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+    def count(lists: pa.Table) -> pa.Table:
+        low = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in lists.column("low")]))
+        starts = np.concatenate([[0], np.nonzero(np.diff(low))[0] + 1])
+        held = np.diff(np.append(starts, len(low)))
+        out = {"range": [lists.column("range")[0].as_py()]}
+        for n in COMMON:
+            bits = np.zeros(1 << of_range, bool)
+            bits[low[starts[held >= n]] >> np.uint32(COUNTED_BITS - of_range)] = True
+            out[f"c{n}"] = [np.packbits(bits, bitorder="little").tobytes()]
+        give_back()
+        return pa.table(out, schema=pa.schema([("range", pa.int32()), *[(f"c{n}", pa.binary()) for n in COMMON]]))
+
+    lists = map_batches(docs, [text_col], work, "range int, low binary")
+    rows = lists.groupBy("range").applyInArrow(count, ", ".join(["range int", *[f"c{n} binary" for n in COMMON]])).collect()
+    marks = np.zeros((1 << RANGE_BITS, 1 << of_range - 3), np.uint8)
+    for n in COMMON:
+        for r in rows:
+            marks[r["range"]] = np.frombuffer(r[f"c{n}"], np.uint8)
+        if np.bitwise_count(marks).sum(dtype=np.int64) <= 1 << MARK_BITS - 3:
+            break
+    return marks.reshape(-1)
 
 
 def described(docs: DataFrame, common: np.ndarray, width: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
@@ -94,7 +129,8 @@ def described(docs: DataFrame, common: np.ndarray, width: int, threshold: float,
 
     def work():
         def prefix(hashes: np.ndarray) -> tuple[list[int], bool, int]:
-            late = np.isin(hashes, common, assume_unique=True)
+            mark = hashes >> np.uint64(64 - MARK_BITS)
+            late = (common[mark >> np.uint64(3)] >> (mark & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
             n = len(hashes)
             length = n - int(np.ceil(threshold * n - 1e-9)) + 1 if n else 0
             ordered = np.concatenate([hashes[~late], hashes[late]])[:length]
