@@ -1,8 +1,13 @@
 """What rows hold, in bytes: the bound of broadcasts and of what Python works on at once."""
 
+import tracemalloc
+import weakref
+
 import pyarrow as pa
 
+from tidemark.llm import common
 from tidemark.llm.common import bytes_of, pieces, small, width
+from tidemark.llm.suffixes import WordHashes
 
 NESTED = "id string, s struct<a: string, b: struct<c: string, n: long>>, l array<string>, m map<string, array<string>>, k array<long>, n long"
 LONG = "x" * (1 << 20)
@@ -31,3 +36,36 @@ def test_rows_of_structs_are_bounded_by_their_texts():
     batch = pa.RecordBatch.from_arrays([column, pa.array(range(4))], ["s", "n"])
     assert [p.num_rows for p in pieces(batch, 1 << 20)] == [3, 1]
     assert sum(p.num_rows for p in pieces(batch.slice(1), 1 << 20)) == 3
+
+
+class Known(dict):
+    """A task's cache."""
+
+
+def test_caches_are_gone_when_a_task_gives_memory_back(monkeypatch):
+    caches, alive = [], []
+
+    def work():
+        known = Known()
+        caches.append(weakref.ref(known))
+
+        def step(batch):
+            known[len(known)] = batch
+            return {"n": batch.column(0)}
+
+        return step
+
+    monkeypatch.setattr(common, "give_back", lambda: alive.append(caches[0]() is not None))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["n"])
+    out = list(common.worked(iter([batch, batch]), work, pa.schema([("n", pa.int64())])))
+    assert sum(b.num_rows for b in out) == 4 and alive == [False]
+
+
+def test_hashes_of_words_are_bounded_in_bytes():
+    known = WordHashes()
+    tracemalloc.start()
+    for i in range(30):
+        known.of(" ".join(f"word{i * 10_000 + j}" for j in range(10_000)))
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 20 << 20

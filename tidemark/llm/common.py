@@ -168,6 +168,20 @@ def give_back() -> None:
         trim(0)
 
 
+def worked(
+    batches: Iterator[pa.RecordBatch], work: Callable[[], Callable[[pa.RecordBatch], object]], target: pa.Schema
+) -> Iterator[pa.RecordBatch]:
+    """What a task of ``map_batches`` gives."""
+    step = work()
+    for batch in batches:
+        for piece in pieces(batch):
+            if (out := step(piece)) is not None:
+                yield to_batch(out, target)
+    # its caches and last rows go first, or there would be nothing to give back
+    step = batch = piece = out = None
+    give_back()
+
+
 def map_batches(
     df: DataFrame, columns: list[str], work: Callable[[], Callable[[pa.RecordBatch], object]], schema: str
 ) -> DataFrame:
@@ -178,12 +192,7 @@ def map_batches(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = work()
-        for batch in batches:
-            for piece in pieces(batch):
-                if (out := step(piece)) is not None:
-                    yield to_batch(out, target)
-        give_back()
+        yield from worked(batches, work, target)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

@@ -47,8 +47,8 @@ MIN_WORDS, KEY_WORDS = 50, 25
 WINDOW = MIN_WORDS - KEY_WORDS + 1
 #: Words of context on either side of a minimiser that decide whether a passage holds it.
 LEFT, RIGHT = WINDOW - 1, MIN_WORDS
-#: Distinct words whose hashes a task remembers.
-REMEMBERED_WORDS = 500_000
+#: Distinct words whose hashes a task remembers, in some 11 MB.
+REMEMBERED_WORDS = 1 << 16
 #: Odd, so that it has an inverse modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
 
