@@ -91,6 +91,22 @@ def test_recorded_pages_and_parts(spark, tmp_path):
         assert sorted(x for b in source.live("a", start, end) for x in b.column("id").to_pylist()) == list(range(start, end))
 
 
+def test_the_list_of_a_recorded_source_does_not_grow_with_its_files(spark, tmp_path):
+    rows = spark.createDataFrame([(t, i, T0 + dt.timedelta(minutes=i), float(i)) for t in ("a", "b") for i in range(600)], TRADES)
+    schema = rows.select(F.col("topic").alias("topic_name"), "id", "price").schema
+    sizes = []
+    for n in (60, 600):
+        path = tmp_path / str(n)
+        plugin.record(rows.where(f"id < {n}"), rows.where(f"id < {n} and topic = 'b'"), str(path), 20, 7, ["ts", "id"])
+        sizes.append((path / "topics.json").stat().st_size)
+        source = plugin.Recorded({"path": str(path), "schema": schema.json()})
+        assert (source.latest("a"), source.latest("b")) == (0, n)
+        assert sorted(x for b in source.live("b", n - 20, n) for x in b.column("id").to_pylist()) == list(range(n - 20, n))
+        page, cursor = source.page("a", str(n // 20 - 1))
+        assert cursor is None and sorted(x for b in page for x in b.column("id").to_pylist()) == list(range(20))
+    assert sizes[1] <= sizes[0] + 10
+
+
 STORED = "source string, topic string, datatype string, ts timestamp_ntz, seqid long, bundle long, price double"
 
 

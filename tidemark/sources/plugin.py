@@ -104,8 +104,9 @@ class Live(DataSourceStreamReader):
 
 class Recorded(MarketDataSource):
     """A source whose pages and live rows are files: ``path/pages/topic=T/page=N``, the newest page 0, and
-    ``path/live/topic=T/part=N``, Parquet of the columns of option ``schema`` (JSON); ``path/topics.json`` lists for each
-    topic its pages and the rows of its live parts. ``record`` writes them. It stands in for an exchange in tests."""
+    ``path/live/topic=T/part=N``, Parquet of the columns of option ``schema`` (JSON); ``path/topics.json`` holds for each
+    topic the number of its pages, of its live rows, and of those in a live part, the last one excepted; so it is as short
+    however many files there are. ``record`` writes them. It stands in for an exchange in tests."""
 
     @classmethod
     def name(cls) -> str:
@@ -144,17 +145,15 @@ class Recorded(MarketDataSource):
         return rows, str(number + 1) if number + 1 < pages else None
 
     def latest(self, topic: str) -> int:
-        return sum(self.listed()[topic]["live"])
+        return self.listed()[topic]["live"]
 
     def live(self, topic: str, start: int, end: int):
-        first = 0
-        for part, rows in enumerate(self.listed()[topic]["live"]):
-            if first < end and start < first + rows:
-                at = first
-                for batch in self.batches(f"live/topic={topic}/part={part}"):
-                    yield batch.slice(max(start - at, 0), max(min(end - at, batch.num_rows) - max(start - at, 0), 0))
-                    at += batch.num_rows
-            first += rows
+        size = self.listed()[topic]["part_rows"]
+        for part in range(start // size, -(-end // size) if start < end else 0):
+            at = part * size
+            for batch in self.batches(f"live/topic={topic}/part={part}"):
+                yield batch.slice(max(start - at, 0), max(min(end - at, batch.num_rows) - max(start - at, 0), 0))
+                at += batch.num_rows
 
 
 def record(history, live, path: str, page_rows: int, part_rows: int, order: list[str]) -> None:
@@ -167,18 +166,15 @@ def record(history, live, path: str, page_rows: int, part_rows: int, order: list
     for kind, rows, size in (("pages", history, page_rows), ("live", live, part_rows)):
         part = "page" if kind == "pages" else "part"
         placed = numbered(rows, ["topic"], order, "__at")
+        counts = rows.groupBy("topic").agg(F.count("*").alias("__n"))
         if kind == "pages":  # the newest page is 0
-            counts = rows.groupBy("topic").agg(F.count("*").alias("__n"))
             placed = placed.join(counts, "topic").withColumn("__at", F.col("__n") - 1 - F.col("__at")).drop("__n")
         cut = placed.withColumn(part, F.expr(f"__at DIV {size}")).withColumn("__topic", F.col("topic"))
         files = cut.repartition("topic", part).sortWithinPartitions("topic", part, "__at").withColumnRenamed("topic", "copy").withColumnRenamed("__topic", "topic")
         files.drop("__at").withColumnRenamed("copy", "topic_name").write.partitionBy("topic", part).parquet(f"{path}/{kind}")
-        for r in cut.groupBy("topic", part).agg(F.count("*").alias("n")).orderBy("topic", part).collect():  # a row a file
-            of = found.setdefault(r.topic, {"pages": 0, "live": []})
-            if kind == "pages":
-                of["pages"] += 1
-            else:
-                of["live"].append(r.n)
+        for r in counts.collect():  # a row a topic
+            of = found.setdefault(r.topic, {"pages": 0, "live": 0, "part_rows": part_rows})
+            of[kind] = -(-r["__n"] // size) if kind == "pages" else r["__n"]
     spark = history.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/topics.json")
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
