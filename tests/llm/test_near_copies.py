@@ -59,3 +59,57 @@ def test_shingles_of_a_group_come_last_however_large_the_corpus(spark):
     passage = set(near_copies.shingles("p0 p1 p2 p3 p4 p5 p6", 5).view(np.int64).tolist())
     rows = near_copies.described(group, common, 5, 0.8, "doc_id", "text").select("hs").collect()
     assert len(rows) == 25 and all(len(r.hs) == 3 and not passage & set(r.hs) for r in rows)
+
+
+def test_family_below_the_threshold_is_not_tried_in_pairs(spark, monkeypatch):
+    """Couples of copies with 300 words in common with all others, at 0.75: no key of two couples is in their own prefixes."""
+    rnd = random.Random(8)
+    base = words(rnd, 300)
+    texts = []
+    for k in range(30):
+        text = " ".join(base + [f"own{k}x{i}" for i in range(50)])
+        texts += [text, f"{text} end{k}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    assert jaccard(sets[0], sets[1]) >= 0.8 > jaccard(sets[0], sets[2]) > 0.74
+    tried, ruled_out = [], near_copies.without_unlike
+
+    def counted(pairs, *args):
+        tried.append(pairs.count())
+        return ruled_out(pairs, *args)
+
+    monkeypatch.setattr(near_copies, "without_unlike", counted)
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect())
+    assert got == list(range(0, 60, 2)) and tried[-1] == 0
+
+
+def test_smaller_and_larger_sets_meet(spark):
+    """A text and its first four fifths and a little more, among many that have the same beginning."""
+    rnd = random.Random(9)
+    base = words(rnd, 120)
+    texts = [" ".join(base[:60] + [f"t{k}x{i}" for i in range(n)]) for k in range(12) for n in (160, 181, 205)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    ids = list(range(len(texts)))
+    part = classes([(a, b) for a in ids for b in ids if a < b and jaccard(sets[a], sets[b]) >= 0.8], ids)
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect())
+    assert got == sorted(x for x in ids if part[x] == x) and len(got) < len(ids)
+
+
+def test_driver_gets_one_number_of_marks(spark, monkeypatch):
+    """Marks are of the shingles in as many documents; of the three numbers of documents the driver gets one's bits."""
+    texts = [f"a b c d e {'f' if k < 9 else k}" for k in range(40)]
+    got, frame = [], type(spark.range(0))
+
+    def sent(rows):
+        for r in rows:
+            got.append(sum(len(x) for x in r if isinstance(x, (bytes, bytearray))))
+            yield r
+
+    for name in ("collect", "toLocalIterator"):
+        monkeypatch.setattr(frame, name, lambda self, *a, f=getattr(frame, name): list(sent(f(self, *a))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = near_copies.common_shingles(df, 5, "doc_id", "text")
+    common = [t for t in ("a b c d e", "b c d e f")]
+    bits = {int(near_copies.shingles(t, 5)[0] >> np.uint64(64 - near_copies.MARK_BITS)) for t in common}
+    assert set(np.nonzero(np.unpackbits(marks, bitorder="little"))[0].tolist()) == bits and sum(got) <= 8 << 20

@@ -6,11 +6,12 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
@@ -168,6 +169,21 @@ def give_back() -> None:
         trim(0)
 
 
+def give_back_on_driver(spark: SparkSession) -> None:
+    """As ``give_back``, for the driver and its Java process: each of the hundreds of threads that plan, broadcast and
+    delete for many small jobs leaves free memory behind. Where Java has no such command, nothing happens."""
+    give_back()
+    java = spark._jvm
+    command = java.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    server = java.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    # the server's own class is not open to callers, but its interface is
+    call = {m.getName(): m for m in java.java.lang.Class.forName("javax.management.MBeanServer").getMethods()}["invoke"]
+    args = spark.sparkContext._gateway.new_array(java.java.lang.Object, 4)
+    args[0], args[1] = command, "systemTrimNativeHeap"
+    with suppress(Py4JError):
+        call.invoke(server, args)
+
+
 def worked(
     batches: Iterator[pa.RecordBatch], work: Callable[[], Callable[[pa.RecordBatch], object]], target: pa.Schema
 ) -> Iterator[pa.RecordBatch]:

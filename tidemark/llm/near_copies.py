@@ -4,7 +4,9 @@ Two documents link when the Jaccard similarity of their sets of distinct word
 shingles is at least ``threshold``. A set of n shingles that is to share that
 much with another may lack n - ceil(threshold * n) of its own, so in any common
 order the first one more than that of both sets share a shingle: no linked pair
-is missed. Shingles that many documents hold, counted over all documents, come
+is missed. Two sets of known sizes must share a number of shingles that follows
+from both, so that a pair's own prefixes are shorter; the smaller set's is about
+half as long, whatever set it meets, and only such keys bring pairs together. Shingles that many documents hold, counted over all documents, come
 last in the order, so that keys of few documents are what most prefixes consist
 of: the pairs of a key that comes first are bounded by a number for each of its
 rows, however large the groups are that share a passage. The order never changes
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
-from tidemark.llm.common import discard, give_back, map_batches, materialize, small
+from tidemark.llm.common import discard, give_back, give_back_on_driver, map_batches, materialize, small
 from tidemark.llm.components import connected_components
 
 #: Documents that make a shingle common: the lowest of these that leaves at least seven of eight marks free.
@@ -85,8 +87,8 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
 def common_shingles(docs: DataFrame, width: int, id_col: str, text_col: str) -> np.ndarray:
     """A bit for each ``MARK_BITS`` first bits of a hash: whether a shingle that begins so is in many documents.
 
-    All documents are counted. Tasks send a list of four-byte numbers for each range of hashes, and a range sends back
-    its bits, so the driver gets 24 MB whatever the size of the input.
+    All documents are counted. Tasks send a list of four-byte numbers for each range of hashes; of the ranges' bits the
+    driver gets those of one number of documents, 8 MB whatever the size of the input.
     """
     of_range = MARK_BITS - RANGE_BITS
 
@@ -109,17 +111,21 @@ def common_shingles(docs: DataFrame, width: int, id_col: str, text_col: str) ->
             bits = np.zeros(1 << of_range, bool)
             bits[low[starts[held >= n]] >> np.uint32(COUNTED_BITS - of_range)] = True
             out[f"c{n}"] = [np.packbits(bits, bitorder="little").tobytes()]
+            out[f"set{n}"] = [int(bits.sum())]
         give_back()
-        return pa.table(out, schema=pa.schema([("range", pa.int32()), *[(f"c{n}", pa.binary()) for n in COMMON]]))
+        kinds = [x for n in COMMON for x in ((f"c{n}", pa.binary()), (f"set{n}", pa.int64()))]
+        return pa.table(out, schema=pa.schema([("range", pa.int32()), *kinds]))
 
     lists = map_batches(docs, [text_col], work, "range int, low binary")
-    rows = lists.groupBy("range").applyInArrow(count, ", ".join(["range int", *[f"c{n} binary" for n in COMMON]])).collect()
+    counted = lists.groupBy("range").applyInArrow(count, ", ".join(["range int", *[f"c{n} binary, set{n} long" for n in COMMON]]))
+    counted = materialize(counted)
+    filled = counted.agg(*[F.sum(f"set{n}") for n in COMMON]).first()
+    level = next((n for n, x in zip(COMMON, filled, strict=True) if (x or 0) <= 1 << MARK_BITS - 3), COMMON[-1])
     marks = np.zeros((1 << RANGE_BITS, 1 << of_range - 3), np.uint8)
-    for n in COMMON:
-        for r in rows:
-            marks[r["range"]] = np.frombuffer(r[f"c{n}"], np.uint8)
-        if np.bitwise_count(marks).sum(dtype=np.int64) <= 1 << MARK_BITS - 3:
-            break
+    for r in counted.select("range", f"c{level}").toLocalIterator():
+        marks[r[0]] = np.frombuffer(r[1], np.uint8)
+    discard(counted)
+    give_back_on_driver(docs.sparkSession)
     return marks.reshape(-1)
 
 
@@ -166,6 +172,21 @@ def plausible(a: str, b: str, threshold: float):
     return near & (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-6) & enough_shared(a, b, threshold)
 
 
+def must_share(n, m, threshold: float):
+    """Shingles that sets of ``n`` and ``m`` share if they are similar."""
+    return F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
+
+
+def in_own_prefixes(a: str, b: str, threshold: float):
+    """Whether two rows of one key have it in the prefixes, at place ``i``, that the sizes of both ask for.
+
+    Of similar sets the first key that both have is such a one: a set's keys before it are none of the other's.
+    """
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    must = must_share(n, m, threshold)
+    return (F.col(f"{a}.i") <= n - must) & (F.col(f"{b}.i") <= m - must)
+
+
 def enough_shared(a: str, b: str, threshold: float):
     """Whether two rows have as many keys that some other prefix has too, ``n_shared``, as the similarity asks for.
 
@@ -173,7 +194,7 @@ def enough_shared(a: str, b: str, threshold: float):
     set lacks no more than its own set's shingles beyond what the two must share, so the rest are keys of both.
     """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    must = F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
+    must = must_share(n, m, threshold)
     ends = [F.struct(F.col(f"{x}.late"), F.col(f"{x}.last")) for x in (a, b)]
     keys = F.when(ends[0] <= ends[1], F.col(f"{a}.n_keys") - n).otherwise(F.col(f"{b}.n_keys") - m) + must
     return F.least(f"{a}.n_shared", f"{b}.n_shared") >= keys
@@ -242,12 +263,13 @@ def by_fingerprints(docs: DataFrame, table: DataFrame, width: int, threshold: fl
     tried = materialize(tried)
     out = verified(docs, tried, width, threshold, id_col, text_col)
     discard(marked, points, near, tried)
+    give_back_on_driver(docs.sparkSession)
     return out
 
 
 def links(docs: DataFrame, table: DataFrame, width: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(src, dst)``: links that span the components of "similar", of the documents of ``table`` (materialized), whose sets differ."""
-    keys = table.select("rep", F.explode("hs").alias("h"))
+    keys = table.select("rep", F.posexplode("hs").alias("i", "h"))
     shared = materialize(keys.groupBy("h").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("h"))
     held = keys.join(small(shared), "h")
     facts = table.select("rep", "n", *SKETCH, "late", "last", F.size("hs").alias("n_keys"))
@@ -258,7 +280,7 @@ def links(docs: DataFrame, table: DataFrame, width: int, threshold: float, id_co
     alike = by_fingerprints(docs, table, width, threshold, id_col, text_col)
     parts = connected_components(alike)
 
-    row = F.struct("rep", *[c for c in keyed.columns if c not in ("rep", "h")])
+    row = F.struct("rep", *[c for c in keyed.columns if c not in ("rep", "h", "i")])
     stars = keyed.join(keyed.groupBy("h").agg(F.min(row).alias("c")), "h").alias("x").where("c.rep < rep")
     tried = stars.where(plausible("x", "c", threshold)).select(F.col("c.rep").alias("src"), F.col("rep").alias("dst")).distinct()
     tried = without_unlike(between(tried, parts), table, threshold)
@@ -267,21 +289,28 @@ def links(docs: DataFrame, table: DataFrame, width: int, threshold: float, id_co
     once = materialize(tried.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst"))
     found = materialize(alike.unionByName(verified(docs, once, width, threshold, id_col, text_col)))
     discard(alike)
+    give_back_on_driver(docs.sparkSession)
     parts = connected_components(found)
     rest = materialize(between(tried.join(once, ["src", "dst"], "left_anti"), parts))
     found = materialize(found.unionByName(verified(docs, rest, width, threshold, id_col, text_col)))
     discard(once, rest, parts)
+    give_back_on_driver(docs.sparkSession)
 
     parts = connected_components(found)
     placed = keyed.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     several = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
     placed = materialize(placed.join(several, "h"))
-    apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-    others = placed.alias("x").join(placed.alias("y"), apart & plausible("x", "y", threshold))
-    others = others.select(F.col("x.rep").alias("src"), F.col("y.rep").alias("dst")).distinct().join(tried, ["src", "dst"], "left_anti")
+    # the smaller set brings the key, from the prefix that it has even for a set of its own size
+    early = placed.where(F.col("i") <= F.col("n") - must_share(F.col("n"), F.col("n"), threshold))
+    smaller = F.struct("x.n", "x.rep") < F.struct("y.n", "y.rep")
+    apart = (F.col("x.h") == F.col("y.h")) & smaller & (F.col("x.component") != F.col("y.component"))
+    others = early.alias("x").join(placed.alias("y"), apart & in_own_prefixes("x", "y", threshold) & plausible("x", "y", threshold))
+    others = others.select(F.least("x.rep", "y.rep").alias("src"), F.greatest("x.rep", "y.rep").alias("dst")).distinct()
+    others = others.join(tried, ["src", "dst"], "left_anti")
     others = without_unlike(others, table, threshold)
     more = verified(docs, others, width, threshold, id_col, text_col)
     discard(keyed, placed, tried, others, parts)
+    give_back_on_driver(docs.sparkSession)
     return found.unionByName(more)
 
 
@@ -314,4 +343,5 @@ def first_of_each(
     later = ids.join(classes, "same").where("component < id").select(F.col("id").alias(id_col)).distinct()
     later = materialize(later)
     discard(marked, points, table)
+    give_back_on_driver(docs.sparkSession)
     return docs.join(small(later), id_col, "left_anti").select(*docs.columns)
