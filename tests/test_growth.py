@@ -49,6 +49,15 @@ def test_equity_moves_no_order_of_fills_with_assets(spark):
     assert specs and not [s for s in specs if "fill_key" in s and "asset#" in s]
 
 
+def test_equity_neither_shuffles_nor_sorts_places_with_assets(spark):
+    """Changes are dealt out once, and what is laid over the places of a block goes straight to its rates and sums."""
+    got = plan(QUERIES["equity_through_chains"](spark, SF)).splitlines()
+    assert len([line for line in got if "REPARTITION_BY_COL" in line]) == 1
+    above = got[: next(i for i, line in enumerate(got) if "Generate" in line)]
+    assert any("BroadcastHashJoin" in line for line in above)
+    assert not [line for line in above if any(x in line for x in ("Sort", "Window", "hashpartitioning"))]
+
+
 def test_equity_over_years_is_the_plain_sum(spark):
     """Accounts that pause for years, places that several changes share, assets without price, null and late ones."""
     changes = [(a, f"s{(a + i) % 4}", day(i * 97 % 1500), i // 2, float(i % 7 - 3)) for a in (0, 1) for i in range(60)] + [(2, "s1", day(900), 1, 2.0), (2, "s2", day(9), 0, 1.0), (1, "s1", None, 0, 50.0)]
@@ -65,6 +74,23 @@ def test_equity_over_years_is_the_plain_sum(spark):
     assert found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-6 for p in want)
 
 
+def test_equity_of_long_histories_and_many_blocks_is_the_plain_sum(spark, monkeypatch):
+    for long, places in ((0, 64), (50, 3), (10_000, 1), (59, 7)):
+        monkeypatch.setattr(portfolio, "LONG_HISTORY", long)
+        monkeypatch.setattr(portfolio, "PLACES_TOGETHER", places)
+        test_equity_over_years_is_the_plain_sum(spark)
+
+
+def test_equity_of_places_with_several_times_and_changes_of_an_asset(spark, monkeypatch):
+    """A place counts once, at its first time, however often an asset changes in it; -0.0 is 0.0."""
+    monkeypatch.setattr(portfolio, "PLACES_TOGETHER", 2)
+    changes = [("a", "x", day(3), 0.0, 1.0), ("a", "x", day(2), -0.0, 2.0), ("a", "y", day(4), 0.0, None), ("a", None, day(5), 1.0, 9.0), ("a", "y", day(6), 2.0, 4.0), ("a", "x", day(7), 3.0, -3.0), ("a", "x", day(8), 3.0, 1.0)]
+    prices = [("x", day(n), float(n)) for n in range(10)] + [("y", day(6), 0.5)]
+    df = spark.createDataFrame(changes, "account string, asset string, ts timestamp_ntz, i double, delta double")
+    got = portfolio.equity_curve(df, spark.createDataFrame(prices, "asset string, ts timestamp_ntz, price double"), ["account"], ["i"]).collect()
+    assert sorted((r.i, r.equity) for r in got) == [(0.0, 6.0), (1.0, 15.0), (2.0, 20.0), (3.0, 9.0)]
+
+
 def test_balances_deal_out_fills_once(spark):
     """No join on the account and asset of each change: what a year starts with is a row among its fills."""
     got = plan(QUERIES["balances_over_time"](spark, SF))

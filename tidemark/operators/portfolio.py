@@ -13,6 +13,12 @@ from tidemark.sources.shared import shared_path, written
 #: Maker and taker fee of each exchange.
 FEES = [("coinbase", 0.0, 0.003), ("bitstamp", 0.0005, 0.0005), ("bitfinex", 0.001, 0.002)]
 
+#: Changes of an account beyond which its history is cut by year.
+LONG_HISTORY = 100_000
+
+#: Places of a history whose balances are laid out together.
+PLACES_TOGETHER = 64
+
 
 def fees(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FEES, "exchange string, maker double, taker double")
@@ -92,13 +98,18 @@ def equity(balances: DataFrame, rates: DataFrame, by: list[str], positions: Data
     return held.join(rates.select("asset", "rate"), "asset").groupBy(*by).agg(F.sum(F.col("qty") * F.col("rate")).alias("equity"))
 
 
-def yearly(changes: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """``changes`` with their ``__year``, and at each account's start of a year what it holds of each asset by then, ``__opens``.
+def yearly(changes: DataFrame, by: list[str], long: int) -> DataFrame:
+    """``changes`` with the ``__year`` by which histories of more than ``long`` changes are cut, null for all others, and at each
+    start of a year what a cut one holds of each asset by then, ``__opens``.
 
-    An account's long history is cut there: what is done within (by, year) needs no other rows.
+    What is done within (by, year) needs no other rows.
     """
-    rows = changes.select(*by, "asset", *dict.fromkeys(["ts", *order]), "delta").withColumn("__year", F.year("ts")).where("__year is not null")
-    sums = rows.groupBy(*by, "asset", "__year").agg(F.sum("delta").alias("delta"))
+    spark = changes.sparkSession
+    # a row an account of many changes, written, so that its size is known when the plan is made
+    many = written(changes.groupBy(*by).count().where(F.col("count") > long).select(*by), shared_path(spark, "long"))
+    cut = changes.alias("l").join(many.withColumn("__cut", F.lit(True)).alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by], "left")
+    rows = cut.select("l.*", F.when(F.col("__cut"), F.year("ts")).alias("__year"))
+    sums = rows.where("__year is not null").groupBy(*by, "asset", "__year").agg(F.sum("delta").alias("delta"))
     w = Window.partitionBy(*by, "asset").orderBy("__year")
     last = F.max("__year").over(Window.partitionBy(*by))
     held = sums.select(*by, "asset", "__year", F.sum("delta").over(w).alias("delta"), F.coalesce(F.lead("__year").over(w), last).alias("__until"))
@@ -119,30 +130,45 @@ def equity_curve(
     together. A change is valued over the assets that its account has held so
     far, which are few; no tick is joined with the accounts that hold its asset.
 
-    Changes are dealt out once, by account and year. A year's places are
-    numbered, and the rows of places and assets hold that number for ``order``.
+    Changes are dealt out once, by account, and by year too where a history is
+    long. Rows of places and assets, many times the changes, are neither
+    shuffled nor sorted where the rates are few enough to be sent to all: a
+    balance stands from a change to the next, and is laid over the places of
+    its block only to be valued and summed.
     """
     spark = changes.sparkSession
     part = [*by, "__year"]
-    since = changes.groupBy(*by, "asset").agg(F.min("ts").alias("__from"))
-    asked = changes.select(*by, "ts").distinct().join(since, by).where(F.col("ts") >= F.col("__from")).select("asset", "ts").distinct()
+    known = changes.where("ts is not null").select(*by, "asset", *dict.fromkeys(["ts", *order]), F.col("delta").cast("double").alias("delta"))
+    known = written(known, shared_path(spark, "changes"))
+    since = known.groupBy(*by, "asset").agg(F.min("ts").alias("__from"))
+    asked = known.select(*by, "ts").distinct().join(since, by).where(F.col("ts") >= F.col("__from")).select("asset", "ts").distinct()
     rates = asof_join(asked, prices, ["asset"], "price") if chains is None else rates_as_of(asked, chains, prices).withColumnRenamed("rate", "price")
     # a row an asset and time, often few enough to be sent to all
     rates = written(rates.select("asset", "ts", "price"), shared_path(spark, "rates"))
 
-    place = F.dense_rank().over(Window.partitionBy(*part).orderBy(F.desc("__opens"), *order)).alias("__n")
-    numbered = yearly(changes, by, order).repartition(*part).select("*", place)
-    at = numbered.where("not __opens")
-    times = at.groupBy(*part, "__n").agg(F.min("ts").alias("ts"))
-    assets = numbered.groupBy(*part, "asset").agg(F.min("__n").alias("__first"))
-    points = times.join(assets, part).where("__n >= __first").select(*part, "asset", "__n", "ts", F.lit(None).cast("double").alias("delta"))
-    moved = numbered.select(*part, "asset", "__n", F.lit(None).cast(at.schema["ts"].dataType).alias("ts"), F.col("delta").cast("double").alias("delta"))
-    w = Window.partitionBy(*part, "asset").orderBy("__n").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    held = points.unionByName(moved).withColumn("held", F.coalesce(F.sum("delta").over(w), F.lit(0.0))).where("ts is not null")
-    valued = held.join(rates, ["asset", "ts"], "left")
-    worth = valued.select(*part, "__n", (F.col("held") * F.coalesce("price", F.lit(0.0))).alias("worth"))
-    named = at.select(*part, "__n", F.struct(*order).alias("__at"))
-    out = worth.unionByName(named, allowMissingColumns=True).groupBy(*part, "__n").agg(F.sum("worth").alias("equity"), F.max("__at").alias("__at"))
+    along = Window.partitionBy(*part).orderBy(F.desc("__opens"), *order)
+    n, new = F.dense_rank().over(along) - 1, F.rank().over(along) == F.row_number().over(along)
+    dealt = yearly(known, by, LONG_HISTORY).repartition(*part).select("*", n.alias("__n"), new.alias("__new"))
+    at = F.col("ts") if "ts" in order else F.min("ts").over(Window.partitionBy(*part, "__n"))
+    dealt = dealt.select(*part, "asset", "delta", "__n", F.when(F.col("__new"), F.struct("__n", at.alias("ts"), F.struct(*order).alias("at"))).alias("__place"))
+    dealt = dealt.withColumn("__last", F.max("__n").over(Window.partitionBy(*part)))
+    own = Window.partitionBy(*part, "asset").orderBy("__n")
+    held = F.coalesce(F.sum("delta").over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0.0))
+    stands = dealt.withColumns({"__held": held, "__end": F.coalesce(F.lead("__n").over(own), F.col("__last") + 1)})
+
+    block, first = F.col("__block"), F.floor(F.col("__n") / PLACES_TOGETHER).cast("int")
+    ends = F.floor(F.greatest("__n", F.col("__end") - 1) / PLACES_TOGETHER).cast("int")
+    lo = F.greatest(F.col("__n"), block * PLACES_TOGETHER)
+    here = F.struct("asset", F.col("__held").alias("held"), (lo - block * PLACES_TOGETHER + 1).alias("lo"), (F.least("__end", (block + 1) * PLACES_TOGETHER) - lo).alias("size"))
+    cut = stands.withColumn("__block", F.explode(F.sequence(first, ends))).select(*part, "__block", here.alias("__here"), F.when(block == first, F.col("__place")).alias("__place"))
+    # of several changes of an asset in one place the last stands, and the others have no size
+    of_block = F.collect_list(F.when(F.col("__here.size") > 0, F.col("__here"))), F.sort_array(F.collect_list("__place"))
+    blocks = cut.groupBy(*part, "__block").agg(of_block[0].alias("__here"), of_block[1].alias("__places"))
+    laid = blocks.select(*part, "__places", F.inline("__here")).select(*part, "asset", "held", F.explode(F.slice("__places", F.col("lo"), F.col("size"))).alias("__place"))
+    laid = laid.select(*part, "asset", "held", F.col("__place.ts").alias("ts"), F.col("__place.at").alias("__at")).where("ts is not null")
+    valued = laid.join(rates, ["asset", "ts"], "left")
+    worth = F.col("held") * F.coalesce("price", F.lit(0.0))
+    out = valued.groupBy(*part, "__at").agg(F.sum(worth).alias("equity"))
     return out.select(*by, *[F.col(f"__at.{c}").alias(c) for c in order], "equity")
 
 
