@@ -91,6 +91,28 @@ def test_equity_of_places_with_several_times_and_changes_of_an_asset(spark, monk
     assert sorted((r.i, r.equity) for r in got) == [(0.0, 6.0), (1.0, 15.0), (2.0, 20.0), (3.0, 9.0)]
 
 
+def test_rates_are_asked_for_without_accounts_where_times_are_few(spark):
+    """All assets at all times since their first, if these are no more rows than the changes; else those of each account."""
+    few = [(n % 50, f"s{n % 3}", day(n % 5 + (n % 3 == 2) * 3)) for n in range(300)]
+    many = [(n % 2, f"s{n % 4}", day(n)) for n in range(30)] + [(None, "s9", day(40)), (None, "s8", day(41))]
+    for rows, by_account in ((few, False), (many, True)):
+        df = spark.createDataFrame(rows, "account int, asset string, ts timestamp_ntz")
+        asked = portfolio.times_asked(df.select("account", "ts", F.expr("array(struct(asset, 1.0D AS delta))").alias("__moves")), ["account"])
+        assert ("hashpartitioning(account" in plan(asked)) == by_account
+        want = {(b[1], a[2]) for a in rows for b in rows if b[2] <= a[2] and (a[0] == b[0] or not by_account)}
+        got = [tuple(r) for r in asked.collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_equity_of_several_changes_a_row(spark):
+    """Fills with all that they change as one row, an empty one and one without account among them."""
+    rows = [("a", day(1), [("x", 1.0), ("y", -2.0)]), ("a", day(2), [("x", 2.0), ("x", 3.0)]), ("a", day(2), []), (None, day(3), [("x", 1.0)]), ("a", day(4), None), ("a", day(5), [("y", 1.0)])]
+    df = spark.createDataFrame(rows, "account string, ts timestamp_ntz, moves array<struct<asset: string, delta: double>>")
+    prices = spark.createDataFrame([(a, day(n), p * n) for a, p in (("x", 1.0), ("y", 10.0)) for n in range(9)], "asset string, ts timestamp_ntz, price double")
+    got = portfolio.equity_curve(df, prices, ["account"], ["ts"]).collect()
+    assert sorted((r.account or "", (r.ts - day(0)).days, r.equity) for r in got) == [("", 3, 3.0), ("a", 1, -19.0), ("a", 2, -28.0), ("a", 5, -20.0)]
+
+
 def test_balances_deal_out_fills_once(spark):
     """No join on the account and asset of each change: what a year starts with is a row among its fills."""
     got = plan(QUERIES["balances_over_time"](spark, SF))

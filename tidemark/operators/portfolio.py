@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
 from tidemark.operators.chains import rates_as_of
-from tidemark.operators.running import with_running
+from tidemark.operators.running import null_safe_join
 from tidemark.sources.shared import shared_path, written
 
 #: Maker and taker fee of each exchange.
@@ -29,14 +29,19 @@ def with_fees(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(fees(rows.sparkSession)), "exchange", "left")  # a row an exchange, fixed
 
 
-def legs(fills: DataFrame, base: Column, quote: Column) -> DataFrame:
-    """Two rows a fill, ``asset`` and ``delta``: a buy adds the base and costs size * price / (1 - fee) of
+def moves(base: Column, quote: Column) -> Column:
+    """The two legs of a fill, an array of ``asset`` and ``delta``: a buy adds the base and costs size * price / (1 - fee) of
     the quote, a sell takes the base and brings size * price * (1 - fee)."""
     value = F.col("size") * F.col("price")
     buys = F.col("side") == "buy"
     base_leg = F.struct(base.alias("asset"), F.when(buys, F.col("size")).otherwise(-F.col("size")).alias("delta"))
     quote_leg = F.struct(quote.alias("asset"), F.when(buys, -value / (1 - F.col("fee"))).otherwise(value * (1 - F.col("fee"))).alias("delta"))
-    return fills.select("*", F.inline(F.array(base_leg, quote_leg)))
+    return F.array(base_leg, quote_leg)
+
+
+def legs(fills: DataFrame, base: Column, quote: Column) -> DataFrame:
+    """Two rows a fill, ``asset`` and ``delta``."""
+    return fills.select("*", F.inline(moves(base, quote)))
 
 
 def settle(fills: DataFrame, by: list[str], base: Column, quote: Column) -> DataFrame:
@@ -99,28 +104,44 @@ def equity(balances: DataFrame, rates: DataFrame, by: list[str], positions: Data
 
 
 def yearly(changes: DataFrame, by: list[str], long: int) -> DataFrame:
-    """``changes`` with the ``__year`` by which histories of more than ``long`` changes are cut, null for all others, and at each
-    start of a year what a cut one holds of each asset by then, ``__opens``.
+    """``changes`` (``__moves``) with the ``__year`` by which histories of more than ``long`` are cut, null for all others, and at
+    each start of a year what a cut one holds of each asset by then, ``__opens``.
 
     What is done within (by, year) needs no other rows.
     """
-    spark = changes.sparkSession
     # a row an account of many changes, written, so that its size is known when the plan is made
-    many = written(changes.groupBy(*by).count().where(F.col("count") > long).select(*by), shared_path(spark, "long"))
+    many = written(changes.groupBy(*by).count().where(F.col("count") > long).select(*by), shared_path(changes.sparkSession, "long"))
     cut = changes.alias("l").join(many.withColumn("__cut", F.lit(True)).alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by], "left")
     rows = cut.select("l.*", F.when(F.col("__cut"), F.year("ts")).alias("__year"))
-    sums = rows.where("__year is not null").groupBy(*by, "asset", "__year").agg(F.sum("delta").alias("delta"))
+    sums = rows.where("__year is not null").select(*by, "__year", F.inline("__moves")).groupBy(*by, "asset", "__year").agg(F.sum("delta").alias("delta"))
     w = Window.partitionBy(*by, "asset").orderBy("__year")
     last = F.max("__year").over(Window.partitionBy(*by))
     held = sums.select(*by, "asset", "__year", F.sum("delta").over(w).alias("delta"), F.coalesce(F.lead("__year").over(w), last).alias("__until"))
-    opens = held.where("__until > __year").withColumn("__year", F.explode(F.sequence(F.col("__year") + 1, F.col("__until")))).drop("__until")
+    opens = held.where("__until > __year").select(*by, F.explode(F.sequence(F.col("__year") + 1, F.col("__until"))).alias("__year"), F.array(F.struct("asset", "delta")).alias("__moves"))
     return rows.withColumn("__opens", F.lit(False)).unionByName(opens.withColumn("__opens", F.lit(True)), allowMissingColumns=True)
 
 
+def times_asked(changes: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct ``(asset, ts)`` at which ``changes`` (``__moves``) need a rate: those of the assets that an account held by then.
+
+    Where all assets at all times since their first are no more rows than the changes, these are asked for: accounts need not be looked at.
+    """
+    moved = changes.select(*by, "ts", F.explode("__moves.asset").alias("asset"))
+    n, times, assets, last = moved.agg(F.count("*"), F.approx_count_distinct("ts"), F.approx_count_distinct("asset"), F.max(F.year("ts"))).first()
+    if times * assets <= n:
+        since = moved.groupBy("asset").agg(F.min("ts").alias("__from"))
+        since = since.withColumn("__year", F.explode(F.sequence(F.year("__from"), F.lit(last))))
+        asked = changes.select("ts", F.year("ts").alias("__year")).distinct().join(since, "__year")
+    else:
+        since = moved.groupBy(*by, "asset").agg(F.min("ts").alias("__from"))
+        asked = null_safe_join(changes.select(*by, "ts").distinct(), since, by)
+    return asked.where(F.col("ts") >= F.col("__from")).select("asset", "ts").distinct()
+
+
 def equity_curve(
     changes: DataFrame, prices: DataFrame, by: list[str], order: list[str], chains: DataFrame | None = None
 ) -> DataFrame:
-    """Equity of each account after every change (``asset, delta, ts``) of a balance.
+    """Equity of each account after every change (``asset, delta, ts``) of a balance; a row may hold several as ``moves``.
 
     Each asset is valued at its latest price (``asset, ts, price``), at nothing
     before its first; the currency of account needs a price of 1. With
@@ -138,37 +159,42 @@ def equity_curve(
     """
     spark = changes.sparkSession
     part = [*by, "__year"]
-    known = changes.where("ts is not null").select(*by, "asset", *dict.fromkeys(["ts", *order]), F.col("delta").cast("double").alias("delta"))
+    each = F.col("moves") if "moves" in changes.columns else F.array(F.struct("asset", F.col("delta").cast("double").alias("delta")))
+    known = changes.select(*by, *dict.fromkeys(["ts", *order]), each.alias("__moves")).where("ts is not null and size(__moves) > 0")
     known = written(known, shared_path(spark, "changes"))
-    since = known.groupBy(*by, "asset").agg(F.min("ts").alias("__from"))
-    asked = known.select(*by, "ts").distinct().join(since, by).where(F.col("ts") >= F.col("__from")).select("asset", "ts").distinct()
+    asked = times_asked(known, by)
     rates = asof_join(asked, prices, ["asset"], "price") if chains is None else rates_as_of(asked, chains, prices).withColumnRenamed("rate", "price")
     # a row an asset and time, often few enough to be sent to all
     rates = written(rates.select("asset", "ts", "price"), shared_path(spark, "rates"))
 
-    along = Window.partitionBy(*part).orderBy(F.desc("__opens"), *order)
-    n, new = F.dense_rank().over(along) - 1, F.rank().over(along) == F.row_number().over(along)
+    # places are numbered from the last, so that what nothing follows stands until 1
+    along = Window.partitionBy(*part).orderBy("__opens", *[F.desc(c) for c in order])
+    n, new = F.dense_rank().over(along), F.rank().over(along) == F.row_number().over(along)
     dealt = yearly(known, by, LONG_HISTORY).repartition(*part).select("*", n.alias("__n"), new.alias("__new"))
     at = F.col("ts") if "ts" in order else F.min("ts").over(Window.partitionBy(*part, "__n"))
-    dealt = dealt.select(*part, "asset", "delta", "__n", F.when(F.col("__new"), F.struct("__n", at.alias("ts"), F.struct(*order).alias("at"))).alias("__place"))
-    dealt = dealt.withColumn("__last", F.max("__n").over(Window.partitionBy(*part)))
-    own = Window.partitionBy(*part, "asset").orderBy("__n")
+    dealt = dealt.select(*part, "__n", "__moves", F.when(F.col("__new"), F.struct("__n", at.alias("ts"), F.struct(*order).alias("at"))).alias("__place"))
+    dealt = dealt.select(*part, "__n", "__place", F.posexplode("__moves").alias("__i", "__move"))
+    dealt = dealt.select(*part, "__n", "__move.asset", "__move.delta", F.when(F.col("__i") == 0, F.col("__place")).alias("__place"))
+    own = Window.partitionBy(*part, "asset").orderBy(F.desc("__n"))
     held = F.coalesce(F.sum("delta").over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0.0))
-    stands = dealt.withColumns({"__held": held, "__end": F.coalesce(F.lead("__n").over(own), F.col("__last") + 1)})
+    stands = dealt.withColumns({"__held": held, "__end": F.coalesce(F.lead("__n").over(own) + 1, F.lit(1))})
+
+    def block_of(place: Column) -> Column:
+        return F.floor((place - 1) / PLACES_TOGETHER).cast("int")
 
-    block, first = F.col("__block"), F.floor(F.col("__n") / PLACES_TOGETHER).cast("int")
-    ends = F.floor(F.greatest("__n", F.col("__end") - 1) / PLACES_TOGETHER).cast("int")
-    lo = F.greatest(F.col("__n"), block * PLACES_TOGETHER)
-    here = F.struct("asset", F.col("__held").alias("held"), (lo - block * PLACES_TOGETHER + 1).alias("lo"), (F.least("__end", (block + 1) * PLACES_TOGETHER) - lo).alias("size"))
-    cut = stands.withColumn("__block", F.explode(F.sequence(first, ends))).select(*part, "__block", here.alias("__here"), F.when(block == first, F.col("__place")).alias("__place"))
+    first, block = block_of(F.col("__n")), F.col("__block")
+    stands = stands.withColumn("__block", F.explode(F.sequence(first, block_of(F.least("__end", "__n")))))
+    lo, hi = F.greatest(F.col("__end"), block * PLACES_TOGETHER + 1), F.least(F.col("__n"), (block + 1) * PLACES_TOGETHER)
+    here = F.struct("asset", F.col("__held").alias("held"), (lo - block * PLACES_TOGETHER).alias("lo"), (hi - lo + 1).alias("size"))
+    cut = stands.select(*part, "__block", here.alias("__here"), F.when(block == first, F.col("__place")).alias("__place"))
     # of several changes of an asset in one place the last stands, and the others have no size
-    of_block = F.collect_list(F.when(F.col("__here.size") > 0, F.col("__here"))), F.sort_array(F.collect_list("__place"))
-    blocks = cut.groupBy(*part, "__block").agg(of_block[0].alias("__here"), of_block[1].alias("__places"))
-    laid = blocks.select(*part, "__places", F.inline("__here")).select(*part, "asset", "held", F.explode(F.slice("__places", F.col("lo"), F.col("size"))).alias("__place"))
-    laid = laid.select(*part, "asset", "held", F.col("__place.ts").alias("ts"), F.col("__place.at").alias("__at")).where("ts is not null")
+    here = F.collect_list(F.when(F.col("__here.size") > 0, F.col("__here"))).alias("__here")
+    blocks = cut.groupBy(*part, "__block").agg(here, F.sort_array(F.collect_list("__place")).alias("__places"))
+    laid = blocks.select(*part, "__places", F.inline("__here"))
+    laid = laid.select(*part, "asset", "held", F.explode(F.slice("__places", F.col("lo"), F.col("size"))).alias("__place"))
+    laid = laid.select(*part, "asset", "held", "__place.ts", F.col("__place.at").alias("__at")).where("ts is not null")
     valued = laid.join(rates, ["asset", "ts"], "left")
-    worth = F.col("held") * F.coalesce("price", F.lit(0.0))
-    out = valued.groupBy(*part, "__at").agg(F.sum(worth).alias("equity"))
+    out = valued.groupBy(*part, "__at").agg(F.sum(F.col("held") * F.coalesce("price", F.lit(0.0))).alias("equity"))
     return out.select(*by, *[F.col(f"__at.{c}").alias(c) for c in order], "equity")
 
 

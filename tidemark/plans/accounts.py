@@ -431,11 +431,11 @@ def equity_after_changes(spark, sf_dir):
 )
 def equity_through_chains(spark, sf_dir):
     """Equity after every fill in a currency that no asset trades in directly, at rates as of then."""
-    nations = views.table(spark, sf_dir, "nation").join(views.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    markets = views.table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    markets = markets.select(F.col("s_suppkey").alias("market"), F.lower("n_name").alias("base"), F.lower("r_name").alias("quote"))
-    fills = views.fills(spark, sf_dir).join(markets, "market")
-    changes = portfolio.legs(fills, F.col("base"), F.col("quote")).select("account", "asset", "ts", "fill_key", "delta")
+    fills, supplier = views.fills(spark, sf_dir), views.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    # table by table, so that the size of each is known when the plan is made
+    fills = fills.join(supplier, F.col("market") == F.col("s_suppkey")).join(views.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    fills = fills.join(views.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumns({"base": F.lower("n_name"), "quote": F.lower("r_name")})
+    changes = fills.select("account", "ts", "fill_key", portfolio.moves(F.col("base"), F.col("quote")).alias("moves"))
     prices = views.market_prices(spark, sf_dir)
     found = conversion_chains(prices.groupBy("exchange", "base", "quote").agg(F.max_by("price", "ts").alias("price")), "eur")
     out = portfolio.equity_curve(changes, prices, ["account"], ["ts", "fill_key"], found)
